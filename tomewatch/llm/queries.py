@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, read
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .mixing import poisson_mix
+from .suffix_dedup import remove_repeats
 from .warc import BLOCK_RE, CHARSET_RE, ENTITIES, HIDDEN_RE, LANG_RE, LINK_RE, TAG_RE, TITLE_RE, responses_of_pages, warc_derivatives
 
 QUERIES: dict = {}
@@ -108,3 +110,14 @@ SELECT *, 'WARC/1.1' || {_CRLF} || 'WARC-Type: ' || record_type || {_CRLF} || 'W
   || 'WARC-Payload-Digest: ' || payload_digest || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF} || 'Content-Length: ' || content_length || {_CRLF} AS header
 FROM o
 """
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
