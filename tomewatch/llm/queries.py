@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .mixing import poisson_mix
 from .suffix_dedup import remove_repeats
+from .surrogates import replace_personal_data
 from .warc import BLOCK_RE, CHARSET_RE, ENTITIES, HIDDEN_RE, LANG_RE, LINK_RE, TAG_RE, TITLE_RE, responses_of_pages, warc_derivatives
 
 QUERIES: dict = {}
@@ -142,3 +143,8 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = line_crf.train(docs, labels.where(fold(5) != 0))
     scored = line_crf.score_documents(docs, field)
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
+
+
+@query
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(read(spark, sf_dir, "documents"), key="surrogate-key-1")
