@@ -19,15 +19,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder that all executors share, cutting its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder of this machine is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or in a local run without it a temporary one."""
+    sc = spark.sparkContext
+    if set_by_cluster := sc.getConf().get("spark.checkpoint.dir", ""):
+        return set_by_cluster
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, cutting its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -123,8 +123,10 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", grams
     return LanguageFilters(names, masks, fill**HASHES)
 
 
-def identify(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row of ``docs``.
+def identify(
+    docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, lang_pred, score) for every row of ``docs``, and the columns named in ``keep``.
 
     Each 4-byte window of the lower-cased text that has letters in its middle votes for all languages in its
     mask. A language's count c of n windows is corrected for the filter's false positives: (c - n f) / (1 - f),
@@ -158,7 +160,9 @@ def identify(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", te
                     ok = lettered[lo + j] and m.names
                     names.append(m.names[best[j]] if ok else UNDETERMINED)
                     scores.append(float(score[j]) if ok else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *b.columns[2:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, *keep, "lang_pred", "score"]
+            )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import language_id, line_crf
 from .common import ascii_lower, read
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .mixing import poisson_mix
 from .suffix_dedup import remove_repeats
 from .surrogates import replace_personal_data
+from .token_shards import training_order
 from .warc import BLOCK_RE, CHARSET_RE, ENTITIES, HIDDEN_RE, LANG_RE, LINK_RE, TAG_RE, TITLE_RE, responses_of_pages, warc_derivatives
 
 QUERIES: dict = {}
@@ -68,11 +72,11 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_text(html: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    t = f"regexp_replace({html}, {q(HIDDEN_RE)}, ' ', 'g')"
+    t = f"translate(regexp_replace({html}, {q(HIDDEN_RE)}, ' ', 'g'), chr(9) || chr(13) || chr(10) || chr(12), '    ')"
     t = f"regexp_replace(regexp_replace({t}, {q(BLOCK_RE)}, chr(10), 'g'), {q(TAG_RE)}, '', 'g')"
     for name, char in ENTITIES.items():
         t = f"replace({t}, '&{name};', {q(char)})"
-    t = f"regexp_replace(regexp_replace({t}, '[ \\t\\r\\f\u00a0]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '[ \u00a0]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({t}, '\\A[ \\n]+|[ \\n]+\\z', '', 'g')"
 
 
@@ -148,3 +152,18 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(read(spark, sf_dir, "documents"), key="surrogate-key-1")
+
+
+@query
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(read(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

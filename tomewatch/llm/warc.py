@@ -46,12 +46,12 @@ def numeric_references(text: Column) -> Column:
 
 def html_text(html: Column) -> Column:
     """Visible text of a page: one line per block, spaces collapsed, references decoded once."""
-    t = F.regexp_replace(html, HIDDEN_RE, " ")
+    t = F.translate(F.regexp_replace(html, HIDDEN_RE, " "), "\t\r\n\f", "    ")
     t = F.regexp_replace(F.regexp_replace(t, BLOCK_RE, "\n"), TAG_RE, "")
     t = numeric_references(t)
     for name, char in ENTITIES.items():
         t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, "[ \\t\\r\\f\u00a0]+", " "), " ?\\n[ \\n]*", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, "[ \u00a0]+", " "), " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "\\A[ \\n]+|[ \\n]+\\z", "")
 
 
