@@ -2,5 +2,36 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .fixtures import oracle, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """Catalogue tables by attribute: ``t.shop_books``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of ``Tables`` under ``name``, with SQL over {views} as its oracle."""
+
+    def keep(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = oracle(sql)
+        return f
+
+    return keep
+
+
+from . import queries_items, queries_quality, queries_reads, queries_text  # noqa: E402, F401
