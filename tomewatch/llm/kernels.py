@@ -63,11 +63,17 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]``; equal bytes give equal hashes wherever they stand."""
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse powers) with which (sums[end] - sums[start]) * inverse[start] is a polynomial hash of data[start:end]."""
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE_CODES[data] * power[: len(data)], out=total[1:])
+    return total, inverse
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]``; equal bytes give equal hashes wherever they stand."""
+    total, inverse = prefix_sums(data)
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
