@@ -15,11 +15,10 @@ def normalize(raw: Column) -> Column:
 
 
 def _weighed(text: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for k, w in enumerate(weights):
-        c = F.substring(text, k + 1, 1)
-        total = total + F.when(F.upper(c) == "X", 10).otherwise(F.try_to_number(c, F.lit("9")).cast("int")) * w
-    return total
+    """Sum of the leading digits (X is ten) times ``weights``."""
+    digits = F.split(F.substring(text, 1, len(weights)), "")
+    value = lambda c: F.when(F.upper(c) == "X", 10).otherwise(c.try_cast("int"))
+    return F.aggregate(F.zip_with(digits, F.array(*[F.lit(w) for w in weights]), lambda c, w: value(c) * w), F.lit(0), lambda a, x: a + x)
 
 
 def _sum13(text: Column, digits: int) -> Column:

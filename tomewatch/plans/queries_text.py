@@ -1 +1,202 @@
-"""x"""
+"""Expressions and extraction over the given tables, or over pages and feeds that Spark builds from them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import classify, isbn, present, text, urls
+from ..operators import extract as x
+from ..sources import tables as src
+from .registry import query
+
+_SUM13 = "list_sum(list_transform(range(1, 14), lambda i: cast(substr(c, i, 1) as int) * case when i % 2 = 1 then 1 else 3 end)) % 10 = 0"
+_SUM10 = "list_sum(list_transform(range(1, 11), lambda i: case when upper(substr(c, i, 1)) = 'X' then 10 else cast(substr(c, i, 1) as int) end * (11 - i))) % 11 = 0"
+_RAW = "select p_partkey as id, case when p_partkey % 4 = 0 then substr(isbn13, 1, 12) || '7' when p_partkey % 4 = 1 then substr(isbn13, 1, 3) || '-' || substr(isbn13, 4) when p_partkey % 4 = 2 then isbn10 else substr(isbn10, 1, 9) || '1' end as raw from {part_isbn}"
+
+
+def raw_isbns(t):
+    raw = F.expr("case when p_partkey % 4 = 0 then substr(isbn13, 1, 12) || '7' when p_partkey % 4 = 1 then substr(isbn13, 1, 3) || '-' || substr(isbn13, 4) when p_partkey % 4 = 2 then isbn10 else substr(isbn10, 1, 9) || '1' end")
+    return t.part_isbn.select(F.col("p_partkey").alias("id"), raw.alias("raw"), "isbn13", "isbn10")
+
+
+query("fn1_fn2_isbn_valid", f"select id, c as clean, case when length(c) = 13 then {_SUM13} else {_SUM10} end as valid from (select id, replace(raw, '-', '') as c from ({_RAW}) r) x")(
+    lambda t: raw_isbns(t).select("id", isbn.normalize(F.col("raw")).alias("clean"), isbn.is_valid(F.col("raw")).alias("valid"))
+)
+query("fn3_isbn_convert", "select p_partkey as id, isbn13 as made13, isbn10 as made10 from {part_isbn}")(
+    lambda t: t.part_isbn.select(F.col("p_partkey").alias("id"), isbn.to_isbn13(F.col("isbn10")).alias("made13"), isbn.to_isbn10(F.col("isbn13")).alias("made10"))
+)
+query("fn4_arbitrate", "select p_partkey as id, isbn13 as chosen from {part_isbn}")(
+    lambda t: t.part_isbn.select(F.col("p_partkey").alias("id"), isbn.arbitrate(F.concat(F.substring("isbn10", 1, 9), F.lit("?")), F.col("isbn13")).alias("chosen"))
+)
+query(
+    "fn5_url_normalize",
+    """select page_id, lower(regexp_extract(url, '^([^:]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1))
+         || case when p in ('', '/') then '/' else regexp_replace(p, '/+$', '') end || case when q <> '' then '?' || q else '' end as normalized
+       from (select page_id, url, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as p, array_to_string(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'),
+         lambda a: a <> '' and split_part(a, '=', 1) not in ('ref', 'fbclid', 'gclid') and not starts_with(a, 'utm_')), '&') as q from pages) z""",
+)(lambda t: t.pages.select("page_id", urls.normalize_url(F.col("url")).alias("normalized")))
+query("fn6_fold_ascii", "select doc_id, md5(strip_accents(lower(text))) as folded from documents")(lambda t: t.documents.select("doc_id", F.md5(text.fold_ascii(F.col("text"))).alias("folded")))
+query("fn7_tokenize", "select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(strip_accents(lower(html)), '[a-z0-9]+'))), ' ') as tokens from pages")(
+    lambda t: t.pages.select("page_id", F.array_join(F.array_sort(text.tokenize(F.col("html"))), " ").alias("tokens"))
+)
+query("fn8_slug", "select page_id, regexp_extract(rtrim(url, '/'), '([^/]*)$', 1) as slug from pages")(lambda t: t.pages.select("page_id", text.slug_from_url(F.col("url")).alias("slug")))
+query("fn9_slug_mismatch", "select id, not list_has_any(regexp_extract_all(lower(regexp_replace(url, '.*/', '')), '[a-z0-9]+'), regexp_extract_all(lower(title), '[a-z0-9]+')) as mismatch from {shop_books}")(
+    lambda t: t.shop_books.select("id", text.slug_mismatch(text.slug_from_url(F.col("url")), F.col("title")).alias("mismatch"))
+)
+query("fn10_diacritic_loss", "select p_partkey as id, true as lossy, false as kept from {part}")(
+    lambda t: t.part.select(
+        F.col("p_partkey").alias("id"),
+        text.diacritic_loss(F.concat(F.lit("kale-du-pu-ga-"), F.col("p_partkey").cast("string")), F.concat(F.lit("Kalėdų pūga "), F.col("p_name"))).alias("lossy"),
+        text.diacritic_loss(F.concat(F.lit("kaledu-puga-"), F.col("p_partkey").cast("string")), F.concat(F.lit("Kalėdų pūga "), F.col("p_name"))).alias("kept"),
+    )
+)
+query(
+    "fn12_ag27_aliases",
+    "select b.id, count(*) as n from {shop_books} b join {discovered_urls} u on u.shop_book_id = b.id where split_part(b.url, '?', 1) <> split_part(u.url, '?', 1) group by 1",
+)(
+    lambda t: t.shop_books.select("id", "url").join(t.discovered_urls.select(F.col("shop_book_id").alias("id"), F.col("url").alias("other")), "id")
+    .where(urls.genuine_alias(F.col("url"), F.col("other"))).groupBy("id").agg(F.count("*").alias("n"))
+)
+
+
+def judged(t):
+    cats = F.when(F.col("category") == "zaislai", F.array(F.lit("Žaislai"))).when(F.col("category") == "cat1", F.array(F.lit("Grožinė  literatūra"))).otherwise(F.array("category"))
+    verdict = classify.classify(F.col("title"), cats, F.col("isbn"), F.col("author"), [F.col("year"), F.col("format")])
+    return t.shop_books.withColumn("cats", cats).withColumn("v", verdict)
+
+
+_POINTS = """select *, case when isbn is not null then 3 else 0 end + case when category = 'cat1' then 3 else 0 end + case when author is not null then 2 else 0 end
+   + case when year is not null or format is not null then 2 else 0 end - case when category = 'zaislai' then 4 else 0 end as score,
+   category = 'zaislai' and not (isbn is not null or author is not null) as blocked,
+   category = 'cat1' or isbn is not null or author is not null and (year is not null or format is not null) as signal from {shop_books}"""
+query("fn13_classify", f"select id, score, score >= 3 and signal and not blocked as is_book from ({_POINTS}) p")(lambda t: judged(t).select("id", "v.score", "v.is_book"))
+query("fn14_rejects", f"select id, type = 'non_book' or blocked as rejected from ({_POINTS}) p")(lambda t: judged(t).select("id", classify.rejects(F.col("v"), F.col("type")).alias("rejected")))
+query("fn15_infer_type", f"select id, case when type = 'ebook' then 'ebook' when score >= 3 and signal and not blocked then 'book' else 'non_book' end as inferred from ({_POINTS}) p")(
+    lambda t: judged(t).select("id", classify.infer_type(F.when(F.col("type") == "ebook", "E-knyga").otherwise(F.col("format")), F.col("cats"), F.col("v")).alias("inferred"))
+)
+query("fn17_cover", "select p_partkey as id, case p_size % 3 when 0 then 'hardcover' when 1 then 'paperback' else 'audiobook' end as format from {part}")(
+    lambda t: t.part.select(
+        F.col("p_partkey").alias("id"),
+        text.cover_format(F.concat(F.lit("14 x 21 cm, "), F.expr("case p_size % 3 when 0 then 'Kieti viršeliai' when 1 then 'minkštas' else 'Audiobook' end"))).alias("format"),
+    )
+)
+query("fn18_authors", "select p_partkey as id, p_brand || '|' || p_type || '|' || p_name as authors from {part}")(
+    lambda t: t.part.select(F.col("p_partkey").alias("id"), F.array_join(text.split_authors(F.concat("p_brand", F.lit(" ir "), "p_type", F.lit(";  "), "p_name")), "|").alias("authors"))
+)
+query("fn21_price_text", "select id, price_cents as cents from {shop_books} where price_cents is not null")(
+    lambda t: t.shop_books.where("price_cents is not null").select("id", text.price_text_cents(F.concat(F.lit("nuo "), F.expr("price_cents div 100").cast("string"), F.lit(","), F.lpad((F.col("price_cents") % 100).cast("string"), 2, "0"), F.lit(" €"))).alias("cents"))
+)
+query("fn22_year_text", "select id, case when year between 1500 and 2100 then year end as y from {shop_books} where year is not null")(
+    lambda t: t.shop_books.where("year is not null").select("id", text.year_of(F.concat(F.col("year").cast("string"), F.lit(" m. leidimas"))).alias("y"))
+)
+query("fn26_json_flag", "select event_id, cast(json_extract(props, '$.k') as int) > 50 as flag from events")(
+    lambda t: t.events.select("event_id", present.json_flag(F.to_json(F.struct((F.get_json_object("props", "$.k").cast("int") > 50).alias("flag"))), "$.flag").alias("flag"))
+)
+query("fn27_severity", "select issue, case when issue in ('missing_price', 'zero_price') then 'critical' when issue = 'url_aliases' then 'info' else 'warning' end as severity, count(*) as n from {validation_issues} group by 1, 2")(
+    lambda t: t.validation_issues.join(F.broadcast(present.severities(t.spark)), "issue").groupBy("issue", "severity").agg(F.count("*").alias("n"))
+)
+query("fn31_category_names", "select supp as id, string_agg(p_name, '|' order by o) as names from (select l_suppkey as supp, l_partkey as part, l_orderkey as o from lineitem where l_linenumber = 7 and l_partkey % 3 = 0 and l_returnflag = 'R') l join part p on p.p_partkey = l.part group by 1")(
+    lambda t: x.category_names(
+        t.lineitem.where("l_linenumber = 7 and l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("id"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey"))), lambda s: s["l_partkey"]).alias("category_ids")),
+        t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")),
+    ).where(F.size("categories") > 0).select("id", F.array_join("categories", "|").alias("names"))
+)
+
+# pages and feeds that Spark writes from the catalogue, read back by the extraction jobs
+HTML = """concat('<html><head><meta property="og:title" content="', p_name, '"><script type="application/ld+json">{"@type": "Book", "name": "', p_name, '", "isbn": "', isbn13,
+  '", "author": {"name": "', p_brand, '"}, "offers": {"price": "', cast(p_size as string), ',50", "availability": "http://schema.org/InStock"}}</script></head><body><table><tr><th>ISBN:</th><td>', isbn13,
+  '</td></tr><tr><th>Metai</th><td>', cast(1960 + p_size as string), '</td></tr></table><dl><dt>Tipas</dt><dd><b>', p_type, '</b> &amp; co</dd></dl><div class="price">', case when p_partkey % 3 = 0 then '' else '9.99' end,
+  '</div><p>Įvertinimas 4,5 / 5 (', cast(p_size as string), ')</p></body></html>')"""
+
+
+def built(t):
+    return t.part.join(t.part_isbn, "p_partkey").select(F.col("p_partkey").alias("id"), F.expr(HTML).alias("html"))
+
+
+_P = "from {part} p join {part_isbn} i on i.p_partkey = p.p_partkey"
+query("ext1_json_ld", f"select p.p_partkey as id, p_name as title, p_brand as author, isbn13 as isbn, cast(p_size * 100 + 50 as bigint) as price_cents, true as in_stock {_P}")(
+    lambda t: x.json_ld(built(t)).select("id", "title", "author", "isbn", "price_cents", "in_stock")
+)
+query(
+    "ext2_page_fields",
+    """select page_id, coalesce(nullif(c(h), ''), nullif(c(t), '')) as title, nullif(c(h), '') as heading, lang as language from (select page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) as h,
+       regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) as t, regexp_extract(html, 'lang="([a-z]+)"', 1) as lang from pages) z""".replace("c(h)", "trim(regexp_replace(replace(h, '&amp;', '&'), '[ \\n]+', ' ', 'g'))").replace(
+        "c(t)", "trim(regexp_replace(replace(t, '&amp;', '&'), '[ \\n]+', ' ', 'g'))"
+    ),
+)(lambda t: x.extract(t.pages).select("page_id", "title", "heading", "language"))
+query("ext3_labels", f"select p.p_partkey as id, isbn13 as isbn, cast(1960 + p_size as string) as year, p_type || ' & co' as kind {_P}")(
+    lambda t: built(t).select("id", x.label_values(F.col("html"), "table").alias("a"), x.label_values(F.col("html"), "definitions").alias("d")).select("id", F.col("a")["isbn"].alias("isbn"), F.col("a")["metai"].alias("year"), F.col("d")["tipas"].alias("kind"))
+)
+query("ext4_cards", "select page_id, '/' || w as url, min(k) as position, w as title from (select page_id, unnest(l) as w, generate_subscripts(l, 1) as k from (select page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href=\"/([^\"]*)\"', 1) as l from pages) a) b group by 1, 2, 4")(
+    lambda t: x.cards(t.pages.select("page_id", F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("html")), "<li>", (x.Rule("url", ('<a href="([^"]*)"',), False), x.Rule("title", ('<a href="[^"]*">(.*?)</a>',)))).select("page_id", "url", "position", "title")
+)
+query("ext7_stock", "select p_partkey as id, p_partkey % 3 <> 0 and true as in_stock from {part}")(lambda t: built(t).select("id", F.coalesce(x.stock_signals(F.regexp_replace("html", "<p>.*", "")), F.lit(False)).alias("in_stock")))
+query("ext8_markdown")(lambda t: x.markdown(t.pages, "html", ["page_id"]))
+query("ext8_sanitise", "select page_id, not regexp_matches(html, '<zzz') as clean from pages")(
+    lambda t: t.pages.select("page_id", (~x.sanitise(F.col("html")).rlike("(?i)<(?:script|style|a|div|nav|article|footer|html|head|body|h1|title|!--)[ >]")).alias("clean"))
+)
+query(
+    "ext9_internal_links",
+    """with l as (select regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as base, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*?href="([^"#]*)[^"]*"', 1))) as href from pages)
+       select distinct case when starts_with(href, '/') then base || href else base || '/' || href end as url from l where href <> '' and not regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:')
+       and (case when starts_with(href, '/') then base || href else base || '/' || href end) not in (select url from pages)""",
+)(lambda t: x.internal_links(t.pages, t.pages))
+query("ext10_rating", f"select p.p_partkey as id, cast(4.5 as decimal(3,2)) as rating, p_size as reviews {_P}")(lambda t: built(t).select("id", x.rating(x.bare(F.col("html"))).alias("r")).select("id", "r.rating", "r.reviews"))
+query("ext11_language", "select page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) = 'en' as is_book from pages")(
+    lambda t: x.language_block(x.extract(t.pages).withColumn("is_book", F.lit(True)), ("en",)).select("page_id", "is_book")
+)
+query("ext12_response", "select url, 'empty_response' as issue from pages where octet_length(encode(html)) < 1900")(lambda t: x.response_findings(t.pages, smallest=1900).where("issue = 'empty_response'"))
+query("ext13_store_type", "select p_partkey as id, case when p_size % 2 = 0 then 'ebook' else 'book' end as type, case when p_partkey % 7 <> 0 then p_brand end as author from {part}")(
+    lambda t: t.part.select(
+        F.col("p_partkey").alias("id"),
+        x.store_type(x.tag_list(F.concat("p_type", F.expr("case when p_size % 2 = 0 then ', E-knyga , Knygos' else ',knyga' end"))), F.when(F.col("p_partkey") % 7 == 0, " - ").otherwise(F.col("p_brand"))).alias("s"),
+    ).select("id", "s.type", "s.author")
+)
+
+
+def feed(t):
+    item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("size"))
+    return t.part.groupBy((F.col("p_partkey") % 97).alias("page")).agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(item)).alias("products")).alias("data"))).alias("body"))
+
+
+query("src5_feed_items", "select p_partkey % 97 as page, p_partkey as id, p_name as name, cast(p_size as string) as size from {part}")(
+    lambda t: x.feed_items(feed(t), "data struct<products: array<struct<id: long, name: string, size: string>>>", "data.products")
+)
+
+
+def sitemaps(t):
+    loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    part = t.pages.select((F.col("page_id") % 20).alias("part"), loc.alias("loc"))
+    return part.groupBy("part").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.array_sort(F.collect_list("loc")), "\n"), F.lit("</urlset>")).alias("body"))
+
+
+query("src4_sitemap_urls", "select page_id % 20 as part, 'url' as kind, url as loc from pages")(lambda t: x.sitemap_urls(sitemaps(t)))
+_NESTED = "to_json(named_struct('id', p_partkey, 'name', p_name, 'price', named_struct('final', concat(cast(p_size as string), '.25')), 'attributes', array(named_struct('label', 'Spalva', 'value', p_brand)), 'categories', array(named_struct('id', p_size, 'name', p_type)), 'ld', concat('{\"isbn\": \"', isbn13, '\"}')))"
+query("ext5_nested_product", f"select p.p_partkey as id, p_name as title, cast(p_size * 100 + 25 as bigint) as price_cents, cast(p_size * 100 + 25 as bigint) as original_cents, isbn13 as isbn, p_brand as colour, p_type as category {_P}")(
+    lambda t: x.nested_product(t.part.join(t.part_isbn, "p_partkey").select(F.expr(_NESTED).alias("body"))).select(
+        "id", "title", "price_cents", "original_cents", "isbn", F.col("properties")["spalva"].alias("colour"), F.col("categories")[0].alias("category")
+    )
+)
+
+
+def library(t):
+    who = F.expr("array(named_struct('name', p_brand, 'role', 'aut'), named_struct('name', p_type, 'role', 'trl'), named_struct('name', p_name, 'role', 'aut'))")
+    body = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("title"), F.lit("1999 m.").alias("year"), F.array("isbn13", "isbn10").alias("isbns"), who.alias("people")))
+    return t.part.join(t.part_isbn, "p_partkey").select(body.alias("body"))
+
+
+query("ext6_library_isbns", f"select cast(p.p_partkey as string) as code, isbn13 as isbn, 'isbn13' as isbn_type {_P} union all select cast(p.p_partkey as string), isbn10, 'isbn10' {_P}")(lambda t: x.library_records(library(t))[1])
+query(
+    "ext6_library_people",
+    " union all ".join(f"select cast(p_partkey as string) as code, {n} as name, '{r}' as role, {k} as position from {{part}}" for n, r, k in (("p_brand", "author", 0), ("p_name", "author", 1), ("p_type", "translator", 0))),
+)(lambda t: x.library_records(library(t))[2])
+query(
+    "snk3_export_rows",
+    """select cast(id as string) as id, title, coalesce(author, '') as author, coalesce(publisher, '') as publisher, coalesce(cast(year as string), '') as year, coalesce(isbn, '') as isbn, coalesce(format, '') as format, type,
+       case when coalesce(price_cents, 0) = 0 then '' when price_cents % 100 = 0 then (price_cents // 100) || '.0' else regexp_replace((price_cents // 100) || '.' || lpad(cast(price_cents % 100 as string), 2, '0'), '0$', '') end as price,
+       case when in_stock then 'yes' else 'no' end as in_stock, case when is_active then 'yes' else 'no' end as is_active from {shop_books}""",
+)(lambda t: src.export_rows(t.shop_books))
+query("snk4_url_batches", "select shop_id, count(*) as n, min(id) as lo, max(id) as hi from {discovered_urls} group by 1")(
+    lambda t: src.url_batches(t.discovered_urls).select("shop_id", F.explode("urls").alias("u")).groupBy("shop_id").agg(F.count("*").alias("n"), F.min("u.id").alias("lo"), F.max("u.id").alias("hi"))
+)
