@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, span_hashes, words
+from .kernels import SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, span_hashes, words
 
 #: Rank of the latent space and extra random directions of the randomised SVD; its power iterations.
 RANK, OVERSAMPLE, POWER = 48, 12, 2
@@ -24,12 +25,12 @@ MIN_COSINE, MIN_COVER = 0.5, 0.5
 #: A candidate is a leak if its LCS holds ANSWERED of the passage and ANSWER of its last words, or SURE of the passage.
 ANSWERED, ANSWER, SURE = 0.7, 0.5, 0.9
 ANSWER_WORDS = 6
-_PLAIN = LOWER.copy()
+_PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the words of a chunk: runs of letters and digits, A-Z lower-cased."""
+    """(hash, row) of the words of a chunk of lower-case texts: runs of letters and digits."""
     simple = _PLAIN[data]
     starts, ends, row = words(simple, offsets)
     return span_hashes(simple, starts, ends), row
@@ -55,7 +56,7 @@ def benchmark_passages(benchmark: DataFrame, item_col: str = "item_id", text_col
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offsets in chunks(b.column(1)):
+            for lo, hi, data, offsets in chunks(pc.utf8_lower(b.column(1))):
                 h, row = plain_words(data, offsets)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 items, held = [], []
@@ -73,7 +74,7 @@ def benchmark_passages(benchmark: DataFrame, item_col: str = "item_id", text_col
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """In how many documents each cell's words occur, over all rows; a table of a fixed size."""
-    return count_sketch(docs, lambda d, o: distinct_sorted(*plain_words(d, o))[0], text_col)
+    return count_sketch(docs, lambda d, o: distinct_sorted(*plain_words(d, o))[0], text_col, pc.utf8_lower)
 
 
 def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +253,7 @@ def find_leaks(
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offsets in chunks(b.column(0)):
+            for lo, hi, data, offsets in chunks(pc.utf8_lower(b.column(0))):
                 h, row = plain_words(data, offsets)
                 found: dict[int, dict] = {}
                 for index in held:

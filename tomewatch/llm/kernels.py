@@ -139,17 +139,20 @@ SKETCH_CELLS = 1 << 20
 _PIECES = 64
 
 
-def count_sketch(df: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], text_col: str) -> np.ndarray:
+def count_sketch(
+    df: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], text_col: str, prepare: Callable[[pa.Array], pa.Array] = lambda texts: texts
+) -> np.ndarray:
     """How often each of SKETCH_CELLS cells (hash mod cells) occurs over all rows of ``df``.
 
     Every task adds up its own cells and sends them once, in pieces that are summed as a stream; the
-    driver gets one table of a fixed size (8 MB). ``hashes`` maps a chunk to the 64-bit hashes to count.
+    driver gets one table of a fixed size (8 MB). ``hashes`` maps a chunk of
+    the prepared texts to the 64-bit hashes to count.
     """
 
     def tally(batches):
         cells = np.zeros(SKETCH_CELLS, np.int64)
         for b in batches:
-            for _, _, data, offsets in chunks(b.column(0)):
+            for _, _, data, offsets in chunks(prepare(b.column(0))):
                 cells += np.bincount((hashes(data, offsets) % U(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
         cells = np.minimum(cells, (1 << 31) - 1).astype(np.int32)
         parts = [p.tobytes() for p in np.split(cells, _PIECES) if p.any()]
