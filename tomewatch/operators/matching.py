@@ -14,6 +14,7 @@ def isbn_match(listings: DataFrame, isbns: DataFrame) -> DataFrame:
     """Link unlinked listings whose normalised ISBN a work owns; an ISBN has one owner, so rows do not multiply."""
     owner = isbns.groupBy(F.col("isbn").alias("_isbn")).agg(F.min("book_id").alias("_book"))
     key = F.when(F.col("book_id").isNull(), F.nullif(normalize(F.col("isbn")), F.lit("")))
+    key = F.coalesce(key, F.concat(F.lit("no isbn "), F.col("id").cast("string")))  # null keys would all meet in one task
     joined = listings.withColumn("_isbn", key).join(owner, "_isbn", "left").drop("_isbn")
     hit = F.col("_book").isNotNull()
     return (
