@@ -307,3 +307,32 @@ def admit_cards(cards: DataFrame, base: str, pattern: str | None = None) -> tupl
     known = known if pattern is None else known.where(F.col("url").rlike(pattern))
     items = known.where(~F.coalesce("rejected", F.lit(False)) & F.col("title").isNotNull() & F.col("price").isNotNull())
     return items.withColumn("in_stock", F.coalesce("in_stock", F.lit(True))), known.select("url").distinct()
+
+
+def merge_urls(urls: DataFrame, seen: DataFrame, now: Column, run: Column) -> DataFrame:
+    """Known URLs after a batch (shop_id, url, shop_book_id or null), by normalised URL: new ones are added as unknown,
+    sight and run are refreshed, and unknown URLs that a listing stands on become products."""
+    from ..functions.urls import normalize_url
+
+    batch = seen.withColumn("normalized_url", normalize_url(F.col("url"))).groupBy("shop_id", "normalized_url").agg(F.min("url").alias("url"), F.max("shop_book_id").alias("shop_book_id"))
+    batch = batch.withColumn("last_seen_at", now).withColumn("first_seen_at", now).withColumn("last_run_id", run).withColumn("type", F.lit("unknown"))
+    batch = batch.withColumn("fail_count", F.lit(0)).withColumn("id", F.xxhash64("shop_id", "normalized_url"))
+    columns = [c for c in batch.columns if c in urls.columns]
+    out = merge(urls, batch.select(*columns), ["shop_id", "normalized_url"], overwrite=["last_seen_at", "last_run_id"], keep=["id", "url", "first_seen_at", "type", "fail_count"])
+    return out.withColumn("type", F.when((F.col("type") == "unknown") & F.col("shop_book_id").isNotNull(), "product").otherwise(F.col("type")))
+
+
+def apply_retries(items: DataFrame, retries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with added retry counts, one event row per retry): retries (run_id, item_key, attempt, reason, at)."""
+    n = retries.groupBy("run_id", "item_key").agg(F.count("*").alias("_n"))
+    out = items.join(n, ["run_id", "item_key"], "left").withColumn("retry_count", (F.coalesce("retry_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("int")).drop("_n")
+    events = retries.select("run_id", F.lit("request_retry").alias("event_type"), F.to_json(F.struct("item_key", "attempt", "reason")).alias("payload"), F.col("at").alias("created_at"))
+    return out, events
+
+
+def latest_failures(items: DataFrame, failures: DataFrame, reason: str | None = None) -> DataFrame:
+    """Items with their latest failure; only those of a reason if one is given."""
+    from .windows import latest_per_key
+
+    last = latest_per_key(failures, ["run_id", "item_id"], [F.desc("failed_at"), F.desc("id")]).select("run_id", "item_id", "error_reason", "http_status")
+    return items.join(last, ["run_id", "item_id"], "left") if reason is None else items.join(last.where(F.col("error_reason") == reason), ["run_id", "item_id"])

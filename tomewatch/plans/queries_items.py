@@ -202,3 +202,28 @@ query(
 )(
     lambda t: jobs.aborted_items(t.scrape_url_items, t.scrape_runs.select(F.col("id").alias("run_id"), "status", F.col("started_at").alias("finished_at")))[0].select("run_id", "item_key", "status")
 )
+query(
+    "jn11_latest_failure",
+    """with l as (select *, row_number() over (partition by run_id, item_id order by failed_at desc, id desc) as k from {scrape_failures}), i as (select distinct user_id as item_id, user_id % 20 as run_id from events)
+       select i.run_id, i.item_id, l.error_reason, l.http_status from i left join l on l.run_id = i.run_id and l.item_id = i.item_id and l.k = 1""",
+)(lambda t: g.latest_failures(t.events.select(F.col("user_id").alias("item_id"), (F.col("user_id") % 20).alias("run_id")).distinct(), t.scrape_failures))
+query(
+    "ing14_merge_urls",
+    """with b as (select shop_id, case when id % 3 = 0 then url || '-x' else url end as url, case when id % 2 = 0 then id end as book from {shop_books} where id % 53 <> 0)
+       select coalesce(u.normalized_url, b.url) as url, case when coalesce(u.type, 'unknown') = 'unknown' and coalesce(b.book, u.shop_book_id) is not null then 'product' else coalesce(u.type, 'unknown') end as type, u.id is null as created
+       from {discovered_urls} u full join b on b.shop_id = u.shop_id and b.url = u.normalized_url""",
+)(
+    lambda t: g.merge_urls(
+        t.discovered_urls.withColumn("last_seen_at", F.lit(None).cast("timestamp")).withColumn("first_seen_at", F.lit(None).cast("timestamp")),
+        t.shop_books.where("id % 53 <> 0").select("shop_id", F.when(F.col("id") % 3 == 0, F.concat("url", F.lit("-x"))).otherwise(F.col("url")).alias("url"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("shop_book_id")), now(), F.lit(2),
+    ).select(F.col("normalized_url").alias("url"), "type", "created")
+)
+query(
+    "ing26_retries",
+    "select i.run_id, i.item_key, cast(count(r.l_orderkey) as int) as retry_count from (select distinct run_id, item_key from {scrape_url_items}) i left join lineitem r on r.l_orderkey = i.run_id and r.l_linenumber * 10000000000 + r.l_partkey * 10000 + r.l_suppkey = i.item_key and r.l_returnflag = 'R' group by 1, 2",
+)(
+    lambda t: g.apply_retries(
+        t.scrape_url_items.select("run_id", "item_key").distinct().withColumn("retry_count", F.lit(0)),
+        t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("run_id"), F.expr("l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey").alias("item_key"), F.lit(1).alias("attempt"), F.lit("r").alias("reason"), F.col("l_shipdate").alias("at")),
+    )[0]
+)

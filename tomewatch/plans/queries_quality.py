@@ -199,3 +199,15 @@ query(
     .join(t.lineitem.where("l_returnflag = 'R'").groupBy(F.expr("l_suppkey * 1000000 + l_partkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("fields")), "id", "left")
     .join(t.prices.groupBy(F.col("shop_book_id").alias("id")).agg(F.count("*").alias("observations"), F.max_by("price_cents", "observed_at").alias("last_cents")), "id", "left")
 )
+query(
+    "dq24_ingest_findings",
+    """select case when b.id is not null then 'b:' || b.id else 'l:' || 'https://none.example/' || v.event_id end as entity, count(*) as n from (select event_id, user_id from events where event_type = 'error') v
+       left join {shop_books} b on b.id = (v.user_id % 10) * 1000000 + v.event_id % 200 group by 1""",
+)(
+    lambda t: lc.resolve_entities(
+        t.events.where("event_type = 'error'").select("event_id", F.expr("(user_id % 10) * 1000000 + event_id % 200").alias("_b"))
+        .join(t.shop_books.select(F.col("id").alias("_b"), "shop_id", "url"), "_b", "left")
+        .select(F.coalesce("shop_id", F.lit(-1)).alias("shop_id"), F.coalesce("url", F.concat(F.lit("https://none.example/"), "event_id")).alias("url")),
+        t.shop_books, t.discovered_urls,
+    ).groupBy("entity").agg(F.count("*").alias("n"))
+)

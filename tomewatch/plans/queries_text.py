@@ -200,3 +200,18 @@ query(
 query("snk4_url_batches", "select shop_id, count(*) as n, min(id) as lo, max(id) as hi from {discovered_urls} group by 1")(
     lambda t: src.url_batches(t.discovered_urls).select("shop_id", F.explode("urls").alias("u")).groupBy("shop_id").agg(F.count("*").alias("n"), F.min("u.id").alias("lo"), F.max("u.id").alias("hi"))
 )
+query("fn19_author_keys", "select id, lower(name) as key, lower(name) as canonical from {authors}")(
+    lambda t: t.authors.select("id", text.author_key(F.concat(F.lit("  "), F.upper("name"), F.lit(" "))).alias("key"), text.canonical_author_key(F.concat(F.lit(","), F.upper("name"))).alias("canonical"))
+)
+query("fn20_decimal", "select id, price_cents % 2 = 0 as valid from {shop_books} where price_cents is not null")(
+    lambda t: t.shop_books.where("price_cents is not null").select("id", text.is_decimal(F.concat(F.lit(" "), (F.col("price_cents") / 100).cast("decimal(12,2)").cast("string"), F.when(F.col("price_cents") % 2 == 0, "").otherwise("€"))).alias("valid"))
+)
+query("fn25_iso_text", "select event_id, case when microsecond(ts) % 1000000 = 0 then strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') else strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') end as at_text from events")(
+    lambda t: t.events.select("event_id", present.iso_text(F.col("ts")).alias("at_text"))
+)
+query("fn29_dates", "select event_id, date_trunc('day', ts) as day, cast(ts as date) - 7 as week_ago from events")(
+    lambda t: t.events.select("event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.date_sub(F.to_date("ts"), 7).alias("week_ago"))
+)
+query("fn30_typed_text", "select event_id, case when user_id % 2 = 0 then 'True' else 'False' end as flag, cast(event_id as string) as number from events")(
+    lambda t: t.events.select("event_id", text.typed_text(F.col("user_id") % 2 == 0, "boolean").alias("flag"), text.typed_text(F.col("event_id"), "long").alias("number"))
+)
