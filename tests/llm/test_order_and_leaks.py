@@ -65,6 +65,8 @@ def test_mixing(spark):
     share = {s: sum(r.source == s for r in got) / len(rows) for s in ("big", "small", None)}
     assert abs(share["big"] - 0.25) < 0.05 and abs(share["small"] - 0.5) < 0.06 and abs(share[None] - 0.25) < 0.05
     assert [r.mix_key for r in got] == sorted(r.mix_key for r in got)
+    columns = poisson_mix(docs(spark, rows)).columns
+    assert len(columns) == len(set(columns))
     per = {}
     for r in got:
         per.setdefault((r.doc_id, r.source), []).append(r.copy)

@@ -187,7 +187,7 @@ def train(
                 held = [x[cut[k] : min(cut[k + 1], cut[k] + train_lines)].tobytes() for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(held, pa.binary())], ["k", "y", "x"])
 
-    chosen = docs.join(F.broadcast(sample), id_col).select(F.xxhash64(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), "y")
+    chosen = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(F.xxhash64(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), "y")
     got = sorted((r for r in chosen.mapInArrow(run, "k long, y int, x binary").collect() if len(r["x"])), key=lambda r: (r["k"], bytes(r["x"])))
     if not got:
         return None

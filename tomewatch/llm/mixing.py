@@ -34,9 +34,10 @@ def poisson_mix(
     they are few, else joined.
 
     Null sources are one source. Rows of one id, null included, get the same count and stay apart as rows.
-    A source without a weight gets rate 0. Empty tables and empty texts are ordinary input.
+    Columns of ``df`` named like an added one are replaced. A source without a weight gets rate 0. Empty tables and empty texts are ordinary input.
     """
     spark = df.sparkSession
+    df = df.drop("rate", "n_copies", "copy", "mix_key")
     sizes = df.groupBy(F.col(source_col).alias("_source")).agg(F.count("*").alias("_rows"))
     if weights is None:
         weighted = sizes.withColumn("_w", F.lit(1.0))
