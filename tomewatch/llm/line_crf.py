@@ -99,11 +99,11 @@ def _pass(a: np.ndarray, same: float) -> np.ndarray:
     return np.logaddexp(same + a, 0) - np.logaddexp(a, same)
 
 
-def marginals(odds: np.ndarray, row: np.ndarray, same: float) -> np.ndarray:
-    """Forward-backward: the probability that each line is good, given its row's log-odds. Rows are contiguous."""
+def messages(odds: np.ndarray, row: np.ndarray, same: float) -> tuple[np.ndarray, np.ndarray]:
+    """(forward, backward) log-odds of every line, its own odds being in forward. Rows are contiguous."""
     forward, backward = odds.copy(), np.zeros_like(odds)
     if not len(odds):
-        return odds
+        return forward, backward
     begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     size = np.diff(np.append(begin, len(row)))
     by = np.argsort(-size, kind="stable")
@@ -115,7 +115,17 @@ def marginals(odds: np.ndarray, row: np.ndarray, same: float) -> np.ndarray:
     for t in range(size[0] - 2, -1, -1):
         at = begin[: live[t + 1]] + t
         backward[at] = _pass(odds[at + 1] + backward[at + 1], same)
-    return 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500)))
+    return forward, backward
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def marginals(odds: np.ndarray, row: np.ndarray, same: float) -> np.ndarray:
+    """Forward-backward: the probability that each line is good, given its row's log-odds."""
+    forward, backward = messages(odds, row, same)
+    return sigmoid(forward + backward)
 
 
 def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 250, penalty: float = 2e-3) -> LineField:
@@ -131,17 +141,12 @@ def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 250, penalt
     for step in range(1, steps + 1):
         w, same = theta[:-1], theta[-1]
         odds = x @ w
-        p = marginals(odds, row, same)
-        grad = x.T @ (weigh * (y - p)) / len(labels)
-        # expected against seen agreement of neighbours, from the pairwise marginals
-        forward, backward = odds.copy(), p
-        good = np.log(np.clip(backward, 1e-12, 1)) - np.log(np.clip(1 - backward, 1e-12, 1))
+        forward, backward = messages(odds, row, same)
+        grad = x.T @ (weigh * (y - sigmoid(forward + backward))) / len(labels)
+        # agreement of neighbours, seen less expected from the pairwise marginals
         i = np.flatnonzero(joint)
-        into = good[i] - _pass_back(odds, good, i, same)  # the forward part of line i
-        out = good[i + 1] - _pass(into, same)  # the backward part and own odds of line i + 1
-        agree = np.logaddexp(same + into + out, same)
-        differ = np.logaddexp(into, out)
-        stay = 1 / (1 + np.exp(np.clip(differ - agree, -500, 500)))
+        into, out = forward[i], odds[i + 1] + backward[i + 1]
+        stay = sigmoid(np.logaddexp(same + into + out, same) - np.logaddexp(into, out))
         grad_same = float((weigh[i] * ((y[i] == y[i + 1]) - stay)).sum()) / len(labels)
         g = np.append(grad, grad_same) - penalty * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -149,23 +154,6 @@ def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 250, penalt
     return LineField(theta[:-1], float(theta[-1]), mean, spread)
 
 
-def _pass_back(odds: np.ndarray, good: np.ndarray, i: np.ndarray, same: float) -> np.ndarray:
-    """The backward message into line i: full log-odds less the forward part, found by running backward once."""
-    back = np.zeros_like(odds)
-    nxt = np.zeros(len(odds), bool)
-    nxt[i] = True
-    ends = np.flatnonzero(~nxt)
-    begin = np.append(0, ends[:-1] + 1)
-    size = ends - begin + 1
-    by = np.argsort(-size, kind="stable")
-    ends, size = ends[by], size[by]
-    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
-    for t in range(1, size[0]):
-        at = ends[: live[t]] - t
-        back[at] = _pass(odds[at + 1] + back[at + 1], same)
-    return back[i]
-
-
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES,
