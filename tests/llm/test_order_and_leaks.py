@@ -134,6 +134,8 @@ def test_leaks(spark):
     assert len(hit) >= 0.95 * len(want), set(want) - set(hit)
     assert not [k for k in range(1, 120, 2) if got[k].contaminated]
     assert got[1002].item_ids == [0, 1] and not any(got[k].contaminated for k in (1000, 1001, 1003, None))
+    parts = find_leaks(docs(spark, rows), bench, passages_at_once=25).collect()
+    assert {r.doc_id: r.item_ids for r in parts} == {k: r.item_ids for k, r in got.items()}
     assert find_leaks(docs(spark, []), bench).count() == 0
     assert find_leaks(docs(spark, rows[:3]), bench.limit(0)).where("contaminated").count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .kernels import SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, span_hashes, words
 
 #: Rank of the latent space and extra random directions of the randomised SVD; its power iterations.
@@ -18,7 +20,7 @@ RANK, OVERSAMPLE, POWER = 48, 12, 2
 PASSAGE, STEP = 64, 32
 #: Words of a block of a document; windows of two and of four blocks are compared with the passages.
 BLOCK = 16
-#: Benchmark passages that are held in memory and broadcast at once (some 15 MB); more are taken in turn.
+#: Benchmark passages that are held in memory and broadcast at once (some 15 MB); further ones are taken in turn.
 PASSAGES_AT_ONCE = 20_000
 #: A window is a candidate if its cosine and the part of the passage that it covers reach these.
 MIN_COSINE, MIN_COVER = 0.5, 0.5
@@ -41,11 +43,17 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Index:
-    """Latent index of some benchmark passages: per sketch cell a row of ``basis`` (or -1), weighted by its IDF."""
+class Space:
+    """Latent space: per sketch cell a row of ``basis`` (or -1), weighted by its IDF. At most 200 MB, by SKETCH_CELLS."""
 
     row_of: np.ndarray
     basis: np.ndarray
+
+
+@dataclass
+class Block:
+    """Some benchmark passages: their items, words and places in the latent space."""
+
     items: np.ndarray
     tokens: list[np.ndarray]
     latent: np.ndarray
@@ -145,30 +153,31 @@ def _lcs(pattern: np.ndarray, text: np.ndarray) -> int:
     return len(pattern) - v.bit_count()
 
 
-def _indices(passages: DataFrame, idf: np.ndarray) -> list[Index]:
+def _space(passages: DataFrame, idf: np.ndarray) -> Space:
     cells, basis = randomised_svd(passages, idf)
     row_of = np.full(SKETCH_CELLS, -1, np.int32)
     row_of[cells] = np.arange(len(cells))
-    weighted = basis * idf[cells][:, None].astype(np.float32)
-    out, items, tokens = [], [], []
+    return Space(row_of, basis * idf[cells][:, None].astype(np.float32))
+
+
+def _blocks(passages: DataFrame, space: Space, size: int) -> Iterator[Block]:
+    """All passages in blocks of ``size``, one block at a time on the driver."""
+    items, tokens = [], []
 
-    def close():
-        latent = np.stack([weighted[row_of[_cells(t)]].sum(0) for t in tokens]) if tokens else np.zeros((0, RANK), np.float32)
-        out.append(Index(row_of, weighted, np.array(items, np.int64), list(tokens), latent))
-        items.clear()
-        tokens.clear()
+    def block() -> Block:
+        latent = np.stack([space.basis[space.row_of[_cells(t)]].sum(0) for t in tokens]) if tokens else np.zeros((0, RANK), np.float32)
+        return Block(np.array(items, np.int64), list(tokens), latent)
 
     for r in passages.orderBy("item", "words").toLocalIterator():
+        if len(items) == size:
+            yield block()
+            items, tokens = [], []
         items.append(r["item"])
         tokens.append(np.frombuffer(bytes(r["words"]), U))
-        if len(items) == PASSAGES_AT_ONCE:
-            close()
-    if items or not out:
-        close()
-    return out
+    yield block()
 
 
-def _leaks(index: Index, h: np.ndarray, row: np.ndarray, rows: int) -> dict[int, dict[int, tuple[float, float]]]:
+def _leaks(space: Space, index: Block, h: np.ndarray, row: np.ndarray, rows: int) -> dict[int, dict[int, tuple[float, float]]]:
     """{row: {item: (lcs part, cosine)}} of a chunk's words."""
     found: dict[int, dict[int, tuple[float, float]]] = {}
     if not len(h) or not len(index.items):
@@ -181,13 +190,13 @@ def _leaks(index: Index, h: np.ndarray, row: np.ndarray, rows: int) -> dict[int,
     first = np.searchsorted(row, np.arange(rows))
     place = np.arange(len(h)) - first[row]
     starts = np.flatnonzero(place % BLOCK == 0)
-    known = index.row_of[_cells(h)]
+    known = space.row_of[_cells(h)]
     hit = np.flatnonzero(known >= 0)
     block = np.searchsorted(starts, hit, "right") - 1
     sums = np.zeros((len(starts), latent.shape[1]), np.float32)
     if len(hit):
         cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        sums[block[cut]] = np.add.reduceat(index.basis[known[hit]], cut, axis=0)
+        sums[block[cut]] = np.add.reduceat(space.basis[known[hit]], cut, axis=0)
     owner = row[starts]
     done: set[tuple[int, int]] = set()
     for span in (2, 4):
@@ -223,8 +232,9 @@ def _leaks(index: Index, h: np.ndarray, row: np.ndarray, rows: int) -> dict[int,
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = (),
+    passages_at_once: int = PASSAGES_AT_ONCE,
+) -> DataFrame:
     """Every row of ``docs`` with the benchmark items it leaks.
 
     Returns the id, ``contaminated``, ``item_ids`` (ascending) and ``matches`` (item_id, lcs, cosine), and the
@@ -233,40 +243,47 @@ def find_leaks(
     1. Document frequencies of all words over all of ``docs``, in a sketch of fixed size, give the IDF.
     2. A distributed randomised SVD of the TF-IDF benchmark passages gives the latent space.
     3. Every document's windows of 32 and 64 words, 16 words apart, are projected, in blocks of windows against
-       all passages, at most PASSAGES_AT_ONCE of them held at a time. Words outside the benchmark project to
+       all passages, ``passages_at_once`` of them held at a time. Words outside the benchmark project to
        nothing. A window is a candidate by its cosine and by how much of the passage's length it covers.
     4. A candidate, with a block more on both sides, is a leak if the longest common subsequence of words holds
        at least 70 % of the passage and half of its last words (the answer), or 90 % of the passage. Words are
        runs of letters and digits in lower case, so a paraphrase may change, add and drop words.
 
-    A map over documents, so no document or passage is repeated over the network and no skew arises; more
-    passages than PASSAGES_AT_ONCE cost one further pass each. Null and empty texts leak nothing, nor do
+    A map over documents, so no document or passage is repeated over the network and no skew arises; each
+    further block of passages costs a shared checkpoint and a pass. Null and empty texts leak nothing, nor do
     benchmark rows without id or words. Null ids pass through; repeated rows are judged alike.
     """
     total = max(1, docs.count())
     frequency = document_frequency(docs, text_col)
     idf = np.log((1 + total) / (1 + np.minimum(frequency, total)))
-    passages = benchmark_passages(benchmark, item_col)
+    passages = checkpointed(benchmark_passages(benchmark, item_col))
     sc = docs.sparkSession.sparkContext
-    held = [sc.broadcast(x) for x in _indices(passages, idf)]
+    space = sc.broadcast(_space(passages, idf))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("lcs", pa.float64()), ("cosine", pa.float64())]))
+    names = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
 
-    def run(batches):
-        for b in batches:
-            for lo, hi, data, offsets in chunks(pc.utf8_lower(b.column(0))):
-                h, row = plain_words(data, offsets)
-                found: dict[int, dict] = {}
-                for index in held:
-                    for r, items in _leaks(index.value, h, row, hi - lo).items():
-                        mine = found.setdefault(r, {})
-                        for item, score in items.items():
-                            mine[item] = max(mine.get(item, (0.0, 0.0)), score)
-                out = [[{"item_id": i, "lcs": s[0], "cosine": s[1]} for i, s in sorted(found.get(r, {}).items())] for r in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[1:]], pa.array(out, kind)], [*names, "matches"])
-
-    names = [id_col, *[c for c in keep if c != id_col]]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    out = docs.select(F.col(text_col).cast("string").alias("_text"), *names)
-    out = out.mapInArrow(run, f"{schema}, matches array<struct<item_id: long, lcs: double, cosine: double>>")
+    def search(block):
+        def run(batches):
+            for b in batches:
+                for lo, hi, data, offsets in chunks(pc.utf8_lower(b.column(0))):
+                    h, row = plain_words(data, offsets)
+                    found = _leaks(space.value, block.value, h, row, hi - lo)
+                    out = []
+                    for r, before in enumerate(b.column(1).slice(lo, hi - lo).to_pylist()):
+                        best = {m["item_id"]: (m["lcs"], m["cosine"]) for m in before or ()}
+                        for item, score in found.get(r, {}).items():
+                            best[item] = max(best.get(item, (0.0, 0.0)), score)
+                        out.append([{"item_id": i, "lcs": s[0], "cosine": s[1]} for i, s in sorted(best.items())])
+                    rest = [c.slice(lo, hi - lo) for c in b.columns]
+                    yield pa.RecordBatch.from_arrays([rest[0], pa.array(out, kind), *rest[2:]], b.schema.names)
+
+        return run
+
+    matches = "array<struct<item_id: long, lcs: double, cosine: double>>"
+    judged = docs.select(F.col(text_col).cast("string").alias("_text"), F.array().cast(matches).alias("matches"), *names)
+    schema = f"_text string, matches {matches}, " + ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    for k, block in enumerate(_blocks(passages, space.value, passages_at_once)):
+        judged = (checkpointed(judged) if k else judged).mapInArrow(search(sc.broadcast(block)), schema)
     items = F.transform("matches", lambda m: m["item_id"])
-    return out.withColumn("contaminated", F.size("matches") > 0).withColumn("item_ids", items)
+    text = [F.col("_text").alias(text_col)] if text_col in keep else []
+    return judged.select(*names, *text, "matches", (F.size("matches") > 0).alias("contaminated"), items.alias("item_ids"))
