@@ -11,27 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewatch.llm import language_id
-from tomewatch.llm.common import read, shared_folder
+from tomewatch.llm.common import read, shared_folder, small_batches
 from tomewatch.llm.decontaminate import find_leaks
 from tomewatch.llm.jaccard_join import jaccard_components
 from tomewatch.llm.mixing import poisson_mix
 from tomewatch.llm.token_shards import training_order
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Confidence below which a text is in no one language.
-MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts that are in no language; ``lang`` becomes the predicted one."""
+    """Drop texts that are undetermined; ``lang`` becomes the predicted one."""
+    small_batches(spark)
     model = language_id.train(docs)
     judged = language_id.identify(docs, model, keep=("text", "source", "n_chars"))
-    kept = judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    kept = judged.where(F.col("lang_pred") != language_id.UNDETERMINED)
     return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group of near copies (word 5-grams, similarity 0.8)."""
+    small_batches(spark)
     groups = jaccard_components(docs, n=5, num=80, den=100)
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
@@ -50,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences in training order."""
+    small_batches(spark)
     return training_order(docs)
 
 

@@ -8,15 +8,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch on text tables: with texts of a few KB a batch stays at a few MB.
-TEXT_BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch of whole texts; Spark's defaults would hand a worker tens of MB at once.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches of whole texts small enough for a Python worker, unless the session already sets a size."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", TEXT_BATCH_ROWS), ("maxBytesPerBatch", None, TEXT_BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if default is None or spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(value))
+    return spark
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One input table; also keeps Arrow batches of whole texts small enough for a Python worker."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """One input table."""
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:

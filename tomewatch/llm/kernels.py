@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
