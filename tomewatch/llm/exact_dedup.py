@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpointed
@@ -13,12 +13,13 @@ BROADCAST_GROUPS = 500_000
 
 def exact_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64,
-    broadcast_groups: int = BROADCAST_GROUPS,
+    broadcast_groups: int = BROADCAST_GROUPS, keep: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Decide for every row whether it stays among rows of equal text.
 
-    Returns the id and text columns plus ``keep_id`` (largest id of the group), ``group_size`` and ``kept``.
-    Only built-in functions run.
+    Returns the id, the columns of ``keep`` (the text by default) and ``keep_id`` (largest id of the group),
+    ``group_size`` and ``kept``. Only built-in functions run. Texts travel only if they are kept: the last join
+    moves the id, a hash and those columns.
 
     1. Rows whose byte length nobody shares are unique; no hash is computed for them.
     2. Of the others, rows whose hash of the first ``prefix_chars`` characters nobody of that length
@@ -34,6 +35,7 @@ def exact_dedup(
     repeat an id and text in full are copies of each other: ``kept`` is true for each of them that has the
     largest id. An empty table gives an empty result. Further columns of ``df`` are not read.
     """
+    keep = {text_col: F.col(text_col)} if keep is None else keep
     rows = df.select(F.col(id_col), F.col(text_col))
     norm = ascii_lower(F.col(text_col))
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
@@ -47,7 +49,13 @@ def exact_dedup(
         survivors = F.broadcast(survivors)
 
     staged = rows.withColumn("_len", size).withColumn("_prefix", prefix).join(survivors, ["_len", "_prefix"], "left")
-    hashed = staged.withColumn("_hash", F.when(F.col("_survives"), F.unhex(F.sha2(norm, 256))))
+    hashed = staged.select(
+        id_col,
+        *[c.alias(f"_keep_{n}") for n, c in keep.items()],
+        "_survives",
+        # rows known to be unique get a key of their own (8 bytes, never a hash's 32), so that they spread over the join
+        F.when(F.col("_survives"), F.unhex(F.sha2(norm, 256))).otherwise(F.unhex(F.hex(F.xxhash64(id_col, "_len", "_prefix")))).alias("_hash"),
+    )
     copies = (
         hashed.where(F.col("_survives"))
         .groupBy("_hash")
@@ -56,7 +64,7 @@ def exact_dedup(
     )
     return hashed.join(copies, "_hash", "left").select(
         id_col,
-        text_col,
+        *[F.col(f"_keep_{n}").alias(n) for n in keep],
         F.when(F.col("_size").isNotNull(), F.col("_max_id")).otherwise(F.col(id_col)).alias("keep_id"),
         F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
         (F.col("_size").isNull() | F.col(id_col).eqNullSafe(F.col("_max_id")) & F.col(id_col).isNotNull()).alias("kept"),

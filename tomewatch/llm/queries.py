@@ -29,8 +29,8 @@ def query(f):
 
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256"))
+    digest = {"text_sha256": F.sha2(ascii_lower(F.col("text")), 256)}
+    return exact_dedup(read(spark, sf_dir, "documents"), keep=digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLES["op3_exact_dedup"] = """
