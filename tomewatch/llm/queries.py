@@ -76,7 +76,7 @@ def _sql_text(html: str) -> str:
     t = f"regexp_replace(regexp_replace({t}, {q(BLOCK_RE)}, chr(10), 'g'), {q(TAG_RE)}, '', 'g')"
     for name, char in ENTITIES.items():
         t = f"replace({t}, '&{name};', {q(char)})"
-    t = f"regexp_replace(regexp_replace({t}, '[ \u00a0]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '[ \u00a0]{{2,}}|\u00a0', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({t}, '\\A[ \\n]+|[ \\n]+\\z', '', 'g')"
 
 

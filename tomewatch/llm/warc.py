@@ -18,7 +18,7 @@ ENTITIES = {
     "apos": "'", "quot": '"', "lt": "<", "gt": ">", "amp": "&",
 }
 
-HIDDEN_RE = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}\b.*?(?:</{t}[^>]*>|\z)" for t in HIDDEN)
+HIDDEN_RE = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{t}\b.*?(?:</{t}[^>]*>|\z)" for t in HIDDEN) + ")"
 BLOCK_RE = rf"(?i)</?(?:{BLOCKS})\b[^>]*>"
 TAG_RE = r"<[A-Za-z/!?][^>]*>"
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
@@ -44,14 +44,19 @@ def numeric_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
 
 
+def references(text: Column) -> Column:
+    """Numeric and named character references as characters, each once (``&amp;`` last)."""
+    text = numeric_references(text)
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page: one line per block, spaces collapsed, references decoded once."""
-    t = F.translate(F.regexp_replace(html, HIDDEN_RE, " "), "\t\r\n\f", "    ")
-    t = F.regexp_replace(F.regexp_replace(t, BLOCK_RE, "\n"), TAG_RE, "")
-    t = numeric_references(t)
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, "[ \u00a0]+", " "), " ?\\n[ \\n]*", "\n")
+    t = F.regexp_replace(F.regexp_replace(html, HIDDEN_RE, " "), "[\\t\\r\\n\\f]+", " ")
+    t = references(F.regexp_replace(F.regexp_replace(t, BLOCK_RE, "\n"), TAG_RE, ""))
+    t = F.regexp_replace(F.regexp_replace(t, "[ \u00a0]{2,}|\u00a0", " "), " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "\\A[ \\n]+|[ \\n]+\\z", "")
 
 
