@@ -140,6 +140,47 @@ def test_leaks(spark):
     assert find_leaks(docs(spark, rows[:3]), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_leaks_of_common_words(spark):
+    """Words that every document holds still lead to a leak, in a table of one document too."""
+    rng = random.Random(12)
+    item = [f"w{rng.randrange(400)}" for _ in range(40)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [r.item_ids for r in find_leaks(docs(spark, [(1, " ".join(item))]), bench).collect()] == [[7]]
+    around = [(k, f"{' '.join(f'd{k}x{j}' for j in range(30))} {' '.join(item)} end{k}") for k in range(20)]
+    assert all(r.item_ids == [7] for r in find_leaks(docs(spark, around), bench).collect())
+
+
+def test_leaks_miss_none_of_brute_force(spark):
+    """Far more passages than the rank, over few words: all leaks that cover half of a passage's weight, and none that the checks reject."""
+    rng = random.Random(13)
+    word = lambda: f"w{int(rng.random() ** 3 * 300)}"
+    items = [[word() for _ in range(rng.choice([3, 10, 25, 64, 110]))] for _ in range(150)]
+    rows = []
+    for k in range(150):
+        held = [w if rng.random() > 0.25 else word() for w in rng.choice(items)]
+        held = [w for w in held if rng.random() > rng.choice([0, 0.1, 0.3])]
+        rows.append((k, " ".join([word() for _ in range(rng.randrange(120))] + held + [word() for _ in range(rng.randrange(120))])))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    code = {}
+    ids = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws], np.uint64)
+    passages = [(k, ids(t[s : s + 64])) for k, t in enumerate(items) for s in range(0, max(1, len(t) - 32), 32)]
+    texts = {k: ids(t.split()) for k, t in rows}
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts.values()]).astype(int), minlength=len(code))
+    weight = np.log((2 + len(rows)) / (1 + df)) ** 2
+    want, may = {}, {}
+    for k, text in texts.items():
+        windows = [text[max(0, s - 16) : s + 80] for s in range(0, len(text), 16)]
+        for i, p in passages:
+            for w in windows:
+                part = _lcs(p, w) / len(p)
+                if part >= 0.9 or part >= 0.7 and _lcs(p[-6:], w) / len(p[-6:]) >= 0.5:
+                    may.setdefault(k, set()).add(i)
+                    if weight[p[np.isin(p, w)].astype(int)].sum() >= 0.5001 * weight[p.astype(int)].sum():
+                        want.setdefault(k, set()).add(i)
+    got = {r.doc_id: set(r.item_ids) for r in find_leaks(docs(spark, rows), bench).where("contaminated").collect()}
+    assert len(want) > 50 and all(want[k] <= got.get(k, set()) for k in want) and all(got[k] <= may.get(k, set()) for k in got)
+
+
 def test_language(spark):
     rng = random.Random(8)
     say = {"aa": ["kato", "mina", "suro", "peli"], "bb": ["wrax", "thug", "blorn", "strek"], "ru": ["слово", "дом", "река"]}

@@ -1,7 +1,8 @@
-"""Benchmark decontamination by latent semantic retrieval, then longest-common-subsequence and answer checks."""
+"""Benchmark decontamination by latent semantic retrieval and a join on rare words, then longest-common-subsequence and answer checks."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .kernels import SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, span_hashes, words
 
-#: Rank of the latent space and extra random directions of the randomised SVD; its power iterations.
+#: Least rank of the latent space and extra random directions of the randomised SVD; its power iterations.
 RANK, OVERSAMPLE, POWER = 48, 12, 2
 #: Words of a benchmark passage, and words from one passage of an item to its next.
 PASSAGE, STEP = 64, 32
@@ -27,6 +28,10 @@ MIN_COSINE, MIN_COVER = 0.5, 0.5
 #: A candidate is a leak if its LCS holds ANSWERED of the passage and ANSWER of its last words, or SURE of the passage.
 ANSWERED, ANSWER, SURE = 0.7, 0.5, 0.9
 ANSWER_WORDS = 6
+#: Hits among a passage's rarest words that the exact way asks of a window, and counts that it holds at once.
+RARE_HITS, COUNTS_AT_ONCE = 6, 1 << 19
+#: Blocks of a window as it is checked: one before its first and four after it.
+SPREAD = 6
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
@@ -44,7 +49,7 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Space:
-    """Latent space: per sketch cell a row of ``basis`` (or -1), weighted by its IDF. At most 200 MB, by SKETCH_CELLS."""
+    """Latent space: per sketch cell a row of ``basis`` (or -1), weighted by its IDF. At most 200 MB at the least rank, by SKETCH_CELLS."""
 
     row_of: np.ndarray
     basis: np.ndarray
@@ -52,11 +57,20 @@ class Space:
 
 @dataclass
 class Block:
-    """Some benchmark passages: their items, words and places in the latent space."""
+    """Some benchmark passages: their items, words, squared IDF of those, places in the latent space and rarest words.
+
+    Cell c of a rare word is in the passages ``owners[bounds[rare_of[c]] : bounds[rare_of[c] + 1]]``; ``need`` is how
+    many of its rare words every leak of a passage holds.
+    """
 
     items: np.ndarray
     tokens: list[np.ndarray]
+    weights: list[np.ndarray]
     latent: np.ndarray
+    rare_of: np.ndarray
+    bounds: np.ndarray
+    owners: np.ndarray
+    need: np.ndarray
 
 
 def benchmark_passages(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -153,20 +167,47 @@ def _lcs(pattern: np.ndarray, text: np.ndarray) -> int:
     return len(pattern) - v.bit_count()
 
 
+def rank_of(passages: int) -> int:
+    """The rank for a number of passages: twice its root, at least RANK."""
+    return max(RANK, 2 * math.isqrt(passages))
+
+
 def _space(passages: DataFrame, idf: np.ndarray) -> Space:
-    cells, basis = randomised_svd(passages, idf)
+    cells, basis = randomised_svd(passages, idf, rank_of(passages.count()))
     row_of = np.full(SKETCH_CELLS, -1, np.int32)
     row_of[cells] = np.arange(len(cells))
     return Space(row_of, basis * idf[cells][:, None].astype(np.float32))
 
 
-def _blocks(passages: DataFrame, space: Space, size: int) -> Iterator[Block]:
+def _rare_words(tokens: list[np.ndarray], frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rare_of, bounds, owners, need) of a block.
+
+    A leak leaves out at most L - T of a passage's L words, T being ANSWERED of them. So of its L - T + k rarest
+    words it holds at least k, whichever they are; ``frequency`` only decides how many windows that leaves.
+    """
+    cells, owners, need = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for p, t in enumerate(tokens):
+        least = math.ceil(ANSWERED * len(t) - 1e-9)
+        need.append(min(least, RARE_HITS))
+        own = _cells(t)
+        rarest = np.unique(own[np.argsort(frequency[own], kind="stable")[: len(t) - least + need[-1]]])
+        cells.append(rarest)
+        owners.append(np.full(len(rarest), p))
+    cell, owner = np.concatenate(cells), np.concatenate(owners)
+    order = np.argsort(cell, kind="stable")
+    known, count = np.unique(cell, return_counts=True)
+    rare_of = np.full(SKETCH_CELLS, -1, np.int32)
+    rare_of[known] = np.arange(len(known))
+    return rare_of, np.append(0, np.cumsum(count)), owner[order], np.array(need, np.uint8)
+
+
+def _blocks(passages: DataFrame, space: Space, frequency: np.ndarray, idf: np.ndarray, size: int) -> Iterator[Block]:
     """All passages in blocks of ``size``, one block at a time on the driver."""
     items, tokens = [], []
 
     def block() -> Block:
-        latent = np.stack([space.basis[space.row_of[_cells(t)]].sum(0) for t in tokens]) if tokens else np.zeros((0, RANK), np.float32)
-        return Block(np.array(items, np.int64), list(tokens), latent)
+        latent = np.stack([space.basis[space.row_of[_cells(t)]].sum(0) for t in tokens]) if tokens else np.zeros((0, space.basis.shape[1]), np.float32)
+        return Block(np.array(items, np.int64), list(tokens), [idf[_cells(t)] ** 2 for t in tokens], latent, *_rare_words(tokens, frequency))
 
     for r in passages.orderBy("item", "words").toLocalIterator():
         if len(items) == size:
@@ -177,6 +218,36 @@ def _blocks(passages: DataFrame, space: Space, size: int) -> Iterator[Block]:
     yield block()
 
 
+def _rare_windows(index: Block, h: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(block, passage) of all windows that hold enough of a passage's rarest words, every leak among them.
+
+    The words of a passage are counted by block, densely for some blocks at a time, and added up over windows.
+    """
+    size = len(index.items)
+    # rows lie SPREAD - 1 empty blocks apart, so no window counts words of two rows
+    at = np.arange(len(starts)) + (SPREAD - 1) * np.cumsum(np.append(0, owner[1:] != owner[:-1])) + 1
+    known = index.rare_of[_cells(h)]
+    hit = np.flatnonzero(known >= 0)
+    known = known[hit]
+    place = at[np.searchsorted(starts, hit, "right") - 1]
+    step = max(1, COUNTS_AT_ONCE // size)
+    for lo in range(0, len(starts), step):
+        wanted = at[lo : lo + step]
+        base, width = int(wanted[0]) - 1, int(wanted[-1] - wanted[0]) + SPREAD
+        a, b = np.searchsorted(place, [base, base + width])
+        if a == b:
+            continue
+        begin, count = index.bounds[known[a:b]], np.diff(index.bounds)[known[a:b]]
+        ends = np.cumsum(count)
+        passage = index.owners[np.arange(ends[-1]) + np.repeat(begin - ends + count, count)]
+        held = np.bincount(np.repeat((place[a:b] - base) * size, count) + passage, minlength=width * size).astype(np.uint8).reshape(width, size)
+        total = held[: width - SPREAD + 1].copy()
+        for k in range(1, SPREAD):
+            total += held[k : width - SPREAD + 1 + k]
+        window, passage = np.nonzero(total[wanted - 1 - base] >= index.need)
+        yield window + lo, passage
+
+
 def _leaks(space: Space, index: Block, h: np.ndarray, row: np.ndarray, rows: int) -> dict[int, dict[int, tuple[float, float]]]:
     """{row: {item: (lcs part, cosine)}} of a chunk's words."""
     found: dict[int, dict[int, tuple[float, float]]] = {}
@@ -184,50 +255,67 @@ def _leaks(space: Space, index: Block, h: np.ndarray, row: np.ndarray, rows: int
         return found
     length = np.linalg.norm(index.latent, axis=1)
     usable = np.flatnonzero(length > 0)
-    if not len(usable):
-        return found
-    latent, length = index.latent[usable], length[usable]
     first = np.searchsorted(row, np.arange(rows))
     place = np.arange(len(h)) - first[row]
     starts = np.flatnonzero(place % BLOCK == 0)
     known = space.row_of[_cells(h)]
     hit = np.flatnonzero(known >= 0)
     block = np.searchsorted(starts, hit, "right") - 1
-    sums = np.zeros((len(starts), latent.shape[1]), np.float32)
+    sums = np.zeros((len(starts), index.latent.shape[1]), np.float32)
     if len(hit):
         cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         sums[block[cut]] = np.add.reduceat(space.basis[known[hit]], cut, axis=0)
     owner = row[starts]
+    masks: dict[int, dict[int, int]] = {}
     done: set[tuple[int, int]] = set()
+
+    def judge(b: int, p: int, span: int, window: np.ndarray, covered: bool) -> None:
+        r = int(owner[b])
+        lo_word = max(int(first[r]), int(starts[b]) - BLOCK)
+        hi_word = min(int(starts[b]) + (span + 1) * BLOCK, int(first[r + 1]) if r + 1 < rows else len(h))
+        item = index.tokens[p]
+        if p not in masks:
+            masks[p] = dict.fromkeys(item.tolist(), 0)
+        shared = [w for w in h[lo_word:hi_word].tolist() if w in masks[p]]
+        if len(shared) < ANSWERED * len(item) - 1e-9:
+            return
+        text = np.array(shared, U)
+        part_of = _lcs(item, text) / len(item)
+        tail = item[-ANSWER_WORDS:]
+        if part_of >= SURE or part_of >= ANSWERED and _lcs(tail, text) / len(tail) >= ANSWER:
+            if not covered:
+                share = index.weights[p][np.isin(item, text)].sum() / index.weights[p].sum()
+                if share < MIN_COVER:
+                    return
+            size = float(np.linalg.norm(window)) * float(length[p])
+            cosine = float(window @ index.latent[p]) / size if size > 0 else 0.0
+            best = found.setdefault(r, {}).get(int(index.items[p]), (0.0, 0.0))
+            found[r][int(index.items[p])] = max(best, (part_of, cosine))
+
     for span in (2, 4):
         window = sums.copy()
         for k in range(1, span):
             joint = owner[k:] == owner[:-k] if len(owner) > k else np.zeros(0, bool)
             window[: len(joint)][joint] += sums[k:][joint]
+        if not len(usable):
+            continue
         size = np.linalg.norm(window, axis=1)
         # a window shorter in the latent space than the cover asked for covers no passage
-        large = np.flatnonzero(size >= MIN_COVER * length.min())
+        large = np.flatnonzero(size >= MIN_COVER * length[usable].min())
         for lo in range(0, len(large), 4096):
             part = large[lo : lo + 4096]
-            dot = window[part] @ latent.T
-            ok = (dot >= MIN_COSINE * size[part][:, None] * length) & (dot >= MIN_COVER * length**2)
+            dot = window[part] @ index.latent[usable].T
+            ok = (dot >= MIN_COSINE * size[part][:, None] * length[usable]) & (dot >= MIN_COVER * length[usable] ** 2)
             for w, q in zip(*np.nonzero(ok), strict=True):
                 b, p = int(part[w]), int(usable[q])
-                r = int(owner[b])
-                last = int(starts[b]) + (span + 1) * BLOCK
-                here = (int(starts[b]), p)
-                if here in done and span == 2:
-                    continue
-                done.add(here)
-                lo_word = max(int(first[r]), int(starts[b]) - BLOCK)
-                hi_word = min(last, int(first[r + 1]) if r + 1 < rows else len(h))
-                text, item = h[lo_word:hi_word], index.tokens[p]
-                part_of = _lcs(item, text) / len(item)
-                tail = item[-ANSWER_WORDS:]
-                if part_of >= SURE or part_of >= ANSWERED and _lcs(tail, text) / len(tail) >= ANSWER:
-                    cosine = float(dot[w, q] / (size[b] * length[q]))
-                    best = found.setdefault(r, {}).get(int(index.items[p]), (0.0, 0.0))
-                    found[r][int(index.items[p])] = max(best, (part_of, cosine))
+                if span == 4:
+                    done.add((b, p))
+                judge(b, p, span, window[b], covered=True)
+    # windows of four blocks that the latent space missed; window now holds their sums
+    for blocks, passages in _rare_windows(index, h, starts, owner):
+        for b, p in zip(blocks.tolist(), passages.tolist(), strict=True):
+            if (b, p) not in done:
+                judge(b, p, 4, window[b], covered=False)
     return found
 
 
@@ -245,6 +333,9 @@ def find_leaks(
     3. Every document's windows of 32 and 64 words, 16 words apart, are projected, in blocks of windows against
        all passages, ``passages_at_once`` of them held at a time. Words outside the benchmark project to
        nothing. A window is a candidate by its cosine and by how much of the passage's length it covers.
+       Windows of 64 words that hold RARE_HITS of the passage's rarest words are candidates too, whatever the
+       latent space says of them, if their words make up MIN_COVER of the passage's squared IDF. Step 4 lets no
+       window with fewer rare words pass, so no rank and no cosine decides over a leak that covers its passage.
     4. A candidate, with a block more on both sides, is a leak if the longest common subsequence of words holds
        at least 70 % of the passage and half of its last words (the answer), or 90 % of the passage. Words are
        runs of letters and digits in lower case, so a paraphrase may change, add and drop words.
@@ -255,7 +346,8 @@ def find_leaks(
     """
     total = max(1, docs.count())
     frequency = document_frequency(docs, text_col)
-    idf = np.log((1 + total) / (1 + np.minimum(frequency, total)))
+    # above zero also for words that every document holds
+    idf = np.log((2 + total) / (1 + np.minimum(frequency, total)))
     passages = checkpointed(benchmark_passages(benchmark, item_col))
     sc = docs.sparkSession.sparkContext
     space = sc.broadcast(_space(passages, idf))
@@ -282,7 +374,7 @@ def find_leaks(
     matches = "array<struct<item_id: long, lcs: double, cosine: double>>"
     judged = docs.select(F.col(text_col).cast("string").alias("_text"), F.array().cast(matches).alias("matches"), *names)
     schema = f"_text string, matches {matches}, " + ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    for k, block in enumerate(_blocks(passages, space.value, passages_at_once)):
+    for k, block in enumerate(_blocks(passages, space.value, frequency, idf, passages_at_once)):
         judged = (checkpointed(judged) if k else judged).mapInArrow(search(sc.broadcast(block)), schema)
     items = F.transform("matches", lambda m: m["item_id"])
     text = [F.col("_text").alias(text_col)] if text_col in keep else []
