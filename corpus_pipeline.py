@@ -15,7 +15,7 @@ from tomewatch.llm.common import read, shared_folder, small_batches
 from tomewatch.llm.decontaminate import find_leaks
 from tomewatch.llm.jaccard_join import jaccard_components
 from tomewatch.llm.mixing import poisson_mix
-from tomewatch.llm.token_shards import training_order
+from tomewatch.llm.token_shards import shard_folder, training_order, with_shards
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,9 +49,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in training order."""
+    """Token sequences in training order, written to shards of the shared folder as they are read."""
     small_batches(spark)
-    return training_order(docs)
+    return with_shards(training_order(docs), shard_folder(spark))
 
 
 STAGES = [

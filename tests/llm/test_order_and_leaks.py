@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -140,6 +141,25 @@ def test_leaks(spark):
     assert find_leaks(docs(spark, rows[:3]), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_order_query_and_stage_write_shards(spark, tmp_path):
+    """The query and the pipeline's last stage leave every slot's tokens at its offset in a shard."""
+    import corpus_pipeline as c
+    from tomewatch.llm.queries import op9_training_order
+
+    frame = docs(spark, [(k, f"text number {k} " * (200 * (k % 7))) for k in range(400)])
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    for ordered in (op9_training_order(spark, str(tmp_path)), c.write_tokens(spark, frame, str(tmp_path))):
+        out = ordered.collect()
+        size = {}
+        for r in out:
+            with open(r.path, "rb") as f:
+                f.seek(r.byte_offset)
+                assert f.read(len(r.tokens)) == bytes(r.tokens)
+            size[r.path] = size.get(r.path, 0) + len(r.tokens)
+        files = list(Path(out[0].path).parent.iterdir())
+        assert {str(f): f.stat().st_size for f in files if f.suffix == ".bin"} == size and not [f for f in files if f.name.startswith(".shard") and f.suffix != ".crc"]
+
+
 def test_leaks_of_common_words(spark):
     """Words that every document holds still lead to a leak, in a table of one document too."""
     rng = random.Random(12)

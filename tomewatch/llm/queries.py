@@ -15,7 +15,7 @@ from .jaccard_join import jaccard_components
 from .mixing import poisson_mix
 from .suffix_dedup import remove_repeats
 from .surrogates import replace_personal_data
-from .token_shards import training_order
+from .token_shards import shard_folder, training_order, with_shards
 from .warc import BLOCK_RE, CHARSET_RE, ENTITIES, HIDDEN_RE, LANG_RE, LINK_RE, TAG_RE, TITLE_RE, responses_of_pages, warc_derivatives
 
 QUERIES: dict = {}
@@ -161,7 +161,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 @query
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(read(spark, sf_dir, "documents"))
+    return with_shards(training_order(read(spark, sf_dir, "documents")), shard_folder(spark))
 
 
 @query

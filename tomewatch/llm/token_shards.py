@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import base64
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shared_folder
 from .kernels import U, chunks, mix
 
 #: Byte-level BPE ranks with 50,256 entries; id 50256 ends a document and fills its last sequence.
@@ -114,8 +115,8 @@ def training_order(
     gives each its slot in 0..N-1. Returns, sorted by slot inside range partitions of whole shards: slot,
     shard (slot div ``shard``), byte_offset (in the shard, slot mod ``shard`` times the stride of 2 *
     ``sequence`` bytes), the id, seq_no, n_tokens (without filling) and tokens (exactly the stride). A reader
-    finds any slot by arithmetic, so it can stop and resume at a slot number. ``write_shards`` puts the
-    tokens into files of that layout.
+    finds any slot by arithmetic, so it can stop and resume at a slot number. ``write_shards`` and
+    ``with_shards`` put the tokens into files of that layout.
 
     Texts are tokenised once; the tokens are kept in a shared checkpoint, because the numbering needs the
     number of sequences in every partition before its first slot is known. Those counts, one row per
@@ -197,3 +198,40 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"shard": now, "sequences": number, "bytes": size}])
 
     return ordered.select("shard", "tokens").mapInArrow(run, "shard long, sequences long, bytes long")
+
+
+def with_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``training_order`` with the ``path`` of their shard, which is written as they pass.
+
+    Files and commit are those of ``write_shards``, in the same pass over the rows, so nothing is sorted or shuffled
+    again. A shard is there once its task ended; reading the rows again writes the same files again.
+    """
+    names = [f.name for f in ordered.schema.fields]
+    at_shard, at_tokens = names.index("shard"), names.index("tokens")
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        now, f, name = None, None, ""
+        for b in batches:
+            path = []
+            for shard, tokens in zip(b.column(at_shard).to_pylist(), b.column(at_tokens), strict=True):
+                if shard != now:
+                    if f:
+                        f.close()
+                        os.replace(name, f"{folder}/shard-{now:08d}.bin")
+                    now, name = shard, f"{folder}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
+                    f = open(name, "wb")
+                f.write(tokens.as_buffer())
+                path.append(f"{folder}/shard-{shard:08d}.bin")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(path, pa.string())], [*names, "path"])
+        if f:
+            f.close()
+            os.replace(name, f"{folder}/shard-{now:08d}.bin")
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
+    return ordered.mapInArrow(run, f"{schema}, path string")
+
+
+def shard_folder(spark: SparkSession) -> str:
+    """A new folder for shards in the shared one, as a path of the file system."""
+    return f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/shards-{uuid.uuid4().hex}"
