@@ -16,7 +16,7 @@ from .mixing import poisson_mix
 from .suffix_dedup import remove_repeats
 from .surrogates import replace_personal_data
 from .token_shards import shard_folder, training_order, with_shards
-from .warc import BLOCK_RE, CHARSET_RE, ENTITIES, HIDDEN_RE, LANG_RE, LINK_RE, TAG_RE, TITLE_RE, responses_of_pages, warc_derivatives
+from .warc import BLOCKS, HIDDEN, responses_of_pages, warc_derivatives
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,6 +70,17 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives(responses_of_pages(read(spark, sf_dir, "pages")), keys=("page_id",))
 
 
+# The SQL says with patterns what the operator finds in one pass; these references are all that it decodes.
+ENTITIES = {"nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "ndash": "–", "mdash": "—", "quot": '"', "lt": "<", "gt": ">", "amp": "&"}
+HIDDEN_RE = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{t}\b.*?(?:</{t}[^>]*>|\z)" for t in HIDDEN) + ")"
+BLOCK_RE = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>"
+TAG_RE = r"<[A-Za-z/!?][^>]*>"
+TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
+LANG_RE = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)"""
+CHARSET_RE = r"""(?i)<meta\b[^>]*?\bcharset\s*=\s*["']?([A-Za-z0-9_-]+)"""
+LINK_RE = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+
+
 def _sql_text(html: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     t = f"translate(regexp_replace({html}, {q(HIDDEN_RE)}, ' ', 'g'), chr(9) || chr(13) || chr(10) || chr(12), '    ')"
@@ -101,7 +112,7 @@ WITH r AS (
 ), b AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'sourceDigest: ' || payload_digest || {_CRLF} || 'sourceLength: ' || octet_length(encode(body)) || {_CRLF} || 'httpStatus: 200' || {_CRLF} || 'contentType: text/html' || {_CRLF}
-    || CASE WHEN title <> '' THEN 'title: ' || title || {_CRLF} ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || {_CRLF} ELSE '' END
+    || 'sourceHeader: ' || replace(source_headers, {_CRLF}, {_CRLF} || 'sourceHeader: ') || {_CRLF} || CASE WHEN title <> '' THEN 'title: ' || title || {_CRLF} ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || {_CRLF} ELSE '' END
     || CASE WHEN charset <> '' THEN 'charset: ' || charset || {_CRLF} ELSE '' END
     || array_to_string(list_transform(links, lambda u: 'outlink: ' || u || {_CRLF}), '') AS block
   FROM f
