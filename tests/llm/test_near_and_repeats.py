@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tomewatch.llm import suffix_dedup
 from tomewatch.llm.jaccard_join import jaccard_components
 from tomewatch.llm.suffix_dedup import remove_repeats
 
@@ -96,11 +99,44 @@ def repeat_rows():
 @pytest.mark.parametrize("limit", [20_000, 3])
 def test_repeats(spark, limit):
     rows = repeat_rows()
-    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), group_limit=limit).collect()
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), frequent=limit).collect()
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got}
     assert found == brute_repeats(rows, 100) and len(got) == len(rows)
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word of n letters and its complement; polynomial hashes modulo a power of two cannot tell them apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join((a, b)[k] for k in bits), "".join((b, a)[k] for k in bits)
+
+
+@pytest.mark.parametrize("limit", [20_000, 3])
+def test_repeats_of_words_made_to_collide(spark, limit):
+    w, v = thue_morse(4096)
+    rows = [("x" * 40 + w[:2048] + v[:2048], 1, None, None), ("x" * 40 + v + "x" * 40, 2, None, None), (w, 3, None, None)]
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA), frequent=limit).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == brute_repeats(rows, 100)
+
+
+def test_repeats_in_pieces(spark, monkeypatch):
+    """Rows longer than a worker's piece are read in overlapping parts, with the same result."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdé ") for _ in range(700))
+    rows = [("".join(rng.choice("xyz ") for _ in range(900)) + passage, 1, None, None), (passage * 3 + "q" * 1000, 2, None, None), (passage[50:], 0, None, None)]
+    texts = pa.array([r[0] for r in rows])
+    whole = [suffix_dedup._anchor_hashes(100, 16)(d, o) for _, _, d, o in suffix_dedup.chunks(texts, 1)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 256)
+    cut = [suffix_dedup._anchor_hashes(100, 16)(d, o) for _, _, d, o in suffix_dedup.chunks(texts, 1)]
+    assert [set(a) for a in whole] == [set(a) for a in cut] and sum(map(len, cut)) > sum(map(len, whole))
+    starts = [(base, len(d)) for base, d, _ in suffix_dedup._pieces(np.zeros(1000, np.uint8), np.array([0, 1000]), 100)]
+    assert starts == [(0, 355), (256, 355), (512, 355), (768, 232)]
+
+
+def test_repeats_ids(spark):
+    with pytest.raises(TypeError, match="integer"):
+        remove_repeats(spark.createDataFrame([("a", "b")], "text string, doc_id string"))
+
+
 def test_repeats_edges(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     got = remove_repeats(spark.createDataFrame([("a" * 300, None, None, None)], SCHEMA)).collect()

@@ -42,6 +42,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def integer_ids(df: DataFrame, col: str) -> Column:
+    """Column ``col`` as long; other than integer columns are refused, as a cast would make nulls of their values."""
+    kind = df.schema[col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{col} must be an integer column, not {kind}: number the rows first")
+    return F.col(col).cast("long")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, null as empty; every other character stays as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

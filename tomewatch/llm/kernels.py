@@ -10,15 +10,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 CHUNK = 1 << 20
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = [np.ones(1, U), np.ones(1, U)]
-_BYTE_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -36,13 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in ((0, _BASE), (1, _BASE_INVERSE)):
-            p = np.full(n, base, U)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p, dtype=U)
-    return _POWERS[0][:n], _POWERS[1][:n]
+_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
 
 
 def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -63,18 +55,43 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
-def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers) with which (sums[end] - sums[start]) * inverse[start] is a polynomial hash of data[start:end]."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE_CODES[data] * power[: len(data)], out=total[1:])
-    return total, inverse
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a number, zeros beyond the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+
+
+#: Masks of the first 0 to 8 bytes of a number.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of ``data[i:i + k]`` for every i, eight bytes at a time; cheap, and not proof against made-up data."""
+    n = len(data) - k + 1
+    eights, h = _eights(data), np.full(n, k, U)
+    for j, at in enumerate(range(0, k, 8)):
+        part = eights[at : at + n]
+        h += (part if k - at >= 8 else part & _FIRST_BYTES[k - at]) * _PLACES[j]
+    h ^= h >> U(32)
+    h *= U(0xFF51AFD7ED558CCD)
+    return h
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]``; equal bytes give equal hashes wherever they stand."""
-    total, inverse = prefix_sums(data)
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U))
+    """64-bit hashes of ``data[start:end]``; equal bytes give equal hashes wherever they stand.
+
+    Up to sixteen bytes are scrambled as two numbers, longer spans are hashed one by one (XXH3), so no structure
+    of long spans makes hashes agree.
+    """
+    eights, size = _eights(data), ends - starts
+    h = mix(mix(eights[starts] & _FIRST_BYTES[np.minimum(size, 8)]) ^ size.astype(U) * U(0x632BE59BD9B4E019))
+    more = np.flatnonzero(size > 8)
+    h[more] = mix(h[more] ^ (eights[starts[more] + 8] & _FIRST_BYTES[np.minimum(size[more] - 8, 8)]))
+    whole = np.flatnonzero(size > 16)
+    view = memoryview(np.ascontiguousarray(data))
+    h[whole] = np.fromiter((xxh3_64_intdigest(view[s:e]) for s, e in zip(starts[whole].tolist(), ends[whole].tolist(), strict=True)), U, len(whole))
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +110,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | U(1)
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, first word's index) of all word n-grams of a chunk, lower-cased in A-Z.
 
@@ -136,7 +150,7 @@ def distinct_sorted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 SKETCH_CELLS = 1 << 20
-_PIECES = 64
+_PIECES, _PARTS = 64, 64
 
 
 def count_sketch(
@@ -144,9 +158,10 @@ def count_sketch(
 ) -> np.ndarray:
     """How often each of SKETCH_CELLS cells (hash mod cells) occurs over all rows of ``df``.
 
-    Every task adds up its own cells and sends them once, in pieces that are summed as a stream; the
-    driver gets one table of a fixed size (8 MB). ``hashes`` maps a chunk of
-    the prepared texts to the 64-bit hashes to count.
+    Every task adds up its own cells and sends them once, in pieces that are summed as streams: first by piece
+    and by one of _PARTS parts of the tasks, then by piece, so that however many tasks send, _PIECES * _PARTS keys
+    share their sums. The driver gets one table of a fixed size (8 MB). ``hashes`` maps a chunk of the
+    prepared texts to the 64-bit hashes to count.
     """
 
     def tally(batches):
@@ -154,23 +169,23 @@ def count_sketch(
         for b in batches:
             for _, _, data, offsets in chunks(prepare(b.column(0))):
                 cells += np.bincount((hashes(data, offsets) % U(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS)
-        cells = np.minimum(cells, (1 << 31) - 1).astype(np.int32)
-        parts = [p.tobytes() for p in np.split(cells, _PIECES) if p.any()]
-        numbers = [k for k, p in enumerate(np.split(cells, _PIECES)) if p.any()]
-        for k, p in zip(numbers, parts, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p], pa.binary())], ["piece", "cells"])
+        part = TaskContext.get().partitionId() % _PARTS
+        for k, p in enumerate(np.split(cells, _PIECES)):
+            if p.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["piece", "part", "cells"])
 
     def add(batches):
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for k, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                counts = np.frombuffer(p.as_buffer(), np.int32).astype(np.int64)
-                total[k] = total[k] + counts if k in total else counts
-        for k, p in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["piece", "cells"])
-
-    sent = df.select(F.col(text_col).cast("string")).mapInArrow(tally, "piece int, cells binary")
-    whole = sent.repartition(8, "piece").mapInArrow(add, "piece int, cells binary")
+            for k, part, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                counts = np.frombuffer(p.as_buffer(), np.int64)
+                total[k, part] = total[k, part] + counts if (k, part) in total else counts.copy()
+        for (k, part), p in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["piece", "part", "cells"])
+
+    kind = "piece int, part int, cells binary"
+    sent = df.select(F.col(text_col).cast("string")).mapInArrow(tally, kind).repartition("piece", "part").mapInArrow(add, kind)
+    whole = sent.withColumn("part", F.lit(0)).repartition("piece").mapInArrow(add, kind)
     out = np.zeros((_PIECES, SKETCH_CELLS // _PIECES), np.int64)
     for r in whole.toLocalIterator():
         out[r["piece"]] += np.frombuffer(bytes(r["cells"]), np.int64)
