@@ -12,7 +12,7 @@ from tomewatch.llm import language_id, line_crf
 from tomewatch.llm.decontaminate import _lcs, find_leaks
 from tomewatch.llm.exact_dedup import exact_dedup
 from tomewatch.llm.mixing import poisson_mix
-from tomewatch.llm.token_shards import END, TOKENIZER, WordEncoder, encoder, permute, training_order, write_shards
+from tomewatch.llm.token_shards import END, TOKENIZER, encode, encoder, permute, read_slots, training_order, vocabulary, write_shards
 from tomewatch.llm.warc import record_text, responses_of_pages, warc_derivatives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, slot long, n string, rate double, copy string"
@@ -29,12 +29,14 @@ def test_permutation():
     assert permute(np.arange(1000), 1000, 5).tolist() != permute(np.arange(1000), 1000, 6).tolist()
 
 
-def test_word_encoder_equals_whole():
-    whole, by_word = encoder(TOKENIZER).encode_ordinary, WordEncoder(TOKENIZER)
+def test_long_white_space():
+    encoding = encoder(vocabulary(TOKENIZER))
     rng = random.Random(1)
-    for _ in range(600):
-        t = "".join(rng.choice(["a", "Bé", " ", " ", " ", "\n", "12", "!?", "'s", "\t", " ", "the", "\r\n"]) for _ in range(rng.randrange(30)))
-        assert by_word(t) == whole(t), repr(t)
+    for _ in range(12):
+        parts = [rng.choice(["a", "Bé x", "12", "!?", "'s"]) + rng.choice([" ", "\n", "\t \n", "\u3000"]) * rng.choice([1, 3, 6_000, 11_000]) for _ in range(4)]
+        for t in ("".join(parts), "".join(parts) + "end", " " * 10_000 + parts[0]):
+            assert encode(encoding, t) == encoding.encode_ordinary(t)
+    assert encode(encoding, None) == [] and encoding.decode(encode(encoding, " " * 3_000_000 + "x")) == " " * 3_000_000 + "x"
 
 
 def test_training_order_round_trip(spark, tmp_path):
@@ -49,14 +51,16 @@ def test_training_order_round_trip(spark, tmp_path):
     by_doc = {}
     for r in sorted(out, key=lambda r: r.seq_no):
         by_doc.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.tokens), np.uint16)[: r.n_tokens].tolist())
-    decode = encoder(TOKENIZER).decode
+    decode = encoder(vocabulary(TOKENIZER)).decode
     for k, t in rows:
         assert by_doc[k][-1] == END and decode(by_doc[k][:-1]) == (t or "")
-    written = {r.shard: r for r in write_shards(got, str(tmp_path)).collect()}
+    written = {r.shard: r for r in write_shards(got, f"file://{tmp_path}").collect()}
     slots = {r.slot: bytes(r.tokens) for r in out}
     for s, r in written.items():
         data = (tmp_path / f"shard-{s:08d}.bin").read_bytes()
         assert len(data) == r.bytes and data == b"".join(slots[k] for k in sorted(slots) if k // 10 == s)
+    for start in (0, 1, 9, 10, 37, len(slots) - 1, len(slots)):
+        assert [p.tobytes() for p in read_slots(f"file://{tmp_path}", start, sequence=16, shard=10)] == [slots[k] for k in range(start, len(slots))]
     assert training_order(docs(spark, [])).count() == 0
 
 
@@ -152,11 +156,11 @@ def test_order_query_and_stage_write_shards(spark, tmp_path):
         out = ordered.collect()
         size = {}
         for r in out:
-            with open(r.path, "rb") as f:
+            with open(r.path.removeprefix("file://"), "rb") as f:
                 f.seek(r.byte_offset)
                 assert f.read(len(r.tokens)) == bytes(r.tokens)
-            size[r.path] = size.get(r.path, 0) + len(r.tokens)
-        files = list(Path(out[0].path).parent.iterdir())
+            size[r.path.removeprefix("file://")] = size.get(r.path.removeprefix("file://"), 0) + len(r.tokens)
+        files = list(Path(out[0].path.removeprefix("file://")).parent.iterdir())
         assert {str(f): f.stat().st_size for f in files if f.suffix == ".bin"} == size and not [f for f in files if f.name.startswith(".shard") and f.suffix != ".crc"]
 
 
@@ -286,7 +290,7 @@ def test_pipeline_stages(spark, tmp_path, name):
             assert out.columns == c.COLUMNS and {r.doc_id for r in out.collect()} == left
         return
     got = c.run(spark, folder).collect()
-    tokens = encoder(TOKENIZER)
+    tokens = encoder(vocabulary(TOKENIZER))
     kept = {r.doc_id for r in got}
     assert kept <= set(range(12)) and sorted(r.slot for r in got) == list(range(len(got)))
     one = next(r for r in got if r.seq_no == 0)

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import base64
-import os
+import re
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, shared_folder
-from .kernels import U, chunks, mix
+from .kernels import U, mix
 
 #: Byte-level BPE ranks with 50,256 entries; id 50256 ends a document and fills its last sequence.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -22,66 +25,41 @@ END = 50_256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens of a sequence, and sequences of a shard.
 SEQUENCE, SHARD = 512, 4096
-#: Encoded words that a worker remembers.
-_CACHE_WORDS = 300_000
 ROUNDS = 4
+#: Runs of white space that are cut out before the pattern, whose matcher cannot go through very long ones.
+_LONG_SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
-def encoder(path: str):
-    import tiktoken
-
+def vocabulary(path: str) -> bytes:
+    """The file of ranks, read on the driver; tasks get it by broadcast (some 800 KB)."""
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return f.read()
 
 
-class WordEncoder:
-    """Encodes texts word by word, remembering words; equal to encoding each text whole.
+@lru_cache(maxsize=2)
+def encoder(ranks: bytes):
+    """The encoding of a file of ranks, made once in a worker."""
+    import tiktoken
 
-    A single space between two non-space characters always starts a new piece of the vocabulary's pattern, so a
-    text may be cut there. Texts with other runs of white space are cut only at such places.
-    """
+    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
 
-    def __init__(self, path: str):
-        self.encode = encoder(path).encode_ordinary
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        parts = text.split(" ")
-        if "" in parts:
-            return self.encode(text)
-        known, out = self.known, []
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        first = True
-        carry = ""
-        for part in parts:
-            word = part if first else f"{carry} {part}" if carry else " " + part
-            first = False
-            if part[-1].isspace() or part[0].isspace():
-                # white space other than a space next to the cut: join with what follows
-                carry = word
-                continue
-            carry = ""
-            got = known.get(word)
-            if got is None:
-                got = known[word] = self.encode(word)
-            out += got
-        return out + self.encode(carry) if carry else out
-
-
-def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens) for every row: ids of the whole text as little-endian 16-bit numbers; null is empty."""
 
-    def run(batches):
-        encode = WordEncoder(tokenizer)
-        for b in batches:
-            for lo, hi, _, _ in chunks(b.column(1)):
-                held = [np.array(encode(t or ""), np.uint16).tobytes() for t in b.column(1).slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(held, pa.binary())], ["id", "tokens"])
+def encode(encoding, text: str | None) -> list[int]:
+    """Token ids of a whole text; null is empty.
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, tokens binary")
+    A run of white space before other characters gives all but its last one as a piece of its own, and one at the end
+    is a piece, so very long runs are encoded apart with the same result.
+    """
+    if not text:
+        return []
+    if len(text) < 10_000 or not (long := _LONG_SPACE.search(text)):
+        return encoding.encode_ordinary(text)
+    out, at = [], 0
+    while long:
+        last = long.end() if long.end() == len(text) else long.end() - 1
+        out += encoding.encode_ordinary(text[at : long.start()]) + encoding._encode_single_piece(text[long.start() : last])
+        at, long = last, _LONG_SPACE.search(text, long.end())
+    return out + encoding.encode_ordinary(text[at:])
 
 
 def permute(at: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -114,53 +92,93 @@ def training_order(
     is filled with end tokens. All N sequences are numbered and a keyed Feistel permutation with cycle-walking
     gives each its slot in 0..N-1. Returns, sorted by slot inside range partitions of whole shards: slot,
     shard (slot div ``shard``), byte_offset (in the shard, slot mod ``shard`` times the stride of 2 *
-    ``sequence`` bytes), the id, seq_no, n_tokens (without filling) and tokens (exactly the stride). A reader
-    finds any slot by arithmetic, so it can stop and resume at a slot number. ``write_shards`` and
-    ``with_shards`` put the tokens into files of that layout.
+    ``sequence`` bytes), the id, seq_no, n_tokens (without filling) and tokens (exactly the stride).
+    ``with_shards`` and ``write_shards`` put the tokens into files of that layout, ``read_slots`` reads them on from any slot.
 
-    Texts are tokenised once; the tokens are kept in a shared checkpoint, because the numbering needs the
-    number of sequences in every partition before its first slot is known. Those counts, one row per
-    partition, are all that reaches the driver. Slots are uniform, so ranges of slots are even however skewed
-    the documents are. Vocabularies must have ids below 65,536; ``tokenizer`` must exist on every machine.
+    A first pass counts the sequences of every block of the input, a second one numbers them from its block's
+    first number, so texts are tokenised twice and tokens are never stored but in the one shuffle by ranges of slots.
+    Both passes must meet the same rows in every block. If all rows come from files without a shuffle, blocks are those
+    of the files (``spark.sql.files.minPartitionNum`` is set if it is not, so that they do not move with the number
+    of executors); otherwise the texts are kept in a shared checkpoint and its partitions are the blocks. A task that
+    counts otherwise than the first pass did fails instead of giving wrong slots. The driver gets two numbers a block. Slots are uniform, so ranges of them are even however skewed the documents are.
+    Vocabularies must have ids below 65,536.
 
     A null or empty text gives one sequence with the end token alone. Repeated rows and null ids are kept as
     rows of their own. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    held = checkpointed(tokenised(docs, tokenizer, id_col, text_col))
-    pieces = lambda n: F.floor(n / (2 * sequence)).cast("long") + 1
-    counts = held.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(pieces(F.octet_length("tokens"))).alias("n")).collect()
-    total = sum(r["n"] for r in counts)
-    offsets, so_far = {}, 0
-    for r in sorted(counts, key=lambda r: r["p"]):
-        offsets[r["p"]] = so_far
-        so_far += r["n"]
-    starts = spark.sparkContext.broadcast(offsets)
+    ranks = spark.sparkContext.broadcast(vocabulary(tokenizer))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    of_file = F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     stride = 2 * sequence
 
+    def count(batches):
+        for b in batches:
+            held: dict[int, int] = {}
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held[k] = held.get(k, 0) + len(encode(encoder(ranks.value), t.as_py())) // sequence + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["block", "n"])
+
+    def counted(blocks: DataFrame):
+        counts = blocks.select("block", "text").mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+        return counts.orderBy("block").toPandas()
+
+    blocks = texts.select(of_file.alias("block"), "id", "text")
+    counts = counted(blocks)
+    if counts["block"].isna().any():
+        blocks = checkpointed(texts).select(F.spark_partition_id().cast("long").alias("block"), "id", "text")
+        counts = counted(blocks)
+    ends = np.cumsum(counts["n"].to_numpy(dtype=np.int64))
+    total = int(ends[-1]) if len(ends) else 0
+    numbers = spark.sparkContext.broadcast((counts["block"].to_numpy(dtype=np.int64), np.append(0, ends)))
+
     def run(batches):
-        number = starts.value.get(TaskContext.get().partitionId(), 0)
+        known, bounds = numbers.value
+        end = END.to_bytes(2, "little")
+        now, number, bound = None, 0, 0
+
+        def rows(data, owner, seq, filled, part, first):
+            slot = permute(np.arange(first, first + len(data)), total, key)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(slot), part.column(1).take(pa.array(owner)), pa.array(seq, pa.int32()), pa.array(filled, pa.int32()), pa.array(data, pa.binary())],
+                ["slot", id_col, "seq_no", "n_tokens", "tokens"],
+            )
+
         for b in batches:
-            for lo in range(0, len(b), 64):
-                part = b.slice(lo, 64)
-                data, owner, seq, filled = [], [], [], []
-                for k, t in enumerate(part.column(1)):
-                    tokens = t.as_buffer().to_pybytes() + END.to_bytes(2, "little")
-                    for s in range(0, len(tokens), stride):
-                        piece = tokens[s : s + stride]
-                        data.append(piece + END.to_bytes(2, "little") * ((stride - len(piece)) // 2))
-                        owner.append(k)
-                        seq.append(s // stride)
-                        filled.append(len(piece) // 2)
-                slot = permute(np.arange(number, number + len(data)), total, key)
-                number += len(data)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), part.column(0).take(pa.array(owner)), pa.array(seq, pa.int32()), pa.array(filled, pa.int32()), pa.array(data, pa.binary())],
-                    ["slot", id_col, "seq_no", "n_tokens", "tokens"],
-                )
-
-    rows = held.mapInArrow(run, f"slot long, `{id_col}` {kind}, seq_no int, n_tokens int, tokens binary")
+            data, owner, seq, filled = [], [], [], []
+            first = number
+            for k, (block, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2), strict=True)):
+                if block != now:
+                    at = int(np.searchsorted(known, block))
+                    if number != bound or at == len(known) or known[at] != block:
+                        raise RuntimeError("the blocks of the input changed between counting and numbering")
+                    if data:
+                        yield rows(data, owner, seq, filled, b, first)
+                        data, owner, seq, filled = [], [], [], []
+                    now, number, bound = block, int(bounds[at]), int(bounds[at + 1])
+                    first = number
+                tokens = np.array(encode(encoder(ranks.value), t.as_py()), "<u2").tobytes() + end
+                for s in range(0, len(tokens), stride):
+                    piece = tokens[s : s + stride]
+                    data.append(piece + end * ((stride - len(piece)) // 2))
+                    owner.append(k)
+                    seq.append(s // stride)
+                    filled.append(len(piece) // 2)
+                    number += 1
+                    if number > bound:
+                        raise RuntimeError("the blocks of the input changed between counting and numbering")
+                    if len(data) == 1000:
+                        yield rows(data, owner, seq, filled, b, first)
+                        data, owner, seq, filled, first = [], [], [], [], number
+            if data:
+                yield rows(data, owner, seq, filled, b, first)
+        if number != bound:
+            raise RuntimeError("the blocks of the input changed between counting and numbering")
+
+    rows = blocks.mapInArrow(run, f"slot long, `{id_col}` {kind}, seq_no int, n_tokens int, tokens binary")
     shards = max(1, -(-total // shard))
     width = min(shards, partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // (64 << 20) + 1))
     of_shard = F.floor(F.col("slot") / shard).cast("long")
@@ -170,68 +188,68 @@ def training_order(
     )
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Write the tokens of ``training_order`` into ``folder``/shard-N.bin, one file a shard; rows (shard, sequences, bytes).
-
-    ``folder`` is a path that all machines mount. A shard lies in one partition, in order, and is written under
-    a name of the task's own and then renamed, so a repeated or doubled task leaves the same whole file.
-    """
-
-    def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        now, f, name, size, number = None, None, "", 0, 0
-        for b in batches:
-            for shard, tokens in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if shard != now:
-                    if f:
-                        f.close()
-                        os.replace(name, f"{folder}/shard-{now:08d}.bin")
-                        yield pa.RecordBatch.from_pylist([{"shard": now, "sequences": number, "bytes": size}])
-                    now, size, number = shard, 0, 0
-                    name = f"{folder}/.shard-{now:08d}-{TaskContext.get().taskAttemptId()}"
-                    f = open(name, "wb")
-                size += f.write(tokens.as_buffer())
-                number += 1
-        if f:
-            f.close()
-            os.replace(name, f"{folder}/shard-{now:08d}.bin")
-            yield pa.RecordBatch.from_pylist([{"shard": now, "sequences": number, "bytes": size}])
-
-    return ordered.select("shard", "tokens").mapInArrow(run, "shard long, sequences long, bytes long")
+def shard_path(folder: str, shard: int) -> str:
+    return f"{folder}/shard-{shard:08d}.bin"
 
 
 def with_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """The rows of ``training_order`` with the ``path`` of their shard, which is written as they pass.
 
-    Files and commit are those of ``write_shards``, in the same pass over the rows, so nothing is sorted or shuffled
-    again. A shard is there once its task ended; reading the rows again writes the same files again.
+    ``folder`` is a path or URI of a file system that all machines reach (any that Arrow opens: local mounts, HDFS,
+    object stores). A shard lies in one partition, in order, and is written under a name of the task's own and then
+    moved, so a repeated or doubled task leaves the same whole file. It is there once its task ended; nothing is
+    sorted or shuffled again.
     """
     names = [f.name for f in ordered.schema.fields]
     at_shard, at_tokens = names.index("shard"), names.index("tokens")
 
     def run(batches):
-        os.makedirs(folder, exist_ok=True)
-        now, f, name = None, None, ""
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        now, out, name = None, None, ""
+
+        def close():
+            if out:
+                out.close()
+                store.move(name, shard_path(root, now))
+
         for b in batches:
             path = []
             for shard, tokens in zip(b.column(at_shard).to_pylist(), b.column(at_tokens), strict=True):
                 if shard != now:
-                    if f:
-                        f.close()
-                        os.replace(name, f"{folder}/shard-{now:08d}.bin")
-                    now, name = shard, f"{folder}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
-                    f = open(name, "wb")
-                f.write(tokens.as_buffer())
-                path.append(f"{folder}/shard-{shard:08d}.bin")
+                    close()
+                    now, name = shard, f"{root}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
+                    out = store.open_output_stream(name)
+                out.write(tokens.as_buffer())
+                path.append(shard_path(folder, shard))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(path, pa.string())], [*names, "path"])
-        if f:
-            f.close()
-            os.replace(name, f"{folder}/shard-{now:08d}.bin")
+        close()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
     return ordered.mapInArrow(run, f"{schema}, path string")
 
 
+def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """Write the shards of ``with_shards``; one row (shard, path, sequences, bytes) a file."""
+    written = with_shards(ordered.select("shard", "tokens"), folder)
+    return written.groupBy("shard", "path").agg(F.count("*").alias("sequences"), F.sum(F.octet_length("tokens")).cast("long").alias("bytes"))
+
+
+def read_slots(folder: str, slot: int = 0, sequence: int = SEQUENCE, shard: int = SHARD) -> Iterator[np.ndarray]:
+    """Sequences in training order from ``slot`` on, as a reader resumes: one seek in one shard, then reads in order."""
+    store, root = fs.FileSystem.from_uri(folder)
+    number = slot // shard
+    while store.get_file_info(shard_path(root, number)).type == fs.FileType.File:
+        with store.open_input_file(shard_path(root, number)) as f:
+            f.seek(slot % shard * 2 * sequence)
+            while piece := f.read(2 * sequence):
+                yield np.frombuffer(piece, "<u2")
+                slot += 1
+        number += 1
+        slot = max(slot, number * shard)
+
+
 def shard_folder(spark: SparkSession) -> str:
-    """A new folder for shards in the shared one, as a path of the file system."""
-    return f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/shards-{uuid.uuid4().hex}"
+    """The URI of a new folder for shards in the shared one."""
+    base = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    return f"{base if '://' in base else 'file://' + base}/shards-{uuid.uuid4().hex}"
