@@ -7,8 +7,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tomewatch.llm import suffix_dedup
+from tomewatch.llm import jaccard_join, suffix_dedup
 from tomewatch.llm.jaccard_join import jaccard_components
 from tomewatch.llm.suffix_dedup import remove_repeats
 
@@ -62,6 +63,52 @@ def test_components(spark, n, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
 
 
+def test_components_of_words_made_to_collide(spark):
+    for size in (512, 4096):
+        w, v = thue_morse(size, "x", "y")
+        rows = [(f"{w} b c d", 1, None, None), (f"{v} b c d", 2, None, None), (f"{w} b c d", 3, None, None)]
+        got = jaccard_components(spark.createDataFrame(rows, SCHEMA), n=4, num=85).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_components_in_many_blocks(spark):
+    """Sets taken in several blocks, at differing levels, give the counts of whole sets."""
+    assert [jaccard_join.level(n, 16) for n in (1, 16, 17, 32, 33, 64, 65)] == [0, 0, 1, 1, 2, 2, 3]
+    sizes = spark.createDataFrame([(n,) for n in range(1, 200)], "n long").select("n", jaccard_join._level(F.col("n"), 16).alias("l")).collect()
+    assert all(r.l == jaccard_join.level(r.n, 16) for r in sizes)
+    rows = near_rows()
+    for n, num in ((4, 85), (2, 50)):
+        got = jaccard_components(spark.createDataFrame(rows, SCHEMA), n=n, num=num, block=16).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, n, num, 100)
+
+
+def templated(count):
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}x{j}" for j in range(20)) for k in range(40)]
+    return [(" ".join(rng.sample(passages, 5)), k, None, None) for k in range(count)]
+
+
+def test_pairs_of_templated_texts_grow_with_their_number(spark, monkeypatch):
+    """Texts of common passages share prefixes by the square of their number, but nearly none of them makes a pair."""
+    made = []
+    product = jaccard_join._product
+    monkeypatch.setattr(jaccard_join, "_product", lambda pairs, *a: made.append(pairs.count()) or product(pairs, *a))
+    for count in (200, 400):
+        rows = templated(count)
+        made.clear()
+        got = jaccard_components(spark.createDataFrame(rows, SCHEMA), n=4, num=85).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85, 100)
+        assert sum(made) <= count // 4, made
+
+
+def test_components_of_repeated_ids(spark):
+    """Rows of one id are one document with the links of all its rows."""
+    words = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(words[0], 5, None, None), (words[1], 5, None, None), (words[1], 5, None, None), (words[0] + " z", 9, None, None), (words[1] + " z", 7, None, None), (words[2], 8, None, None)]
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA), n=4, num=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (5, 5), (7, 5), (8, 8), (9, 5)]
+
+
 def test_components_edges(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [("a b c d e f", None, None, None), ("a b c d e f", 7, None, None), (None, None, None, None), ("a b c d e f", 7, None, None)]

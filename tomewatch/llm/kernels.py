@@ -160,10 +160,13 @@ def count_sketch(
 
     Every task adds up its own cells and sends them once, in pieces that are summed as streams: first by piece
     and by one of _PARTS parts of the tasks, then by piece, so that however many tasks send, _PIECES * _PARTS keys
-    share their sums. The driver gets one table of a fixed size (8 MB). ``hashes`` maps a chunk of the
+    share their sums. A task holds one sum at a time. The driver gets one table of a fixed size (8 MB). ``hashes`` maps a chunk of the
     prepared texts to the 64-bit hashes to count.
     """
 
+    def row(piece: int, part: int, cells: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["piece", "part", "cells"])
+
     def tally(batches):
         cells = np.zeros(SKETCH_CELLS, np.int64)
         for b in batches:
@@ -172,20 +175,26 @@ def count_sketch(
         part = TaskContext.get().partitionId() % _PARTS
         for k, p in enumerate(np.split(cells, _PIECES)):
             if p.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["piece", "part", "cells"])
+                yield row(k, part, p)
 
     def add(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
+        now, total = None, None
         for b in batches:
             for k, part, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 counts = np.frombuffer(p.as_buffer(), np.int64)
-                total[k, part] = total[k, part] + counts if (k, part) in total else counts.copy()
-        for (k, part), p in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["piece", "part", "cells"])
+                if (k, part) != now:
+                    if now:
+                        yield row(*now, total)
+                    now, total = (k, part), counts
+                else:
+                    total = total + counts
+        if now:
+            yield row(*now, total)
 
     kind = "piece int, part int, cells binary"
-    sent = df.select(F.col(text_col).cast("string")).mapInArrow(tally, kind).repartition("piece", "part").mapInArrow(add, kind)
-    whole = sent.withColumn("part", F.lit(0)).repartition("piece").mapInArrow(add, kind)
+    summed = lambda rows, *by: rows.repartition(*by).sortWithinPartitions("piece", "part").mapInArrow(add, kind)
+    sent = df.select(F.col(text_col).cast("string")).mapInArrow(tally, kind)
+    whole = summed(summed(sent, "piece", "part").withColumn("part", F.lit(0)), "piece")
     out = np.zeros((_PIECES, SKETCH_CELLS // _PIECES), np.int64)
     for r in whole.toLocalIterator():
         out[r["piece"]] += np.frombuffer(bytes(r["cells"]), np.int64)
