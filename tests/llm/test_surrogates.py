@@ -1,8 +1,13 @@
 """Surrogates: removal, format, distinctness, coreference and untouched clean text."""
 
 import re
+import time
 
-from tomewatch.llm.surrogates import replace_personal_data, surrogate_table
+import pytest
+import regex
+
+from tomewatch.llm.queries import op5_pii_surrogates
+from tomewatch.llm.surrogates import GIVEN, MENTION, replace_personal_data, surrogate_table
 
 SCHEMA = "doc_id long, text string, raw string, class string, _id long"
 
@@ -39,11 +44,94 @@ def test_formats_and_coreference(spark):
     assert run(spark, texts[:1], "other")[0].text != a
 
 
+def test_names(spark):
+    texts = [
+        "Mr. John Smith came. Later John Smith left. Dr. Toni Bawisu too, said Smith and SMITH.",
+        "Frau Müller-Lüdenscheidt und Mr. McDonald, Mr. O'Brien, Mr. Jean-Luc Picard; κύριος Παπαδόπουλος.",
+        "Herr Ludwig van Beethoven spoke. Anna Kowalska wrote to John Smith's friend. Smithers and Smith-Jones stay.",
+        "Mrs. Toni Kowalska", "Smith alone is no name here, nor is Kowalska.", "Mr. Smith", "Mr. Smith",
+    ]
+    got = run(spark, texts)
+    assert not re.search("John|Smith|Toni|Bawisu", got[0].text) and not re.search("Müller|Lüden|Donald|Brien|Jean|Luc|Picard|Παπα", got[1].text)
+    m = re.fullmatch(r"Mr\. (\w+ (\w+)) came\. Later (\w+ \w+) left\. Dr\. (\w+) (\w+) too, said (\w+) and SMITH\.", got[0].text)
+    assert m and m[1] == m[3] and m[2] == m[6]
+    w = re.fullmatch(r"Frau (\w+-\w+) und Mr\. (\w+), Mr\. (O'\w+), Mr\. (\w+-\w+) (\w+); κύριος ([α-ωΑ-Ωά-ώ]+)\.", got[1].text)
+    assert w and w[4].split("-")[0] in GIVEN["latin_m"]
+    v = re.fullmatch(r"Herr (\w+) van (\w+) spoke\. (\w+) (\w+) wrote to (\w+ \w+)'s friend\. Smithers and Smith-Jones stay\.", got[2].text)
+    assert v and v[3] in GIVEN["latin_f"] and v[5] == m[1]
+    assert got[3].text == f"Mrs. {m[4]} {v[4]}"  # one Toni and one Kowalska everywhere
+    assert got[4].text == texts[4] and got[5].text == got[6].text == f"Mr. {m[2]}"
+
+
+def test_numbers_of_one_entity(spark):
+    texts = ["+1 (017) 555-7713", "(017) 555-7713", "DE89 3704 0044 0532 0130 00 and DE89370400440532013000"]
+    got = run(spark, texts)
+    assert got[0].text == "+1 " + got[1].text and got[1].text != texts[1]
+    a, b = got[2].text.split(" and ")
+    assert a.replace(" ", "") == b != texts[2] and re.fullmatch(r"DE\d{2} \d{4} \d{4} \d{4} \d{4} \d{2}", a)
+    assert int(b[4:] + "1314" + b[2:4]) % 97 == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a" * 1_000_000, "x@" + "a." * 100_000 + "com", "1" * 1_000_000, "1-" * 500_000, "+" * 500_000, "A" * 1_000_000, "Mr. " * 250_000, "Anna " * 100_000, "'A" * 300_000,
+     "AB12 " * 200_000, "(017) " * 100_000, "a@" * 500_000, "a.b-" * 250_000, "Mr. A" + "-B" * 300_000, "é" * 500_000],
+)
+def test_long_texts_in_linear_time(spark, text):
+    began = time.time()
+    got = run(spark, [text])[0]
+    assert time.time() - began < 30 and len(got.text) > 0
+
+
+def test_many_mentions(spark):
+    text = " ".join(f"u{k}@mail.example.com {k % 250}.1.2.3 Mr. Jones" for k in range(5_000))
+    got = run(spark, [text, text, "clean"])
+    assert (got[0].n_mentions, got[0].text) == (15_000, got[1].text) and got[2].text == "clean"
+    new = got[0].text.split(" ")
+    assert len(set(new[::4])) == 5_000 and not any(a == b for a, b in zip(new, text.split(" "), strict=True) if "." in a[:-1])
+
+
+def brute_replaced(text, surrogate):
+    """The text with each mention found from left to right, one at a time, replaced by its known surrogate."""
+    out, at = [], 0
+    for m in regex.finditer(MENTION, text):
+        out += [text[at : m.start()], surrogate[m[0]]]
+        at = m.end()
+    return "".join(out) + text[at:]
+
+
+def test_query_against_brute_force(spark):
+    """The registered query over a whole table: texts differ only in mentions, one surrogate each, none shared or real."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op5_pii_surrogates(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    surrogate = {}
+    for d, text in docs.items():
+        raws = [m[0] for m in regex.finditer(MENTION, text or "")]
+        assert got[d].n_mentions == len(raws)
+        pattern = "(.*)".join(regex.escape(p) for p in regex.split(MENTION, text or ""))
+        found = regex.fullmatch(pattern, got[d].text or "", flags=regex.DOTALL)
+        assert found, d
+        for raw, new in zip(raws, found.groups(), strict=True):
+            assert surrogate.setdefault(raw, new) == new
+    assert len(surrogate) > 10 and len(set(surrogate.values())) == len({r.lower() for r in surrogate}) and not set(surrogate) & set(surrogate.values())
+    assert all((got[d].text or "") == brute_replaced(t or "", surrogate) for d, t in docs.items())
+
+
 def test_collisions_are_drawn_again(spark):
-    rows = [("card:2", f"{k:02d}") for k in range(40)] + [("given:latin_m", n) for n in "adam bruno carl x y z a b c d e f g h i j k l m n".split()]
-    got = surrogate_table(spark.createDataFrame(rows, "class string, canon string"), "k").collect()
+    rows = [("card:2", f"{k:02d}", None) for k in range(40)] + [("given:latin", n, "m") for n in "adam bruno carl x y z a b c d e f g h i j k l m n".split()]
+    got = surrogate_table(spark.createDataFrame(rows, "class string, canon string, gender string"), "k").collect()
     assert len(got) == len(rows) and len({(r["class"], r.body.lower()) for r in got}) == len(rows)
-    assert not {(r["class"], r.body.lower()) for r in got} & set(rows)
+    assert not {(r["class"], r.body.lower()) for r in got} & {r[:2] for r in rows}
+
+
+@pytest.mark.parametrize("count", [100, 97, 1])
+def test_full_class_swaps(spark, count):
+    """A class with as many entities as its format has values ends, all surrogates distinct and none an entity's own."""
+    rows = [("ssn:2", f"{k:02d}", None) for k in range(count)]
+    got = surrogate_table(spark.createDataFrame(rows, "class string, canon string, gender string"), "k", rounds=3).collect()
+    assert len(got) == len({r.body for r in got}) == count and not [r for r in got if r.body == r.canon]
 
 
 def test_edges(spark):

@@ -117,3 +117,21 @@ def components(edges: DataFrame) -> DataFrame:
 def broadcast_if_bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (Spark then shuffles)."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: A key is hot from this many rows on and from this part of all rows on, so at most HOT_PARTS keys are.
+HOT_ROWS, HOT_PARTS = 10_000, 1_000
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``lookup`` (one row a key), hot keys apart so that none of them lands in one task.
+
+    At most HOT_PARTS keys can hold one in HOT_PARTS of all rows; their rows meet a broadcast of those keys' lookups.
+    Both tables are read more than once, so they should be materialised.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = checkpointed(counts.where(F.col("_n") >= F.greatest(F.lit(hot_rows), F.lit(rows.count()) / HOT_PARTS)).select(key))
+    if hot.isEmpty():
+        return rows.join(lookup, key)
+    few = F.broadcast(lookup.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(few, key).union(rows.join(F.broadcast(hot), key, "left_anti").join(lookup, key).select(*rows.join(few, key).columns))
