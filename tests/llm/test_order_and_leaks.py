@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tomewatch.llm import language_id, line_crf
 from tomewatch.llm.decontaminate import _lcs, find_leaks
@@ -66,10 +67,13 @@ def test_training_order_round_trip(spark, tmp_path):
 
 def test_mixing(spark):
     rows = [(k, f"t{k}", "en", "big" if k % 3 else ("small" if k % 2 else None)) for k in range(3000)] + [(7, "t7", "en", "big")]
-    got = poisson_mix(docs(spark, rows), weights={"big": 1, "small": 2, None: 1}).collect()
+    got = poisson_mix(docs(spark, rows), weights={"big": 1, "small": 2, None: 1}).withColumn("p", F.spark_partition_id()).collect()
     share = {s: sum(r.source == s for r in got) / len(rows) for s in ("big", "small", None)}
     assert abs(share["big"] - 0.25) < 0.05 and abs(share["small"] - 0.5) < 0.06 and abs(share[None] - 0.25) < 0.05
-    assert [r.mix_key for r in got] == sorted(r.mix_key for r in got)
+    assert [(r.p, r.mix_key) for r in got] == sorted((r.p, r.mix_key) for r in got) and len({r.mix_key for r in got}) > 2900
+    for p in {r.p for r in got}:  # every partition is a mix of all sources and ids
+        mine = [r for r in got if r.p == p]
+        assert {r.source for r in mine} == {"big", "small", None} and abs(np.corrcoef([r.doc_id for r in mine], range(len(mine)))[0, 1]) < 0.15
     columns = poisson_mix(docs(spark, rows)).columns
     assert len(columns) == len(set(columns))
     per = {}
@@ -219,6 +223,26 @@ def test_language(spark):
     assert language_id.identify(docs(spark, tests), language_id.train(docs(spark, []))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_beyond_one_word(spark):
+    """More than 64 languages; a document's votes equal those counted from sets of n-grams, but for false bits."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    say = {f"l{k:03d}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(3)] for k in range(150)}
+    rows = [(k, " ".join(rng.choice(say[l]) for _ in range(12)), l) for k, l in enumerate([*say, *say, *say])]
+    model = language_id.train(docs(spark, rows))
+    assert model.names == sorted(say) and model.masks.shape[0] == 3
+    held = {l: set() for l in say}
+    grams = lambda text: [f" {w} "[i : i + 4] for w in text.split() for i in range(len(w) - 1)]
+    for _, text, l in rows:
+        held[l].update(grams(text))
+    tests = [(k, " ".join(rng.choice(say[l]) for _ in range(8)), l) for k, l in enumerate(say)]
+    got = {r.doc_id: r for r in language_id.identify(docs(spark, tests), model).collect()}
+    for k, text, l in tests:
+        votes = {name: sum(g in own for g in grams(text)) for name, own in held.items()}
+        assert got[k].lang_pred == max(sorted(votes), key=votes.get) == l
+        assert abs(got[k].score - votes[l] / sum(votes.values())) < 0.02
+
+
 def brute_marginals(odds, same):
     n, total, good = len(odds), 0.0, np.zeros(len(odds))
     for s in range(1 << n):

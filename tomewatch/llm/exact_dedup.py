@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import HOT_PARTS, ascii_lower, checkpointed
 
-#: Most surviving (length, prefix) groups that are broadcast: 16 bytes each, 8 MB in all.
+#: Most shared lengths, and most surviving (length, prefix) groups, that are broadcast: 16 bytes each, 8 MB in all.
 BROADCAST_GROUPS = 500_000
 
 
 def exact_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64,
-    broadcast_groups: int = BROADCAST_GROUPS, keep: dict[str, Column] | None = None,
+    broadcast_groups: int = BROADCAST_GROUPS, keep: dict[str, Column] | None = None, digest: str | None = None,
 ) -> DataFrame:
     """Decide for every row whether it stays among rows of equal text.
 
     Returns the id, the columns of ``keep`` (the text by default) and ``keep_id`` (largest id of the group),
     ``group_size`` and ``kept``. Only built-in functions run. Texts travel only if they are kept: the last join
-    moves the id, a hash and those columns.
+    moves the id, a hash and those columns. With ``digest``, every row's full hash (hexadecimal) is a column of that
+    name; step 3 then takes it from there, hashed once a row.
 
     1. Rows whose byte length nobody shares are unique; no hash is computed for them.
     2. Of the others, rows whose hash of the first ``prefix_chars`` characters nobody of that length
@@ -27,8 +28,9 @@ def exact_dedup(
     3. Only the rest is hashed whole (SHA-256) and grouped by that hash.
 
     Each step sends one pre-aggregated row per key and task, so a group of copies holding a third of all
-    rows costs no more than another key. The groups that survive step 2 reach the scan by broadcast only
-    if they are counted at ``broadcast_groups`` or fewer, else by a join on their key.
+    rows costs no more than another key. The lengths that are shared, and the groups that survive step 2, reach the
+    scan by broadcast only if they are counted at ``broadcast_groups`` or fewer, else by a join on their key; the
+    lengths that hold one in 1,000 of all rows or more, at most 1,000, are then joined apart by broadcast.
 
     Nulls count as empty text, and empty texts form one group. A null id sorts below any other; a group
     of null ids alone keeps a null ``keep_id`` and ``kept`` is true for one-row groups only. Rows that
@@ -41,20 +43,30 @@ def exact_dedup(
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
     prefix = F.xxhash64(ascii_lower(F.substring(F.col(text_col), 1, prefix_chars)))
 
-    lengths = rows.select(size.alias("_len")).groupBy("_len").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = rows.select(size.alias("_len"), prefix.alias("_prefix")).join(lengths, "_len", "left_semi")
+    lengths = checkpointed(rows.select(size.alias("_len")).groupBy("_len").agg(F.count("*").alias("n")).where("n > 1"))
+    held, total = lengths.agg(F.count("*"), F.sum("n")).first()
+    short = rows.select(size.alias("_len"), prefix.alias("_prefix"))
+    if held <= broadcast_groups:
+        shared = short.join(F.broadcast(lengths.select("_len")), "_len", "left_semi")
+    else:
+        hot = F.broadcast(lengths.where(F.col("n") >= total / HOT_PARTS).select("_len"))
+        rest = short.join(hot, "_len", "left_anti").join(lengths.select("_len"), "_len", "left_semi")
+        shared = short.join(hot, "_len", "left_semi").union(rest)
     groups = checkpointed(shared.groupBy("_len", "_prefix").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     survivors = groups.withColumn("_survives", F.lit(True))
     if groups.count() <= broadcast_groups:
         survivors = F.broadcast(survivors)
 
     staged = rows.withColumn("_len", size).withColumn("_prefix", prefix).join(survivors, ["_len", "_prefix"], "left")
+    full = F.sha2(norm, 256)
+    if digest:
+        staged, keep, full = staged.withColumn("_full", full), {**keep, digest: F.col("_full")}, F.col("_full")
     hashed = staged.select(
         id_col,
         *[c.alias(f"_keep_{n}") for n, c in keep.items()],
         "_survives",
         # rows known to be unique get a key of their own (8 bytes, never a hash's 32), so that they spread over the join
-        F.when(F.col("_survives"), F.unhex(F.sha2(norm, 256))).otherwise(F.unhex(F.hex(F.xxhash64(id_col, "_len", "_prefix")))).alias("_hash"),
+        F.when(F.col("_survives"), F.unhex(full)).otherwise(F.unhex(F.hex(F.xxhash64(id_col, "_len", "_prefix")))).alias("_hash"),
     )
     copies = (
         hashed.where(F.col("_survives"))

@@ -14,23 +14,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .kernels import U, chunks, mix
 
 UNDETERMINED = "und"
-#: Slots of the filter (a power of two); 8 bytes each, 2 MB in all.
-SLOTS = 1 << 18
+#: Least number of slots of the filter (a power of two), and slots for each n-gram that it holds.
+SLOTS, SLOTS_A_GRAM = 1 << 18, 8
 HASHES = 3
-#: Most n-grams of a language that enter the filter, the most frequent first.
-GRAMS = 30_000
-#: An n-gram belongs to a language if it is at least this frequent there, absolutely and against the language where it is most frequent.
-MIN_SHARE, MIN_AGAINST_BEST = 2e-6, 0.25
+#: A language contains an n-gram if it is at least this part of the language's n-grams; at most 500,000 n-grams are.
+MIN_SHARE = 2e-6
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 @dataclass
 class LanguageFilters:
-    """names[i] is the language of bit i; masks are the slots; false_rate[i] is the chance of a false bit i."""
+    """names[i] is the language of bit i mod 64 of word i div 64 of a slot; false_rate[i] is the chance of a false bit."""
 
     names: list[str]
     masks: np.ndarray
@@ -58,21 +57,22 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return gram, np.searchsorted(offsets, at, "right") - 1
 
 
-def _slots(grams: np.ndarray) -> list[np.ndarray]:
+def _slots(grams: np.ndarray, slots: int) -> list[np.ndarray]:
+    """HASHES slots of each n-gram."""
     h = mix(grams.astype(U) + U(0x632BE59BD9B4E019))
-    return [((h >> U(20 * j)) & U(SLOTS - 1)).astype(np.int64) for j in range(HASHES)]
+    return [(mix(h + U(j)) & U(slots - 1)).astype(np.int64) for j in range(HASHES)]
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", grams: int = GRAMS) -> LanguageFilters:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageFilters:
     """Count the n-grams of every row with a language, and build the filters.
 
-    All rows and whole texts are counted: each task sums its own counts per language, Spark adds them up, and
-    the driver gets at most ``grams`` n-grams for each of at most 64 languages. Null languages teach nothing.
+    All rows and whole texts are counted: each task sums its own counts per language and Spark adds them up. A
+    language contains the n-grams of a share of MIN_SHARE or more, so at most 1 / MIN_SHARE of them whatever the
+    input's size; rarer ones say nothing about a language. The filter has SLOTS_A_GRAM slots for each, of one 64-bit word
+    for every 64 languages; executors set its bits and the driver gets the slots that are not empty. Null languages
+    teach nothing.
     """
-    names = [r[0] for r in docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(65).collect()]
-    names.sort()
-    if len(names) > 64:
-        raise ValueError("a mask holds at most 64 languages")
+    names = sorted(r[0] for r in docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string")).distinct().collect())
 
     def count(batches):
         held: list[list[tuple]] = [[] for _ in names]
@@ -106,20 +106,22 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", grams
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
     counted = labelled.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counted.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    best = shares.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("at"))
-    member = best.select("gram", "best", F.inline("at")).where(F.col("share") >= F.greatest(F.lit(MIN_SHARE), F.col("best") * MIN_AGAINST_BEST))
-    chosen = None
-    for k in range(len(names)):
-        top = member.where(F.col("lang") == k).orderBy(F.desc("share"), "gram").limit(grams).select("lang", "gram")
-        chosen = top if chosen is None else chosen.union(top)
-    masks = np.zeros(SLOTS, U)
-    if chosen is not None:
-        table = chosen.toPandas()
-        for k in range(len(names)):
-            for slot in _slots(table.loc[table["lang"] == k, "gram"].to_numpy(dtype=np.uint64)):
-                masks[slot] |= U(1 << k)
-    fill = np.array([((masks >> U(k)) & U(1)).mean() for k in range(len(names))])
+    member = counted.join(F.broadcast(totals), "lang").where(F.col("n") >= MIN_SHARE * F.col("total")).select("lang", "gram")
+    member = checkpointed(member)
+    grams = member.select("gram").distinct().count()
+    slots = max(SLOTS, 1 << (SLOTS_A_GRAM * max(grams, 1) - 1).bit_length())
+
+    def set_bits(batches):
+        for b in batches:
+            lang = b.column(0).to_numpy()
+            bit = (U(1) << (lang % 64).astype(U)).view(np.int64)
+            for at in _slots(b.column(1).to_numpy(), slots):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang // 64, pa.int32()), pa.array(bit)], ["slot", "word", "bits"])
+
+    filled = member.mapInArrow(set_bits, "slot long, word int, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    masks = np.zeros((max(1, -(-len(names) // 64)), slots), U)
+    masks[filled["word"].to_numpy(dtype=np.int64), filled["slot"].to_numpy(dtype=np.int64)] = filled["bits"].to_numpy(dtype=np.int64).view(U)
+    fill = np.array([((masks[k // 64] >> U(k % 64)) & U(1)).mean() for k in range(len(names))])
     return LanguageFilters(names, masks, fill**HASHES)
 
 
@@ -133,7 +135,7 @@ def identify(
     at least 0. The largest corrected count wins, ties going to the first name; the score is its share of all
     corrected counts. A text without a letter, empty or null, is ``und`` with score 0; a text with letters of
     which no window is known gets the first name with score 0. Whole texts are read; a map over rows without a
-    shuffle, one broadcast of 2 MB. Null ids pass through; repeated rows are judged alike; other columns are
+    shuffle, one broadcast of the filter (2 MB, or 64 bytes an n-gram and 64 languages if that is more). Null ids pass through; repeated rows are judged alike; other columns are
     not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -146,13 +148,13 @@ def identify(
             names, scores = [], []
             for lo, hi, data, offsets in chunks(padded):
                 gram, row = _grams(data, offsets)
-                mask = np.full(len(gram), ~U(0))
-                for slot in _slots(gram):
-                    mask &= m.masks[slot]
+                mask = np.full((len(m.masks), len(gram)), ~U(0))
+                for slot in _slots(gram, m.masks.shape[1]):
+                    mask &= m.masks[:, slot]
                 n = np.bincount(row, minlength=hi - lo)
                 votes = np.zeros((hi - lo, max(1, len(m.names))))
                 for k, f in enumerate(m.false_rate):
-                    c = np.bincount(row, weights=((mask >> U(k)) & U(1)).astype(np.float64), minlength=hi - lo)
+                    c = np.bincount(row, weights=((mask[k // 64] >> U(k % 64)) & U(1)).astype(np.float64), minlength=hi - lo)
                     votes[:, k] = np.maximum(0, (c - n * f) / (1 - f)) if f < 1 else 0
                 best, total = votes.argmax(1), votes.sum(1)
                 score = np.divide(votes.max(1), total, out=np.zeros(hi - lo), where=total > 0)

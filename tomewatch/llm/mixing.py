@@ -28,13 +28,14 @@ def poisson_mix(
     ``epochs * n * w_s / (sum of w * n_s)``. A row's count is the inverse Poisson distribution function at a
     uniform number hashed from seed and id: reruns and lost tasks repeat it exactly.
 
-    Adds ``rate``, ``n_copies``, ``copy`` (0, 1, ...) and ``mix_key``, and sorts by ``mix_key`` (a hash of
-    seed, id and copy), which is the global shuffle: it range-partitions, so a hot source or a much repeated
-    document spreads over all tasks. Counts per source are pre-aggregated; the rates are broadcast only if
-    they are few, else joined.
+    Adds ``rate``, ``n_copies``, ``copy`` (0, 1, ...) and ``mix_key`` (a hash of seed, id and copy). Rows are dealt
+    to partitions by ``mix_key`` and sorted by it inside them: a global shuffle in one exchange, without a pass that
+    samples for ranges, in which a hot source or a much repeated document spreads over all tasks. Counts per
+    source are pre-aggregated; the rates are broadcast only if they are few, else joined.
 
     Null sources are one source. Rows of one id, null included, get the same count and stay apart as rows.
-    Columns of ``df`` named like an added one are replaced. A source without a weight gets rate 0. Empty tables and empty texts are ordinary input.
+    Columns of ``df`` named like an added one are replaced. A source without a weight gets rate 0. Empty tables and
+    empty texts are ordinary input.
     """
     spark = df.sparkSession
     df = df.drop("rate", "n_copies", "copy", "mix_key")
@@ -43,7 +44,7 @@ def poisson_mix(
         weighted = sizes.withColumn("_w", F.lit(1.0))
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "_key string, _w double")
-        weighted = sizes.join(F.broadcast(given), F.col("_source").cast("string").eqNullSafe(F.col("_key")), "left")
+        weighted = sizes.join(given, F.col("_source").cast("string").eqNullSafe(F.col("_key")), "left")
         weighted = weighted.select("_source", "_rows", F.coalesce("_w", F.lit(0.0)).alias("_w"))
     weighted = checkpointed(weighted)
     rows, weight = weighted.agg(F.sum("_rows"), F.sum("_w")).first()
@@ -62,4 +63,4 @@ def poisson_mix(
     copies = drawn.withColumn("n_copies", n).where("n_copies > 0").drop("_source", "_cdf", "_u")
     out = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return out.withColumn("mix_key", key).orderBy("mix_key")
+    return out.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")

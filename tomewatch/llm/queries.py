@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import language_id, line_crf
-from .common import ascii_lower, read
+from .common import read
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
@@ -29,8 +29,8 @@ def query(f):
 
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = {"text_sha256": F.sha2(ascii_lower(F.col("text")), 256)}
-    return exact_dedup(read(spark, sf_dir, "documents"), keep=digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact_dedup(read(spark, sf_dir, "documents"), keep={}, digest="text_sha256")
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLES["op3_exact_dedup"] = """
