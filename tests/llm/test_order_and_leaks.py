@@ -277,6 +277,36 @@ def test_quality(spark):
     assert line_crf.score_documents(docs(spark, []), field).count() == 0
 
 
+def test_mixed_pages(spark):
+    """Lines are latent: documents marked bad for half of their lines get good and bad lines apart."""
+    rng = random.Random(10)
+    good = lambda: " ".join(rng.choice(["plain", "words", "in", "a", "line"]) for _ in range(12)).capitalize() + "."
+    bad = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "$$$", "CLICK"]) for _ in range(16))
+    page = lambda n, m: "\n".join([good() for _ in range(n)] + [bad() for _ in range(m)])
+    rows = [(k, page(8, 0) if k % 3 else page(2, 9)) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(240)], "doc_id long, quality int")
+    field = line_crf.train(docs(spark, rows + rows[:50]), labels)
+    tests = [(k, page(6, 6)) for k in range(20)] + [(20, page(12, 0)), (21, page(0, 12)), (22, page(900, 900))]
+    got = {r.doc_id: r for r in line_crf.score_documents(docs(spark, tests), field).collect()}
+    assert all(got[k].n_lines == 12 and 4 <= got[k].n_bad_lines <= 7 for k in range(20))
+    assert got[20].n_bad_lines == 0 and got[21].n_bad_lines == 12 and 850 <= got[22].n_bad_lines <= 901
+
+
+def test_tilt():
+    """After the tilt every document's length-weighted marginal agrees with its label, and those that did are untouched."""
+    rng = np.random.default_rng(2)
+    doc = np.repeat(np.arange(6), [1, 4, 9, 3, 5, 2])
+    labels, odds = np.array([1, 0, 1, 0, 1, 0]), rng.normal(size=len(doc)) * 3
+    share = rng.random(len(doc)) + 0.1
+    share /= np.bincount(doc, weights=share)[doc]
+    level = lambda o: np.bincount(doc, weights=share * line_crf.marginals(o, doc, 0.5))
+    moved = line_crf.tilted(odds, doc, 0.5, share, doc, labels)
+    before, after = level(odds), level(moved)
+    assert all(after[labels == 1] >= line_crf.GOOD - 1e-3) and all(after[labels == 0] <= line_crf.BAD + 1e-3)
+    fine = np.where(labels == 1, before >= line_crf.GOOD, before <= line_crf.BAD)
+    assert np.array_equal(moved[fine[doc]], odds[fine[doc]])
+
+
 def test_warc(spark):
     page = '<html lang="de"><head><title>T &amp;\n x</title><style>p{}</style></head><body><p>Gr&uuml;&#223;e&nbsp;&#x21;<br>a<b>b</b></p><script>no<p></script><a href="/u">L</a><!-- c -->'
     rows = [(1, "http://a/", page), (2, None, None), (1, "http://a/", page), (3, "http://b/", "plain &#xD800; &#99999999;" + "<p>z" * 30_000), (None, "u", "")]

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from .kernels import LOWER, chunks, distinct_sorted, span_hashes, words
 
-#: Labelled documents that the field is fitted on, those of the smallest id hash; and lines taken from one of them.
-TRAIN_DOCS, TRAIN_LINES = 6_000, 400
+#: Labelled documents that the field is fitted on, those of the smallest id hash.
+TRAIN_DOCS = 6_000
+#: Lines of a chain while fitting; a longer document gives several chains, each line being in one of them.
+CHAIN = 400
+#: A good document's lines are good for at least this part of its bytes, a bad one's for at most this part.
+GOOD, BAD = 0.9, 0.15
 _CLASS = np.full(256, 3, np.uint8)  # 0 upper, 1 lower or beyond ASCII, 2 digit, 3 other, 4 space
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 0, 1, 1, 2
 _CLASS[[9, 11, 12, 13, 32]] = 4
@@ -128,26 +132,62 @@ def marginals(odds: np.ndarray, row: np.ndarray, same: float) -> np.ndarray:
     return sigmoid(forward + backward)
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 250, penalty: float = 2e-3) -> LineField:
-    """Maximise the conditional likelihood of the lines' labels (each line has its document's) by Adam."""
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+def _totals(values: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    return np.bincount(doc, weights=values, minlength=docs)
+
+
+def tilted(odds: np.ndarray, row: np.ndarray, same: float, share: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Log-odds whose marginals are nearest to the field's while every document's length-weighted one agrees with its label.
+
+    Documents that agree keep their odds. Of others all lines move by one number a document, found by bisection.
+    ``share`` is a line's part of its document's bytes.
+    """
+    level = lambda shift: _totals(share * marginals(odds + shift[doc], row, same), doc, len(labels))
+    now = level(np.zeros(len(labels)))
+    wanted = np.where(labels == 1, np.maximum(now, GOOD), np.minimum(now, BAD))
+    low, high = np.where(wanted < now, -40.0, 0.0), np.where(wanted > now, 40.0, 0.0)
+    for _ in range(16):
+        middle = (low + high) / 2
+        above = level(middle) > wanted
+        low, high = np.where(above, low, middle), np.where(above, middle, high)
+    return odds + np.where(wanted == now, 0.0, (low + high) / 2)[doc]
+
+
+def _stay(forward: np.ndarray, odds: np.ndarray, backward: np.ndarray, same: float, i: np.ndarray) -> np.ndarray:
+    """Probability that lines i and i + 1 are alike, from the pairwise marginals."""
+    into, out = forward[i], odds[i + 1] + backward[i + 1]
+    return sigmoid(np.logaddexp(same + into + out, same) - np.logaddexp(into, out))
+
+
+def fit(features: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, rounds: int = 4, steps: int = 80, penalty: float = 2e-3) -> LineField:
+    """Fit the field with the lines' labels latent: only a document's length-weighted share of good lines is known.
+
+    Round 0 takes every line to be like its document. Later rounds take the field's own marginals, moved no more than the
+    documents' labels ask (posterior regularisation), so lines of one document may differ. Each round maximises the
+    expected conditional likelihood by Adam.
+    """
+    doc = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    within = np.concatenate([np.arange(len(f)) for f in features])
+    row = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (within[1:] % CHAIN == 0)))
     raw = np.concatenate(features).astype(np.float64)
     mean, spread = raw.mean(0), raw.std(0) + 1e-3
-    x = _with_neighbours((raw - mean) / spread, row)
-    y = labels[row].astype(np.float64)
-    weigh = 1 / np.bincount(row)[row]  # each document counts once
-    joint = np.append(row[1:] == row[:-1], False)
+    x = _with_neighbours((raw - mean) / spread, doc)
+    size = np.concatenate(sizes).astype(np.float64)
+    share = size / _totals(size, doc, len(labels))[doc]
+    weigh = 1 / np.bincount(doc)[doc]  # each document counts once
+    i = np.flatnonzero(np.append(row[1:] == row[:-1], False))
+    line, alike = labels[doc].astype(np.float64), np.ones(len(i))
     theta, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    for step in range(1, steps + 1):
+    for step in range(1, rounds * steps + 1):
         w, same = theta[:-1], theta[-1]
         odds = x @ w
+        if step > 1 and step % steps == 1:
+            moved = tilted(odds, row, same, share, doc, labels)
+            forward, backward = messages(moved, row, same)
+            line, alike = sigmoid(forward + backward), _stay(forward, moved, backward, same, i)
         forward, backward = messages(odds, row, same)
-        grad = x.T @ (weigh * (y - sigmoid(forward + backward))) / len(labels)
-        # agreement of neighbours, seen less expected from the pairwise marginals
-        i = np.flatnonzero(joint)
-        into, out = forward[i], odds[i + 1] + backward[i + 1]
-        stay = sigmoid(np.logaddexp(same + into + out, same) - np.logaddexp(into, out))
-        grad_same = float((weigh[i] * ((y[i] == y[i + 1]) - stay)).sum()) / len(labels)
+        grad = x.T @ (weigh * (line - sigmoid(forward + backward))) / len(labels)
+        grad_same = float((weigh[i] * (alike - _stay(forward, odds, backward, same, i))).sum()) / len(labels)
         g = np.append(grad, grad_same) - penalty * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -156,13 +196,13 @@ def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 250, penalt
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES,
+    train_docs: int = TRAIN_DOCS,
 ) -> LineField | None:
     """Fit the field on at most ``train_docs`` labelled documents; None if there is no labelled text.
 
     The sample is the labelled ids of the smallest hash, so it is the same on every run. Features are made on
-    the executors from whole texts; of a document of more than ``train_lines`` lines the first ones are used
-    for fitting (scoring uses all lines).
+    the executors from whole texts; the driver gets 52 bytes a line, of one row an id however often ids repeat (that
+    of the largest features).
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     sample = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(train_docs)
@@ -170,16 +210,18 @@ def train(
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in chunks(b.column(1)):
-                x, _, row = line_features(data, offsets)
+                x, size, row = line_features(data, offsets)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                held = [x[cut[k] : min(cut[k + 1], cut[k] + train_lines)].tobytes() for k in range(hi - lo)]
+                held = [np.hstack([x[s:e], size[s:e, None].astype(np.float32)]).tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(held, pa.binary())], ["k", "y", "x"])
 
     chosen = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(F.xxhash64(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), "y")
-    got = sorted((r for r in chosen.mapInArrow(run, "k long, y int, x binary").collect() if len(r["x"])), key=lambda r: (r["k"], bytes(r["x"])))
+    once = chosen.mapInArrow(run, "k long, y int, x binary").groupBy("k", "y").agg(F.max("x").alias("x"))
+    got = sorted((r for r in once.collect() if len(r["x"])), key=lambda r: r["k"])
     if not got:
         return None
-    return fit([np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, OWN) for r in got], np.array([r["y"] for r in got]))
+    lines = [np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, OWN + 1) for r in got]
+    return fit([x[:, :OWN] for x in lines], [x[:, OWN] for x in lines], np.array([r["y"] for r in got]))
 
 
 def score_lines(field: LineField, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
