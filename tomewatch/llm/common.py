@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch of whole texts; Spark's defaults would hand a worker tens of MB at once.
-TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 4 << 20
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 1 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

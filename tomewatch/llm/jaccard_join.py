@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, id_filter, integer_ids, may_hold
-from .kernels import SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, mix, shingles
+from .kernels import SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, mix, shingles, trimmed
 
 #: Longs of a set's parity sketch: bit k tells whether the elements hashed to k are odd in number.
 PARITY = 8
@@ -57,7 +57,7 @@ def _rows(df: DataFrame, n: int, counts, num: int, den: int, id_col: str, text_c
                 )
 
     ids = df.select(integer_ids(df, id_col).alias("id"), F.col(text_col).cast("string"))
-    return ids.mapInArrow(run, f"id long, n long, f1 long, f2 long, {', '.join(f'{x} long' for x in _BITS)}, prefix array<long>")
+    return ids.mapInArrow(trimmed(run), f"id long, n long, f1 long, f2 long, {', '.join(f'{x} long' for x in _BITS)}, prefix array<long>")
 
 
 def level(n: int, block: int = BLOCK) -> int:
@@ -107,7 +107,7 @@ def _blocks(df: DataFrame, n: int, num: int, den: int, block: int, bitmap, id_co
                 )
 
     ids = df.where(F.col(id_col).isNotNull()).select(integer_ids(df, id_col).alias("id"), F.col(text_col).cast("string"))
-    return ids.mapInArrow(run, "id long, f long, level int, block long, h binary")
+    return ids.mapInArrow(trimmed(run), "id long, f long, level int, block long, h binary")
 
 
 def _product(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int, block: int, id_col: str, text_col: str) -> DataFrame:
@@ -129,7 +129,7 @@ def _product(pairs: DataFrame, df: DataFrame, n: int, num: int, den: int, block:
     entry = ["a", "b", "fa", "fb", "na", "nb"]
     left, right = (blocks.select(F.col("id").alias(k), F.col("f").alias(f"f{k}"), "level", "block", F.col("h").alias(f"h{k}")) for k in "ab")
     paired = pairs.withColumn("level", _level(F.greatest("na", "nb"), block)).join(left, ["a", "fa", "level"]).join(right, ["b", "fb", "level", "block"])
-    counted = paired.select(*entry, "block", "ha", "hb").mapInArrow(run, ", ".join(f"{c} long" for c in (*entry, "block", "common")))
+    counted = paired.select(*entry, "block", "ha", "hb").mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in (*entry, "block", "common")))
     # rows that repeat an id and a text give a block's count more than once
     total = counted.groupBy(*entry, "block").agg(F.max("common").alias("common")).groupBy(*entry).agg(F.sum("common").alias("common"))
     return total.where(F.col("common") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")

@@ -6,6 +6,7 @@ memory depends on the chunk (or on one very long text), not on the batch or the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -149,6 +150,19 @@ def distinct_sorted(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[new], row[new]
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when it ends, the worker, which Spark keeps for later tasks, gives freed memory back."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 SKETCH_CELLS = 1 << 20
 _PIECES, _PARTS = 64, 64
 
@@ -192,8 +206,8 @@ def count_sketch(
             yield row(*now, total)
 
     kind = "piece int, part int, cells binary"
-    summed = lambda rows, *by: rows.repartition(*by).sortWithinPartitions("piece", "part").mapInArrow(add, kind)
-    sent = df.select(F.col(text_col).cast("string")).mapInArrow(tally, kind)
+    summed = lambda rows, *by: rows.repartition(*by).sortWithinPartitions("piece", "part").mapInArrow(trimmed(add), kind)
+    sent = df.select(F.col(text_col).cast("string")).mapInArrow(trimmed(tally), kind)
     whole = summed(summed(sent, "piece", "part").withColumn("part", F.lit(0)), "piece")
     out = np.zeros((_PIECES, SKETCH_CELLS // _PIECES), np.int64)
     for r in whole.toLocalIterator():
