@@ -225,7 +225,7 @@ def nested_product(df: DataFrame, body: str = "body") -> DataFrame:
 def category_names(df: DataFrame, names: DataFrame, ids: str = "category_ids") -> DataFrame:
     """Arrays of category ids as arrays of names, in their order; unknown ids drop out."""
     keys = [c for c in df.columns if c != ids]
-    each = df.select(*keys, F.posexplode_outer(ids).alias("_p", "_id")).join(F.broadcast(names.select(F.col("id").alias("_id"), F.col("name").alias("_name"))), "_id", "left")
+    each = df.select(*keys, F.posexplode_outer(ids).alias("_p", "_id")).join(names.select(F.col("id").alias("_id"), F.col("name").alias("_name")), "_id", "left")
     listed = F.sort_array(F.collect_list(F.when(F.col("_name").isNotNull(), F.struct("_p", "_name"))))
     return each.groupBy(*keys).agg(F.transform(listed, lambda s: s["_name"]).alias("categories"))
 

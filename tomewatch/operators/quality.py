@@ -1,9 +1,7 @@
-"""The data-quality suite: each rule turns live listings into findings; the suite joins and checks them."""
+"""The data-quality suite: listings get what the rules ask of other tables once, then all rules run in one pass."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,70 +13,10 @@ from .matching import isbn_drift, top_isbn
 FINDING = ["shop_id", "shop_book_id", "url", "field", "issue", "raw_value", "initial_state"]
 
 
-def findings(df: DataFrame, field: str, issue: str, raw: Column | None = None, state: str = "new") -> DataFrame:
-    value = F.lit(None) if raw is None else raw
-    return df.select(
-        "shop_id", F.col("id").alias("shop_book_id"), "url", F.lit(field).alias("field"), F.lit(issue).alias("issue"), value.cast("string").alias("raw_value"), F.lit(state).alias("initial_state")
-    )
-
-
-def repeated(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Rows whose key occurs again in their source: a count over the key instead of a self-join; null keys are equal."""
-    w = Window.partitionBy("shop_id", *keys)
-    return df.withColumn("_n", F.count("*").over(w)).where("_n > 1").drop("_n")
-
-
-def duplicate_isbn(books: DataFrame) -> DataFrame:
-    return findings(repeated(books.where("isbn is not null and isbn <> ''"), [F.col("isbn")]), "isbn", "isbn_duplicate", F.col("isbn"))
-
-
-def duplicate_title_author(books: DataFrame) -> DataFrame:
-    """Same title, author and ISBN, where no ISBN on both sides is the same too."""
-    named = books.where("title <> '' and author <> ''")
-    return findings(repeated(named, [F.lower("title"), F.lower("author"), F.col("isbn")]), "title", "title_author_duplicate", F.col("title"))
-
-
-def slug_rules(books: DataFrame) -> DataFrame:
-    slug = text.slug_from_url(F.col("url"))
-    lossy = text.diacritic_loss(slug, F.col("title"))
-    mismatch = books.where(text.slug_mismatch(slug, F.col("title")) & ~lossy)
-    return findings(mismatch, "title", "slug_title_mismatch", F.col("title")).union(findings(books.where(lossy), "url", "slug_diacritic_loss", F.col("title"), "acknowledged"))
-
-
 def looks_non_book() -> Column:
     return text.non_book_title(F.col("title")) | text.non_book_categories(F.array("category"))
 
 
-def price_rules(books: DataFrame) -> DataFrame:
-    bare = books.where("in_stock and price_cents is null")
-    zero = books.where("price_cents = 0")
-    return findings(bare, "price", "active_no_price").union(findings(bare, "price", "in_stock_no_price")).union(findings(zero, "price", "price_zero", F.col("price_cents")))
-
-
-def metadata_rules(books: DataFrame) -> DataFrame:
-    bare = books.where("type = 'book' and isbn is null and author is null and year is null").where(~looks_non_book())
-    return findings(bare, "type", "book_no_metadata").union(findings(bare.where("format is null"), "type", "book_no_signals"))
-
-
-def no_price_history(books: DataFrame, prices: DataFrame) -> DataFrame:
-    seen = prices.select(F.col("shop_book_id").alias("id"))
-    return findings(books.join(seen, "id", "left_anti"), "price", "no_price_history")
-
-
-def year_range(books: DataFrame, now: str) -> DataFrame:
-    latest = F.year(F.lit(now).cast("timestamp")) + 2
-    return findings(books.where((F.col("year") < 1800) | (F.col("year") > latest)), "year", "year_out_of_range", F.col("year"))
-
-
-def format_dimensions(books: DataFrame) -> DataFrame:
-    return findings(books.where(F.col("format").rlike(r"^\d+.*[xX×].*\d+")), "format", "format_is_dimensions", F.col("format"))
-
-
-def non_book_isbn(books: DataFrame) -> DataFrame:
-    hit = books.where((F.col("type") == "non_book") & F.col("isbn").rlike("^97[89]")).where(~looks_non_book())
-    return findings(hit, "type", "non_book_has_isbn", F.col("isbn"))
-
-
 def all_non_product(known: DataFrame) -> DataFrame:
     """Ids of listings all of whose URLs are non-product."""
     return known.where("shop_book_id is not null").groupBy(F.col("shop_book_id").alias("id")).agg(F.bool_and(F.col("type") == "non_product").alias("_all")).where("_all").select("id")
@@ -91,45 +29,79 @@ def heal(books: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("is_active", F.col("is_active") & F.col("_gone").isNull()).drop("_gone")
 
 
-def url_state(books: DataFrame, known: DataFrame, type: str, issue: str) -> DataFrame:
-    """Listings with a URL of a type, once each."""
-    hit = known.where(F.col("type") == type).select(F.col("shop_book_id").alias("id"))
-    return findings(books.join(hit, "id", "left_semi"), "url", issue)
-
-
-def stale(books: DataFrame, now: str) -> DataFrame:
-    return findings(books.where(F.col("last_seen_at") < F.lit(now).cast("timestamp") - F.expr("interval 28 days")), "last_seen_at", "stale_active")
-
-
-def orphans(books: DataFrame, known: DataFrame) -> DataFrame:
-    return findings(books.join(known.select(F.col("shop_book_id").alias("id")), "id", "left_anti"), "url", "orphan_no_url")
-
-
-def unmatched(books: DataFrame) -> DataFrame:
-    return findings(books.where("book_id is null and isbn is not null and isbn <> ''"), "isbn", "unmatched_has_isbn", F.col("isbn"))
-
-
-def drift(books: DataFrame, isbns: DataFrame) -> DataFrame:
-    hit = isbn_drift(books, isbns).join(top_isbn(isbns), "book_id", "left")
-    return findings(hit, "isbn", "match_isbn_drift", F.concat_ws("|", "isbn", "top_isbn"))
-
-
-def aliases(books: DataFrame, known: DataFrame) -> DataFrame:
-    other = known.select(F.col("shop_book_id").alias("id"), F.col("url").alias("_other"))
-    n = books.join(other, "id").where(urls.genuine_alias(F.col("url"), F.col("_other"))).groupBy("id").agg(F.count("*").alias("_n"))
-    return findings(books.join(n, "id"), "url", "url_aliases", F.col("_n"))
+def _copies(name: str, *keys: Column, when: Column) -> tuple[str, Column]:
+    """How many rows of a source share the keys, nulls being equal; a row that does not count is a group of its own."""
+    when = F.coalesce(when, F.lit(False))
+    own = [F.when(when, k) for k in keys]
+    return name, F.count("*").over(Window.partitionBy("shop_id", *own, F.when(~when, F.col("id"))))
+
+
+def marked(listings: DataFrame, known: DataFrame, prices: DataFrame, isbns: DataFrame) -> DataFrame:
+    """Live listings with what rules need besides their own columns: copies, prices, URLs, drift and whether healing ends them."""
+    books = live(listings)
+    priced = prices.select(F.col("shop_book_id").alias("id")).distinct().withColumn("_priced", F.lit(True))
+    urls_of = books.select("id", "url").join(known.select(F.col("shop_book_id").alias("id"), "type", F.col("url").alias("_other")), "id")
+    of_type = lambda kind: F.col("type") == kind
+    about_urls = urls_of.groupBy("id").agg(
+        F.bool_and(of_type("non_product")).alias("_all_non_product"), F.bool_or(of_type("non_product")).alias("_non_product"), F.bool_or(of_type("unreachable")).alias("_unreachable"),
+        F.count_if(urls.genuine_alias(F.col("url"), F.col("_other"))).alias("_aliases"), F.lit(True).alias("_has_url"),
+    )
+    drifted = isbn_drift(books, isbns).join(top_isbn(isbns), "book_id", "left").select("id", F.concat_ws("|", "isbn", "top_isbn").alias("_drift"))
+    counted = [
+        _copies("_same_isbn", F.col("isbn"), when=F.col("isbn") != ""),
+        _copies("_same_title", F.lower("title"), F.lower("author"), F.col("isbn"), when=(F.col("title") != "") & (F.col("author") != "")),
+    ]
+    return books.withColumns(dict(counted)).join(priced, "id", "left").join(about_urls, "id", "left").join(drifted, "id", "left")
+
+
+def rules(now: str) -> list[tuple[Column, str, str, Column | None, str]]:
+    """(condition, field, issue, value, first state) of every rule over ``marked`` listings; those of the second part see healed ones."""
+    col = F.col
+    slug = text.slug_from_url(col("url"))
+    lossy = text.diacritic_loss(slug, col("title"))
+    bare = (col("type") == "book") & col("isbn").isNull() & col("author").isNull() & col("year").isNull() & ~looks_non_book()
+    moment = F.lit(now).cast("timestamp")
+    has_isbn = col("isbn").isNotNull() & (col("isbn") != "")
+    unpriced = col("in_stock") & col("price_cents").isNull()
+    first = [
+        (has_isbn & (col("_same_isbn") > 1), "isbn", "isbn_duplicate", col("isbn"), "new"),
+        ((col("title") != "") & (col("author") != "") & (col("_same_title") > 1), "title", "title_author_duplicate", col("title"), "new"),
+        (text.slug_mismatch(slug, col("title")) & ~lossy, "title", "slug_title_mismatch", col("title"), "new"),
+        (lossy, "url", "slug_diacritic_loss", col("title"), "acknowledged"),
+        (unpriced, "price", "active_no_price", None, "new"),
+        (unpriced, "price", "in_stock_no_price", None, "new"),
+        (col("price_cents") == 0, "price", "price_zero", col("price_cents"), "new"),
+        (bare, "type", "book_no_metadata", None, "new"),
+        (bare & col("format").isNull(), "type", "book_no_signals", None, "new"),
+        (col("_priced").isNull(), "price", "no_price_history", None, "new"),
+        ((col("year") < 1800) | (col("year") > F.year(moment) + 2), "year", "year_out_of_range", col("year"), "new"),
+        (col("format").rlike(r"^\d+.*[xX×].*\d+"), "format", "format_is_dimensions", col("format"), "new"),
+        ((col("type") == "non_book") & col("isbn").rlike("^97[89]") & ~looks_non_book(), "type", "non_book_has_isbn", col("isbn"), "new"),
+    ]
+    healed = [
+        (col("_non_product"), "url", "non_product_active", None, "new"),
+        (col("last_seen_at") < moment - F.expr("interval 28 days"), "last_seen_at", "stale_active", None, "new"),
+        (col("_unreachable"), "url", "unreachable_active", None, "new"),
+        (col("_has_url").isNull(), "url", "orphan_no_url", None, "new"),
+        (col("book_id").isNull() & has_isbn, "isbn", "unmatched_has_isbn", col("isbn"), "new"),
+        (col("_drift").isNotNull(), "isbn", "match_isbn_drift", col("_drift"), "new"),
+        (col("_aliases") > 0, "url", "url_aliases", col("_aliases"), "new"),
+    ]
+    still = F.coalesce(~col("_all_non_product"), F.lit(True))
+    return first + [(still & condition, *rest) for condition, *rest in healed]
 
 
 def suite(listings: DataFrame, known: DataFrame, prices: DataFrame, isbns: DataFrame, now: str) -> DataFrame:
-    """All findings of all sources. The first rules see the live listings, the rest those still live after healing."""
-    first, healed = live(listings), live(heal(listings, known))
-    parts = [
-        duplicate_isbn(first), duplicate_title_author(first), slug_rules(first), price_rules(first), metadata_rules(first), no_price_history(first, prices),
-        year_range(first, now), format_dimensions(first), non_book_isbn(first),
-        url_state(healed, known, "non_product", "non_product_active"), stale(healed, now), url_state(healed, known, "unreachable", "unreachable_active"),
-        orphans(healed, known), unmatched(healed), drift(healed, isbns), aliases(healed, known),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All findings of all sources. The first rules see the live listings, the rest those still live after healing.
+
+    One pass: a listing's findings are an array that is exploded, so the number of rules adds no scan, join or shuffle.
+    """
+    made = [
+        F.when(condition, F.struct(F.lit(field).alias("field"), F.lit(issue).alias("issue"), (F.lit(None) if raw is None else raw).cast("string").alias("raw_value"), F.lit(state).alias("initial_state")))
+        for condition, field, issue, raw, state in rules(now)
+    ]
+    each = marked(listings, known, prices, isbns).select("shop_id", F.col("id").alias("shop_book_id"), "url", F.explode(F.array_compact(F.array(*made))).alias("f"))
+    return each.select("shop_id", "shop_book_id", "url", "f.*").select(*FINDING)
 
 
 def suite_counts(found: DataFrame) -> DataFrame:

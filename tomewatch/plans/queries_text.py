@@ -95,12 +95,11 @@ query("fn26_json_flag", "select event_id, cast(json_extract(props, '$.k') as int
 query("fn27_severity", "select issue, case when issue in ('missing_price', 'zero_price') then 'critical' when issue = 'url_aliases' then 'info' else 'warning' end as severity, count(*) as n from {validation_issues} group by 1, 2")(
     lambda t: t.validation_issues.join(F.broadcast(present.severities(t.spark)), "issue").groupBy("issue", "severity").agg(F.count("*").alias("n"))
 )
-query("fn31_category_names", "select supp as id, string_agg(p_name, '|' order by o) as names from (select l_suppkey as supp, l_partkey as part, l_orderkey as o from lineitem where l_linenumber = 7 and l_partkey % 3 = 0 and l_returnflag = 'R') l join part p on p.p_partkey = l.part group by 1")(
+query("fn31_category_names", "select o as id, coalesce(string_agg(p_name, '|' order by n) filter (where part % 3 <> 0), '') as names from (select l_orderkey as o, l_linenumber as n, l_partkey as part from lineitem) l join part p on p.p_partkey = l.part group by 1")(
     lambda t: x.category_names(
-        t.lineitem.where("l_linenumber = 7 and l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("id"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_partkey"))), lambda s: s["l_partkey"]).alias("category_ids")),
-        t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")),
-    ).where(F.size("categories") > 0).select("id", F.array_join("categories", "|").alias("names"))
+        t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("category_ids")),
+        t.part.select(F.when(F.col("p_partkey") % 3 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name")),
+    ).select("id", F.array_join("categories", "|").alias("names"))
 )
 
 # pages and feeds that Spark writes from the catalogue, read back by the extraction jobs
@@ -157,21 +156,21 @@ query("ext13_store_type", "select p_partkey as id, case when p_size % 2 = 0 then
 
 def feed(t):
     item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("size"))
-    return t.part.groupBy((F.col("p_partkey") % 97).alias("page")).agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(item)).alias("products")).alias("data"))).alias("body"))
+    return t.part.groupBy(F.floor(F.col("p_partkey") / 500).cast("long").alias("page")).agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(item)).alias("products")).alias("data"))).alias("body"))
 
 
-query("src5_feed_items", "select p_partkey % 97 as page, p_partkey as id, p_name as name, cast(p_size as string) as size from {part}")(
+query("src5_feed_items", "select p_partkey // 500 as page, p_partkey as id, p_name as name, cast(p_size as string) as size from {part}")(
     lambda t: x.feed_items(feed(t), "data struct<products: array<struct<id: long, name: string, size: string>>>", "data.products")
 )
 
 
 def sitemaps(t):
     loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    part = t.pages.select((F.col("page_id") % 20).alias("part"), loc.alias("loc"))
+    part = t.pages.select(F.floor(F.col("page_id") / 1000).cast("long").alias("part"), loc.alias("loc"))
     return part.groupBy("part").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.array_sort(F.collect_list("loc")), "\n"), F.lit("</urlset>")).alias("body"))
 
 
-query("src4_sitemap_urls", "select page_id % 20 as part, 'url' as kind, url as loc from pages")(lambda t: x.sitemap_urls(sitemaps(t)))
+query("src4_sitemap_urls", "select page_id // 1000 as part, 'url' as kind, url as loc from pages")(lambda t: x.sitemap_urls(sitemaps(t)))
 _NESTED = "to_json(named_struct('id', p_partkey, 'name', p_name, 'price', named_struct('final', concat(cast(p_size as string), '.25')), 'attributes', array(named_struct('label', 'Spalva', 'value', p_brand)), 'categories', array(named_struct('id', p_size, 'name', p_type)), 'ld', concat('{\"isbn\": \"', isbn13, '\"}')))"
 query("ext5_nested_product", f"select p.p_partkey as id, p_name as title, cast(p_size * 100 + 25 as bigint) as price_cents, cast(p_size * 100 + 25 as bigint) as original_cents, isbn13 as isbn, p_brand as colour, p_type as category {_P}")(
     lambda t: x.nested_product(t.part.join(t.part_isbn, "p_partkey").select(F.expr(_NESTED).alias("body"))).select(
