@@ -95,7 +95,7 @@ query("fn26_json_flag", "select event_id, cast(json_extract(props, '$.k') as int
 query("fn27_severity", "select issue, case when issue in ('missing_price', 'zero_price') then 'critical' when issue = 'url_aliases' then 'info' else 'warning' end as severity, count(*) as n from {validation_issues} group by 1, 2")(
     lambda t: t.validation_issues.join(F.broadcast(present.severities(t.spark)), "issue").groupBy("issue", "severity").agg(F.count("*").alias("n"))
 )
-query("fn31_category_names", "select o as id, coalesce(string_agg(p_name, '|' order by n) filter (where part % 3 <> 0), '') as names from (select l_orderkey as o, l_linenumber as n, l_partkey as part from lineitem) l join part p on p.p_partkey = l.part group by 1")(
+query("fn31_category_names", "select o as id, coalesce(string_agg(p_name, '|' order by n, part) filter (where part % 3 <> 0), '') as names from (select l_orderkey as o, l_linenumber as n, l_partkey as part from lineitem) l join part p on p.p_partkey = l.part group by 1")(
     lambda t: x.category_names(
         t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda s: s["l_partkey"]).alias("category_ids")),
         t.part.select(F.when(F.col("p_partkey") % 3 == 0, -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name")),
