@@ -53,11 +53,10 @@ def merge_findings(table: DataFrame, found: DataFrame, run: Column, now: Column,
 
 
 def apply_commands(table: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
-    """Bulk moves: ``commands`` (issue, shop_id or null for all, state, snooze_days), the last row of an issue wins nothing
-    over another: give one command per (issue, source)."""
+    """Bulk moves: ``commands`` (issue, shop_id or null for all, state, snooze_days), one command per (issue, source)."""
     all_shops = commands.where("shop_id is null").select("issue", F.struct("state", "snooze_days").alias("_any"))
     one_shop = commands.where("shop_id is not null").select("issue", "shop_id", F.struct("state", "snooze_days").alias("_own"))
-    joined = table.join(F.broadcast(one_shop), ["issue", "shop_id"], "left").join(F.broadcast(all_shops), "issue", "left")
+    joined = table.join(one_shop, ["issue", "shop_id"], "left").join(all_shops, "issue", "left")
     c = F.coalesce("_own", "_any")
     moved = c.isNotNull() & (F.col("state") != "resolved")
     snoozed = F.when(moved, F.when(c["state"] == "snoozed", now + F.make_interval(days=c["snooze_days"]))).otherwise(F.col("snoozed_until"))

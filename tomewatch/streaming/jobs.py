@@ -65,11 +65,10 @@ def silent_stream(events: DataFrame, seconds: int, key: str = "user_id", at: str
 
 def failure_streaks(events: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"), failed: str = "failed") -> DataFrame:
     """Current run of failures of each key: those after its last success."""
-    w = Window.partitionBy(key).orderBy(*order)
-    block = events.withColumn("_g", F.count_if(~F.col(failed)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return block.groupBy(key).agg(F.max("_g").alias("_top"), F.max(F.struct("_g")).alias("_m")).join(
-        block.groupBy(key, "_g").agg(F.count_if(failed).alias("streak")), key
-    ).where("_g = _top").select(key, "streak", (F.col("streak") >= 3).alias("unreachable"))
+    success = F.max(F.when(~F.col(failed), F.struct(*order))).over(Window.partitionBy(key))
+    after = F.col("_success").isNull() | (F.struct(*order) > F.col("_success"))
+    counted = events.withColumn("_success", success).groupBy(key).agg(F.count_if(F.col(failed) & after).alias("streak"))
+    return counted.select(key, "streak", (F.col("streak") >= 3).alias("unreachable"))
 
 
 def failure_streak_stream(events: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"), failed: str = "failed") -> DataFrame:
@@ -87,25 +86,31 @@ def failure_streak_stream(events: DataFrame, key: str = "user_id", order: tuple[
     return kept.groupBy(key).applyInPandasWithState(count, f"{key} long, streak long, unreachable boolean", "streak long", "update", GroupStateTimeout.NoTimeout)
 
 
-def price_step_stream(prices: DataFrame, key: str = "shop_book_id", at: str = "observed_at", price: str = "price_cents", late: str = "30 days") -> DataFrame:
-    """Price changes as they arrive: the last price of each listing is state, rows later than the watermark are dropped."""
+def price_step_stream(prices: DataFrame, key: str = "shop_book_id", at: str = "observed_at", price: str = "price_cents", late: str = "30 days", idle_days: int = 400) -> DataFrame:
+    """Price changes as they arrive: the last price of each listing is state, rows later than the watermark are dropped.
+
+    A listing without a price for ``idle_days`` of event time is forgotten; its next price starts anew, as no change.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, seen = state.get if state.exists else (None, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values([at, price]).itertuples():
-            when = int(getattr(r, at).timestamp() * 1000)
-            if when < seen:
-                continue
-            now = int(getattr(r, price))
-            if last is not None and now != last:
-                out.append((k[0], getattr(r, at), last, now))
-            last, seen = now, when
+        rows = pd.concat(list(batches), ignore_index=True).sort_values([at, price])
+        when = rows[at].astype("datetime64[ms]").astype("int64")
+        rows, when = rows[when >= seen], when[when >= seen]
+        before = rows[price].shift()
+        if len(rows):
+            before.iloc[0] = last
+            last, seen = int(rows[price].iloc[-1]), int(when.iloc[-1])
+        changed = rows[before.notna() & (before != rows[price])]
         state.update((last, seen))
-        yield pd.DataFrame(out, columns=[key, at, "previous_cents", price])
+        state.setTimeoutTimestamp(max(seen + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: k[0], at: changed[at], "previous_cents": before[changed.index].astype("int64"), price: changed[price]})
 
     kept = prices.withWatermark(at, late).select(key, at, price)
-    return kept.groupBy(key).applyInPandasWithState(step, f"{key} long, {at} timestamp, previous_cents long, {price} long", "last long, seen long", "append", GroupStateTimeout.NoTimeout)
+    return kept.groupBy(key).applyInPandasWithState(step, f"{key} long, {at} timestamp, previous_cents long, {price} long", "last long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_runs(events: DataFrame) -> DataFrame:
