@@ -165,7 +165,8 @@ def test_matching_and_merges(spark):
                                      "id long, shop_id long, isbn string, book_id long, title string, author string, publisher string, year int, first_seen_at timestamp").withColumn("match_status", F.lit("unmatched"))
     owned = spark.createDataFrame([(5, "9780306406157")], "book_id long, isbn string")
     shops = spark.createDataFrame([(1, None), (2, 90)], "id long, trust int")
-    linked, works = matching.run_matching(listings, owned, shops, 100)
+    matched = matching.run_matching(listings, owned, shops, 100)
+    linked, works = matched.listings, matched.works
     assert [(w.title, w.publisher, w.isbn_type) for w in works.collect()] == [("Best", "P1", "isbn13")]
     got = {r.id: r.book_id for r in linked.collect()}
     assert got[1] == 5 and got[4] == 5 and got[2] == got[3] and got[2] >= 100

@@ -210,10 +210,27 @@ def link_urls(urls: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def mark_non_product(urls: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Judged URLs become non-product unless they are products."""
-    hit = verdicts.select("shop_id", "normalized_url", F.lit(True).alias("_hit")).distinct()
-    out = urls.join(hit, ["shop_id", "normalized_url"], "left")
-    return out.withColumn("type", F.when(F.col("_hit") & (F.col("type") != "product"), "non_product").otherwise(F.col("type"))).drop("_hit")
+    """Judged URLs become non-product unless they are products, and count as checked without failures.
+
+    Columns ``last_http_status``, ``last_checked_at`` and ``last_seen_at`` are set where ``urls`` and ``verdicts`` (at) have them.
+    """
+    moment = F.max("at").alias("_at") if "at" in verdicts.columns else F.lit(None).cast("timestamp").alias("_at")
+    hit = verdicts.groupBy("shop_id", "normalized_url").agg(F.lit(True).alias("_hit"), moment)
+    out = urls.join(hit, ["shop_id", "normalized_url"], "left").withColumn("type", F.when(F.col("_hit") & (F.col("type") != "product"), "non_product").otherwise(F.col("type")))
+    for column, value in (("fail_count", F.lit(0)), ("last_http_status", F.lit(200)), ("last_checked_at", F.col("_at")), ("last_seen_at", F.col("_at"))):
+        if column in urls.columns:
+            out = out.withColumn(column, F.when(F.col("_hit") & value.isNotNull(), value).otherwise(F.col(column)).cast(urls.schema[column].dataType))
+    return out.drop("_hit", "_at")
+
+
+def classifications(urls: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """What is stored with the verdicts (shop_id, normalized_url, score, reasons, at), the latest of a URL: one row a known URL.
+
+    ``reasons`` is an array of structs (key, points), stored as JSON.
+    """
+    last = verdicts.groupBy("shop_id", "normalized_url").agg(F.max_by(F.struct("score", "reasons", "at"), F.struct("at", "score")).alias("v"))
+    known = urls.select(F.col("id").alias("discovered_url_id"), "shop_id", "normalized_url").join(last, ["shop_id", "normalized_url"])
+    return known.select("discovered_url_id", F.col("v.score").alias("book_score"), F.lit(False).alias("is_book_product"), F.to_json("v.reasons").alias("reasons"), F.col("v.at").alias("classified_at"))
 
 
 def record_failures(urls: DataFrame, failures: DataFrame, limit: int = 3) -> tuple[DataFrame, DataFrame]:

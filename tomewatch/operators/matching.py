@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +62,36 @@ def synthesise(listings: DataFrame, isbns: DataFrame, shops: DataFrame) -> DataF
     return top.join(named, "isbn", "left").withColumn("isbn_type", kind).withColumn("data_source", F.lit("shop_inferred"))
 
 
-def run_matching(listings: DataFrame, isbns: DataFrame, shops: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
-    """ISBN match, works for what is left, and the match again: (listings, new works with ids from ``first_id`` up).
+@dataclass
+class Matching:
+    """Listings with their works, works made for unowned ISBNs, source-side authors, and one row of counts."""
+
+    listings: DataFrame
+    works: DataFrame
+    authors: DataFrame | None
+    counts: DataFrame
+
+
+def run_matching(
+    listings: DataFrame, isbns: DataFrame, shops: DataFrame, first_id: int, listing_authors: DataFrame | None = None, book_authors: DataFrame | None = None, synthesis: bool = True
+) -> Matching:
+    """ISBN match, author backfill of the listings linked so far and, with ``synthesis``, works for what is left and the match again.
 
-    Ids come from a hash of the ISBN, so they do not depend on a global order.
+    Ids of new works come from a hash of the ISBN, from ``first_id`` up, so they do not depend on a global order.
+    ``counts`` has books_linked, authors_linked and books_synthesised.
     """
     once = isbn_match(listings, isbns)
+    authors = None if listing_authors is None else author_backfill(listing_authors, book_authors, once)
     works = synthesise(once, isbns, shops).withColumn("id", F.lit(first_id).cast("long") + F.pmod(F.xxhash64("isbn"), F.lit(1 << 52)))
+    works = works if synthesis else works.where(F.lit(False))
     more = isbns.select("book_id", "isbn").union(works.select(F.col("id").alias("book_id"), "isbn"))
-    twice = isbn_match(once.drop("match_method"), more)
-    return twice, works
+    twice = isbn_match(once.withColumnRenamed("match_method", "_first"), more).withColumn("match_method", F.coalesce("_first", "match_method")).drop("_first")
+    counts = twice.agg(F.count("match_method").alias("books_linked")).join(works.agg(F.count("*").alias("books_synthesised")))
+    if authors is not None:
+        was = listing_authors.where("canonical_id is not null").select("author_id")
+        new = authors.where("canonical_id is not null").select("author_id").join(was, "author_id", "left_anti").distinct()
+        counts = counts.join(new.agg(F.count("*").alias("authors_linked")))
+    return Matching(twice, works, authors, counts)
 
 
 def match_keys(df: DataFrame, owner: bool) -> DataFrame:

@@ -118,9 +118,18 @@ query(
     "ing15_link_urls",
     "select id, case when shop_book_id % 4 = 0 and type in ('unknown', 'unreachable', 'partial') then case when shop_book_id % 8 = 0 then 'product' else 'partial' end else type end as type, case when shop_book_id % 4 = 0 then 0 else fail_count end as fail_count from {discovered_urls}",
 )(lambda t: g.link_urls(t.discovered_urls, t.discovered_urls.where("shop_book_id % 4 = 0").select("shop_id", "normalized_url", (F.col("shop_book_id") % 8 == 0).alias("complete"))).select("id", "type", "fail_count"))
-query("ing16_mark_non_product", "select id, case when shop_book_id % 4 = 0 and type <> 'product' then 'non_product' else type end as type from {discovered_urls}")(
-    lambda t: g.mark_non_product(t.discovered_urls, t.discovered_urls.where("shop_book_id % 4 = 0")).select("id", "type")
+query("ing16_mark_non_product", "select id, case when shop_book_id % 4 = 0 and type <> 'product' then 'non_product' else type end as type, case when shop_book_id % 4 = 0 then 0 else fail_count end as fail_count, case when shop_book_id % 4 = 0 then timestamp '2001-08-01' else last_checked_at end as last_checked_at from {discovered_urls}")(
+    lambda t: g.mark_non_product(t.discovered_urls, t.discovered_urls.where("shop_book_id % 4 = 0").withColumn("at", now())).select("id", "type", "fail_count", F.col("last_checked_at").cast("timestamp_ntz").alias("last_checked_at"))
 )
+query(
+    "ing16_classifications",
+    """select id as discovered_url_id, cast(max(shop_book_id % 50) over (partition by shop_id, normalized_url) as integer) as book_score, false as is_book_product, '[{"key":"no_isbn","points":' || max(shop_book_id % 50) over (partition by shop_id, normalized_url) || '}]' as reasons
+       from {discovered_urls} where shop_book_id % 4 = 0""",
+)(
+    lambda t: g.classifications(
+        t.discovered_urls, t.discovered_urls.where("shop_book_id % 4 = 0").withColumn("score", F.expr("cast(shop_book_id % 50 as int)")).withColumn("reasons", F.expr("array(named_struct('key', 'no_isbn', 'points', score))")).withColumn("at", now())
+    ).drop("classified_at")
+)
 query(
     "ing17_record_failures",
     "select id, fail_count + case when shop_book_id % 4 = 0 then 2 else 0 end as fail_count, case when shop_book_id % 4 = 0 and fail_count + 2 >= 3 and type <> 'non_product' then 'unreachable' else type end as type from {discovered_urls}",
@@ -185,6 +194,22 @@ query("st3_eta", "select p.run_id, case when d.n > 0 then greatest(1, cast(ceil(
 query("st4_silent", f"select user_id, max(ts) as last_seen from events group by 1 having max(ts) < timestamp '{EVENTS_NOW}' - interval 43200 second")(
     lambda t: jobs.silent(t.events, EVENTS_NOW, 43200).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 )
+_RUNS = """select id, shop_id, phase, case when status = 'failed' and id % 5 = 0 then 'stopping' when status = 'running' and id % 3 = 0 then 'paused' else status end as status, close_reason,
+  cast(started_at as timestamp) as started_at, case when id % 7 <> 0 then cast(started_at as timestamp) + interval 50 second end as last_heartbeat from {scrape_runs}"""
+_REAP = "1998-07-01 00:00:00"
+query(
+    "st4_reap_runs",
+    f"""with r as ({_RUNS}), d as (select *, status in ('running', 'stopping', 'paused') and coalesce(last_heartbeat, started_at) < timestamp '{_REAP}' - case when status = 'paused' then interval 604800 second else interval 60 second end as dead from r)
+        select id, case when dead then 'failed' else status end as status, case when dead then case status when 'paused' then 'paused_timeout' when 'stopping' then 'stop_timeout' else 'heartbeat_timeout' end else close_reason end as close_reason, dead as reaped from d""",
+)(lambda t: jobs.reap_runs(t.spark.sql(_RUNS, scrape_runs=t.scrape_runs), _REAP).select("id", "status", "close_reason", "reaped"))
+query(
+    "st4_stuck_items",
+    f"""with r as ({_RUNS}), i as (select run_id, item_key, status, cast(finished_at as timestamp) as claimed_at from {{scrape_url_items}})
+        select i.run_id, i.item_key, case when r.status in ('running', 'paused') then 'stuck_in_processing' else 'run_aborted' end as error_reason from i join r on r.id = i.run_id
+        where i.status = 'processing' and (r.status not in ('running', 'paused') or i.claimed_at < timestamp '{_REAP}' - interval 120 second)""",
+)(
+    lambda t: jobs.stuck_items(t.scrape_url_items.withColumn("claimed_at", F.col("finished_at").cast("timestamp")), t.spark.sql(_RUNS, scrape_runs=t.scrape_runs), _REAP).select("run_id", "item_key", "error_reason")
+)
 query("st5_fold_runs", "select user_id as run_id, coalesce(arg_min(event_type, ts) filter (where event_type in ('completed', 'error')), 'running') as status, min(ts) as started_at from events group by 1")(
     lambda t: jobs.fold_runs(t.events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type")).alias("kind"), F.lit("r").alias("reason")))
     .select("run_id", F.when(F.col("status") == "failed", "error").otherwise(F.col("status")).alias("status"), F.col("started_at").cast("timestamp_ntz").alias("started_at"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import details
 from ..operators import lifecycle as lc
 from ..operators import matching as m
 from ..operators import quality as q
-from ..operators.windows import top_k_per_group
 from .registry import query
 
 NOW = "2001-08-01 00:00:00"
@@ -57,22 +57,21 @@ query(
 )
 query(
     "jn13_book_detail",
-    """select k.id, min(b.first_seen_at) as first_seen, string_agg(s.name, ',' order by s.name) as sources from {books} k join {shop_books} b on b.book_id = k.id join {shops} s on s.id = b.shop_id group by 1""",
-)(
-    lambda t: t.shop_books.where("book_id is not null").join(t.shops.select(F.col("id").alias("shop_id"), "name"), "shop_id").groupBy(F.col("book_id").alias("id"))
-    .agg(F.min("first_seen_at").cast("timestamp_ntz").alias("first_seen"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("sources"))
-    .join(t.books.select("id"), "id", "left_semi")
-)
+    """select k.id, k.title, p.authors, p.translators, b.first_seen, b.sources, b.listings, b.min_cents from {books} k
+       left join (select book_id, coalesce(string_agg(name, ', ' order by position, name) filter (where role = 'author'), '') as authors, coalesce(string_agg(name, ', ' order by position, name) filter (where role = 'translator'), '') as translators
+         from {book_authors} x join {authors} a on a.id = x.author_id group by 1) p on p.book_id = k.id
+       left join (select book_id, min(first_seen_at) as first_seen, string_agg(distinct s.name, ',' order by s.name) as sources, count(*) as listings, min(price_cents) as min_cents
+         from {shop_books} b join {shops} s on s.id = b.shop_id where book_id is not null group by 1) b on b.book_id = k.id""",
+)(lambda t: details.book_detail(t.books, t.shop_books, t.shops, t.book_authors, t.authors).withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")))
+_HTTP = "case when status = 'failed' then case attempts % 3 when 0 then 503 when 1 then 404 end when attempts % 5 = 4 then 301 else 200 end"
 query(
     "jn16_url_history",
-    """select url_id, k, run_id, check_state from (select u.id as url_id, i.run_id, case when i.status = 'failed' then 'error' else 'ok' end as check_state,
-       row_number() over (partition by u.id order by i.finished_at desc, i.run_id desc, i.item_key desc) as k
-       from {discovered_urls} u join {scrape_url_items} i on i.shop_book_id = u.shop_book_id where i.status in ('done', 'failed')) x where k <= 3""",
+    f"""select url_id, k, run_id, http_status, case when http_status is null or http_status >= 400 then 'error' else 'ok' end as check_state, started_at, finished_at from (select u.id as url_id, i.run_id, {_HTTP.replace("status", "i.status")} as http_status,
+       r.started_at, i.finished_at, row_number() over (partition by u.id order by r.started_at desc, i.run_id desc, i.item_key desc) as k
+       from {{discovered_urls}} u join {{scrape_url_items}} i on i.shop_book_id = u.shop_book_id join {{scrape_runs}} r on r.id = i.run_id where i.status in ('done', 'failed')) x where k <= 20""",
 )(
-    lambda t: top_k_per_group(
-        t.scrape_url_items.where("status in ('done', 'failed')").join(t.discovered_urls.select(F.col("id").alias("url_id"), "shop_book_id"), "shop_book_id"),
-        ["url_id"], [F.desc("finished_at"), F.desc("run_id"), F.desc("item_key")], 3,
-    ).select("url_id", F.col("rank").alias("k"), "run_id", F.when(F.col("status") == "failed", "error").otherwise("ok").alias("check_state"))
+    lambda t: details.url_history(t.discovered_urls, t.scrape_url_items.withColumn("http_status", F.expr(_HTTP)), t.scrape_runs)
+    .withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "finished_at")})
 )
 query("jn18_rescrape_urls", "select distinct u.url from {validation_issues} v join {discovered_urls} u on u.shop_id = v.shop_id and u.type = 'product' where v.issue = 'missing_price' and v.lifecycle_state = 'new' and u.fail_count >= 4")(
     lambda t: t.discovered_urls.where("type = 'product' and fail_count >= 4")
@@ -86,10 +85,32 @@ query(
         select t.isbn, t.title, t.author, t.year, t.shop_id, p.publisher, case when length(t.isbn) = 10 then 'isbn10' else 'isbn13' end as isbn_type, 'shop_inferred' as data_source
         from t left join p on p.isbn = t.isbn where t.k = 1""",
 )(lambda t: m.synthesise(t.shop_books, t.book_isbns, t.shops))
+
+
+def _matched(t):
+    """The pipeline over all listings; every author of even id also has a source-side entry that is not linked yet."""
+    theirs = t.shop_books.select(F.col("id").alias("shop_book_id"), "book_id", "isbn").join(t.book_isbns.groupBy("isbn").agg(F.min("book_id").alias("_o")), "isbn", "left")
+    wrote = t.book_authors.where("role = 'author' and author_id % 2 = 0").select(F.col("book_id").alias("_b"), "position", F.concat(F.lit("theirs "), F.col("author_id").cast("string")).alias("author_id"))
+    listed = theirs.join(wrote, F.coalesce("book_id", "_o") == F.col("_b")).select("shop_book_id", "position", "author_id", F.lit(None).cast("long").alias("canonical_id"))
+    return m.run_matching(t.shop_books, t.book_isbns, t.shops, 1_000_000_000, listed, t.book_authors)
+
+
 query(
     "mat1_run_matching",
-    f"""select count(*) as listings, count(*) filter (where book_id is not null or isbn is not null) as linked from {{shop_books}}""",
-)(lambda t: m.run_matching(t.shop_books, t.book_isbns, t.shops, 1_000_000_000)[0].agg(F.count("*").alias("listings"), F.count("book_id").alias("linked")))
+    """select b.id, case when b.book_id is not null then cast(b.book_id as varchar) when o.book_id is not null then cast(o.book_id as varchar) when b.isbn is not null then 'new ' || b.isbn end as work
+       from {shop_books} b left join (select isbn, min(book_id) as book_id from {book_isbns} group by 1) o on o.isbn = b.isbn""",
+)(
+    lambda t: _matched(t).listings.join(_matched(t).works.select(F.col("id").alias("book_id"), F.col("isbn").alias("_new")), "book_id", "left")
+    .select("id", F.when(F.col("_new").isNotNull(), F.concat(F.lit("new "), "_new")).otherwise(F.col("book_id").cast("string")).alias("work"))
+)
+query(
+    "mat1_counts",
+    """with o as (select isbn, min(book_id) as book_id from {book_isbns} group by 1),
+         a as (select distinct l.author_id from {shop_books} b left join o on o.isbn = b.isbn join {book_authors} l on l.book_id = coalesce(b.book_id, o.book_id) and l.role = 'author' and l.position = 0 where l.author_id % 2 = 0)
+       select count(*) filter (where b.book_id is null and b.isbn is not null) as books_linked, (select count(*) from a) as authors_linked,
+         count(distinct b.isbn) filter (where b.isbn is not null and o.book_id is null) as books_synthesised
+       from {shop_books} b left join o on o.isbn = b.isbn""",
+)(lambda t: _matched(t).counts)
 query("mat5_unlink", "select id, case when id % 10 <> 0 then book_id end as book_id, case when id % 10 <> 0 then match_status else 'unmatched' end as match_status from {shop_books}")(
     lambda t: m.unlink(t.shop_books, t.shop_books.where("id % 10 = 0")).select("id", "book_id", "match_status")
 )

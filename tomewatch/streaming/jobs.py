@@ -63,6 +63,42 @@ def silent_stream(events: DataFrame, seconds: int, key: str = "user_id", at: str
     return kept.groupBy(key).applyInPandasWithState(watch, f"{key} long, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+# Seconds without a sign of life after which runs end, by status, with the reason; and for claimed items.
+DEAD_RUNS = {"running": (60, "heartbeat_timeout"), "stopping": (60, "stop_timeout"), "paused": (604_800, "paused_timeout")}
+STUCK_ITEM, RESUMABLE = 120, 604_800
+
+
+def reap_runs(runs: DataFrame, now: str) -> DataFrame:
+    """Runs after a sweep: those silent for too long fail with a reason (``reaped``), failed ones stop being resumable after a week.
+
+    A run's last sign of life is its heartbeat, else its start; one without either is left alone.
+    """
+    moment = F.lit(now).cast("timestamp")
+    last = F.coalesce("last_heartbeat", "started_at")
+    seconds, reason = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for status, (after, why) in DEAD_RUNS.items():
+        seconds = F.when(F.col("status") == status, after).otherwise(seconds)
+        reason = F.when(F.col("status") == status, why).otherwise(reason)
+    dead = F.coalesce(last < moment - F.make_dt_interval(secs=seconds), F.lit(False))
+    out = runs.withColumn("reaped", dead).withColumn("close_reason", F.when(F.col("reaped"), reason).otherwise(F.col("close_reason")))
+    out = out.withColumn("status", F.when(F.col("reaped"), "failed").otherwise(F.col("status")))
+    if "finished_at" in runs.columns:
+        out = out.withColumn("finished_at", F.when(F.col("reaped"), moment).otherwise(F.col("finished_at")))
+        if "resumable_after_failure" in runs.columns:
+            old = (F.col("status") == "failed") & (F.col("finished_at") < moment - F.make_dt_interval(secs=F.lit(RESUMABLE)))
+            out = out.withColumn("resumable_after_failure", F.col("resumable_after_failure") & ~F.coalesce(old, F.lit(False)))
+    return out
+
+
+def stuck_items(items: DataFrame, runs: DataFrame, now: str) -> DataFrame:
+    """Failures of items that are still being processed: their run has ended, or they were claimed too long ago."""
+    moment = F.lit(now).cast("timestamp")
+    held = items.where("status = 'processing'").join(runs.select(F.col("id").alias("run_id"), F.col("status").alias("_run")), "run_id")
+    live = F.col("_run").isin("running", "paused")
+    lost = ~live | (F.col("claimed_at") < moment - F.make_dt_interval(secs=F.lit(STUCK_ITEM)))
+    return held.where(lost).withColumn("error_reason", F.when(live, "stuck_in_processing").otherwise("run_aborted")).withColumn("failed_at", moment).drop("_run")
+
+
 def failure_streaks(events: DataFrame, key: str = "user_id", order: tuple[str, ...] = ("ts", "event_id"), failed: str = "failed") -> DataFrame:
     """Current run of failures of each key: those after its last success."""
     success = F.max(F.when(~F.col(failed), F.struct(*order))).over(Window.partitionBy(key))
