@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, integer_ids
 from .kernels import SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, span_hashes, words
 
 #: Least rank of the latent space and extra random directions of the randomised SVD; its power iterations.
@@ -25,7 +25,8 @@ BLOCK = 16
 PASSAGES_AT_ONCE = 20_000
 #: A window is a candidate if its cosine and the part of the passage that it covers reach these.
 MIN_COSINE, MIN_COVER = 0.5, 0.5
-#: A candidate is a leak if its LCS holds ANSWERED of the passage and ANSWER of its last words, or SURE of the passage.
+#: A candidate is a leak if its LCS holds ANSWERED of the passage and the document ANSWER of the item's answer, or if the LCS
+#: holds SURE of the passage. The answer is the last words of the item, of which a document may hold the last passage only.
 ANSWERED, ANSWER, SURE = 0.7, 0.5, 0.9
 ANSWER_WORDS = 6
 #: Hits among a passage's rarest words that the exact way asks of a window, and counts that it holds at once.
@@ -57,7 +58,9 @@ class Space:
 
 @dataclass
 class Block:
-    """Some benchmark passages: their items, words, squared IDF of those, places in the latent space and rarest words.
+    """Some benchmark passages: their items, words, item's answers, squared IDF of words, places in the latent space, rarest words.
+
+    ``ends`` tells the passages that hold their item's answer themselves.
 
     Cell c of a rare word is in the passages ``owners[bounds[rare_of[c]] : bounds[rare_of[c] + 1]]``; ``need`` is how
     many of its rare words every leak of a passage holds.
@@ -65,6 +68,8 @@ class Block:
 
     items: np.ndarray
     tokens: list[np.ndarray]
+    answers: list[np.ndarray]
+    ends: np.ndarray
     weights: list[np.ndarray]
     latent: np.ndarray
     rare_of: np.ndarray
@@ -74,24 +79,31 @@ class Block:
 
 
 def benchmark_passages(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(number, item, words) of the passages of every item, at most PASSAGE words each, overlapping by half."""
+    """(item, words, answer, ends) of the passages of every item, at most PASSAGE words each, overlapping by half.
+
+    ``answer`` is the item's last ANSWER_WORDS words, ``ends`` whether the passage is the one that they close.
+    """
 
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in chunks(pc.utf8_lower(b.column(1))):
                 h, row = plain_words(data, offsets)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                items, held = [], []
+                items, held, answers, ends = [], [], [], []
                 for k in range(hi - lo):
                     own = h[cut[k] : cut[k + 1]]
                     for s in range(0, max(1, len(own) - STEP), STEP):
                         if len(own):
                             items.append(b.column(0)[lo + k].as_py())
                             held.append(own[s : s + PASSAGE].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(held, pa.binary())], ["item", "words"])
+                            answers.append(own[-ANSWER_WORDS:].tobytes())
+                            ends.append(s + PASSAGE >= len(own))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(items, pa.int64()), pa.array(held, pa.binary()), pa.array(answers, pa.binary()), pa.array(ends, pa.bool_())], ["item", "words", "answer", "ends"]
+                )
 
-    named = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(text_col).cast("string"))
-    return named.mapInArrow(run, "item long, words binary").distinct()
+    named = benchmark.where(F.col(item_col).isNotNull()).select(integer_ids(benchmark, item_col), F.col(text_col).cast("string"))
+    return named.mapInArrow(run, "item long, words binary, answer binary, ends boolean").distinct()
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -203,17 +215,19 @@ def _rare_words(tokens: list[np.ndarray], frequency: np.ndarray) -> tuple[np.nda
 
 def _blocks(passages: DataFrame, space: Space, frequency: np.ndarray, idf: np.ndarray, size: int) -> Iterator[Block]:
     """All passages in blocks of ``size``, one block at a time on the driver."""
-    items, tokens = [], []
+    items, tokens, answers, ends = [], [], [], []
 
     def block() -> Block:
         latent = np.stack([space.basis[space.row_of[_cells(t)]].sum(0) for t in tokens]) if tokens else np.zeros((0, space.basis.shape[1]), np.float32)
-        return Block(np.array(items, np.int64), list(tokens), [idf[_cells(t)] ** 2 for t in tokens], latent, *_rare_words(tokens, frequency))
+        return Block(np.array(items, np.int64), list(tokens), list(answers), np.array(ends, bool), [idf[_cells(t)] ** 2 for t in tokens], latent, *_rare_words(tokens, frequency))
 
-    for r in passages.orderBy("item", "words").toLocalIterator():
+    for r in passages.orderBy("item", "words", "answer", "ends").toLocalIterator():
         if len(items) == size:
             yield block()
-            items, tokens = [], []
+            items, tokens, answers, ends = [], [], [], []
         items.append(r["item"])
+        answers.append(np.frombuffer(bytes(r["answer"]), U))
+        ends.append(r["ends"])
         tokens.append(np.frombuffer(bytes(r["words"]), U))
     yield block()
 
@@ -269,6 +283,13 @@ def _leaks(space: Space, index: Block, h: np.ndarray, row: np.ndarray, rows: int
     masks: dict[int, dict[int, int]] = {}
     done: set[tuple[int, int]] = set()
 
+    def answered(r: int, p: int, text: np.ndarray) -> bool:
+        answer = index.answers[p]
+        if not index.ends[p]:  # the answer may stand anywhere in the document
+            whole = h[first[r] : first[r + 1] if r + 1 < rows else len(h)]
+            text = whole[np.isin(whole, answer)]
+        return _lcs(answer, text) / len(answer) >= ANSWER
+
     def judge(b: int, p: int, span: int, window: np.ndarray, covered: bool) -> None:
         r = int(owner[b])
         lo_word = max(int(first[r]), int(starts[b]) - BLOCK)
@@ -281,8 +302,7 @@ def _leaks(space: Space, index: Block, h: np.ndarray, row: np.ndarray, rows: int
             return
         text = np.array(shared, U)
         part_of = _lcs(item, text) / len(item)
-        tail = item[-ANSWER_WORDS:]
-        if part_of >= SURE or part_of >= ANSWERED and _lcs(tail, text) / len(tail) >= ANSWER:
+        if part_of >= SURE or part_of >= ANSWERED and answered(r, p, text):
             if not covered:
                 share = index.weights[p][np.isin(item, text)].sum() / index.weights[p].sum()
                 if share < MIN_COVER:
@@ -337,11 +357,12 @@ def find_leaks(
        latent space says of them, if their words make up MIN_COVER of the passage's squared IDF. Step 4 lets no
        window with fewer rare words pass, so no rank and no cosine decides over a leak that covers its passage.
     4. A candidate, with a block more on both sides, is a leak if the longest common subsequence of words holds
-       at least 70 % of the passage and half of its last words (the answer), or 90 % of the passage. Words are
-       runs of letters and digits in lower case, so a paraphrase may change, add and drop words.
+       at least 70 % of the passage and if half of the item's answer, its last six words, stands there too, or if it
+       holds 90 % of the passage. For passages that do not reach their item's end the answer is looked for in the
+       whole document. Words are runs of letters and digits in lower case, so a paraphrase may change, add and drop words.
 
     A map over documents, so no document or passage is repeated over the network and no skew arises; each
-    further block of passages costs a shared checkpoint and a pass. Null and empty texts leak nothing, nor do
+    further block of passages costs a shared checkpoint and a pass. Item ids must be integers. Null and empty texts leak nothing, nor do
     benchmark rows without id or words. Null ids pass through; repeated rows are judged alike.
     """
     total = max(1, docs.count())
