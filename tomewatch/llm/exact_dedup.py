@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import HOT_PARTS, ascii_lower, checkpointed
 
-#: Most shared lengths, and most surviving (length, prefix) groups, that are broadcast: 16 bytes each, 8 MB in all.
+#: Most shared lengths, surviving (length, prefix) groups and groups of copies that are broadcast: at most 48 bytes each, 24 MB.
 BROADCAST_GROUPS = 500_000
 
 
@@ -28,9 +28,9 @@ def exact_dedup(
     3. Only the rest is hashed whole (SHA-256) and grouped by that hash.
 
     Each step sends one pre-aggregated row per key and task, so a group of copies holding a third of all
-    rows costs no more than another key. The lengths that are shared, and the groups that survive step 2, reach the
-    scan by broadcast only if they are counted at ``broadcast_groups`` or fewer, else by a join on their key; the
-    lengths that hold one in 1,000 of all rows or more, at most 1,000, are then joined apart by broadcast.
+    rows costs no more than another key. The lengths that are shared, the groups that survive step 2 and the groups of
+    copies reach the scan by broadcast only if they are counted at ``broadcast_groups`` or fewer, else by a join on
+    their key; lengths and groups of one in 1,000 of those rows or more, at most 1,000, are then joined apart by broadcast.
 
     Nulls count as empty text, and empty texts form one group. A null id sorts below any other; a group
     of null ids alone keeps a null ``keep_id`` and ``kept`` is true for one-row groups only. Rows that
@@ -64,17 +64,26 @@ def exact_dedup(
     hashed = staged.select(
         id_col,
         *[c.alias(f"_keep_{n}") for n, c in keep.items()],
-        "_survives",
+        "_survives", "_len", "_prefix",
         # rows known to be unique get a key of their own (8 bytes, never a hash's 32), so that they spread over the join
         F.when(F.col("_survives"), F.unhex(full)).otherwise(F.unhex(F.hex(F.xxhash64(id_col, "_len", "_prefix")))).alias("_hash"),
     )
-    copies = (
+    copies = checkpointed(
         hashed.where(F.col("_survives"))
         .groupBy("_hash")
         .agg(F.max(id_col).alias("_max_id"), F.count("*").alias("_size"))
         .where("_size > 1")
     )
-    return hashed.join(copies, "_hash", "left").select(
+    if copies.count() <= broadcast_groups:
+        joined = hashed.join(F.broadcast(copies), "_hash", "left")
+    else:
+        # groups of one in HOT_PARTS of all copies or more are few; their rows need no shuffle, the others' do
+        hot = F.col("_size") >= F.lit(copies.agg(F.sum("_size")).first()[0] / HOT_PARTS)
+        few = F.broadcast(copies.where(hot).select("_hash", F.col("_max_id").alias("_hot_id"), F.col("_size").alias("_hot_size")))
+        spread = F.when(F.col("_hot_size").isNull(), F.col("_hash")).otherwise(F.unhex(F.hex(F.xxhash64(id_col, "_len", "_prefix"))))
+        joined = hashed.join(few, "_hash", "left").withColumn("_hash", spread).join(copies.where(~hot), "_hash", "left")
+        joined = joined.withColumn("_max_id", F.coalesce("_hot_id", "_max_id")).withColumn("_size", F.coalesce("_hot_size", "_size"))
+    return joined.select(
         id_col,
         *[F.col(f"_keep_{n}").alias(n) for n in keep],
         F.when(F.col("_size").isNotNull(), F.col("_max_id")).otherwise(F.col(id_col)).alias("keep_id"),
