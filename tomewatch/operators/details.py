@@ -34,3 +34,49 @@ def book_detail(books: DataFrame, listings: DataFrame, shops: DataFrame, book_au
         F.min("first_seen_at").alias("first_seen"), F.array_join(F.array_sort(F.collect_set("shop")), ",").alias("sources"), F.count("*").alias("listings"), F.min("price_cents").alias("min_cents")
     )
     return books.select("id", "title").join(people, "id", "left").join(sources, "id", "left")
+
+
+def issue_detail(issues: DataFrame, listings: DataFrame, urls: DataFrame, runs: DataFrame, shops: DataFrame, books: DataFrame, isbns: DataFrame) -> DataFrame:
+    """Findings with their source, run, listing and URL, and with the linked work if the finding is that its ISBN drifted.
+
+    A finding without a listing takes that of its URL in its source, the one of the smallest id.
+    """
+    by_url = urls.groupBy("shop_id", "url").agg(F.min(F.struct("id", "shop_book_id")).alias("_u"))
+    found = issues.join(by_url, ["shop_id", "url"], "left").withColumn("shop_book_id", F.coalesce("shop_book_id", "_u.shop_book_id"))
+    book = listings.select(F.col("id").alias("shop_book_id"), "title", "isbn", "book_id")
+    owned = isbns.groupBy("book_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("isbn_type", "isbn")))).alias("_isbns"))
+    works = books.select(F.col("id").alias("book_id"), F.col("title").alias("_work")).join(owned, "book_id", "left")
+    out = (
+        found.join(book, "shop_book_id", "left")
+        .join(shops.select(F.col("id").alias("shop_id"), F.col("name").alias("shop")), "shop_id", "left")
+        .join(runs.select(F.col("id").alias("run_id"), F.col("status").alias("run_status"), "phase"), "run_id", "left")
+        .join(works, "book_id", "left")
+    )
+    drift = lambda c: F.when((F.col("issue") == "match_isbn_drift") & F.col("book_id").isNotNull(), c)
+    return out.select(
+        "id", "issue", "url", "lifecycle_state", "shop", "run_id", "run_status", "phase", "shop_book_id", F.col("_u.id").alias("discovered_url_id"), "title",
+        drift(F.col("isbn")).alias("listing_isbn"), drift(F.col("book_id")).alias("book_id"), drift(F.col("_work")).alias("book_title"),
+        drift(F.array_join(F.transform("_isbns", lambda i: i["isbn"]), ",")).alias("book_isbns"),
+    )
+
+
+def listing_detail(listings: DataFrame, issues: DataFrame, changes: DataFrame, urls: DataFrame, prices: DataFrame, limit: int = HISTORY) -> DataFrame:
+    """Every listing with its findings, latest changes and their runs, price series and first URL, as arrays.
+
+    ``issues`` are by state and newest first, ``changes`` the ``limit`` latest, ``runs`` those of the changes and the listing's own
+    last run, ``prices`` in order of time.
+    """
+    found = issues.groupBy(F.col("shop_book_id").alias("id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("lifecycle_state", (-F.col("id")).alias("o"), "issue", "field"))), lambda i: F.struct((-i["o"]).alias("id"), i["issue"].alias("issue"), i["field"].alias("field"), i["lifecycle_state"].alias("lifecycle_state"))).alias("issues")
+    )
+    last = top_k_per_group(changes, ["shop_book_id"], [F.desc("changed_at"), F.desc("run_id"), F.asc("field")], limit)
+    changed = last.groupBy(F.col("shop_book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "field", "old_value", "new_value", "changed_at"))).alias("changes"), F.collect_set("run_id").alias("_runs"))
+    series = prices.groupBy(F.col("shop_book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("observed_at", "price_cents"))).alias("prices"))
+    known = urls.groupBy(F.col("shop_book_id").alias("id")).agg(F.count("*").alias("url_count"), F.min(F.struct(F.col("id").alias("url_id"), F.col("url"), "type", "fail_count")).alias("_u"))
+    out = listings.join(found, "id", "left").join(changed, "id", "left").join(series, "id", "left").join(known, "id", "left")
+    own = F.array(F.col("last_run_id")) if "last_run_id" in listings.columns else F.array().cast("array<bigint>")
+    runs = F.array_sort(F.filter(F.array_distinct(F.concat(F.coalesce("_runs", F.array().cast("array<bigint>")), own)), lambda r: r.isNotNull()))
+    return out.select(
+        "id", "title", "issues", "changes", runs.alias("runs"), "prices", F.coalesce("url_count", F.lit(0)).alias("url_count"),
+        F.col("_u.url").alias("discovery_url"), F.col("_u.type").alias("url_status"), F.coalesce("_u.fail_count", F.lit(0)).alias("url_fail_count"),
+    )

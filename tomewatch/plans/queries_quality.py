@@ -204,21 +204,39 @@ query(
     """select d.id, case when b.id is not null then 'b:' || b.id when u.id is not null then 'u:' || u.id else 'l:' || d.url end as entity
        from {discovered_urls} d left join {shop_books} b on b.shop_id = d.shop_id and b.url = d.url left join (select shop_id, normalized_url, min(id) as id from {discovered_urls} group by 1, 2) u on u.shop_id = d.shop_id and u.normalized_url = d.url""",
 )(lambda t: lc.resolve_entities(t.discovered_urls.select("id", "shop_id", "url"), t.shop_books, t.discovered_urls).select("id", "entity"))
+_ISSUES = """select id, shop_id, url, case when id % 4 = 0 then 'match_isbn_drift' when id % 4 = 1 then 'zero_price' else 'url_aliases' end as issue, case when id % 5 = 0 then 'acknowledged' else 'new' end as lifecycle_state,
+  'price' as field, case when id % 3 <> 0 then shop_book_id end as shop_book_id, id % 1500 as run_id from {discovered_urls}"""
+
+
+def _issues(t):
+    return t.spark.sql(_ISSUES, discovered_urls=t.discovered_urls)
+
+
 query(
     "jn15_issue_detail",
-    "select v.id, s.name as shop, r.status as run_status, r.phase from {validation_issues} v join {shops} s on s.id = v.shop_id left join {scrape_runs} r on r.id = v.run_id",
-)(
-    lambda t: t.validation_issues.select("id", "shop_id", "run_id").join(t.shops.select(F.col("id").alias("shop_id"), F.col("name").alias("shop")), "shop_id")
-    .join(t.scrape_runs.select(F.col("id").alias("run_id"), F.col("status").alias("run_status"), "phase"), "run_id", "left").select("id", "shop", "run_status", "phase")
-)
+    f"""with i as ({_ISSUES}), u as (select shop_id, url, min(id) as uid, arg_min(shop_book_id, id) as ubook from {{discovered_urls}} group by 1, 2), j as (select i.*, u.uid, coalesce(i.shop_book_id, u.ubook) as book from i left join u on u.shop_id = i.shop_id and u.url = i.url),
+         n as (select book_id, string_agg(isbn, ',' order by isbn_type desc, isbn desc) as isbns from {{book_isbns}} group by 1)
+       select j.id, j.issue, j.url, j.lifecycle_state, s.name as shop, j.run_id, r.status as run_status, r.phase, j.book as shop_book_id, j.uid as discovered_url_id, b.title, case when j.issue = 'match_isbn_drift' and b.book_id is not null then b.isbn end as listing_isbn,
+         case when j.issue = 'match_isbn_drift' then b.book_id end as book_id, case when j.issue = 'match_isbn_drift' then k.title end as book_title, case when j.issue = 'match_isbn_drift' then n.isbns end as book_isbns
+       from j left join {{shop_books}} b on b.id = j.book left join {{shops}} s on s.id = j.shop_id left join {{scrape_runs}} r on r.id = j.run_id left join {{books}} k on k.id = b.book_id left join n on n.book_id = k.id""",
+)(lambda t: details.issue_detail(_issues(t), t.shop_books, t.discovered_urls, t.scrape_runs, t.shops, t.books, t.book_isbns))
 query(
     "jn17_listing_detail",
-    f"""select b.id, c.fields, p.n as observations, p.last_cents from {{shop_books}} b left join (select l_suppkey * 1000000 + l_partkey as id, string_agg(distinct cast(l_linenumber as string), ',' order by cast(l_linenumber as string)) as fields
-        from {{lineitem}} where l_returnflag = 'R' group by 1) c on c.id = b.id left join (select shop_book_id, count(*) as n, max_by(price_cents, observed_at) as last_cents from {{prices}} group by 1) p on p.shop_book_id = b.id""",
+    f"""with i as ({_ISSUES}), c as (select l_suppkey * 1000000 + l_partkey as id, 'f' || l_linenumber as field, l_orderkey as run_id, row_number() over (partition by l_suppkey, l_partkey order by l_shipdate desc, l_orderkey desc, l_linenumber) as k from lineitem where l_returnflag = 'R'),
+         u as (select shop_book_id, count(*) as n, min(id) as uid from {{discovered_urls}} group by 1)
+       select b.id, b.title, (select string_agg(i.id || ':' || i.issue, ',' order by i.lifecycle_state, i.id desc) from i where i.shop_book_id = b.id) as issues, (select string_agg(c.field, ',' order by k) from c where c.id = b.id and k <= 20) as changes,
+         coalesce((select string_agg(distinct c.run_id, ',' order by c.run_id) from c where c.id = b.id and k <= 20), '') as runs, (select string_agg(p.price_cents, ',' order by p.observed_at, p.price_cents) from {{prices}} p where p.shop_book_id = b.id) as prices,
+         coalesce(u.n, 0) as url_count, d.url as discovery_url, d.type as url_status, coalesce(d.fail_count, 0) as url_fail_count
+       from {{shop_books}} b left join u on u.shop_book_id = b.id left join {{discovered_urls}} d on d.id = u.uid""",
 )(
-    lambda t: t.shop_books.select("id")
-    .join(t.lineitem.where("l_returnflag = 'R'").groupBy(F.expr("l_suppkey * 1000000 + l_partkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("fields")), "id", "left")
-    .join(t.prices.groupBy(F.col("shop_book_id").alias("id")).agg(F.count("*").alias("observations"), F.max_by("price_cents", "observed_at").alias("last_cents")), "id", "left")
+    lambda t: details.listing_detail(
+        t.shop_books, _issues(t),
+        t.lineitem.where("l_returnflag = 'R'").selectExpr("l_suppkey * 1000000 + l_partkey as shop_book_id", "concat('f', l_linenumber) as field", "l_orderkey as run_id", "l_shipdate as changed_at", "'o' as old_value", "'n' as new_value"),
+        t.discovered_urls, t.prices,
+    ).withColumns({
+        "issues": F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["id"].cast("string"), i["issue"])), ","), "changes": F.array_join(F.transform("changes", lambda c: c["field"]), ","),
+        "runs": F.array_join(F.col("runs").cast("array<string>"), ","), "prices": F.array_join(F.transform("prices", lambda p: p["price_cents"].cast("string")), ","),
+    })
 )
 query(
     "dq24_ingest_findings",
