@@ -130,11 +130,16 @@ query("ext3_labels", f"select p.p_partkey as id, isbn13 as isbn, cast(1960 + p_s
 query("ext4_cards", "select page_id, '/' || w as url, min(k) as position, w as title from (select page_id, unnest(l) as w, generate_subscripts(l, 1) as k from (select page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href=\"/([^\"]*)\"', 1) as l from pages) a) b group by 1, 2, 4")(
     lambda t: x.cards(t.pages.select("page_id", F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("html")), "<li>", (x.Rule("url", ('<a href="([^"]*)"',), False), x.Rule("title", ('<a href="[^"]*">(.*?)</a>',)))).select("page_id", "url", "position", "title")
 )
-query("ext7_stock", "select p_partkey as id, p_partkey % 3 <> 0 and true as in_stock from {part}")(lambda t: built(t).select("id", F.coalesce(x.stock_signals(F.regexp_replace("html", "<p>.*", "")), F.lit(False)).alias("in_stock")))
-query("ext8_markdown")(lambda t: x.markdown(t.pages, "html", ["page_id"]))
-query("ext8_sanitise", "select page_id, not regexp_matches(html, '<zzz') as clean from pages")(
-    lambda t: t.pages.select("page_id", (~x.sanitise(F.col("html")).rlike("(?i)<(?:script|style|a|div|nav|article|footer|html|head|body|h1|title|!--)[ >]")).alias("clean"))
+query("ext7_stock", "select p_partkey as id, case when p_partkey % 11 <> 0 then p_partkey % 3 <> 0 end as in_stock from {part}")(
+    # the rating's digits stand beyond the window after the price; every eleventh page has no price block
+    lambda t: built(t).select("id", x.stock_signals(F.replace(F.expr("case when id % 11 = 0 then replace(html, 'class=\"price\"', 'class=\"none\"') else html end"), F.lit("<p>"), F.concat(F.repeat(F.lit(" "), F.lit(700)), F.lit("<p>")))).alias("in_stock"))
 )
+query("ext8_markdown")(lambda t: x.markdown(t.pages, "html", ["page_id"]))
+query(
+    "ext8_sanitise",
+    r"""select page_id, replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)[^>]*>', '', 'g'), '(?i)<(/?)(p|br|b|strong|i|em|ul|ol|li)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), '<[^>]*>', '', 'g'),
+          chr(1), '<'), chr(2), '>') as safe from pages""",
+)(lambda t: t.pages.select("page_id", x.sanitise(F.col("html")).alias("safe")))
 query(
     "ext9_internal_links",
     """with l as (select regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as base, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*?href="([^"#]*)[^"]*"', 1))) as href from pages)
@@ -145,7 +150,15 @@ query("ext10_rating", f"select p.p_partkey as id, cast(4.5 as decimal(3,2)) as r
 query("ext11_language", "select page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) = 'en' as is_book from pages")(
     lambda t: x.language_block(x.extract(t.pages).withColumn("is_book", F.lit(True)), ("en",)).select("page_id", "is_book")
 )
-query("ext12_response", "select url, 'empty_response' as issue from pages where octet_length(encode(html)) < 1900")(lambda t: x.response_findings(t.pages, smallest=1900).where("issue = 'empty_response'"))
+_FINAL = "case when page_id % 5 = 0 then concat(substr(url, 1, 8), split_part(substr(url, 9), '/', 1), case when page_id % 2 = 0 then '/' else '/lt/?page=2' end) else url end"
+query(
+    "ext12_response",
+    f"""with p as (select page_id, html, {_FINAL} as url from pages) select page_id, url, 'empty_response' as issue from p where octet_length(encode(html)) < 1024
+        union all select page_id, url, 'redirect_to_homepage' from p where page_id % 5 = 0""",
+)(
+    lambda t: x.response_findings(t.pages.withColumn("url", F.concat(F.expr(_FINAL), F.lit("#"), F.col("page_id").cast("string"))))
+    .select(F.substring_index("url", "#", -1).cast("long").alias("page_id"), F.substring_index("url", "#", 1).alias("url"), "issue")
+)
 query("ext13_store_type", "select p_partkey as id, case when p_size % 2 = 0 then 'ebook' else 'book' end as type, case when p_partkey % 7 <> 0 then p_brand end as author from {part}")(
     lambda t: t.part.select(
         F.col("p_partkey").alias("id"),
