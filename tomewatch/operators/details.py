@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.present import severity
+from .filters import matches_text
 from .windows import top_k_per_group
 
 #: Checks of a URL that its history shows.
@@ -80,3 +82,64 @@ def listing_detail(listings: DataFrame, issues: DataFrame, changes: DataFrame, u
         "id", "title", "issues", "changes", runs.alias("runs"), "prices", F.coalesce("url_count", F.lit(0)).alias("url_count"),
         F.col("_u.url").alias("discovery_url"), F.col("_u.type").alias("url_status"), F.coalesce("_u.fail_count", F.lit(0)).alias("url_fail_count"),
     )
+
+
+# Ingest failures that are critical unless the server answered with an error.
+CRITICAL_FAILURES = ("request_error", "anti_bot_detected", "schema_drift")
+SORTS = {"id": "id", "type": "issue", "shop": "shop", "book": "title", "sev": "severity_rank"}
+
+
+def unified_inbox(issues: DataFrame, failures: DataFrame, listings: DataFrame, urls: DataFrame, shops: DataFrame, runs: DataFrame) -> DataFrame:
+    """Findings and ingest failures in one list of a common shape, with their source, listing, URL and severity.
+
+    A finding belongs to its run's source and has its listing's title and type and its URL's type; a failure has the
+    listing of its URL. ``severity_rank`` is 1 for critical, 2 for all others.
+    """
+    named = shops.select(F.col("id").alias("shop_id"), F.col("name").alias("shop"))
+    of_run = runs.select(F.col("id").alias("run_id"), F.col("shop_id").alias("_run_shop"), F.col("started_at").alias("_started"))
+    book = listings.select(F.col("id").alias("shop_book_id"), "title", F.col("type").alias("book_type"))
+    typed = urls.groupBy("shop_id", "url").agg(F.min_by("type", "id").alias("url_type"))
+    finding = issues.join(of_run, "run_id").withColumn("shop_id", F.col("_run_shop")).join(book, "shop_book_id", "left").join(typed, ["shop_id", "url"], "left")
+    critical = severity(F.col("issue"))
+    findings = finding.select(
+        F.lit("validation").alias("kind"), "id", "url", "field", "issue", F.col("raw_value").cast("string").alias("raw_value"), F.lit(None).cast("string").alias("error_reason"), F.lit(None).cast("int").alias("http_status"),
+        "run_id", "shop_book_id", "title", "shop_id", "url_type", "book_type", "lifecycle_state", critical.alias("severity"), F.col("_started").alias("added_at"),
+    )
+    own = listings.select("shop_id", "url", F.col("id").alias("shop_book_id"), "title")
+    served = F.coalesce(F.col("http_status").between(400, 599), F.lit(False))
+    grave = F.coalesce(F.col("error_reason").rlike(f"^(?:{'|'.join(CRITICAL_FAILURES)})"), F.lit(False)) & ~served
+    failed = failures.join(own, ["shop_id", "url"], "left").select(
+        F.lit("scrape_failure").alias("kind"), "id", "url", F.lit("response").alias("field"), F.coalesce("error_reason", F.lit("unknown")).alias("issue"), F.col("http_status").cast("string").alias("raw_value"), "error_reason", "http_status",
+        "run_id", "shop_book_id", "title", "shop_id", F.lit(None).cast("string").alias("url_type"), F.lit(None).cast("string").alias("book_type"), "lifecycle_state", F.when(grave, "critical").otherwise("warning").alias("severity"),
+        F.col("failed_at").alias("added_at"),
+    )
+    both = findings.unionByName(failed).join(named, "shop_id", "left")
+    return both.withColumn("severity_rank", F.when(F.col("severity") == "critical", 1).otherwise(2))
+
+
+def inbox_page(
+    inbox: DataFrame, kind: str = "", state: str = "open", shop_id: int | None = None, issue: str = "", run_id: int | None = None, search: str = "", severity: str = "",
+    url_type: str | None = None, book_type: str | None = None, sort: str = "added", descending: bool = True, page: int = 1, per_page: int = 50,
+) -> DataFrame:
+    """One page of the unified inbox: filters, order (ties by id, findings first) and the page's rows.
+
+    ``open`` are new findings and failures that are not acknowledged; URL and listing types only hold for findings.
+    """
+    out = inbox
+    for column, value in (("kind", kind), ("shop_id", shop_id), ("run_id", run_id), ("severity", severity)):
+        if value not in ("", None):
+            out = out.where(F.col(column) == value)
+    if issue:
+        out = out.where(F.when(F.col("kind") == "validation", F.col("issue")).otherwise(F.col("error_reason")) == issue)
+    finding = F.col("kind") == "validation"
+    for column, value in (("url_type", url_type), ("book_type", book_type)):
+        if value is not None:
+            out = out.where(~finding | (F.col(column) == value))
+    if state == "open":
+        out = out.where(F.when(finding, F.col("lifecycle_state") == "new").otherwise(F.col("lifecycle_state") != "acknowledged"))
+    elif state:
+        out = out.where(F.col("lifecycle_state") == state)
+    if search:
+        out = out.where(matches_text(search, "url", "title"))
+    order = F.desc if descending else F.asc
+    return out.orderBy(order(SORTS.get(sort, "added_at")), order("id"), F.desc("kind")).offset((page - 1) * per_page).limit(per_page)

@@ -238,6 +238,28 @@ query(
         "runs": F.array_join(F.col("runs").cast("array<string>"), ","), "prices": F.array_join(F.transform("prices", lambda p: p["price_cents"].cast("string")), ","),
     })
 )
+_FAILED = """select id, shop_id, url, id % 1500 as run_id, case when id % 3 = 0 then 'request_error: reset' when id % 3 = 1 then 'timeout' end as error_reason, cast(case when id % 4 = 0 then 404 end as int) as http_status,
+  case when id % 7 = 0 then 'acknowledged' else 'new' end as lifecycle_state, last_checked_at as failed_at from {discovered_urls} where fail_count > 2"""
+_UNIFIED = f"""with i as ({_ISSUES}), f as ({_FAILED}), d as (select shop_id, url, arg_min(type, id) as type from {{discovered_urls}} group by 1, 2), u as (
+    select 'validation' as kind, i.id, i.url, i.field, i.issue, cast(null as varchar) as raw_value, cast(null as varchar) as error_reason, cast(null as int) as http_status, i.run_id, i.shop_book_id, b.title, r.shop_id, d.type as url_type, b.type as book_type,
+      i.lifecycle_state, case i.issue when 'zero_price' then 'critical' when 'url_aliases' then 'info' else 'warning' end as severity, r.started_at as added_at
+    from i join {{scrape_runs}} r on r.id = i.run_id left join {{shop_books}} b on b.id = i.shop_book_id left join d on d.shop_id = r.shop_id and d.url = i.url
+    union all select 'scrape_failure', f.id, f.url, 'response', coalesce(f.error_reason, 'unknown'), cast(f.http_status as varchar), f.error_reason, f.http_status, f.run_id, b.id, b.title, f.shop_id, null, null,
+      f.lifecycle_state, case when f.http_status is null and starts_with(f.error_reason, 'request_error') then 'critical' else 'warning' end, f.failed_at from f left join {{shop_books}} b on b.shop_id = f.shop_id and b.url = f.url)"""
+
+
+def _unified(t):
+    issues = _issues(t).withColumn("raw_value", F.lit(None).cast("string"))
+    made = details.unified_inbox(issues, t.spark.sql(_FAILED, discovered_urls=t.discovered_urls), t.shop_books, t.discovered_urls, t.shops, t.scrape_runs)
+    return made.withColumn("added_at", F.col("added_at").cast("timestamp_ntz"))
+
+
+query("set1_unified", _UNIFIED + " select u.*, s.name as shop, case when severity = 'critical' then 1 else 2 end as severity_rank from u left join {shops} s on s.id = u.shop_id")(_unified)
+query(
+    "set1_unified_page",
+    _UNIFIED + """ select kind, id, issue, lifecycle_state, severity from u where severity <> 'info' and (kind = 'validation' and lifecycle_state = 'new' and book_type = 'book' or kind <> 'validation' and lifecycle_state <> 'acknowledged')
+       and severity = 'critical' and (url ilike '%s%' or title ilike '%s%') order by added_at desc nulls last, id desc, kind desc limit 40 offset 40""",
+)(lambda t: details.inbox_page(_unified(t), book_type="book", severity="critical", search="s", page=2, per_page=40).select("kind", "id", "issue", "lifecycle_state", "severity"))
 query(
     "dq24_ingest_findings",
     """select case when b.id is not null then 'b:' || b.id else 'l:' || 'https://none.example/' || v.event_id end as entity, count(*) as n from (select event_id, user_id from events where event_type = 'error') v
