@@ -52,6 +52,15 @@ def merge_findings(table: DataFrame, found: DataFrame, run: Column, now: Column,
     )
 
 
+def ingest_findings(table: DataFrame, issues: DataFrame, listings: DataFrame, known: DataFrame, run: Column, now: Column) -> DataFrame:
+    """The findings table after an ingest batch: ``issues`` (shop_id, url, field, issue, raw_value) get their entities and are merged.
+
+    Empty values count as none; open findings that the batch does not name stay as they are.
+    """
+    batch = issues.withColumn("raw_value", F.nullif("raw_value", F.lit(""))).withColumn("initial_state", F.lit("new"))
+    return merge_findings(table, resolve_entities(batch, listings, known), run, now, resolve=False)
+
+
 def apply_commands(table: DataFrame, commands: DataFrame, now: Column) -> DataFrame:
     """Bulk moves: ``commands`` (issue, shop_id or null for all, state, snooze_days), one command per (issue, source)."""
     all_shops = commands.where("shop_id is null").select("issue", F.struct("state", "snooze_days").alias("_any"))

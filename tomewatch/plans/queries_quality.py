@@ -272,3 +272,29 @@ query(
         t.shop_books, t.discovered_urls,
     ).groupBy("entity").agg(F.count("*").alias("n"))
 )
+
+
+def _errors(t):
+    hit = t.events.where("event_type = 'error'").select("event_id", F.expr("(user_id % 10) * 1000000 + event_id % 200").alias("_b"))
+    rows = hit.join(t.shop_books.select(F.col("id").alias("_b"), "shop_id", "url"), "_b", "left")
+    return rows.select(
+        F.coalesce("shop_id", F.lit(-1)).alias("shop_id"), F.coalesce("url", F.concat(F.lit("https://none.example/"), "event_id")).alias("url"), F.lit("price").alias("field"),
+        F.lit("missing_price").alias("issue"), F.lit("").alias("raw_value"),
+    )
+
+
+_HELD = """select shop_id, concat('b:', cast(id as string)) as entity, 'price' as field, 'missing_price' as issue, url, 'r' as raw_value, 1 as first_run, 1 as last_run, 1 as run_count,
+  case when id % 3 = 0 then 'resolved' when id % 3 = 1 then 'acknowledged' else 'new' end as state from {shop_books} where id % 2 = 0"""
+query(
+    "dq24_merged",
+    f"""with t as ({_HELD}), e as (select b.id, coalesce(b.shop_id, -1) as shop_id, coalesce('b:' || b.id, 'l:https://none.example/' || v.event_id) as entity from (select event_id, user_id from events where event_type = 'error') v
+          left join {{shop_books}} b on b.id = (v.user_id % 10) * 1000000 + v.event_id % 200), f as (select distinct shop_id, entity from e)
+        select coalesce(t.shop_id, f.shop_id) as shop_id, coalesce(t.entity, f.entity) as entity, case when f.entity is null then t.raw_value end as raw_value, coalesce(t.first_run, 2) as first_run, case when f.entity is null then t.last_run else 2 end as last_run,
+          coalesce(t.run_count, 0) + case when f.entity is null then 0 else 1 end as run_count, case when t.entity is null or f.entity is not null and t.state = 'resolved' then 'new' else t.state end as state
+        from t full join f on f.shop_id = t.shop_id and f.entity = t.entity""",
+)(
+    lambda t: lc.ingest_findings(
+        t.spark.sql(_HELD, shop_books=t.shop_books).withColumns({c: F.lit(None).cast("timestamp") for c in ("snoozed_until", "acknowledged_at", "resolved_at")}), _errors(t),
+        t.shop_books, t.discovered_urls, F.lit(2), F.lit("2024-02-01").cast("timestamp"),
+    ).select("shop_id", "entity", "raw_value", "first_run", "last_run", "run_count", "state")
+)
