@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: lineage is cut as by a checkpoint, in less space."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def integer_ids(df: DataFrame, col: str) -> Column:
     """Column ``col`` as long; other than integer columns are refused, as a cast would make nulls of their values."""
     kind = df.schema[col].dataType.simpleString()

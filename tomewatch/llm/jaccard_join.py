@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, id_filter, integer_ids, may_hold
+from .common import checkpointed, components, id_filter, integer_ids, may_hold, stored
 from .kernels import SKETCH_CELLS, U, chunks, count_sketch, distinct_sorted, mix, shingles, trimmed
 
 #: Longs of a set's parity sketch: bit k tells whether the elements hashed to k are odd in number.
@@ -183,7 +183,7 @@ def jaccard_components(
     spark = docs.sparkSession
     multiply = lambda pairs: _product(pairs, docs, n, num, den, block, id_col, text_col)
     order = spark.sparkContext.broadcast(count_sketch(docs, lambda d, o: shingles(d, o, n)[0], text_col))
-    rows = checkpointed(_rows(docs, n, order, num, den, id_col, text_col))
+    rows = stored(_rows(docs, n, order, num, den, id_col, text_col))
     sets = (
         rows.where("n > 0 and id is not null")
         .groupBy("f1", "f2", "n")
@@ -196,7 +196,7 @@ def jaccard_components(
     # entries of the product with pivots
     first = F.struct((F.col("p") / F.col("n")).alias("at"), "node", "n", "p")
     shared = posts.groupBy("s").agg(F.count("*").alias("c"), F.min(first).alias("pivot")).where("c > 1").drop("c")
-    grouped = checkpointed(posts.join(shared, "s").select("s", "node", "n", "p", "pivot"))
+    grouped = stored(posts.join(shared, "s").select("s", "node", "n", "p", F.struct("pivot.node", "pivot.n", "pivot.p").alias("pivot")))
     bound = lambda a, b: _can_link(F.col(f"{a}n"), F.col(f"{a}p"), F.col(f"{b}n"), F.col(f"{b}p"), num, den)
     pairs = (
         grouped.where("node <> pivot.node")
@@ -217,11 +217,11 @@ def jaccard_components(
     heads = linked.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
     held = held.join(heads, F.col("pivot.node") == F.col("head"), "left").withColumn("head_root", F.coalesce("head_root", "pivot.node"))
     held = held.where("node <> pivot.node").select("s", "node", "n", "p", "root", (F.col("root") == F.col("head_root")).alias("main"))
-    held = checkpointed(held)
+    held = stored(held)
     # a group of one row besides its pivot has no further pair
     open_groups = held.groupBy("s").agg(F.count("*").alias("c"), F.bool_and("main").alias("done")).where("c > 1 and not done").select("s")
     held = held.join(open_groups, "s").join(marks, ["node", "n"])
-    held = checkpointed(held)
+    held = stored(held)
     outside = held.where("not main").select("s", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "f", "p", "root", *_BITS)])
     swap = lambda c, o: (F.when(F.col("node") < F.col("o_node"), c).otherwise(o), F.when(F.col("node") < F.col("o_node"), o).otherwise(c))
     (fa, fb), (na, nb) = swap(F.col("f"), F.col("o_f")), swap(F.col("n"), F.col("o_n"))
