@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,9 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, cutting its lineage."""
+    """Materialise ``df`` in the shared folder, cutting its lineage; plans that nothing refers to any more leave the driver."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
