@@ -29,14 +29,14 @@ def fold(d, n):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
 def test_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = con.execute(entry.oracle_sql()[name])
     columns = sorted(d[0] for d in found.description)

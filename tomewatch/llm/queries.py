@@ -11,11 +11,13 @@ from . import language_id, line_crf
 from .common import read
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine
 from .jaccard_join import jaccard_components
 from .mixing import poisson_mix
 from .suffix_dedup import remove_repeats
 from .surrogates import replace_personal_data
 from .token_shards import shard_folder, training_order, with_shards
+from .topk_search import top_k
 from .warc import BLOCKS, HIDDEN, responses_of_pages, warc_derivatives
 
 QUERIES: dict = {}
@@ -175,6 +177,42 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_shards(training_order(read(spark, sf_dir, "documents")), shard_folder(spark))
 
 
+@query
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+_DOT = "list_sum(list_transform(range(1, 1 + least(len(a.v), len(b.v))), lambda i: a.v[i] * b.v[i]))"
+_WHOLE = """
+  SELECT row_number() OVER () AS r, vec_id, {label} AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+ORACLES["op12_exact_topk"] = f"""
+WITH w AS ({_WHOLE.format(label="0")}),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(coalesce({_DOT}, 0) AS BIGINT) AS score FROM w a JOIN w b ON a.vec_id % 50 = 0 AND a.r <> b.r)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), n_positives=5, n_negatives=3, low=50, high=95, every=50)
+
+
+ORACLES["op13_hard_negatives"] = f"""
+WITH w AS (SELECT * FROM ({_WHOLE.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")}) WHERE label IS NOT NULL),
+s AS (SELECT a.r, b.r AS other, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(coalesce({_DOT}, 0) AS BIGINT) AS score FROM w a JOIN w b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
