@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tomewatch.llm import hard_negatives, vector_tiles
+from tomewatch.llm import vector_tiles
 from tomewatch.llm.hard_negatives import SEGMENTS, bounds, mine, summary
 from tomewatch.llm.topk_search import top_k
 
@@ -74,7 +74,7 @@ def sizes(request, monkeypatch):
         monkeypatch.setattr(vector_tiles.query_blocks, "__defaults__", (3,))
         for name, value in (("CELL_QUERIES", 2), ("CELL_SHARDS", 3), ("FAN_IN", 2)):
             monkeypatch.setattr(vector_tiles, name, value)
-        monkeypatch.setattr(hard_negatives, "STRIP", 4)
+    return 4 if request.param else 1024
 
 
 @pytest.mark.parametrize("name", CASES)
@@ -86,7 +86,7 @@ def test_top_k(spark, sizes, name):
 
 @pytest.mark.parametrize("name", CASES)
 def test_mine(spark, sizes, name):
-    got = mine(table(spark, CASES[name]), every=5)
+    got = mine(table(spark, CASES[name]), every=5, strip=sizes)
     assert sorted(map(tuple, got.collect())) == brute_mine(CASES[name], 5)
 
 

@@ -47,13 +47,13 @@ def bands(score: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarra
     return clip(part(low, True)), clip(part(high, False))
 
 
-def strips(q: Block, s: Block, kept: dict, allow: np.ndarray, floor: np.ndarray, ceiling: np.ndarray | None):
+def strips(q: Block, s: Block, kept: dict, allow: np.ndarray, floor: np.ndarray, ceiling: np.ndarray | None, size: int):
     """Per strip of the shard: the survivors (i, j, score) of all levels. ``floor`` is read anew for each strip."""
     peaks = q.peak * s.peak
-    levels = kept.setdefault(("summary", q.block), [summary(q.data, size) for size in SEGMENTS])
-    own = [summary(s.data, size) for size in SEGMENTS]
-    for at in range(0, s.n, STRIP):
-        cut = slice(at, at + STRIP)
+    levels = kept.setdefault(("summary", q.block), [summary(q.data, x) for x in SEGMENTS])
+    own = [summary(s.data, x) for x in SEGMENTS]
+    for at in range(0, s.n, size):
+        cut = slice(at, at + size)
         alive = allow[:, cut].copy()
         for mine, theirs in zip(levels, own, strict=True):
             if not alive.any():
@@ -66,7 +66,7 @@ def strips(q: Block, s: Block, kept: dict, allow: np.ndarray, floor: np.ndarray,
         yield i, j + at, score
 
 
-def mine(df: DataFrame, n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", scale: float = 256.0) -> DataFrame:
+def mine(df: DataFrame, n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", scale: float = 256.0, strip: int = STRIP) -> DataFrame:
     """Hard negatives of every anchor and positive: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     Anchors are the rows whose id is divisible by ``every``; an anchor's positives are its ``n_positives`` other rows of
@@ -90,7 +90,7 @@ def mine(df: DataFrame, n_positives: int = 5, n_negatives: int = 3, low: int = 5
         own = np.flatnonzero(q.origin[:, 0] == s.block)
         allow[own, q.origin[own, 1]] = False
         found, floor = [], top[:, -1].copy()
-        for i, j, score in strips(q, s, kept, allow, floor, None):
+        for i, j, score in strips(q, s, kept, allow, floor, None, strip):
             take = best(i, s.ids[j], score, n_positives)
             i, j, score = i[take], j[take], score[take]
             found.append((i, j, score))
@@ -125,7 +125,7 @@ def mine(df: DataFrame, n_positives: int = 5, n_negatives: int = 3, low: int = 5
         allow = q.labels[:, None] != s.labels[None, :]
         found = []
         starts = np.searchsorted(pq, np.arange(q.n + 1))  # lists come in order of their query row
-        for i, j, score in strips(q, s, kept, allow, floor, ceiling):
+        for i, j, score in strips(q, s, kept, allow, floor, ceiling, strip):
             for k in range(n_positives):
                 p = starts[i] + k
                 there = np.flatnonzero(p < starts[i + 1])

@@ -9,6 +9,7 @@ import corpus_pipeline
 
 from . import language_id, line_crf
 from .common import read
+from .conversation_trie import conversation_trie
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .hard_negatives import mine
@@ -177,6 +178,37 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_shards(training_order(read(spark, sf_dir, "documents")), shard_folder(spark))
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+_CRC = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({s}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * CAST(3988292384 AS BIGINT))))"""
+ORACLES["op11_conversation_trie"] = f"""
+WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT *, md5(strlen(role) || ':' || role || text) AS m FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS k FROM m),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor({_CRC.format(s="CAST(conv_id AS VARCHAR)")}, CAST(4294967295 AS BIGINT)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM s)),
+r AS (
+  SELECT c.conv_id, 0 AS part, t.k, t.m, t.text FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.k, t.m, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h
+),
+q AS (SELECT c.conv_id, coalesce(list(r.m ORDER BY part, k) FILTER (WHERE r.m IS NOT NULL), []) AS path, list(len(regexp_extract_all(r.text, '[^\x20\x09-\x0D]+')) ORDER BY part, k) FILTER (WHERE r.m IS NOT NULL) AS words FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth, path, words FROM q),
+n AS (
+  SELECT depth, path[1:depth] AS node, path[1:greatest(depth - 1, 0)] AS above, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * any_value(words[depth]) END AS spared,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM p GROUP BY ALL
+),
+k AS (SELECT n.depth, n.node, count(b.node) AS n_children FROM n LEFT JOIN n b ON b.depth = n.depth + 1 AND b.above = n.node GROUP BY n.depth, n.node),
+up AS (SELECT unnest(range(0, n.depth + 1)) AS at, n.node, n.spared, k.n_children FROM n JOIN k ON k.depth = n.depth AND k.node = n.node),
+u AS (SELECT at AS depth, node[1:at] AS node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(spared) AS BIGINT) AS saved_tokens FROM up GROUP BY at, node[1:at])
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, k.n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
+FROM n JOIN k ON k.depth = n.depth AND k.node = n.node JOIN u ON u.depth = n.depth AND u.node = n.node LEFT JOIN n a ON a.depth = n.depth - 1 AND a.node = n.above
+"""
+
+
 @query
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
