@@ -197,13 +197,13 @@ r AS (
 q AS (SELECT c.conv_id, coalesce(list(r.m ORDER BY part, k) FILTER (WHERE r.m IS NOT NULL), []) AS path, list(len(regexp_extract_all(r.text, '[^\x20\x09-\x0D]+')) ORDER BY part, k) FILTER (WHERE r.m IS NOT NULL) AS words FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
 p AS (SELECT conv_id, len(path) AS n, unnest(range(0, len(path) + 1)) AS depth, path, words FROM q),
 n AS (
-  SELECT depth, path[1:depth] AS node, path[1:greatest(depth - 1, 0)] AS above, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * any_value(words[depth]) END AS spared,
+  SELECT depth, path[1:depth] AS node, path[1:greatest(depth - 1, 0)] AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(CASE WHEN depth = 0 THEN 0 ELSE words[depth] END) AS spared,
     sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
-  FROM p GROUP BY ALL
+  FROM p GROUP BY depth, path[1:depth], path[1:greatest(depth - 1, 0)]
 ),
 k AS (SELECT n.depth, n.node, count(b.node) AS n_children FROM n LEFT JOIN n b ON b.depth = n.depth + 1 AND b.above = n.node GROUP BY n.depth, n.node),
-up AS (SELECT unnest(range(0, n.depth + 1)) AS at, n.node, n.spared, k.n_children FROM n JOIN k ON k.depth = n.depth AND k.node = n.node),
-u AS (SELECT at AS depth, node[1:at] AS node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(spared) AS BIGINT) AS saved_tokens FROM up GROUP BY at, node[1:at])
+up AS (SELECT unnest(range(0, n.depth + 1)) AS lvl, n.node, n.spared, k.n_children FROM n JOIN k ON k.depth = n.depth AND k.node = n.node),
+u AS (SELECT lvl AS depth, node[1:lvl] AS node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(spared) AS BIGINT) AS saved_tokens FROM up GROUP BY lvl, node[1:lvl])
 SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, k.n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
 FROM n JOIN k ON k.depth = n.depth AND k.node = n.node JOIN u ON u.depth = n.depth AND u.node = n.node LEFT JOIN n a ON a.depth = n.depth - 1 AND a.node = n.above
 """
