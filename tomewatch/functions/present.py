@@ -37,8 +37,9 @@ def failure_severity(reason: Column, status: Column) -> Column:
 
 
 def discount_percent(price: Column, original: Column) -> Column:
+    """Per cent below the original price; null without one, and where it does not fit three digits."""
     p, o = price.cast("decimal(12,2)"), original.cast("decimal(12,2)")
-    return F.when(o > 0, F.round((1 - p / o) * 100, 2).cast("decimal(5,2)"))
+    return F.when(o > 0, F.round((1 - p / o) * 100, 2).try_cast("decimal(5,2)"))
 
 
 def duration_text(seconds: Column) -> Column:

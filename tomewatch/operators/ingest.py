@@ -310,10 +310,13 @@ def retryable_items(items: DataFrame, reasons: tuple[str, ...] = ("timeout", "co
     return items.where((F.col("status") == "failed") & (F.col("attempts") < attempts) & F.col("reason").isin(*reasons))
 
 
+def kind_of() -> Column:
+    return F.when(F.col("canonical"), "canonical").when(F.col("title").isNull() & F.col("price").isNull(), "url").when(~F.col("is_book"), "non_product").otherwise("book")
+
+
 def route(df: DataFrame) -> DataFrame:
     """The kind of each parsed item, and where it goes."""
-    kind = F.when(F.col("canonical"), "canonical").when(F.col("title").isNull() & F.col("price").isNull(), "url").when(~F.col("is_book"), "non_product").otherwise("book")
-    return df.withColumn("kind", kind)
+    return df.withColumn("kind", kind_of())
 
 
 def admit_cards(cards: DataFrame, base: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:

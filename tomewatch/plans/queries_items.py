@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import ingest as g
 from ..operators.windows import latest_per_key
 from ..sources import tables as src
-from ..streaming import jobs
+from ..sources.buckets import BucketedTable, work_folder
+from ..streaming import ingest, jobs
 from .registry import query
 
 EVENTS_NOW = "2024-01-30 00:00:00"
@@ -186,6 +187,66 @@ query("ing25_route", "select case when p_partkey % 10 = 0 then 'canonical' when
     .groupBy("kind").agg(F.count("*").alias("n"))
 )
 
+
+# the batch of ing7 into a table on disk: only the buckets that it touches are written again
+def bucketed(t):
+    columns = ["shop_id", "url", "title", "publisher", "author", "sku"]
+    table = BucketedTable(work_folder(t.spark), ("shop_id", "url"), "shop_id long, url string, title string, publisher string, author string, sku string", 32).create(t.shop_books.select(columns))
+    table.upsert(batch(t), 1, lambda old, new: src.merge(old, new, ["shop_id", "url"], overwrite=["title"]))
+    return table.read(t.spark)
+
+
+query(
+    "snk2_bucketed_upsert",
+    f"""with b as ({_BATCH}) select coalesce(s.shop_id, b.shop_id) as shop_id, coalesce(s.url, b.url) as url, coalesce(b.title, s.title) as title, coalesce(b.publisher, s.publisher) as publisher, coalesce(b.author, s.author) as author,
+        coalesce(b.sku, s.sku) as sku from {{shop_books}} s full join b on b.shop_id = s.shop_id and b.url = s.url""",
+)(bucketed)
+
+
+def arriving(t, wave):
+    """The raw items as they arrive: all of them in wave 1; in wave 2 every fourth under a new title, each twice."""
+    rows = raw_items(t).join(t.shop_books.select("id", "shop_id"), "id").select(
+        F.concat_ws("-", "id", F.lit(wave)).alias("item_id"), F.lit(f"2001-08-0{wave} 00:00:00").cast("timestamp").alias("at"), "shop_id", "url",
+        (F.col("title") if wave == 1 else F.concat("title", F.when(F.col("title") != "", " II").otherwise(""))).alias("title"), "author", (F.col("publisher") if wave == 1 else F.lit(None).cast("string")).alias("publisher"),
+        *[F.lit(None).cast("string").alias(c) for c in ("format", "type", "sku")], "isbn", "price", "price_original", "year", "pages", *[F.lit(None).cast("string").alias(c) for c in ("description", "image_url")],
+        "in_stock", (F.col("id") % 6 != 5).alias("is_book"), F.lit(False).alias("canonical"), "properties", "id",
+    )
+    again = rows.where("id % 4 = 0")
+    return (rows if wave == 1 else again.union(again)).drop("id")
+
+
+def streamed(t):
+    folder = work_folder(t.spark)
+    catalogue = ingest.Catalogue(folder, 32).create(t.spark)
+    for wave in (1, 2):
+        arriving(t, wave).write.mode("append").parquet(f"{folder}/in")
+    query = catalogue.stream(src.stream_table(t.spark, f"{folder}/in", ingest.ITEM, 64), f"{folder}/checkpoint")
+    query.awaitTermination()
+    seen = catalogue.sink(t.spark, "prices").groupBy(F.col("shop_book_id").alias("id")).agg(F.count("*").alias("n_prices"))
+    rows = catalogue.sink(t.spark, "listings").join(seen, "id", "left")
+    return rows.select("shop_id", "url", "title", "publisher", "year", "isbn", (F.col("price") * 100).cast("long").alias("price_cents"), F.coalesce("n_prices", F.lit(0)).alias("n_prices"))
+
+
+query(
+    "st1_ingest_stream",
+    f"""{_VALIDATED}, s as (select v.*, b.shop_id from v join {{shop_books}} b on b.id = v.id where reject is null and v.id % 6 <> 5)
+        select shop_id, url, trim(title) || case when id % 4 = 0 then ' II' else '' end as title, publisher, new_year as year, case when id % 11 = 0 then null else isbn end as isbn, p * 100 as price_cents,
+        case when p is null then 0 when id % 4 = 0 then 2 else 1 end as n_prices from s""",
+)(streamed)
+
+
+def item_counts(t):
+    counts = ingest.counted(ingest.judged(arriving(t, 1)), lambda df: df.write.format("noop").mode("overwrite").save())
+    return t.spark.createDataFrame(list(counts.items()), "name string, n long").where("n > 0")
+
+
+query(
+    "ing25_counts",
+    f"""{_VALIDATED}, b as (select * from v where id % 6 <> 5), f as (select issue as name, count(*) as n from ({_ISSUES[_ISSUES.index("  select 'invalid_price'"):_ISSUES.index(" union all select 'attribute_unknown_key'")].replace("from v", "from b")}) z where hit group by 1)
+        select 'issue_' || name as name, n from f union all select 'items', count(*) from v union all select 'kind_book', count(*) from b union all select 'kind_non_product', count(*) from v where id % 6 = 5
+        union all select 'rejected', count(*) from b where reject is not null""",
+)(item_counts)
+
 query("st2_rate", "select date_trunc('hour', ts) as start, count(*) as n from events group by 1")(lambda t: jobs.rate(t.events, size="1 hour", step="1 hour").withColumn("start", F.col("start").cast("timestamp_ntz")))
 query("st2_trailing_rate", f"select count(*) as n from events where ts > timestamp '{EVENTS_NOW}' - interval 86400 second and ts <= timestamp '{EVENTS_NOW}'")(lambda t: jobs.trailing_rate(t.events, EVENTS_NOW, 86400))
 query("st3_eta", "select p.run_id, case when d.n > 0 then greatest(1, cast(ceil(p.n * 1.0 / d.n) as bigint)) end as eta_minutes from (select run_id, count(*) as n from {scrape_url_items} where status = 'pending' group by 1) p left join (select run_id, count(*) as n from {scrape_url_items} where status = 'done' group by 1) d on d.run_id = p.run_id")(
