@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -11,84 +11,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_text, price_text_cents
-
-# Patterns of the markup that rules look for.
-JSON_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
-SCRIPTS = r"(?is)<(?:script|style)\b.*?</(?:script|style)[^>]*>"
-ANCHOR = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"'#]*)[^"']*["']"""
-PRODUCT = (
-    "`@type` string, name string, isbn string, sku string, image string, description string, author struct<name: string>,"
-    " offers struct<price: string, availability: string>, aggregateRating struct<ratingValue: string, reviewCount: string>"
-)
-LABEL_TABLES = {
-    "table": r"(?is)<tr[^>]*>\s*<t[hd][^>]*>(.*?)</t[hd]>\s*<td[^>]*>(.*?)</td>",
-    "definitions": r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>(.*?)</dd>",
-    "spans": r"""(?is)<span class="label">(.*?)</span>\s*<span class="value">(.*?)</span>""",
-    "list": r"(?is)<li[^>]*>\s*<(?:b|strong)>(.*?)</(?:b|strong)>(.*?)</li>",
-}
-
+from . import markup as m
+from .markup import bare, sanitise  # noqa: F401
 
 @dataclass(frozen=True)
 class Rule:
-    """A field and the patterns that may give it, best first; ``strip`` removes tags and decodes references."""
+    """A field and what may give it, best first: patterns with one group, or functions of the page; ``strip`` leaves text only."""
 
     field: str
-    patterns: tuple[str, ...]
+    patterns: tuple[str | Callable[[Column], Column], ...]
     strip: bool = True
 
 
-def meta(name: str) -> str:
-    return rf"""(?is)<meta[^>]*(?:property|name)\s*=\s*["']{name}["'][^>]*content\s*=\s*["']([^"']*)["']"""
+def meta(name: str) -> Callable[[Column], Column]:
+    return lambda html: m.meta(html, name)
 
 
-def itemprop(name: str) -> str:
-    return rf"""(?is)<[^>]*itemprop\s*=\s*["']{name}["'][^>]*(?:content\s*=\s*["']([^"']*)["'])?[^>]*>"""
+def element(tag: str) -> Callable[[Column], Column]:
+    return lambda html: m.element(html, tag)
 
 
 PAGE_RULES = (
-    Rule("title", (meta("og:title"), r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<title[^>]*>(.*?)</title")),
-    Rule("heading", (r"(?is)<h1[^>]*>(.*?)</h1>",)),
-    Rule("language", (r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)""",), strip=False),
+    Rule("title", (meta("og:title"), element("h1"), element("title"))),
+    Rule("heading", (element("h1"),)),
+    Rule("language", (lambda html: F.regexp_extract(m.first_attribute(html, "html", "lang"), "^[A-Za-z-]+", 0),), strip=False),
     Rule("image_url", (meta("og:image"),), strip=False),
     Rule("description", (meta("og:description"), meta("description"))),
 )
 
 
-def bare(html: Column) -> Column:
-    """Text without tags, references decoded, white space collapsed; letter case kept."""
-    t = F.regexp_replace(F.regexp_replace(html, SCRIPTS, " "), "<[^>]+>", " ")
-    for name, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"[\s ]+", " "))
-
-
 def extract(df: DataFrame, rules: tuple[Rule, ...] = PAGE_RULES, html: str = "html") -> DataFrame:
     """The fields of a rule table, one column each; the first pattern that yields text wins."""
 
     def field(rule: Rule) -> Column:
-        found = [F.nullif(bare(F.regexp_extract(html, p, 1)) if rule.strip else F.regexp_extract(html, p, 1), F.lit("")) for p in rule.patterns]
-        return F.coalesce(*found).alias(rule.field)
+        given = [F.regexp_extract(html, p, 1) if isinstance(p, str) else p(F.col(html)) for p in rule.patterns]
+        return F.coalesce(*[F.nullif(bare(g) if rule.strip else g, F.lit("")) for g in given]).alias(rule.field)
 
     return df.select(*[c for c in df.columns if c != html], *[field(r) for r in rules])
 
 
+def _text(v: Column, *paths: str) -> Column:
+    """The first of some paths of a variant that holds text or a number; objects and lists are none."""
+    held = [F.when(F.schema_of_variant(F.try_variant_get(v, p, "variant")).rlike("^(?:STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, p, "string")) for p in paths]
+    return F.coalesce(*[F.nullif(F.trim(h), F.lit("")) for h in held])
+
+
+def _several(v: Column, path: str) -> Column:
+    """The members of a list, or the one value that stands in its place, as variants; null where there is neither."""
+    one = F.try_variant_get(v, path, "variant")
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.when(one.isNotNull(), F.array(one)))
+
+
+def json_nodes(df: DataFrame, html: str = "html") -> DataFrame:
+    """One row for every node of a page's JSON-LD: members of lists and of ``@graph`` too. Adds position, node (variant), types.
+
+    Broken blocks give nothing. A node's types are its ``@type``, one or several.
+    """
+    keys = [c for c in df.columns if c != html]
+    blocks = df.select(*keys, F.posexplode(m.json_blocks(F.col(html))).alias("_p", "_b")).withColumn("_v", F.try_parse_json("_b"))
+    tops = blocks.select(*keys, "_p", F.posexplode(_several(F.col("_v"), "$")).alias("_q", "_t"))
+    inner = F.concat(F.array("_t"), F.coalesce(_several(F.col("_t"), "$['@graph']"), F.array().cast("array<variant>")))
+    nodes = tops.select(*keys, "_p", "_q", F.posexplode(inner).alias("_r", "node"))
+    types = F.filter(F.transform(_several(F.col("node"), "$['@type']"), lambda t: t.try_cast("string") if hasattr(t, "try_cast") else t), lambda t: t.isNotNull())
+    return nodes.select(*keys, F.struct("_p", "_q", "_r").alias("position"), "node", F.coalesce(types, F.array().cast("array<string>")).alias("types"))
+
+
+def _product(v: Column) -> dict[str, Column]:
+    """The fields of a Product or Book node; people, images and offers may be text, an object or a list, of which the first counts."""
+    first = lambda path: F.try_element_at(_several(v, path), F.lit(1))
+    offer = first("$.offers")
+    availability = _text(offer, "$.availability")
+    return {
+        "title": bare(_text(v, "$.name")), "description": _text(v, "$.description"), "author": F.coalesce(_text(first("$.author"), "$"), _text(first("$.author"), "$.name")),
+        "publisher": F.coalesce(*[_text(first(p), x) for p in ("$.publisher", "$.brand") for x in ("$", "$.name")]), "isbn": _text(v, "$.gtin13", "$.isbn", "$.isRelatedTo.isbn"),
+        "sku": F.coalesce(_text(v, "$.sku"), _text(offer, "$.sku")), "image_url": F.coalesce(_text(first("$.image"), "$"), _text(first("$.image"), "$.url")),
+        "price_cents": price_text_cents(_text(offer, "$.price", "$.lowPrice")), "in_stock": availability.ilike("%InStock%"),
+        "rating": _text(v, "$.aggregateRating.ratingValue").try_cast("decimal(3,2)"), "review_count": _text(v, "$.aggregateRating.reviewCount").try_cast("int"),
+    }
+
+
 def json_ld(df: DataFrame, html: str = "html") -> DataFrame:
-    """Product and Book blocks of a page: one row per block, control characters blanked, broken blocks null and dropped."""
-    blocks = F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1))
-    parsed = df.select(*[c for c in df.columns if c != html], F.explode(blocks).alias("_b")).withColumn("p", F.from_json(F.regexp_replace("_b", r"[\x00-\x1f]", " "), PRODUCT))
-    p = parsed.where(F.col("p.@type").isin("Product", "Book"))
-    return p.select(
-        *[c for c in df.columns if c != html], F.col("p.name").alias("title"), F.col("p.author.name").alias("author"), F.col("p.isbn").alias("isbn"), F.col("p.sku").alias("sku"),
-        price_text_cents(F.col("p.offers.price")).alias("price_cents"), F.col("p.offers.availability").ilike("%InStock%").alias("in_stock"),
-        F.col("p.aggregateRating.ratingValue").try_cast("decimal(3,2)").alias("rating"), F.col("p.aggregateRating.reviewCount").try_cast("int").alias("review_count"),
-    )
+    """Product and Book nodes of a page, one row each, in whatever block, list or graph they stand."""
+    nodes = json_nodes(df, html).where(F.arrays_overlap("types", F.array(F.lit("Product"), F.lit("Book"))))
+    return nodes.select(*[c for c in df.columns if c != html], *[v.alias(k) for k, v in _product(F.col("node")).items()], "types")
+
+
+def page_data(df: DataFrame, html: str = "html") -> DataFrame:
+    """One row a page with JSON-LD: of each field the first Product or Book that has it, all types, and the categories.
+
+    Categories are the names along the page's last BreadcrumbList, top level first as it lists them. The other columns
+    are the page's keys.
+    """
+    keys = [c for c in df.columns if c != html]
+    nodes = json_nodes(df, html)
+    product = F.arrays_overlap("types", F.array(F.lit("Product"), F.lit("Book")))
+    fields = _product(F.col("node"))
+    crumbs = F.transform(_several(F.col("node"), "$.itemListElement"), lambda e: bare(F.coalesce(_text(e, "$.name"), _text(e, "$.item.name"))))
+    is_list = F.array_contains("types", "BreadcrumbList")
+    wide = nodes.select(*keys, "position", "types", *[F.when(product, v).alias(k) for k, v in fields.items()], F.when(is_list, F.filter(F.coalesce(crumbs, F.array().cast("array<string>")), lambda c: c != "")).alias("_crumbs"))
+    best = [F.min_by(k, F.when(F.col(k).isNotNull(), F.col("position"))).alias(k) for k in fields]
+    types = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "types"))), lambda s: s["types"]))
+    return wide.groupBy(*keys).agg(*best, types.alias("types"), F.coalesce(F.max_by("_crumbs", F.when(F.col("_crumbs").isNotNull(), F.col("position"))), F.array().cast("array<string>")).alias("categories"))
 
 
 def label_values(html: Column, markup: str) -> Column:
-    """A map of label to value from one of the table markups; a repeated label keeps its first value."""
-    p = F.lit(LABEL_TABLES[markup])
-    key = F.transform(F.regexp_extract_all(html, p, F.lit(1)), lambda k: F.rtrim(plain_text(bare(k)), F.lit(": ")))
-    pairs = F.arrays_zip(key.alias("k"), F.transform(F.regexp_extract_all(html, p, F.lit(2)), bare).alias("v"))
+    """A map of label to value from one of the label markups; a repeated label keeps its first value."""
+    labels, values = m.labelled(html, markup)
+    key = F.transform(labels, lambda k: F.rtrim(plain_text(k), F.lit(": ")))
+    pairs = F.arrays_zip(key.alias("k"), values.alias("v"))
     first = F.filter(F.transform(pairs, lambda e, i: F.struct(e["k"].alias("key"), e["v"].alias("value"), i.alias("i"))), lambda e: F.array_position(key, e["key"]) == e["i"] + 1)
     return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"])))
 
@@ -106,7 +136,7 @@ def cards(df: DataFrame, marker: str, rules: tuple[Rule, ...], html: str = "html
 def internal_links(df: DataFrame, known: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """New links of a page below its own scheme and host: resolved, without fragment, distinct, minus the known ones."""
     base = F.regexp_extract(url, "^([a-z]+://[^/?#]+)", 1)
-    href = F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))))
+    href = F.explode(F.array_distinct(F.transform(m.tags(F.col(html), "a"), lambda a: F.trim(F.substring_index(m.attribute(a, "href"), "#", 1)))))
     links = df.select(base.alias("base"), href.alias("href")).where("href <> ''")
     full = F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("href")).when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.concat(F.col("base"), F.lit("/"), F.col("href")))
     return links.select("base", full.alias("url")).where(F.col("url").startswith(F.col("base"))).select("url").distinct().join(known.select("url"), "url", "left_anti")
@@ -114,11 +144,11 @@ def internal_links(df: DataFrame, known: DataFrame, html: str = "html", url: str
 
 def stock_signals(html: Column, window: int = 600) -> Column:
     """False if the page hides its price, disables the cart or leaves the price block empty; null if it says nothing."""
-    t = F.regexp_replace(html, SCRIPTS, "")
+    t = F.regexp_replace(html, m.RAW, "")
     at = F.locate('class="price"', t)
     block = F.when(at > 0, F.substring(t, at, F.lit(window)))
     hidden = t.rlike(r"(?i)class=\"[^\"]*price-hidden|not-for-sale")
-    disabled = t.rlike(r"(?i)<button[^>]*add-to-cart[^>]*\bdisabled")
+    disabled = F.exists(m.tags(t, "button"), lambda a: F.contains(F.lower(a), F.lit("add-to-cart")) & a.rlike(r"(?i)\bdisabled"))
     return F.when(hidden | disabled | (block.isNotNull() & ~block.rlike("[0-9]")), F.lit(False)).when(block.rlike("[0-9]"), F.lit(True))
 
 
@@ -214,11 +244,11 @@ def nested_product(df: DataFrame, body: str = "body") -> DataFrame:
     schema = "id long, name string, price struct<final: string, regular: string>, attributes array<struct<label: string, value: string>>, categories array<struct<id: int, name: string>>, ld string"
     p = df.select(*[c for c in df.columns if c != body], F.from_json(body, schema).alias("p"))
     labels = F.map_from_entries(F.transform(F.col("p.attributes"), lambda a: F.struct(plain_text(a["label"]), a["value"])))
-    ld = F.from_json(F.col("p.ld"), PRODUCT)
+    ld = F.try_parse_json("p.ld")
     return p.select(
         *[c for c in df.columns if c != body], F.col("p.id").alias("id"), F.col("p.name").alias("title"), price_text_cents(F.col("p.price.final")).alias("price_cents"),
         F.coalesce(price_text_cents(F.col("p.price.regular")), price_text_cents(F.col("p.price.final"))).alias("original_cents"), labels.alias("properties"),
-        F.coalesce(labels["isbn"], ld["isbn"]).alias("isbn"), F.transform(F.col("p.categories"), lambda c: c["name"]).alias("categories"),
+        F.coalesce(labels["isbn"], _text(ld, "$.isbn")).alias("isbn"), F.transform(F.col("p.categories"), lambda c: c["name"]).alias("categories"),
     )
 
 
@@ -317,10 +347,3 @@ def markdown(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(F.col(html), *keep).mapInArrow(run, f"{schema}, markdown string")
-
-
-def sanitise(html: Column, allowed: tuple[str, ...] = ("p", "br", "b", "strong", "i", "em", "ul", "ol", "li")) -> Column:
-    """Only the allowed tags, without attributes."""
-    names = "|".join(allowed)
-    t = F.regexp_replace(F.regexp_replace(html, SCRIPTS, ""), rf"(?i)<(/?)({names})\b[^>]*>", "<$1$2>")
-    return F.regexp_replace(t, rf"(?i)<(?!/?(?:{names})>)[^>]*>", "")
