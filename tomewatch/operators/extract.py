@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -72,7 +72,7 @@ def json_nodes(df: DataFrame, html: str = "html") -> DataFrame:
     tops = blocks.select(*keys, "_p", F.posexplode(_several(F.col("_v"), "$")).alias("_q", "_t"))
     inner = F.concat(F.array("_t"), F.coalesce(_several(F.col("_t"), "$['@graph']"), F.array().cast("array<variant>")))
     nodes = tops.select(*keys, "_p", "_q", F.posexplode(inner).alias("_r", "node"))
-    types = F.filter(F.transform(_several(F.col("node"), "$['@type']"), lambda t: t.try_cast("string") if hasattr(t, "try_cast") else t), lambda t: t.isNotNull())
+    types = F.filter(F.transform(_several(F.col("node"), "$['@type']"), lambda t: t.try_cast("string")), lambda t: t.isNotNull())
     return nodes.select(*keys, F.struct("_p", "_q", "_r").alias("position"), "node", F.coalesce(types, F.array().cast("array<string>")).alias("types"))
 
 
@@ -123,6 +123,49 @@ def label_values(html: Column, markup: str) -> Column:
     return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"])))
 
 
+#: Rule tables as data: the rules of a source, by field and rank. Kinds: meta, element, label, pattern (one group) and json (a field of ``page_data``).
+RULES = "source string, field string, rank int, kind string, argument string"
+
+
+def extract_by_rules(df: DataFrame, rules: DataFrame, keys: list[str], source: str = "source", html: str = "html") -> DataFrame:
+    """Pages read by the rule table of their source: the keys, the source and ``fields``, a map of field to text.
+
+    A rule table is joined by source (a source's rules are few, so they travel as one array) and evaluated over that
+    array; of a field's rules the first by rank that yields text wins, ties by kind and argument. A source without
+    rules gives an empty map. Rules of kind ``json`` read the first value on a page of that field of Product and Book
+    nodes; only sources that have such rules parse JSON. Pages are told apart by their keys.
+    """
+    ruled = rules.where("kind <> 'json'").groupBy(F.col("source").alias(source)).agg(F.array_sort(F.collect_list(F.struct("field", "rank", "kind", "argument"))).alias("_rules"))
+    col = F.col(html)
+    metas = F.transform(m.tags(col, "meta"), lambda a: F.struct(F.lower(F.coalesce(m.attribute(a, "property"), m.attribute(a, "name"))).alias("k"), m.attribute(a, "content").alias("v")))
+    labels = F.flatten(F.array(*[F.transform(F.arrays_zip(k.alias("k"), v.alias("v")), lambda e: F.struct(F.rtrim(plain_text(e["k"]), F.lit(": ")).alias("k"), e["v"].alias("v"))) for k, v in (m.labelled(col, x) for x in m.LABELS)]))
+    pages = df.join(ruled, source, "left").select(*keys, source, html, F.coalesce("_rules", F.array().cast("array<struct<field: string, rank: int, kind: string, argument: string>>")).alias("_rules"), metas.alias("_metas"), labels.alias("_labels"))
+    held = lambda pairs, name: F.try_element_at(F.filter(pairs, lambda e: e["k"] == name), F.lit(1))["v"]
+
+    def value(r: Column) -> Column:
+        name = F.lower(r["argument"])
+        opened = F.concat(F.lit(r"(?is)<"), r["argument"], F.lit(r"\b[^<>]*>(.*?)(?:</"), r["argument"], F.lit(r"\b|\z)"))
+        kinds = {"meta": lambda: bare(held(F.col("_metas"), name)), "label": lambda: held(F.col("_labels"), name), "element": lambda: bare(F.call_function("regexp_extract", col, opened, F.lit(1))), "pattern": lambda: bare(F.call_function("regexp_extract", col, r["argument"], F.lit(1)))}
+        out = F.lit(None).cast("string")
+        for kind, make in kinds.items():
+            out = F.when(r["kind"] == kind, make()).otherwise(out)
+        return F.nullif(out, F.lit(""))
+
+    given = F.transform("_rules", lambda r: F.struct(r["field"].alias("field"), r["rank"].alias("rank"), value(r).alias("value")))
+    found = pages.select(*keys, source, F.filter(given, lambda g: g["value"].isNotNull()).alias("_given"))
+    wanted = rules.where("kind = 'json'").select(F.col("source").alias(source), "field", "rank", "argument")
+    # the array of one page is small: a rule each
+    data = page_data(df.join(wanted.select(source).distinct(), source, "left_semi").select(*keys, source, html))
+    texts = [F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in ("title", "description", "author", "publisher", "isbn", "sku", "image_url", "price_cents", "in_stock", "rating", "review_count")]
+    texts.append(F.struct(F.lit("category").alias("k"), F.try_element_at("categories", F.lit(-1)).alias("v")))
+    json = data.select(*keys, source, F.explode(F.array(*texts)).alias("t")).where("t.v is not null").join(wanted.withColumnRenamed("argument", "_k"), [source]).where("t.k = _k")
+    json = json.groupBy(*keys, source).agg(F.collect_list(F.struct("field", "rank", F.col("t.v").alias("value"))).alias("_json"))
+    both = found.join(json, [*keys, source], "left") if keys else found
+    every = F.array_sort(F.concat("_given", F.coalesce("_json", F.array().cast("array<struct<field: string, rank: int, value: string>>"))))
+    firsts = F.filter(F.transform(every, lambda e, i: F.struct(e["field"].alias("field"), e["value"].alias("value"), i.alias("i"))), lambda e: F.array_position(F.transform(every, lambda x: x["field"]), e["field"]) == e["i"] + 1)
+    return both.select(*keys, source, F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["field"], e["value"]))).alias("fields"))
+
+
 def cards(df: DataFrame, marker: str, rules: tuple[Rule, ...], html: str = "html") -> DataFrame:
     """Listing cards: the page split before each ``marker``, the rules' fields of each piece, first card per URL kept."""
     pieces = df.select(*[c for c in df.columns if c != html], F.posexplode(F.split(html, f"(?={marker})")).alias("position", "piece")).where(F.col("position") > 0)
@@ -260,17 +303,19 @@ def category_names(df: DataFrame, names: DataFrame, ids: str = "category_ids") -
     return each.groupBy(*keys).agg(F.transform(listed, lambda s: s["_name"]).alias("categories"))
 
 
-class _Markdown(HTMLParser):
-    """Turns description markup into Markdown."""
+class _Markdown:
+    """Turns description markup into Markdown, tag by tag."""
 
     MARK = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+    #: Levels of indentation of lists; deeper ones stay at the last, as indentation would outgrow the text.
+    DEEPEST = 16
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.lists: list[list] = []
         self.href = ""
         self.cells: list[str] | None = None
+        self.cell = -1
         self.rows = 0
 
     def handle_starttag(self, tag, attrs):
@@ -284,18 +329,18 @@ class _Markdown(HTMLParser):
         elif tag == "li":
             kind = self.lists[-1] if self.lists else ["ul", 0]
             kind[1] += 1
-            self.out.append("\n" + "  " * (len(self.lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- "))
+            self.out.append("\n" + "  " * min(len(self.lists) - 1, self.DEEPEST) + (f"{kind[1]}. " if kind[0] == "ol" else "- "))
         elif tag[0] == "h" and tag[1:].isdigit():
             self.out.append("\n\n" + "#" * int(tag[1:]) + " ")
         elif tag in self.MARK:
             self.out.append(self.MARK[tag])
         elif tag == "a":
-            self.href = dict(attrs).get("href") or ""
+            self.href = attrs.get("href", "")
             self.out.append("[")
         elif tag == "tr":
             self.cells = []
         elif tag in ("td", "th"):
-            self.out.append("\0")
+            self.cell = len(self.out)
 
     def handle_endtag(self, tag):
         if tag in self.MARK:
@@ -306,10 +351,10 @@ class _Markdown(HTMLParser):
             if self.lists:
                 self.lists.pop()
             self.out.append("\n")
-        elif tag in ("td", "th") and self.cells is not None and "\0" in self.out:
-            at = len(self.out) - 1 - self.out[::-1].index("\0")
-            self.cells.append("".join(self.out[at + 1 :]).strip())
-            del self.out[at:]
+        elif tag in ("td", "th") and self.cells is not None and self.cell >= 0:
+            self.cells.append("".join(self.out[self.cell :]).strip())
+            del self.out[self.cell :]
+            self.cell = -1
         elif tag == "tr" and self.cells is not None:
             self.out.append("\n| " + " | ".join(self.cells) + " |")
             if self.rows == 0:
@@ -328,12 +373,15 @@ class _Markdown(HTMLParser):
 def to_markdown(html: str | None) -> str | None:
     if html is None or "<" not in html:
         return html
-    import re
-
     parser = _Markdown()
-    parser.feed(html)
-    parser.close()
-    lines = [re.sub(r" {2,}(?=\S)", " ", line).rstrip() if not line.startswith("  ") else line.rstrip() for line in "".join(parser.out).replace("\0", "").split("\n")]
+    for end, tag, attrs, data in m.scan(html):
+        if data is not None:
+            parser.handle_data(data)
+        elif end:
+            parser.handle_endtag(tag)
+        else:
+            parser.handle_starttag(tag, attrs)
+    lines = [re.sub(r" {2,}(?=\S)", " ", line).rstrip() if not line.startswith("  ") else line.rstrip() for line in "".join(parser.out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 

@@ -105,6 +105,28 @@ _PAIR = re.compile(r"""([^\s"'=<>/]{1,100}+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'=
 _RAW = re.compile(RAW.replace(r"\z", r"\Z"))
 
 
+_HIDDEN = re.compile(_RAW.pattern + r"|<!--.*?(?:-->|\Z)|<![^<>]*>")
+
+
+def _attrs(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, value in _PAIR.findall(text):
+        out.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in "\"'" else value))
+    return out
+
+
+def scan(html: str) -> Iterator[tuple[bool, str, dict[str, str], str | None]]:
+    """A page as (end tag, tag, attributes, None) and (False, "", {}, text) in order; scripts, styles and comments are left out."""
+    page, at = _HIDDEN.sub("", html), 0
+    for found in _SCAN.finditer(page):
+        if found.start() > at:
+            yield False, "", {}, unescape(page[at : found.start()])
+        at = found.end()
+        yield bool(found[1]), found[2].lower(), _attrs(found[3]) if found[3] and not found[1] else {}, None
+    if at < len(page):
+        yield False, "", {}, unescape(page[at:])
+
+
 def microdata_of(html: str) -> list[tuple[str, str, str, str | None]]:
     """(scope, type, property, value) of a page in order of the start tags: a stack of open elements and one scan.
 
@@ -140,10 +162,7 @@ def microdata_of(html: str) -> list[tuple[str, str, str, str | None]]:
                     close()
                 close()
             continue
-        attrs: dict[str, str] = {}
-        if "item" in m[3].lower():
-            for name, value in _PAIR.findall(m[3]):
-                attrs.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in "\"'" else value))
+        attrs = _attrs(m[3]) if "item" in m[3].lower() else {}
         prop, item, row = attrs.get("itemprop", "").strip(), "itemscope" in attrs, -1
         path, kind = scopes[-1] if scopes else ("", "")
         if prop and scopes and props < DEEPEST:

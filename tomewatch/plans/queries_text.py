@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, isbn, present, text, urls
 from ..operators import extract as x
+from ..operators import markup as m
 from ..sources import tables as src
 from .registry import query
 
@@ -130,6 +131,51 @@ query("ext3_labels", f"select p.p_partkey as id, isbn13 as isbn, cast(1960 + p_s
 query("ext4_cards", "select page_id, '/' || w as url, min(k) as position, w as title from (select page_id, unnest(l) as w, generate_subscripts(l, 1) as k from (select page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href=\"/([^\"]*)\"', 1) as l from pages) a) b group by 1, 2, 4")(
     lambda t: x.cards(t.pages.select("page_id", F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("html")), "<li>", (x.Rule("url", ('<a href="([^"]*)"',), False), x.Rule("title", ('<a href="[^"]*">(.*?)</a>',)))).select("page_id", "url", "position", "title")
 )
+# every page form in turn: one block, a list of nodes, a graph, an offer list with typed lists, broken JSON before a good block
+_FORM = "p_partkey % 5"
+_CRUMBS = """'{"@type": "BreadcrumbList", "itemListElement": [{"position": 1, "name": "Knygos"}, {"position": 2, "item": {"name": "', p_type, ' &amp; co"}}, {"position": 3, "item": "x"}]}'"""
+_NODE = """'{"@type": ', case when p_partkey % 5 = 3 then '["Thing", "Book"]' else '"Product"' end, ', "name": "', p_name, '", "author": ', case when p_partkey % 2 = 0 then '[{"name": "' || p_brand || '"}, "B"]' else '"' || p_brand || '"' end,
+  ', "brand": {"name": "', p_type, '"}, "gtin13": ', case when p_partkey % 3 = 0 then '""' else isbn13 end, ', "isbn": "', isbn10, '", "image": ', case when p_partkey % 2 = 0 then '["/a.jpg", "/b.jpg"]' else '{"url": "/a.jpg"}' end,
+  ', "offers": ', case when p_partkey % 5 = 3 then '[' else '' end, '{"price": ', cast(p_size as string), '.5, "sku": "s', cast(p_size as string), '", "availability": "https://schema.org/', case when p_partkey % 4 = 0 then 'OutOfStock' else 'InStock' end, '"}', case when p_partkey % 5 = 3 then ', {"price": "1"}]' else '' end, '}'"""
+_LD = f"""concat('<html><head><script>if (a < b) {{ "<meta" }}</script><script type="application/ld+json">', case when {_FORM} = 4 then '{{broken' when {_FORM} = 1 then '[' when {_FORM} = 2 then '{{"@context": "x", "@graph": [' else '' end,
+  {_NODE}, case when {_FORM} = 1 then ',' when {_FORM} = 2 then ',' else '</script><script data-x="1" type="application/ld+json">' end, {_CRUMBS}, case when {_FORM} = 1 then ']' when {_FORM} = 2 then ']}}' else '' end, '</script></head><body></body></html>')"""
+_GOOD = "case when p.p_partkey % 5 <> 4 then"
+query(
+    "ext1_page_data",
+    f"""select p.p_partkey as id, {_GOOD} p_name end as title, {_GOOD} p_brand end as author, {_GOOD} p_type end as publisher, {_GOOD} case when p.p_partkey % 3 = 0 then isbn10 else isbn13 end end as isbn,
+        {_GOOD} 's' || p_size end as sku, {_GOOD} '/a.jpg' end as image_url, {_GOOD} cast(p_size * 100 + 50 as bigint) end as price_cents, {_GOOD} p.p_partkey % 4 <> 0 end as in_stock,
+        'Knygos > ' || p_type || ' & co' as categories, case p.p_partkey % 5 when 3 then 'Thing,Book,' when 4 then '' else 'Product,' end || 'BreadcrumbList' as types {_P}""",
+)(
+    lambda t: x.page_data(t.part.join(t.part_isbn, "p_partkey").select(F.col("p_partkey").alias("id"), F.expr(_LD).alias("html"))).select(
+        "id", "title", "author", "publisher", "isbn", "sku", "image_url", "price_cents", "in_stock", F.array_join("categories", " > ").alias("categories"), F.array_join("types", ",").alias("types")
+    )
+)
+
+_ITEMS = """concat('<div itemscope itemtype="https://schema.org/Product"><h1 itemprop="name"><b>', p_name, '</b> &amp; co</h1><img itemprop="image" src="/', cast(p_partkey as string), '.jpg"><div itemprop="offers" itemscope itemtype="http://schema.org/Offer"><meta itemprop="price" content="',
+  cast(p_size as string), '"><p><span itemprop="seller" itemscope><i itemprop="name">', p_type, '</i></span></div><span itemprop="brand">', p_brand, case when p_partkey % 3 = 0 then '' else '</span>' end, '</div><p itemprop="name">outside</p>')"""
+query(
+    "ext2_microdata",
+    """select p_partkey as id, unnest([0, 1, 2, 3, 4, 5, 6]) as position, unnest(['', '', '', 'offers', 'offers', 'offers.seller', '']) as scope, unnest(['Product', 'Product', 'Product', 'Offer', 'Offer', '', 'Product']) as type,
+       unnest(['name', 'image', 'offers', 'price', 'seller', 'name', 'brand']) as property, unnest([p_name || ' & co', '/' || p_partkey || '.jpg', null, cast(p_size as string), null, p_type, p_brand]) as value from {part}""",
+)(lambda t: m.microdata(t.part.select(F.col("p_partkey").alias("id"), F.expr(_ITEMS).alias("html")), ["id"]))
+
+# three sources read the same pages by different rules, given as a table
+RULES = [
+    ("a", "title", 1, "meta", "og:title"), ("a", "year", 1, "label", "Metai"), ("a", "kind", 1, "label", "tipas"), ("a", "isbn", 1, "label", "nothing"), ("a", "isbn", 2, "pattern", "<td>(97[0-9]{11})</td>"),
+    ("b", "title", 1, "element", "h1"), ("b", "title", 2, "json", "title"), ("b", "author", 1, "json", "author"), ("b", "kind", 1, "element", "dd"), ("b", "price", 1, "json", "price_cents"),
+]
+
+
+def by_source(t):
+    pages = built(t).withColumn("source", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")))
+    return x.extract_by_rules(pages, t.spark.createDataFrame(RULES, x.RULES), ["id"]).select("id", "source", *[F.col("fields")[f].alias(f) for f in ("title", "author", "isbn", "year", "kind", "price")])
+
+
+query(
+    "udf3_rules_by_source",
+    f"""select p.p_partkey as id, ['a', 'b', 'c'][1 + p.p_partkey % 3] as source, case when p.p_partkey % 3 <> 2 then p_name end as title, case when p.p_partkey % 3 = 1 then p_brand end as author, case when p.p_partkey % 3 = 0 then isbn13 end as isbn,
+        case when p.p_partkey % 3 = 0 then cast(1960 + p_size as string) end as year, case when p.p_partkey % 3 <> 2 then p_type || ' & co' end as kind, case when p.p_partkey % 3 = 1 then cast(p_size * 100 + 50 as string) end as price {_P}""",
+)(by_source)
 query("ext7_stock", "select p_partkey as id, case when p_partkey % 11 <> 0 then p_partkey % 3 <> 0 end as in_stock from {part}")(
     # the rating's digits stand beyond the window after the price; every eleventh page has no price block
     lambda t: built(t).select("id", x.stock_signals(F.replace(F.expr("case when id % 11 = 0 then replace(html, 'class=\"price\"', 'class=\"none\"') else html end"), F.lit("<p>"), F.concat(F.repeat(F.lit(" "), F.lit(700)), F.lit("<p>")))).alias("in_stock"))
