@@ -26,8 +26,97 @@ def url_history(urls: DataFrame, items: DataFrame, runs: DataFrame, limit: int =
     return last.select("url_id", F.col("rank").alias("k"), "run_id", "http_status", state.alias("check_state"), "started_at", "finished_at")
 
 
+def attach_listing(items: DataFrame, listings: DataFrame) -> DataFrame:
+    """Items with the id and title of the listing of their URL in their source, if there is one: adds shop_book_id, title."""
+    own = listings.select("shop_id", "url", F.col("id").alias("shop_book_id"), "title")
+    return items.drop("shop_book_id", "title").join(own, ["shop_id", "url"], "left")
+
+
+def decorate_books(books: DataFrame, isbns: DataFrame, book_authors: DataFrame, authors: DataFrame, listings: DataFrame) -> DataFrame:
+    """Works with their ISBNs, authors in order, and the number and lowest price of their listings: adds isbns, names, listings, min_cents.
+
+    Each side is reduced to one row a work before it is joined; a work without any keeps nulls.
+    """
+    owned = isbns.groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list("isbn")).alias("isbns"))
+    named = book_authors.where("role = 'author'").join(authors.select(F.col("id").alias("author_id"), "name"), "author_id")
+    names = named.groupBy(F.col("book_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda a: a["name"]).alias("names"))
+    sold = listings.where("book_id is not null").groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("listings"), F.min("price_cents").alias("min_cents"))
+    return books.join(owned, "id", "left").join(names, "id", "left").join(sold, "id", "left")
+
+
+def rescrape_urls(issues: DataFrame, urls: DataFrame, issue: str, states: tuple[str, ...] = ("new",)) -> DataFrame:
+    """The product URLs of every source that has a finding of this type in one of these states: (shop_id, url), each once."""
+    wanted = issues.where((F.col("issue") == issue) & F.col("lifecycle_state").isin(*states)).select("shop_id").distinct()
+    return urls.where("type = 'product'").join(wanted, "shop_id", "left_semi").select("shop_id", "url").distinct()
+
+
+# The kind of source that a discovery phase reads.
+PHASE_TO_SOURCE = {"discover_sitemap": "sitemap", "discover_categories": "category", "discover_full_crawl": "full_crawl"}
+
+
+def run_urls(runs: DataFrame, items: DataFrame, listings: DataFrame, failures: DataFrame, urls: DataFrame) -> DataFrame:
+    """The URLs of every run: its items, or where those are gone, what a discovery run saw last.
+
+    A run with items shows them with their listing and, if they failed, the reason of their latest failure. One without
+    shows, if it was a discovery, the URLs whose last sight it was, of the kind that its phase reads; an unknown phase
+    reads all kinds. Returns run_id, origin (item, history), id, url, url_type, status, title, error_reason, http_status, at.
+    """
+    from .windows import latest_per_key
+
+    last = latest_per_key(failures, ["run_id", "item_key"], [F.desc("failed_at"), F.desc("id")]).select("run_id", "item_key", F.col("error_reason").alias("_reason"))
+    live = attach_listing(items, listings).join(last, ["run_id", "item_key"], "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    shown = live.select("run_id", F.lit("item").alias("origin"), F.col("item_key").alias("id"), "url", none("string").alias("url_type"), "status", "title", F.when(F.col("status") == "failed", F.col("_reason")).alias("error_reason"), none("int").alias("http_status"), F.col("finished_at").alias("at"))
+    gone = runs.where("phase like 'discover%'").join(items.select(F.col("run_id").alias("id")).distinct(), "id", "left_anti")
+    kind = F.create_map(*[F.lit(x) for pair in PHASE_TO_SOURCE.items() for x in pair])[F.col("phase")]
+    seen = urls.join(gone.select(F.col("id").alias("last_seen_run_id"), "phase"), "last_seen_run_id").where(kind.isNull() | (F.col("source") == kind))
+    history = seen.select(F.col("last_seen_run_id").alias("run_id"), F.lit("history").alias("origin"), "id", "url", F.col("type").alias("url_type"), none("string").alias("status"), none("string").alias("title"), none("string").alias("error_reason"), F.col("last_http_status").cast("int").alias("http_status"), F.col("last_checked_at").alias("at"))
+    return shown.unionByName(history)
+
+
+def close_reasons(runs: DataFrame, issues: DataFrame) -> DataFrame:
+    """Runs with the reason for their end: completed with or without errors, the latest failure finding of a failed one, else 'failed'; null while open."""
+    failed = issues.where("issue = 'scrape_run_failed'").groupBy("run_id").agg(F.max_by("raw_value", "id").alias("_why"))
+    out = runs.drop("close_reason").join(failed.withColumnRenamed("run_id", "id"), "id", "left")
+    done = F.when(F.col("error_count") > 0, "completed_with_errors").otherwise("completed_ok")
+    return out.withColumn("close_reason", F.when(F.col("status") == "completed", done).when(F.col("status") == "failed", F.coalesce(F.nullif("_why", F.lit("")), F.lit("failed")))).drop("_why")
+
+
+def run_detail(runs: DataFrame, issues: DataFrame) -> DataFrame:
+    """Every run with its close reason and its findings by field and issue, most frequent first."""
+    counts = issues.groupBy("run_id", "field", "issue").agg(F.count("*").alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "field", "issue"))), lambda i: F.struct(i["field"].alias("field"), i["issue"].alias("issue"), (-i["o"]).alias("n")))
+    return close_reasons(runs, issues).join(counts.groupBy(F.col("run_id").alias("id")).agg(listed.alias("findings")), "id", "left")
+
+
+# Where the library shows a record, and where its records are read.
+LIBRARY_PAGE, LIBRARY_RECORD = "https://ibiblioteka.lt/metis/publication/", "https://ibiblioteka.lt/metis-api/bibliographic-records/public/"
+
+
+def source_links(books: DataFrame, library: str = "ibiblioteka") -> DataFrame:
+    """Works with the record they were read from and the page that shows it: adds scraped_url, page_url.
+
+    A library work with a code has both by its code (a stored source URL stays); any other has the page only if its
+    source URL ends in a number.
+    """
+    code = F.when((F.col("data_source") == library) & (F.coalesce("libis_code", F.lit("")) != ""), F.col("libis_code"))
+    last = F.regexp_extract(F.col("source_url"), "([^/]*)/*$", 1)
+    number = F.when(last.rlike("^[0-9]+$"), last)
+    return books.withColumn("scraped_url", F.coalesce("source_url", F.concat(F.lit(LIBRARY_RECORD), code))).withColumn("page_url", F.concat(F.lit(LIBRARY_PAGE), F.coalesce(code, number)))
+
+
+def book_listings(listings: DataFrame, shops: DataFrame) -> DataFrame:
+    """(id of the work, shop_listings): the listings of every work with their source, by source, then listing."""
+    sold = listings.where("book_id is not null").join(shops.select(F.col("id").alias("shop_id"), F.col("name").alias("shop")), "shop_id")
+    columns = [c for c in ("url", "price_cents", "in_stock", "is_active", "match_status", "title", "author", "year", "isbn", "publisher", "format", "first_seen_at", "last_seen_at") if c in listings.columns]
+    return sold.groupBy(F.col("book_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("shop", F.col("id").alias("shop_book_id"), *columns))).alias("shop_listings"))
+
+
 def book_detail(books: DataFrame, listings: DataFrame, shops: DataFrame, book_authors: DataFrame, authors: DataFrame) -> DataFrame:
-    """Every work with its authors by role, in their order, and its sources: (id, title, authors, translators, first_seen, sources, listings, min_cents)."""
+    """Every work with its authors by role, in their order, and its sources: (id, title, authors, translators, first_seen, sources, listings, min_cents).
+
+    ``source_links`` and ``book_listings`` give the rest of the view.
+    """
     named = book_authors.join(authors.select(F.col("id").alias("author_id"), "name"), "author_id")
     by_role = lambda role: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("position", "name")))), lambda a: a["name"]), ", ")
     people = named.groupBy(F.col("book_id").alias("id")).agg(by_role("author").alias("authors"), by_role("translator").alias("translators"))
@@ -62,6 +151,22 @@ def issue_detail(issues: DataFrame, listings: DataFrame, urls: DataFrame, runs:
     )
 
 
+def listing_extras(listings: DataFrame, attributes: DataFrame, urls: DataFrame, classifications: DataFrame) -> DataFrame:
+    """(id, attributes, classification): a listing's attributes by key, and the verdict on its first URL if that has one.
+
+    Attributes are empty where there are none; of a repeated key the largest value stands. The verdict is a struct of
+    score, whether it is a book, the reasons as structs (key, points), and when.
+    """
+    one = attributes.groupBy("shop_book_id", "key").agg(F.max("value").alias("value"))
+    held = one.groupBy(F.col("shop_book_id").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_held"))
+    first = urls.where("shop_book_id is not null").groupBy(F.col("shop_book_id").alias("id")).agg(F.min(F.col("id")).alias("discovered_url_id"))
+    reasons = F.coalesce(F.from_json("reasons", "array<struct<key: string, points: int>>"), F.array().cast("array<struct<key: string, points: int>>"))
+    verdict = F.struct("book_score", "is_book_product", reasons.alias("reasons"), "classified_at")
+    judged = classifications.where("book_score is not null").select("discovered_url_id", verdict.alias("classification"))
+    out = listings.select("id").join(held, "id", "left").join(first, "id", "left").join(judged, "discovered_url_id", "left")
+    return out.select("id", F.coalesce("_held", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("attributes"), "classification")
+
+
 def listing_detail(listings: DataFrame, issues: DataFrame, changes: DataFrame, urls: DataFrame, prices: DataFrame, limit: int = HISTORY) -> DataFrame:
     """Every listing with its findings, latest changes and their runs, price series and first URL, as arrays.
 

@@ -38,8 +38,9 @@ query("jn8_isbn_drift", _DRIFT.replace("{L}", "select id, book_id, isbn from {sh
 query("jn9_top_isbn", "select book_id, isbn as top_isbn from (select *, row_number() over (partition by book_id order by case isbn_type when 'isbn10' then 0 else 1 end desc, isbn desc) as k from {book_isbns}) x where k = 1")(
     lambda t: m.top_isbn(t.book_isbns)
 )
-query("jn10_attach_listing", "select i.run_id, i.item_key, b.title from {scrape_url_items} i left join {shop_books} b on b.shop_id = i.shop_id and b.id = i.shop_book_id")(
-    lambda t: t.scrape_url_items.join(t.shop_books.select("shop_id", F.col("id").alias("shop_book_id"), "title"), ["shop_id", "shop_book_id"], "left").select("run_id", "item_key", "title")
+_VISITED = "select i.run_id, i.item_key, i.shop_id, case when i.item_key % 4 = 0 then b.url || '?gone' else b.url end as url from {scrape_url_items} i join {shop_books} b on b.id = i.shop_book_id"
+query("jn10_attach_listing", f"select v.run_id, v.item_key, v.url, b.id as shop_book_id, b.title from ({_VISITED}) v left join {{shop_books}} b on b.shop_id = v.shop_id and b.url = v.url")(
+    lambda t: details.attach_listing(t.spark.sql(_VISITED, scrape_url_items=t.scrape_url_items, shop_books=t.shop_books), t.shop_books).select("run_id", "item_key", "url", "shop_book_id", "title")
 )
 query(
     "jn12_decorate_books",
@@ -47,14 +48,8 @@ query(
        left join (select x.book_id, string_agg(a.name, ',' order by x.position) as names from {book_authors} x join {authors} a on a.id = x.author_id where x.role = 'author' group by 1) w on w.book_id = k.id
        left join (select book_id, count(*) as n, min(price_cents) as lo from {shop_books} where book_id is not null group by 1) l on l.book_id = k.id""",
 )(
-    lambda t: t.books.select("id", "title")
-    .join(t.book_isbns.groupBy(F.col("book_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("isbn")), ",").alias("isbns")), "id", "left")
-    .join(
-        t.book_authors.where("role = 'author'").join(t.authors.select(F.col("id").alias("author_id"), "name"), "author_id").groupBy(F.col("book_id").alias("id"))
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda s: s["name"]), ",").alias("names")), "id", "left",
-    )
-    .join(t.shop_books.where("book_id is not null").groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("listings"), F.min("price_cents").alias("min_cents")), "id", "left")
-)
+    lambda t: details.decorate_books(t.books.select("id", "title"), t.book_isbns, t.book_authors, t.authors, t.shop_books).withColumns({"isbns": F.array_join("isbns", ","), "names": F.array_join("names", ",")})
+)
 query(
     "jn13_book_detail",
     """select k.id, k.title, p.authors, p.translators, b.first_seen, b.sources, b.listings, b.min_cents from {books} k
@@ -73,10 +68,69 @@ query(
     lambda t: details.url_history(t.discovered_urls, t.scrape_url_items.withColumn("http_status", F.expr(_HTTP)), t.scrape_runs)
     .withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "finished_at")})
 )
-query("jn18_rescrape_urls", "select distinct u.url from {validation_issues} v join {discovered_urls} u on u.shop_id = v.shop_id and u.type = 'product' where v.issue = 'missing_price' and v.lifecycle_state = 'new' and u.fail_count >= 4")(
-    lambda t: t.discovered_urls.where("type = 'product' and fail_count >= 4")
-    .join(t.validation_issues.where("issue = 'missing_price' and lifecycle_state = 'new'").select("shop_id"), "shop_id", "left_semi").select("url").distinct()
+query("jn18_rescrape_urls", "select distinct u.shop_id, u.url from {validation_issues} v join {discovered_urls} u on u.shop_id = v.shop_id and u.type = 'product' where v.issue = 'missing_price' and v.lifecycle_state = 'new'")(
+    lambda t: details.rescrape_urls(t.validation_issues, t.discovered_urls, "missing_price")
+)
+_SOURCES = """select id, title, case when id % 3 = 0 then 'ibiblioteka' else data_source end as data_source, case when id % 4 = 0 then '' when id % 2 = 0 then 'C' || id end as libis_code,
+  case when id % 5 = 1 then 'https://lib.example/r/' || id || '/' when id % 5 = 2 then 'https://lib.example/r/x' end as source_url from {books}"""
+query(
+    "jn13_source_links",
+    f"""select id, coalesce(source_url, case when data_source = 'ibiblioteka' and libis_code <> '' then 'https://ibiblioteka.lt/metis-api/bibliographic-records/public/' || libis_code end) as scraped_url,
+        case when data_source = 'ibiblioteka' and libis_code <> '' then 'https://ibiblioteka.lt/metis/publication/' || libis_code when id % 5 = 1 then 'https://ibiblioteka.lt/metis/publication/' || id end as page_url from ({_SOURCES}) s""",
+)(lambda t: details.source_links(t.spark.sql(_SOURCES, books=t.books)).select("id", "scraped_url", "page_url"))
+query(
+    "jn13_book_listings",
+    """select b.book_id as id, s.name as shop, b.id as shop_book_id, b.url, b.price_cents, b.in_stock, b.is_active, b.match_status, b.title, b.author, b.year, b.isbn, b.publisher, b.format, b.first_seen_at, b.last_seen_at,
+       row_number() over (partition by b.book_id order by s.name, b.id) - 1 as position from {shop_books} b join {shops} s on s.id = b.shop_id where b.book_id is not null""",
+)(
+    lambda t: details.book_listings(t.shop_books, t.shops).select("id", F.posexplode("shop_listings").alias("position", "l")).select("id", "position", "l.*")
+    .withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
+)
+_ATTRIBUTES = """select id as shop_book_id, 'format' as key, format as value from {shop_books} where format is not null and id % 3 <> 0 union all select id, 'brand', author from {shop_books} where id % 2 = 0
+  union all select id, 'brand', 'A' from {shop_books} where id % 4 = 0"""
+_VERDICTS = """select id as discovered_url_id, case when id % 3 = 0 then null else cast(id % 50 as int) end as book_score, id % 2 = 0 as is_book_product, case when id % 5 = 0 then null else '[{"key":"no_isbn","points":-' || id % 7 || '}]' end as reasons,
+  last_checked_at as classified_at from {discovered_urls} where id % 7 <> 0"""
+query(
+    "jn17_listing_extras",
+    f"""with a as (select shop_book_id, key, max(value) as value from ({_ATTRIBUTES}) x group by 1, 2), g as (select shop_book_id, string_agg(key || '=' || coalesce(value, '?'), ',' order by key) as attributes from a group by 1),
+        f as (select shop_book_id, min(id) as discovered_url_id from {{discovered_urls}} group by 1), v as ({_VERDICTS})
+        select b.id, coalesce(g.attributes, '') as attributes, v.book_score, case when v.book_score is not null then v.is_book_product end as is_book, case when v.book_score is null then null when v.discovered_url_id % 5 = 0 then '' else 'no_isbn' || -(v.discovered_url_id % 7) end as reasons,
+        case when v.book_score is not null then v.classified_at end as classified_at from {{shop_books}} b left join g on g.shop_book_id = b.id left join f on f.shop_book_id = b.id left join v on v.discovered_url_id = f.discovered_url_id""",
+)(
+    lambda t: details.listing_extras(t.shop_books, t.spark.sql(_ATTRIBUTES, shop_books=t.shop_books), t.discovered_urls, t.spark.sql(_VERDICTS.replace('[{"', '[{{"').replace('}]', '}}]'), discovered_urls=t.discovered_urls)).select(
+        "id", F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("?")))), ",").alias("attributes"), "classification.book_score", F.col("classification.is_book_product").alias("is_book"),
+        F.array_join(F.transform("classification.reasons", lambda r: F.concat(r["key"], r["points"].cast("string"))), ",").alias("reasons"), F.col("classification.classified_at").cast("timestamp_ntz").alias("classified_at"),
+    )
+)
+# every other run has lost its items; URLs were last seen by the latest run of their listing
+_RUNS = "select id, case phase when 'discover_category' then 'discover_categories' when 'match' then 'discover_other' else phase end as phase, status, error_count from {scrape_runs}"
+_ITEMS = "select i.run_id, i.item_key, i.shop_id, b.url, i.status, i.finished_at from {scrape_url_items} i join {shop_books} b on b.id = i.shop_book_id where i.run_id % 2 = 0"
+_REASONS = "select item_key + k.n as id, run_id, item_key, case when n = 2 then 'late_' || item_key % 3 else 'early' end as error_reason, cast('2001-01-01' as date) as failed_at from {scrape_url_items} i cross join (select 1 as n union all select 2) k where i.status <> 'done'"
+_SEEN = "select u.id, u.url, u.type, case u.id % 3 when 0 then 'sitemap' when 1 then 'category' else 'full_crawl' end as source, cast(u.id % 600 as int) as last_http_status, u.last_checked_at, r.run_id as last_seen_run_id from {discovered_urls} u join (select shop_book_id, max(run_id) as run_id from {scrape_url_items} group by shop_book_id) r on r.shop_book_id = u.shop_book_id"
+query(
+    "run_urls_with_fallback",
+    f"""with r as ({_RUNS}), i as ({_ITEMS}), f as ({_REASONS}), u as ({_SEEN})
+        select i.run_id, 'item' as origin, i.item_key as id, i.url, cast(null as varchar) as url_type, i.status, b.title, case when i.status = 'failed' then f.error_reason end as error_reason, cast(null as int) as http_status, i.finished_at as at
+        from i left join {{shop_books}} b on b.shop_id = i.shop_id and b.url = i.url left join f on f.run_id = i.run_id and f.item_key = i.item_key and f.error_reason <> 'early'
+        union all select r.id, 'history', u.id, u.url, u.type, null, null, null, u.last_http_status, u.last_checked_at from u join r on r.id = u.last_seen_run_id where r.id % 2 = 1 and r.phase like 'discover%'
+        and (r.phase = 'discover_other' or r.phase = 'discover_sitemap' and u.source = 'sitemap' or r.phase = 'discover_categories' and u.source = 'category')""",
+)(
+    lambda t: details.run_urls(
+        t.spark.sql(_RUNS, scrape_runs=t.scrape_runs), t.spark.sql(_ITEMS, scrape_url_items=t.scrape_url_items, shop_books=t.shop_books), t.shop_books,
+        t.spark.sql(_REASONS, scrape_url_items=t.scrape_url_items), t.spark.sql(_SEEN, discovered_urls=t.discovered_urls, scrape_url_items=t.scrape_url_items),
+    ).withColumn("at", F.col("at").cast("timestamp_ntz"))
 )
+_WHY = """select id * 3 + k as id, id as run_id, case k when 0 then 'zero_price' else 'scrape_run_failed' end as issue, 'run' as field, case when k = 2 then case id % 4 when 0 then null when 1 then '' else 'why_' || id % 5 end else 'early' end as raw_value
+  from {scrape_runs} r cross join (select 0 as k union all select 1 union all select 2) x where id % 3 <> 0 or k = 0"""
+query(
+    "ag19_run_detail",
+    """select id, status, case status when 'completed' then case when error_count > 0 then 'completed_with_errors' else 'completed_ok' end
+       when 'failed' then case when id % 3 = 0 or id % 4 < 2 then 'failed' else 'why_' || id % 5 end end as close_reason, case when id % 3 = 0 then 'zero_price:1' else 'scrape_run_failed:2,zero_price:1' end as findings from {scrape_runs}""",
+)(
+    lambda t: details.run_detail(t.scrape_runs, t.spark.sql(_WHY, scrape_runs=t.scrape_runs)).select(
+        "id", "status", "close_reason", F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["issue"], f["n"].cast("string"))), ",").alias("findings")
+    )
+)
 query(
     "mat2_synthesise",
     f"""with r as (select b.*, s.trust from {{shop_books}} b join ({_GAPS}) g on g.isbn = b.isbn join {{shops}} s on s.id = b.shop_id),
