@@ -90,3 +90,16 @@ def test_rules_by_source(spark):
     pages = spark.createDataFrame([(1, "a", "<h1>H</h1>" + ld(BOOK)), (2, "b", "<h1>H</h1>" + ld(BOOK)), (3, "none", "<h1>H</h1>"), (4, "a", None)], "id long, source string, html string")
     rules = spark.createDataFrame([("a", "title", 2, "element", "h1"), ("a", "title", 1, "meta", "og:title"), ("b", "title", 1, "json", "title"), ("b", "title", 2, "element", "h1"), ("b", "letter", 1, "pattern", "<h1>(.)")], x.RULES)
     assert {r.id: r.fields for r in x.extract_by_rules(pages, rules, ["id"]).collect()} == {1: {"title": "H"}, 2: {"title": "N", "letter": "H"}, 3: {}, 4: {}}
+
+
+def test_sitemaps(spark):
+    bodies = [
+        '<?xml version="1.0"?><?xml-stylesheet href="x"?>\n<urlset xmlns="n" xmlns:image="i"><url><loc><![CDATA[http://a/?x=1&y=2]]></loc><image:image><image:loc>no</image:loc></image:image></url><url><loc> http://b/&#228;&amp;&#x41; </loc></url><url><lastmod>1</lastmod></url></urlset>',
+        '<s:sitemapindex xmlns:s="n"><s:sitemap><s:loc>http://c/sitemap_product_1.xml</s:loc></s:sitemap></s:sitemapindex>', "<urlset><url><loc>u1</loc></url><url><loc>u2", "no xml <", "", None, "<urlset/>", "<html><p>x</p></html>",
+        '<!DOCTYPE x [<!ENTITY e SYSTEM "file:///etc/passwd">]><urlset><url><loc>&e;</loc></url></urlset>',
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    assert [(r.kind, r.locs, r.broken) for r in x.sitemaps(df).orderBy("id").collect()] == [
+        ("url", ["http://a/?x=1&y=2", "http://b/ä&A"], False), ("sitemap", ["http://c/sitemap_product_1.xml"], False), ("url", [], True), ("url", [], True), ("url", [], True), ("url", [], False), ("url", [], False), ("url", [], False), ("url", [], True),
+    ]
+    assert x.sitemap_urls(df).count() == 3

@@ -244,14 +244,28 @@ def feed_items(df: DataFrame, schema: str, path: str, body: str = "body") -> Dat
     return df.select(*[c for c in df.columns if c != body], F.inline(parsed))
 
 
+SITEMAP = "url array<struct<loc: string>>, sitemap array<struct<loc: string>>, _broken string"
+XML = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "true"}
+
+
+def sitemaps(df: DataFrame, body: str = "body") -> DataFrame:
+    """Sitemap bodies read as XML: adds kind (url, sitemap), locs (array) and broken in place of the body.
+
+    The XML declaration is skipped. Namespaces, CDATA and character references are resolved; entities that a body declares itself are not. A body that is
+    no well-formed XML is broken and holds nothing; a null body, another document and an empty list are not broken.
+    """
+    parsed = df.select(*[c for c in df.columns if c != body], F.from_xml(F.regexp_replace(body, r"^[\s\x{FEFF}]*<\?xml[^<>]*\?>", ""), SITEMAP, XML).alias("_x"))
+    kind = F.when(F.col("_x.sitemap").isNotNull(), "sitemap").otherwise("url")
+    locs = F.transform(F.coalesce(F.col("_x.sitemap"), F.col("_x.url"), F.array().cast("array<struct<loc: string>>")), lambda e: F.nullif(F.trim(e["loc"]), F.lit("")))
+    return parsed.select(*[c for c in df.columns if c != body], kind.alias("kind"), F.array_compact(locs).alias("locs"), F.col("_x._broken").isNotNull().alias("broken"))
+
+
 def sitemap_urls(df: DataFrame, body: str = "body") -> DataFrame:
-    """The locations of a ``urlset``; of a ``sitemapindex`` the children to read next. Malformed bodies give what they hold.
+    """The locations of a ``urlset``; of a ``sitemapindex`` the children to read next. Broken bodies give none.
 
     Returns the other columns plus ``kind`` (url, sitemap) and ``loc``.
     """
-    found = F.regexp_extract_all(body, F.lit(r"(?is)<(?:[a-z]+:)?(url|sitemap)>.*?<(?:[a-z]+:)?loc>\s*(.*?)\s*</"), F.lit(2))
-    kind = F.when(F.col(body).rlike("(?i)<(?:[a-z]+:)?sitemapindex"), "sitemap").otherwise("url")
-    return df.select(*[c for c in df.columns if c != body], kind.alias("kind"), F.explode(found).alias("loc")).withColumn("loc", F.replace("loc", F.lit("&amp;"), F.lit("&")))
+    return sitemaps(df, body).select(*[c for c in df.columns if c != body], "kind", F.explode("locs").alias("loc"))
 
 
 def children(index: DataFrame, pages: DataFrame, mark: str = "sitemap_product", body: str = "body") -> DataFrame:
@@ -282,6 +296,32 @@ def library_records(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataF
     return works, isbns, people.select("code", "name", "role", place.alias("position"))
 
 
+# Where a record is read, words of a carrier that is heard, and what bindings are called.
+RECORD = "https://ibiblioteka.lt/metis-api/bibliographic-records/public/"
+HEARD = ("mp3", "audio", "val.,", "min.,")
+BINDINGS = (("Kieti viršeliai", ("kietais viršeliais", "kieti viršeliai")), ("Minkšti viršeliai", ("minkštais viršeliais", "minkšti viršeliai")))
+
+
+def library_parts(df: DataFrame, body: str = "body") -> DataFrame:
+    """The parts of multipart records, to be read next: (code, position, part_code, url); parts without a code are left out."""
+    r = df.select(F.from_json(body, "code string, multipart string, parts array<struct<code: string>>").alias("r")).select("r.*")
+    many = r.where(F.lower("multipart").isin("true", "1"))
+    each = many.select("code", F.posexplode("parts").alias("position", "p")).where("coalesce(p.code, '') <> ''")
+    return each.select("code", "position", F.col("p.code").alias("part_code"), F.concat(F.lit(RECORD), "p.code").alias("url"))
+
+
+def carrier(publication: Column, physical: Column) -> Column:
+    """struct(type, format) of a record: electronic ones are audio if their physical description says so, else e-books; others are books by binding."""
+    text = F.lower(F.coalesce(physical, F.lit("")))
+    holds = lambda words: F.greatest(*[F.contains(text, F.lit(w)) for w in words])
+    electronic = F.coalesce(publication == "ELECTRONIC", F.lit(False))
+    kind = F.when(electronic & holds(HEARD), "audio").when(electronic, "ebook").otherwise("book")
+    bound = F.when(electronic, kind)
+    for name, words in BINDINGS:
+        bound = bound.when(holds(words), name)
+    return F.struct(kind.alias("type"), bound.alias("format"))
+
+
 def nested_product(df: DataFrame, body: str = "body") -> DataFrame:
     """A nested JSON product flattened: price pair, attribute list as a map, categories, language filter to come after."""
     schema = "id long, name string, price struct<final: string, regular: string>, attributes array<struct<label: string, value: string>>, categories array<struct<id: int, name: string>>, ld string"

@@ -47,9 +47,9 @@ _ISSUES = f"""{_VALIDATED}, f as (
   union all select 'invalid_isbn', reject is distinct from 'Invalid price: n/a' and not {_NO_TITLE} and id % 11 = 0, id from v union all select 'invalid_url', reject = 'Invalid URL: ftp://x', id from v
   union all select 'html_in_text', reject is null and title like '<b>%', id from v union all select 'suspicious_title', reject is null and length(trim(title)) < 2, id from v
   union all select 'attribute_unknown_key', reject is null, id from v)
-  select issue, count(*) as n from f where hit group by 1"""
+  select id, issue from f where hit"""
 query("ing2_ing5_findings", _ISSUES)(
-    lambda t: g.validate_items(raw_items(t), allowed=["duration"]).select(F.explode("findings").alias("f")).groupBy("f.issue").agg(F.count("*").alias("n"))
+    lambda t: g.validate_items(raw_items(t), allowed=["duration"]).select("id", F.explode("findings").alias("f")).select("id", "f.issue")
 )
 query("prj2_split_properties", "select event_id, event_type, user_id || '|x' as props from events")(
     lambda t: g.split_properties(
@@ -135,17 +135,33 @@ query(
     "ing17_record_failures",
     "select id, fail_count + case when shop_book_id % 4 = 0 then 2 else 0 end as fail_count, case when shop_book_id % 4 = 0 and fail_count + 2 >= 3 and type <> 'non_product' then 'unreachable' else type end as type from {discovered_urls}",
 )(lambda t: g.record_failures(t.discovered_urls, t.discovered_urls.where("shop_book_id % 4 = 0").select("shop_id", "normalized_url", F.explode(F.array(F.lit(1), F.lit(2)))))[0].select("id", "fail_count", "type"))
+# a library record for every part: two thirds find a work by an ISBN, some by their code only, the rest are new
+_RECORDS = """select concat('L', cast(p.p_partkey as string)) as libis_code, upper(p.p_name) as title, case when p.p_partkey % 4 <> 0 then cast(1900 + p.p_size as int) end as year, case when p.p_partkey % 3 = 0 then 'New House' end as publisher,
+  case when p.p_partkey % 7 = 0 then null when p.p_partkey % 2 = 0 then i.isbn10 else i.isbn13 end as isbn, i.isbn10, i.isbn13, p.p_partkey as k from {part} p join {part_isbn} i on i.p_partkey = p.p_partkey"""
+_KNOWN = "select id, title, year, case when id % 9 = 0 then null else publisher end as publisher, data_source, case when id % 14 = 0 then concat('L', cast(id as string)) end as libis_code from {books}"
+_RESOLVED = f"""with r as ({_RECORDS}), k as ({_KNOWN}), o as (select isbn, min(book_id) as book_id from {{book_isbns}} group by isbn),
+  a as (select r.libis_code, min(o.book_id) as book_id from r join o on r.isbn is not null and o.isbn in (r.isbn10, r.isbn13) group by 1),
+  m as (select r.*, coalesce(a.book_id, k.id) as book_id from r left join a on a.libis_code = r.libis_code left join k on k.libis_code = r.libis_code),
+  w as (select book_id, max(libis_code) as libis_code, arg_max(title, libis_code) as title, arg_max(year, libis_code) as year, arg_max(publisher, libis_code) as publisher from m where book_id is not null group by 1)"""
+
+
+def upserted(t):
+    records = t.spark.sql(_RECORDS, part=t.part, part_isbn=t.part_isbn).select("libis_code", "title", "year", "publisher", F.expr("case when isbn is null then cast(array() as array<string>) else array(isbn) end").alias("isbns"))
+    return g.upsert_works(t.spark.sql(_KNOWN, books=t.books), t.book_isbns, records)
+
+
 query(
     "ing18_upsert_works",
-    """with r as (select p.p_partkey as k, i.isbn13, i.isbn10 from {part} p join {part_isbn} i on i.p_partkey = p.p_partkey where p.p_partkey % 6 = 0),
-       o as (select r.k, min(b.book_id) as book from r left join {book_isbns} b on b.isbn in (r.isbn13, r.isbn10) group by 1)
-       select (select count(*) from {books}) + count(*) filter (where book is null) as works, (select count(*) from {books}) + count(*) filter (where book is null) as with_title from o""",
+    f"""{_RESOLVED} select k.id, coalesce(w.title, k.title) as title, coalesce(w.year, k.year) as year, coalesce(k.publisher, w.publisher) as publisher, case when w.book_id is not null then 'library' else k.data_source end as data_source,
+        coalesce(w.libis_code, k.libis_code) as libis_code from k left join w on w.book_id = k.id union all select null, title, year, publisher, 'library', libis_code from m where book_id is null""",
+)(lambda t: upserted(t)[0].select(F.when(F.col("id").isin(0) | (F.abs("id") < 10**9), F.col("id")).alias("id"), "title", "year", "publisher", "data_source", "libis_code"))
+query(
+    "ing18_upsert_isbns",
+    f"""{_RESOLVED}, n as (select isbn, min(coalesce(cast(book_id as varchar), libis_code)) as owner from (select book_id, libis_code, unnest([isbn10, isbn13]) as isbn from m where isbn is not null) z group by 1)
+        select i.isbn, coalesce(n.owner, cast(i.book_id as varchar)) as owner, i.isbn_type from {{book_isbns}} i left join n on n.isbn = i.isbn union all select isbn, owner, 'isbn' || length(isbn) from n where isbn not in (select isbn from {{book_isbns}})""",
 )(
-    lambda t: g.upsert_works(
-        t.books.withColumn("libis_code", F.lit(None).cast("string")), t.book_isbns,
-        t.part.join(t.part_isbn, "p_partkey").where("p_partkey % 6 = 0").select(F.col("p_partkey").cast("string").alias("libis_code"), F.col("p_name").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("publisher"), F.array("isbn13").alias("isbns")),
-    )[0].agg(F.count("*").alias("works"), F.count("title").alias("with_title"))
-)
+    lambda t: (lambda works, isbns: isbns.join(works.select(F.col("id").alias("book_id"), "libis_code"), "book_id", "left").select("isbn", F.when(F.abs("book_id") < 10**9, F.col("book_id").cast("string")).otherwise(F.col("libis_code")).alias("owner"), "isbn_type"))(*upserted(t))
+)
 query("ing19_merge_authors", "select normalized_name, 'c' || id as code from {authors} union all select 'new author', null")(
     lambda t: g.merge_authors(
         t.authors.withColumn("code", F.lit(None).cast("string")),

@@ -224,12 +224,13 @@ query("src5_feed_items", "select p_partkey // 500 as page, p_partkey as id, p_na
 
 
 def sitemaps(t):
-    loc = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    odd = F.col("page_id") % 2 == 1  # either form of the same text
+    loc = F.concat(F.lit("<url><loc>"), F.when(odd, F.concat(F.lit("\n<![CDATA["), "url", F.lit("?a=1&b=2]]>"))).otherwise(F.concat(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("?a=1&#38;b=2 "))), F.lit("</loc></url>"))
     part = t.pages.select(F.floor(F.col("page_id") / 1000).cast("long").alias("part"), loc.alias("loc"))
     return part.groupBy("part").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.array_sort(F.collect_list("loc")), "\n"), F.lit("</urlset>")).alias("body"))
 
 
-query("src4_sitemap_urls", "select page_id // 1000 as part, 'url' as kind, url as loc from pages")(lambda t: x.sitemap_urls(sitemaps(t)))
+query("src4_sitemap_urls", "select page_id // 1000 as part, 'url' as kind, url || '?a=1&b=2' as loc from pages")(lambda t: x.sitemap_urls(sitemaps(t)))
 _NESTED = "to_json(named_struct('id', p_partkey, 'name', p_name, 'price', named_struct('final', concat(cast(p_size as string), '.25')), 'attributes', array(named_struct('label', 'Spalva', 'value', p_brand)), 'categories', array(named_struct('id', p_size, 'name', p_type)), 'ld', concat('{\"isbn\": \"', isbn13, '\"}')))"
 query("ext5_nested_product", f"select p.p_partkey as id, p_name as title, cast(p_size * 100 + 25 as bigint) as price_cents, cast(p_size * 100 + 25 as bigint) as original_cents, isbn13 as isbn, p_brand as colour, p_type as category {_P}")(
     lambda t: x.nested_product(t.part.join(t.part_isbn, "p_partkey").select(F.expr(_NESTED).alias("body"))).select(
@@ -249,6 +250,18 @@ query(
     "ext6_library_people",
     " union all ".join(f"select cast(p_partkey as string) as code, {n} as name, '{r}' as role, {k} as position from {{part}}" for n, r, k in (("p_brand", "author", 0), ("p_name", "author", 1), ("p_type", "translator", 0))),
 )(lambda t: x.library_records(library(t))[2])
+_PARTS = """to_json(named_struct('code', cast(p_partkey as string), 'multipart', p_partkey % 3 <> 0, 'parts', array(named_struct('code', concat('a', cast(p_size as string))), named_struct('code', case when p_partkey % 2 = 0 then '' end), named_struct('code', 'z'))))"""
+query(
+    "ext6_library_parts",
+    """select cast(p_partkey as string) as code, k as position, case k when 0 then 'a' || p_size else 'z' end as part_code, 'https://ibiblioteka.lt/metis-api/bibliographic-records/public/' || case k when 0 then 'a' || p_size else 'z' end as url
+       from {part} cross join (select 0 as k union all select 2) x where p_partkey % 3 <> 0""",
+)(lambda t: x.library_parts(t.part.select(F.expr(_PARTS).alias("body"))))
+_PHYSICAL = "case p_partkey % 6 when 0 then '1 garso diskas (MP3)' when 1 then '312 p. : kietais viršeliais' when 2 then 'Minkšti viršeliai' when 3 then '2 val., 10 min.' when 4 then null else '200 p.' end"
+query(
+    "ext6_library_types",
+    """select p_partkey as id, case when p_size % 2 = 0 then case when p_partkey % 6 in (0, 3) then 'audio' else 'ebook' end else 'book' end as type,
+       case when p_size % 2 = 0 then case when p_partkey % 6 in (0, 3) then 'audio' else 'ebook' end else case p_partkey % 6 when 1 then 'Kieti viršeliai' when 2 then 'Minkšti viršeliai' end end as format from {part}""",
+)(lambda t: t.part.select(F.col("p_partkey").alias("id"), x.carrier(F.when(F.col("p_size") % 2 == 0, "ELECTRONIC").when(F.col("p_size") % 3 == 0, "PRINTED"), F.expr(_PHYSICAL)).alias("c")).select("id", "c.type", "c.format"))
 query(
     "snk3_export_rows",
     """select cast(id as string) as id, title, coalesce(author, '') as author, coalesce(publisher, '') as publisher, coalesce(cast(year as string), '') as year, coalesce(isbn, '') as isbn, coalesce(format, '') as format, type,
