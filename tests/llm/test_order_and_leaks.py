@@ -349,3 +349,35 @@ def test_pipeline_stages(spark, tmp_path, name):
     assert kept <= set(range(12)) and sorted(r.slot for r in got) == list(range(len(got)))
     one = next(r for r in got if r.seq_no == 0)
     assert tokens.decode(np.frombuffer(bytes(one.tokens), np.uint16)[: one.n_tokens - 1].tolist()) == base[one.doc_id]
+
+
+def test_mixing_steep_sources(spark):
+    """A source of one row among many: counts as the exact distribution says, copies spread over tasks, in steps as the root of the rate."""
+    import math
+    import time
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    n = 200_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "one").when(F.col("id") < 40, "few").otherwise("many").alias("source"), F.lit("w").alias("text"))
+    began = time.time()
+    mixed = poisson_mix(rows).withColumn("p", F.spark_partition_id())
+    got = mixed.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "copy").alias("d"), F.countDistinct("p").alias("p"), F.max("n_copies").alias("most"), F.max("rate").alias("rate")).collect()
+    assert time.time() - began < 60
+    of = {r["source"]: r for r in got}
+    assert all(r["n"] == r["d"] and r["p"] > 1 and abs(r["n"] - n / 3) < 6 * math.sqrt(n / 3) for r in got)
+    rate = of["one"]["rate"]
+    u = int(__import__("hashlib").md5(b"17:7").hexdigest()[:13], 16) / (1 << 52)
+    term = total = (-Decimal(rate)).exp()
+    k = 0
+    while total <= Decimal(u):
+        k += 1
+        term = term * Decimal(rate) / k
+        total += term
+    assert of["one"]["most"] == of["one"]["n"] == k
+
+
+def test_mixing_of_literals(spark):
+    """A frame whose source is a literal."""
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("t").alias("text"))
+    assert poisson_mix(rows).count() == poisson_mix(spark.createDataFrame(rows.collect(), rows.schema)).count()
