@@ -61,8 +61,52 @@ def test_training_order_round_trip(spark, tmp_path):
         data = (tmp_path / f"shard-{s:08d}.bin").read_bytes()
         assert len(data) == r.bytes and data == b"".join(slots[k] for k in sorted(slots) if k // 10 == s)
     for start in (0, 1, 9, 10, 37, len(slots) - 1, len(slots)):
-        assert [p.tobytes() for p in read_slots(f"file://{tmp_path}", start, sequence=16, shard=10)] == [slots[k] for k in range(start, len(slots))]
+        assert [p.tobytes() for p in read_slots(f"file://{tmp_path}", start)] == [slots[k] for k in range(start, len(slots))]
     assert training_order(docs(spark, [])).count() == 0
+    # the same rows again, onto the files that are there, and a folder of no sequences
+    before = {p.name: p.read_bytes() for p in tmp_path.glob("shard-*.bin")}
+    assert {r.shard: r for r in write_shards(got, f"file://{tmp_path}").collect()} == written and {p.name: p.read_bytes() for p in tmp_path.glob("shard-*.bin")} == before
+    assert not list((tmp_path / "_temporary").iterdir())
+    write_shards(training_order(docs(spark, []), sequence=16, shard=10), f"file://{tmp_path}/none").collect()
+    assert list(read_slots(f"file://{tmp_path}/none")) == []
+    # an incomplete or cut folder is no shorter one
+    last = max(written)
+    (tmp_path / f"shard-{last:08d}.bin").write_bytes(b"xx")
+    with pytest.raises(ValueError):
+        list(read_slots(f"file://{tmp_path}"))
+    (tmp_path / "shard-00000001.bin").unlink()
+    reader = read_slots(f"file://{tmp_path}")
+    assert [next(reader).tobytes() for _ in range(10)] == [slots[k] for k in range(10)]
+    with pytest.raises(FileNotFoundError):
+        next(reader)
+    with pytest.raises(FileNotFoundError):
+        next(read_slots(f"file://{tmp_path}/nowhere"))
+
+
+def test_put_where_a_move_refuses(tmp_path):
+    """File systems that do not rename onto a file: the attempt that comes second drops its own."""
+    from pyarrow import fs
+
+    from tomewatch.llm.token_shards import put
+
+    store = fs.LocalFileSystem()
+
+    class Refusing:
+        get_file_info, delete_file = store.get_file_info, store.delete_file
+        meanwhile = False
+
+        def move(self, name, target):
+            if self.meanwhile:
+                (tmp_path / "there").write_bytes(b"1")
+            raise OSError("exists")
+
+    (tmp_path / "a").write_bytes(b"1")
+    with pytest.raises(OSError):
+        put(Refusing(), str(tmp_path / "a"), str(tmp_path / "there"))
+    late = Refusing()
+    late.meanwhile = True
+    put(late, str(tmp_path / "a"), str(tmp_path / "there"))
+    assert (tmp_path / "there").read_bytes() == b"1" and not (tmp_path / "a").exists()
 
 
 def test_mixing(spark):

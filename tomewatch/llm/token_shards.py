@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -183,8 +184,9 @@ def training_order(
     width = min(shards, partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // (64 << 20) + 1))
     of_shard = F.floor(F.col("slot") / shard).cast("long")
     dealt = rows.repartitionById(width, F.floor(of_shard * width / shards).cast("int"))
+    layout = {"slots": total, "sequence": sequence, "shard": shard}
     return dealt.sortWithinPartitions("slot").select(
-        "slot", of_shard.alias("shard"), (F.col("slot") % shard * stride).alias("byte_offset"), id_col, "seq_no", "n_tokens", "tokens"
+        "slot", of_shard.alias("shard", metadata=layout), (F.col("slot") % shard * stride).alias("byte_offset"), id_col, "seq_no", "n_tokens", "tokens"
     )
 
 
@@ -192,33 +194,42 @@ def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
+MANIFEST = "manifest.json"
+
+
 def with_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """The rows of ``training_order`` with the ``path`` of their shard, which is written as they pass.
 
     ``folder`` is a path or URI of a file system that all machines reach (any that Arrow opens: local mounts, HDFS,
-    object stores). A shard lies in one partition, in order, and is written under a name of the task's own and then
-    moved, so a repeated or doubled task leaves the same whole file. It is there once its task ended; nothing is
-    sorted or shuffled again.
+    object stores). A manifest (count of slots, slots of a shard, tokens of a sequence) is written there first, so a reader
+    knows what must be there. A shard lies in one partition, in order, and is written under a name of the task's own and
+    then moved, unless an earlier attempt of the task has put it there: a repeated or doubled task leaves the same whole
+    file. It is there once its task ended, so only a consumer that takes all rows has all shards; ``read_slots`` tells.
+    What a lost task leaves below ``_temporary`` can be deleted at any time. Nothing is sorted or shuffled again.
     """
     names = [f.name for f in ordered.schema.fields]
     at_shard, at_tokens = names.index("shard"), names.index("tokens")
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(f"{root}/_temporary", recursive=True)
+    with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        f.write(json.dumps(ordered.schema["shard"].metadata).encode())
 
     def run(batches):
         store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
+        store.create_dir(f"{root}/_temporary", recursive=True)
         now, out, name = None, None, ""
 
         def close():
             if out:
                 out.close()
-                store.move(name, shard_path(root, now))
+                put(store, name, shard_path(root, now))
 
         for b in batches:
             path = []
             for shard, tokens in zip(b.column(at_shard).to_pylist(), b.column(at_tokens), strict=True):
                 if shard != now:
                     close()
-                    now, name = shard, f"{root}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
+                    now, name = shard, f"{root}/_temporary/shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
                     out = store.open_output_stream(name)
                 out.write(tokens.as_buffer())
                 path.append(shard_path(folder, shard))
@@ -229,24 +240,47 @@ def with_shards(ordered: DataFrame, folder: str) -> DataFrame:
     return ordered.mapInArrow(run, f"{schema}, path string")
 
 
+def put(store: fs.FileSystem, name: str, target: str) -> None:
+    """Move a finished file to its place, or drop it where another attempt has put the same file, before or meanwhile."""
+    there = lambda: store.get_file_info(target).type == fs.FileType.File
+    if not there():
+        try:
+            store.move(name, target)
+            return
+        except OSError:
+            if not there():
+                raise
+    store.delete_file(name)
+
+
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write the shards of ``with_shards``; one row (shard, path, sequences, bytes) a file."""
     written = with_shards(ordered.select("shard", "tokens"), folder)
     return written.groupBy("shard", "path").agg(F.count("*").alias("sequences"), F.sum(F.octet_length("tokens")).cast("long").alias("bytes"))
 
 
-def read_slots(folder: str, slot: int = 0, sequence: int = SEQUENCE, shard: int = SHARD) -> Iterator[np.ndarray]:
-    """Sequences in training order from ``slot`` on, as a reader resumes: one seek in one shard, then reads in order."""
+def read_slots(folder: str, slot: int = 0) -> Iterator[np.ndarray]:
+    """Sequences in training order from ``slot`` on, as a reader resumes: one seek in one shard, then reads in order.
+
+    The folder's manifest says how many there are; FileNotFoundError without it or without a shard that it counts, and
+    ValueError at a shard of another length. Nothing comes from the last slot on.
+    """
     store, root = fs.FileSystem.from_uri(folder)
-    number = slot // shard
-    while store.get_file_info(shard_path(root, number)).type == fs.FileType.File:
-        with store.open_input_file(shard_path(root, number)) as f:
-            f.seek(slot % shard * 2 * sequence)
-            while piece := f.read(2 * sequence):
+    with store.open_input_file(f"{root}/{MANIFEST}") as f:
+        layout = json.loads(f.read())
+    stride, shard, slots = 2 * layout["sequence"], layout["shard"], layout["slots"]
+    while slot < slots:
+        path, first = shard_path(root, slot // shard), slot // shard * shard
+        info, size = store.get_file_info(path), (min(first + shard, slots) - first) * stride
+        if info.type != fs.FileType.File:
+            raise FileNotFoundError(f"{path} is missing: slots {first} to {slots - 1} cannot be read in order")
+        if info.size != size:
+            raise ValueError(f"{path} has {info.size} bytes, not {size}")
+        with store.open_input_file(path) as f:
+            f.seek((slot - first) * stride)
+            while piece := f.read(stride):
                 yield np.frombuffer(piece, "<u2")
                 slot += 1
-        number += 1
-        slot = max(slot, number * shard)
 
 
 def shard_folder(spark: SparkSession) -> str:
