@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -29,11 +29,16 @@ def heal(books: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("is_active", F.col("is_active") & F.col("_gone").isNull()).drop("_gone")
 
 
-def _copies(name: str, *keys: Column, when: Column) -> tuple[str, Column]:
-    """How many rows of a source share the keys, nulls being equal; a row that does not count is a group of its own."""
-    when = F.coalesce(when, F.lit(False))
-    own = [F.when(when, k) for k in keys]
-    return name, F.count("*").over(Window.partitionBy("shop_id", *own, F.when(~when, F.col("id"))))
+def _with_copies(books: DataFrame, name: str, keys: list[Column], when: Column) -> DataFrame:
+    """How many rows of a source share the keys, nulls being equal; a row that does not count is alone.
+
+    Counts are made before they are shuffled and only those above one are joined back, so a value that a whole source
+    shares meets in no task.
+    """
+    key = F.when(F.coalesce(when, F.lit(False)), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    keyed = books.withColumn("_key", key)
+    many = keyed.where("_key is not null").groupBy("shop_id", "_key").agg(F.count("*").alias(name)).where(F.col(name) > 1)
+    return keyed.join(many, ["shop_id", "_key"], "left").withColumn(name, F.coalesce(name, F.lit(1).cast("long"))).drop("_key")
 
 
 def marked(listings: DataFrame, known: DataFrame, prices: DataFrame, isbns: DataFrame) -> DataFrame:
@@ -47,11 +52,9 @@ def marked(listings: DataFrame, known: DataFrame, prices: DataFrame, isbns: Data
         F.count_if(urls.genuine_alias(F.col("url"), F.col("_other"))).alias("_aliases"), F.lit(True).alias("_has_url"),
     )
     drifted = isbn_drift(books, isbns).join(top_isbn(isbns), "book_id", "left").select("id", F.concat_ws("|", "isbn", "top_isbn").alias("_drift"))
-    counted = [
-        _copies("_same_isbn", F.col("isbn"), when=F.col("isbn") != ""),
-        _copies("_same_title", F.lower("title"), F.lower("author"), F.col("isbn"), when=(F.col("title") != "") & (F.col("author") != "")),
-    ]
-    return books.withColumns(dict(counted)).join(priced, "id", "left").join(about_urls, "id", "left").join(drifted, "id", "left")
+    same = _with_copies(books, "_same_isbn", [F.col("isbn")], F.col("isbn") != "")
+    same = _with_copies(same, "_same_title", [F.lower("title"), F.lower("author"), F.col("isbn")], (F.col("title") != "") & (F.col("author") != ""))
+    return same.join(priced, "id", "left").join(about_urls, "id", "left").join(drifted, "id", "left")
 
 
 def rules(now: str) -> list[tuple[Column, str, str, Column | None, str]]:

@@ -99,12 +99,14 @@ def dependencies(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A catalogue view or base table over the Parquet files of ``sf_dir``."""
+def table(spark: SparkSession, sf_dir: str, name: str, kept: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A catalogue view or base table over the Parquet files of ``sf_dir``; views that are in ``kept`` are read from there."""
+    if kept and name in kept:
+        return kept[name]
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
-    return spark.sql(sql, **{d: table(spark, sf_dir, d) for d in dependencies(sql)})
+    return spark.sql(sql, **{d: table(spark, sf_dir, d, kept) for d in dependencies(sql)})
 
 
 def oracle(sql: str) -> str:

@@ -200,6 +200,7 @@ _RULES = {
 
 
 def found(t):
+    t = t.keep("observed", "shop_books")
     return q.suite(t.shop_books, t.discovered_urls, t.prices.where("price_cents % 7 <> 0"), t.book_isbns, NOW)
 
 

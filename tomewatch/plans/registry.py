@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.buckets import work_folder
 from .fixtures import oracle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,10 +17,19 @@ class Tables:
     """Catalogue tables by attribute: ``t.shop_books``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        return table(self.spark, self.sf_dir, name, self.kept)
+
+    def keep(self, *names: str) -> Tables:
+        """Store views as tables, as a catalogue holds them, so that what reads them several times does not derive them again."""
+        folder = work_folder(self.spark)
+        for name in names:
+            df = getattr(self, name)
+            df.write.parquet(f"{folder}/{name}")
+            self.kept[name] = self.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return self
 
 
 def query(name: str, sql: str | None = None):
