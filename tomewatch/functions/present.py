@@ -7,26 +7,32 @@ from pyspark.sql import functions as F
 
 # The severity of every finding type.
 SEVERITY = {
-    "critical": "active_no_price discover_empty_first_page discover_zero_yield field_cleared in_stock_no_price invalid_price invalid_price_original"
-    " missing_price missing_title price_higher_than_original price_zero scrape_run_failed zero_price",
-    "warning": "attribute_invalid_value attribute_unknown_key book_no_metadata discover_backend_5xx discover_fetch_failed empty_response format_mismatch"
-    " html_in_text invalid_isbn invalid_url invalid_year isbn_duplicate match_isbn_drift no_price_history non_book_has_isbn redirect_to_homepage"
-    " stale_active suspicious_title title_author_duplicate unreachable_active year_out_of_range year_pages_swap",
-    "info": "book_no_signals duplicate_sitemap_url format_is_dimensions non_product_active orphan_no_url product_url_non_book slug_diacritic_loss"
-    " slug_title_mismatch unmatched_has_isbn url_aliases url_pattern_filtered",
-}
+    "critical": (
+        "active_no_price", "discover_empty_first_page", "discover_zero_yield", "field_cleared", "in_stock_no_price", "invalid_price", "invalid_price_original", "missing_price",
+        "missing_title", "price_higher_than_original", "price_zero", "scrape_run_failed", "zero_price",
+    ),
+    "warning": (
+        "attribute_invalid_value", "attribute_unknown_key", "book_no_metadata", "discover_backend_5xx", "discover_fetch_failed", "empty_response", "format_mismatch",
+        "html_in_text", "invalid_isbn", "invalid_url", "invalid_year", "isbn_duplicate", "match_isbn_drift", "no_price_history", "non_book_has_isbn", "redirect_to_homepage",
+        "stale_active", "suspicious_title", "title_author_duplicate", "unreachable_active", "year_out_of_range", "year_pages_swap",
+    ),
+    "info": (
+        "book_no_signals", "duplicate_sitemap_url", "format_is_dimensions", "non_product_active", "orphan_no_url", "product_url_non_book", "slug_diacritic_loss",
+        "slug_title_mismatch", "unmatched_has_isbn", "url_aliases", "url_pattern_filtered",
+    ),
+}
 DASH = "—"
 
 
 def severities(spark: SparkSession) -> DataFrame:
     """(issue, severity): a dimension of 46 rows."""
-    return spark.createDataFrame([(i, s) for s, names in SEVERITY.items() for i in names.split()], "issue string, severity string")
+    return spark.createDataFrame([(i, s) for s, names in SEVERITY.items() for i in names], "issue string, severity string")
 
 
 def severity(issue: Column) -> Column:
     out = F.lit("warning")
     for s in ("critical", "info"):
-        out = F.when(issue.isin(*SEVERITY[s].split()), s).otherwise(out)
+        out = F.when(issue.isin(*SEVERITY[s]), s).otherwise(out)
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 MARKED = "ąčęėįšųūžáàâäãåāăćçďéèêëēěíìîïīĺľńňñóòôöõōőŕřśşťţúùûüůűýÿźżģķļņ"
 PLAIN = "aceeisuuzaaaaaaaaccdeeeeeeiiiiillnnnooooooorrssttuuuuuuyyzzgkln"
 LOCAL_MARKS = "[ąčęėįšųūžĄČĘĖĮŠŲŪŽ]"
-NON_BOOK_WORDS = "zaisl zaidim delion sasiuvin kortel zemelap rastin hobio mokyklin popier lavinam".split() + ["stalo zaid"]
+NON_BOOK_WORDS = ("zaisl", "zaidim", "delion", "sasiuvin", "kortel", "zemelap", "rastin", "hobio", "mokyklin", "popier", "lavinam", "stalo zaid")
 NON_BOOK_TITLE = (
     r"(?i)\((DVD|Blu[-\s]?ray|CD|MP3|VHS|USB|Vinyl)\)|\b(rinkinys|komplektas|set|bundle)\b"
     r"|kompaktine|audioknyga|audio kasete|garsine knyga"

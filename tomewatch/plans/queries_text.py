@@ -181,6 +181,12 @@ query("ext7_stock", "select p_partkey as id, case when p_partkey % 11 <> 0 then
     lambda t: built(t).select("id", x.stock_signals(F.replace(F.expr("case when id % 11 = 0 then replace(html, 'class=\"price\"', 'class=\"none\"') else html end"), F.lit("<p>"), F.concat(F.repeat(F.lit(" "), F.lit(700)), F.lit("<p>")))).alias("in_stock"))
 )
 query("ext8_markdown")(lambda t: x.markdown(t.pages, "html", ["page_id"]))
+_DESCRIPTION = """concat('<h2>', p_name, '</h2><!-- c --><p>Made by <b>', p_brand, '</b> &amp; <a href="/t/', cast(p_size as string), '">', p_type, '</a><br>end</p><ul><li>one</li><li>', cast(p_size as string),
+  '<ol><li>in</li></ol></li></ul><script>x</script><table><tr><th>K</th><th>V</th></tr><tr><td>', p_type, '</td><td><i>', p_brand, '</i></td></tr></table>')"""
+query(
+    "ext8_markdown_forms",
+    r"""select p_partkey as id, concat_ws(chr(10), '## ' || p_name, '', 'Made by **' || p_brand || '** & [' || p_type || '](/t/' || p_size || ')', 'end', '', '- one', '- ' || p_size, '', '  1. in', '', '| K | V |', '| --- | --- |', '| ' || p_type || ' | *' || p_brand || '* |') as markdown from {part}""",
+)(lambda t: x.markdown(t.part.select(F.col("p_partkey").alias("id"), F.expr(_DESCRIPTION).alias("html")), "html", ["id"]))
 query(
     "ext8_sanitise",
     r"""select page_id, replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)[^>]*>', '', 'g'), '(?i)<(/?)(p|br|b|strong|i|em|ul|ol|li)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), '<[^>]*>', '', 'g'),
