@@ -246,8 +246,8 @@ def upsert_works(works: DataFrame, isbns: DataFrame, records: DataFrame) -> tupl
     """(works, isbns) after library records (libis_code, title, year, publisher, isbns).
 
     A record finds its work by any of its ISBNs in either length, else by its library code, else it is new.
-    Non-null fields overwrite, the publisher only fills, inferred works become library works, and ownership of
-    the record's ISBNs moves to it, in both lengths.
+    Records of one work apply in order of their codes: non-null fields overwrite, the publisher only fills, so its first
+    one stands. Inferred works become library works, and ownership of the record's ISBNs moves to it, in both lengths.
     """
     forms = lambda i: F.filter(F.array(isbns_.normalize(i), isbns_.to_isbn13(i), isbns_.to_isbn10(i)), lambda x: x.isNotNull() & (x != ""))
     own = records.select("libis_code", F.explode("isbns").alias("_i")).select("libis_code", F.explode(F.array_distinct(forms(F.col("_i")))).alias("isbn")).distinct()
@@ -255,7 +255,9 @@ def upsert_works(works: DataFrame, isbns: DataFrame, records: DataFrame) -> tupl
     by_code = works.where("libis_code is not null").select("libis_code", F.col("id").alias("_b"))
     keyed = records.join(by_isbn, "libis_code", "left").join(by_code, "libis_code", "left")
     keyed = keyed.withColumn("id", F.coalesce("_a", "_b", F.xxhash64("libis_code"))).drop("_a", "_b")
-    one = keyed.groupBy("id").agg(*[F.max_by(c, "libis_code").alias(c) for c in ("libis_code", "title", "year", "publisher")]).withColumn("data_source", F.lit("library"))
+    said = lambda c: F.when(F.col(c).isNotNull(), F.col("libis_code"))
+    last = [F.max_by(c, said(c)).alias(c) for c in ("libis_code", "title", "year")]
+    one = keyed.groupBy("id").agg(*last, F.min_by("publisher", said("publisher")).alias("publisher")).withColumn("data_source", F.lit("library"))
     after = merge(works, one, ["id"], keep=["publisher"]).drop("created")
     moved = own.join(keyed.select("libis_code", F.col("id").alias("book_id")), "libis_code").groupBy("isbn").agg(F.min("book_id").alias("book_id"))
     moved = moved.withColumn("isbn_type", F.when(F.length("isbn") == 10, "isbn10").otherwise("isbn13"))

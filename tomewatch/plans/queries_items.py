@@ -142,7 +142,7 @@ _KNOWN = "select id, title, year, case when id % 9 = 0 then null else publisher
 _RESOLVED = f"""with r as ({_RECORDS}), k as ({_KNOWN}), o as (select isbn, min(book_id) as book_id from {{book_isbns}} group by isbn),
   a as (select r.libis_code, min(o.book_id) as book_id from r join o on r.isbn is not null and o.isbn in (r.isbn10, r.isbn13) group by 1),
   m as (select r.*, coalesce(a.book_id, k.id) as book_id from r left join a on a.libis_code = r.libis_code left join k on k.libis_code = r.libis_code),
-  w as (select book_id, max(libis_code) as libis_code, arg_max(title, libis_code) as title, arg_max(year, libis_code) as year, arg_max(publisher, libis_code) as publisher from m where book_id is not null group by 1)"""
+  w as (select book_id, max(libis_code) as libis_code, arg_max(title, libis_code) as title, arg_max(year, libis_code) as year, arg_min(publisher, libis_code) as publisher from m where book_id is not null group by 1)"""
 
 
 def upserted(t):
