@@ -363,7 +363,7 @@ def test_warc(spark):
     text = next(r.block for r in got if r.page_id == 1 and r.record_type == "conversion")
     assert text == "T & x\nGrüße !\nab\nL"
     meta = next(r.block for r in got if r.page_id == 1 and r.record_type == "metadata")
-    assert "title: T &amp; x\r\nlanguage: de\r\noutlink: /u\r\n" in meta and "sourceDigest: sha256:" + hashlib.sha256(page.encode()).hexdigest() in meta
+    assert "title: T & x\r\nlanguage: de\r\noutlink: /u\r\n" in meta and "sourceDigest: sha256:" + hashlib.sha256(page.encode()).hexdigest() in meta
     assert warc_derivatives(responses_of_pages(pages.limit(0))).count() == 0
 
 

@@ -38,6 +38,15 @@ def test_fields():
     assert (page.title, page.lang, page.charset, page.links) == (" A B", "de", "utf-8", ["/o'neil", "/x", "/y"])
 
 
+def test_fields_with_references_and_odd_attributes():
+    page = read_page(
+        '<html data-lang=xx xml:lang="pl-PL"><title>A &amp;amp; B&#10;&eacute;</title><a data-href="/no" title="href=/no" HREF = "/x?a=1&amp;b=2">'
+        "<a href=' /y&#10;\n?c=1&amp;amp;d '><a hreflang=de><a href><a href=''><a\nhref=/z/?q&lt;1><a class='b'href=/w>"
+    )
+    assert (page.title, page.lang) == ("A &amp; B é", "pl-PL")
+    assert page.links == ["/x?a=1&b=2", "/y?c=1&amp;d", "", "/z/?q<1", "/w"]
+
+
 @pytest.mark.parametrize("unit", ["<p ", "<a href=", "<title", "<script", "<!--", "</script", "<html lang", "&#1", "< ", "<title>", "a", " ", "\n", "<script>", "  "])
 def test_linear(unit):
     html = unit * (2_000_000 // len(unit))

@@ -79,17 +79,22 @@ HIDDEN_RE = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{t}\b.*?(?:</{t}[^>]*>|\
 BLOCK_RE = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>"
 TAG_RE = r"<[A-Za-z/!?][^>]*>"
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title"
-LANG_RE = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z-]+)"""
+LANG_RE = r"""(?i)<html\b[^>]*?[\s"'/:]lang\s*=\s*["']?([A-Za-z-]+)"""
 CHARSET_RE = r"""(?i)<meta\b[^>]*?\bcharset\s*=\s*["']?([A-Za-z0-9_-]+)"""
-LINK_RE = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+LINK_RE = r"""(?i)<a\b[^>]*?[\s"'/]href\s*=\s*["']([^"']*)["']"""
+
+
+def _sql_references(t: str) -> str:
+    for name, char in ENTITIES.items():
+        t = f"replace({t}, '&{name};', '{char}')"
+    return t
 
 
 def _sql_text(html: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     t = f"translate(regexp_replace({html}, {q(HIDDEN_RE)}, ' ', 'g'), chr(9) || chr(13) || chr(10) || chr(12), '    ')"
     t = f"regexp_replace(regexp_replace({t}, {q(BLOCK_RE)}, chr(10), 'g'), {q(TAG_RE)}, '', 'g')"
-    for name, char in ENTITIES.items():
-        t = f"replace({t}, '&{name};', {q(char)})"
+    t = _sql_references(t)
     t = f"regexp_replace(regexp_replace({t}, '[ \u00a0]{{2,}}|\u00a0', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({t}, '\\A[ \\n]+|[ \\n]+\\z', '', 'g')"
 
@@ -108,9 +113,9 @@ WITH r AS (
   FROM pages
 ), f AS (
   SELECT *, 'sha256:' || sha256(body) AS payload_digest,
-    regexp_replace(regexp_extract(body, '{_RE["title"]}', 1), '[ \t\r\n]+', ' ', 'g') AS title,
+    regexp_replace({_sql_references(f"regexp_extract(body, '{_RE['title']}', 1)")}, '[ \t\r\n]+', ' ', 'g') AS title,
     regexp_extract(body, '{_RE["lang"]}', 1) AS lang, regexp_extract(body, '{_RE["charset"]}', 1) AS charset,
-    regexp_extract_all(body, '{_RE["link"]}', 1) AS links
+    list_transform(regexp_extract_all(body, '{_RE["link"]}', 1), lambda u: trim(regexp_replace({_sql_references("u")}, '[\t\r\n]', '', 'g'), ' ')) AS links
   FROM r
 ), b AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,

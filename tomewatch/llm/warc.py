@@ -22,13 +22,14 @@ _BLOCK = frozenset(BLOCKS)
 _HIDDEN_END = {name: re.compile(f"</{name}", re.I) for name in HIDDEN}
 _NAME = re.compile(r"[A-Za-z0-9_]*")
 _TITLE_END = re.compile(r"</title", re.I)
-_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_LANG = re.compile(r"[A-Za-z-]+")
 _CHARSET = re.compile(r"""\bcharset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.I)
 _REFERENCE = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([A-Za-z][A-Za-z0-9]*));")
 _WHITE = re.compile(r"[ \t\r\n]+")
 _SPACES = re.compile("[ \u00a0]{2,}|\u00a0")
 _LINES = re.compile(" ?\n[ \n]*")
+_LINE_BREAKS = dict.fromkeys(map(ord, "\t\r\n"))
 _AS_SPACE = dict.fromkeys(map(ord, "\t\r\n\f"), " ")
 
 
@@ -55,10 +56,20 @@ def references(text: str) -> str:
     return _REFERENCE.sub(_character, text) if "&" in text else text
 
 
+def _attribute(html: str, at: int, end: int, *names: str) -> str | None:
+    """The value of the first attribute of one of ``names`` in ``html[at:end]``, the inside of a tag; None without one."""
+    for m in _ATTRIBUTE.finditer(html, at, end):
+        if m.lastindex > 1 and m[1].lower() in names:
+            return m[m.lastindex]
+    return None
+
+
 def read_page(html: str) -> Page:
     """Title, language, charset, links and visible text of a page, from one pass over its tags.
 
-    The text has one line per block, collapsed spaces and decoded references; source line breaks count as
+    Titles and links have their references decoded; a title's white space is collapsed then, and tabs and line breaks are
+    taken out of a link and spaces off its ends, so each stays on its line. Attributes count by their whole name, so
+    ``data-href`` is no link. The text has one line per block, collapsed spaces and decoded references; source line breaks count as
     spaces. A tag runs from ``<`` and a letter, ``/``, ``!`` or ``?`` to the next ``>``; without one it is text.
     Comments and hidden elements run to their end or, unclosed, to the end of the page. Every search goes on
     where the last one ended, so time is linear in the page whatever its markup.
@@ -97,14 +108,14 @@ def read_page(html: str) -> Page:
             out.append("\n")
         if not closing:
             if name == "a":
-                if m := _HREF.search(html, lt, gt):
-                    page.links.append(m[m.lastindex])
+                if (href := _attribute(html, lt + 2, gt, "href")) is not None:
+                    page.links.append(references(href).translate(_LINE_BREAKS).strip(" "))
             elif name == "title" and title_open:
                 title_open = False
                 if m := _TITLE_END.search(html, gt):
-                    page.title = _WHITE.sub(" ", html[gt + 1 : m.start()])
+                    page.title = _WHITE.sub(" ", references(html[gt + 1 : m.start()]))
             elif name == "html" and not page.lang:
-                page.lang = m[1] if (m := _LANG.search(html, lt, gt)) else ""
+                page.lang = m[0] if (m := _LANG.match(_attribute(html, lt + 5, gt, "lang", "xml:lang") or "")) else ""
             elif name == "meta" and not page.charset:
                 page.charset = m[1] if (m := _CHARSET.search(html, lt, gt)) else ""
         at = gt + 1
