@@ -63,6 +63,15 @@ def test_names(spark):
     assert got[4].text == texts[4] and got[5].text == got[6].text == f"Mr. {m[2]}"
 
 
+def test_names_in_capitals(spark):
+    texts = ["MR. JOHN SMITH shouted. Mrs Smith answered. Smith is here, SMITH too.", "DR. Anna Jones met HERR VAN OSSIG; Jones left, Ossig stayed.", "MS WORD, DR CONGO and PROF stay."]
+    found = run(spark, texts)
+    got = [found[k].text for k in range(len(texts))]
+    a = re.fullmatch(r"MR\. ([A-Z]+) ([A-Z]+) shouted\. Mrs (\w+) answered\. (\w+) is here, ([A-Z]+) too\.", got[0])
+    assert a and a[2] == a[5] == a[3].upper() and a[3] == a[4] and a[3] != a[3].upper()
+    assert not re.search("smith|john|jones|ossig", " ".join(got).lower()) and got[2] == texts[2]
+
+
 def test_numbers_of_one_entity(spark):
     texts = ["+1 (017) 555-7713", "(017) 555-7713", "DE89 3704 0044 0532 0130 00 and DE89370400440532013000"]
     got = run(spark, texts)

@@ -30,9 +30,10 @@ SYLLABLES = {
     "greek": "βα δε φι γο λου μα νε πι ρο σου τα κε λαν ζα θε χα".split(),
 }
 # Titles, given names that start a name without a title, and particles inside names.
-MALE = "(?:Mr|Herr|Monsieur|Señor|Sr|Don|[Гг]осподин|[Κκ]ύριος)"
-FEMALE = "(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña|[Гг]оспожа|[Κκ]υρία)"
-TITLE = f"(?:{MALE}|{FEMALE}|Dr|Prof|Professor)"
+# Titles in capitals that also abbreviate other things need their dot.
+MALE = "(?:Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|Sr|Don|[Гг]осподин|ГОСПОДИН|[Κκ]ύριος)"
+FEMALE = r"(?:Mrs|MRS|Ms|MS\.|Miss|Frau|FRAU|Madame|MADAME|Mme|Señora|SEÑORA|Sra|Doña|[Гг]оспожа|ГОСПОЖА|[Κκ]υρία)"
+TITLE = rf"(?:{MALE}|{FEMALE}|Dr|DR\.|Prof|PROF\.|Professor|PROFESSOR)"
 KNOWN = {
     "m": "John James Robert Michael William Thomas Peter Hans Klaus Jürgen Wolfgang Pierre Michel François José Juan Carlos Pedro Иван Сергей Дмитрий Γιάννης Δημήτρης".split(),
     "f": "Mary Jennifer Elizabeth Susan Margaret Ana Ursula Monika Sabine Marie Catherine Isabelle Carmen Lucía Tatiana Anastasia Светлана Наталья Κατερίνα Βασιλική".split(),
@@ -254,10 +255,12 @@ def _formatted(raw: Column, kind: Column, bodies: Column) -> Column:
 
 
 def _later_mentions(names: Column) -> Column:
-    """The pattern of names without their titles, and of their surnames, as they may come again in a text."""
+    """The pattern of names without their titles, and of their surnames, as they may come again in a text; those in capitals also with initials alone."""
     bare = F.transform(names, _untitled)
-    surname = F.transform(bare, lambda n: F.element_at(F.split(n, " "), -1))
-    listed = F.array_sort(F.array_distinct(F.concat(bare, surname)), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    forms = F.concat(bare, F.transform(bare, lambda n: F.element_at(F.split(n, " "), -1)))
+    capitals = F.filter(forms, lambda n: (n == F.upper(n)) & (F.length(n) > 1))
+    forms = F.concat(forms, F.transform(capitals, lambda n: F.initcap(n)))
+    listed = F.array_sort(F.array_distinct(forms), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     return F.concat(F.lit(rf"({MENTION}|(?<![\p{{L}}\p{{M}}]|\p{{L}}['’\-])(?=\p{{L}})(?:"), F.array_join(listed, "|"), F.lit(r")(?![\p{L}\p{M}]|['’\-]\p{Lu}))"))
 
 
@@ -267,7 +270,8 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     Found are e-mail and IP addresses, secrets (hexadecimal strings of 32 digits and more, known key prefixes),
     payment card, social security and bank account (IBAN) numbers, phone numbers, and names: words with capitals (also
     inside, with hyphens, apostrophes and particles) after a title, or a surname after one of some hundred given
-    names; and in the same text those names again without their title, and their surnames alone. Names without any such
+    names; and in the same text those names again without their title, and their surnames alone (after a name in
+    capitals also with an initial alone, but not the other way round). Names without any such
     sign, birth dates and postal addresses are not found. A local part of an address above 64 characters is none.
 
     Replacements are fixed by ``key`` and the entity, so they agree across documents and runs. They keep the type and
