@@ -148,12 +148,12 @@ def upsert_listings(target: DataFrame, batch: DataFrame, now: Column, run: Colum
     return merge(target, seen.select(*columns), ["shop_id", "url"], overwrite=["title", "is_active", "in_stock", "last_seen_at", "last_run_id"], keep=["id", "first_seen_at", "match_status"])
 
 
-def diff(old: DataFrame, new: DataFrame, now: Column, run: Column, key: str = "id", fields: tuple[str, ...] = TRACKED) -> DataFrame:
-    """Field-level changes of rows on both sides: null to value and back are changes."""
-    had = old.select(key, *[F.col(f).cast("string").alias(f"_o_{f}") for f in fields])
+def diff(old: DataFrame, new: DataFrame, now: Column, run: Column, key: str = "id", fields: tuple[str, ...] = TRACKED, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Field-level changes of rows on both sides: null to value and back are changes. ``scope`` names the columns within which the key is unique."""
+    had = old.select(key, *scope, *[F.col(f).cast("string").alias(f"_o_{f}") for f in fields])
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_o_{f}").alias("old_value"), F.col(f).cast("string").alias("new_value")) for f in fields])
     moved = F.filter(each, lambda c: ~c["old_value"].eqNullSafe(c["new_value"]))
-    return new.join(had, key).select(F.col(key).alias("shop_book_id"), F.inline(moved)).withColumn("changed_at", now).withColumn("run_id", run)
+    return new.join(had, [key, *scope]).select(F.col(key).alias("shop_book_id"), F.inline(moved)).withColumn("changed_at", now).withColumn("run_id", run)
 
 
 def field_updates(table: DataFrame, changes: DataFrame) -> DataFrame:
@@ -177,22 +177,27 @@ def price_rows(batch: DataFrame, now: Column, run: Column) -> DataFrame:
     return kept.select(F.col("id").alias("shop_book_id"), "price", "price_original", "discount_pct", "in_stock", run.alias("run_id"), now.alias("observed_at"))
 
 
-def merge_attributes(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """Attributes upserted by key; absent keys stay."""
-    new = batch.select(F.col("id").alias("shop_book_id"), F.explode("properties")).groupBy("shop_book_id", "key").agg(F.max("value").alias("value"))
-    return merge(table, new, ["shop_book_id", "key"], overwrite=["value"]).drop("created")
+def merge_attributes(table: DataFrame, batch: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Attributes upserted by key; absent keys stay. ``scope`` names the columns within which a listing's id is unique."""
+    keys = [*scope, "shop_book_id", "key"]
+    new = batch.select(*scope, F.col("id").alias("shop_book_id"), F.explode("properties")).groupBy(*keys).agg(F.max("value").alias("value"))
+    return merge(table, new, keys, overwrite=["value"]).drop("created")
 
 
-def sync_authors(batch: DataFrame, authors: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(authors, bridge) after a batch (id, author): names found or made by key, the bridge of touched listings replaced."""
-    listed = batch.select(F.col("id").alias("shop_book_id"), F.posexplode_outer(text.split_authors(F.col("author"))).alias("p", "name"))
+def sync_authors(batch: DataFrame, authors: DataFrame, bridge: DataFrame, scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(authors, bridge) after a batch (id, author): names found or made by key, the bridge of touched listings replaced.
+
+    ``scope`` names the columns within which a listing's id is unique.
+    """
+    own = [*scope, "shop_book_id"]
+    listed = batch.select(*scope, F.col("id").alias("shop_book_id"), F.posexplode_outer(text.split_authors(F.col("author"))).alias("p", "name"))
     named = listed.where("name is not null").withColumn("normalized_name", text.author_key(F.col("name"))).where("normalized_name <> ''")
     made = named.groupBy("normalized_name").agg(F.min("name").alias("name")).join(authors.select("normalized_name"), "normalized_name", "left_anti")
     all_authors = authors.unionByName(made.withColumn("id", F.xxhash64("normalized_name")).select("id", "name", "normalized_name"))
-    first = named.groupBy("shop_book_id", "normalized_name").agg(F.min("p").alias("p")).join(all_authors.select(F.col("id").alias("author_id"), "normalized_name"), "normalized_name")
-    place = F.row_number().over(Window.partitionBy("shop_book_id").orderBy("p")) - 1
-    new = first.select("shop_book_id", "author_id", place.alias("position"))
-    kept = bridge.join(batch.select(F.col("id").alias("shop_book_id")), "shop_book_id", "left_anti")
+    first = named.groupBy(*own, "normalized_name").agg(F.min("p").alias("p")).join(all_authors.select(F.col("id").alias("author_id"), "normalized_name"), "normalized_name")
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("p")) - 1
+    new = first.select(*own, "author_id", place.alias("position"))
+    kept = bridge.join(batch.select(*scope, F.col("id").alias("shop_book_id")), own, "left_anti")
     return all_authors, kept.unionByName(new)
 
 
