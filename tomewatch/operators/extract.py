@@ -40,12 +40,12 @@ PAGE_RULES = (
 )
 
 
-def extract(df: DataFrame, rules: tuple[Rule, ...] = PAGE_RULES, html: str = "html") -> DataFrame:
-    """The fields of a rule table, one column each; the first pattern that yields text wins."""
+def extract(df: DataFrame, rules: tuple[Rule, ...] = PAGE_RULES, html: str = "html", references: tuple[tuple[str, str], ...] = m.REFERENCES) -> DataFrame:
+    """The fields of a rule table, one column each; the first pattern that yields text wins. ``references`` are those decoded in text."""
 
     def field(rule: Rule) -> Column:
         given = [F.regexp_extract(html, p, 1) if isinstance(p, str) else p(F.col(html)) for p in rule.patterns]
-        return F.coalesce(*[F.nullif(bare(g) if rule.strip else g, F.lit("")) for g in given]).alias(rule.field)
+        return F.coalesce(*[F.nullif(bare(g, references) if rule.strip else g, F.lit("")) for g in given]).alias(rule.field)
 
     return df.select(*[c for c in df.columns if c != html], *[field(r) for r in rules])
 
@@ -210,11 +210,11 @@ def language_block(df: DataFrame, wanted: tuple[str, ...] = ("lt",), language: s
     return df.withColumn("is_book", F.col("is_book") & ~other).withColumn("block_reason", F.when(other, F.concat(F.lit("language:"), F.lower(language))))
 
 
-def response_findings(df: DataFrame, html: str = "html", final_url: str = "url", smallest: int = 1024) -> DataFrame:
-    """(url, issue): bodies below ``smallest`` bytes, and redirects to a top-level page."""
+def response_findings(df: DataFrame, html: str = "html", final_url: str = "url", smallest: int = 1024, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, url, issue): bodies below ``smallest`` bytes, and redirects to a top-level page."""
     top = F.col(final_url).rlike(r"^[a-z]+://[^/]+/?(?:[a-z]{2}/?)?(?:[?#].*)?$")
     issues = F.array_compact(F.array(F.when(F.octet_length(html) < smallest, "empty_response"), F.when(top, "redirect_to_homepage")))
-    return df.select(F.col(final_url).alias("url"), F.explode(issues).alias("issue"))
+    return df.select(*keys, F.col(final_url).alias("url"), F.explode(issues).alias("issue"))
 
 
 # Tags of a store that tell the type, and vendors that are no author.

@@ -53,10 +53,10 @@ def element(html: Column, tag: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{tag}\b[^<>]*>(.*?)(?:</{tag}\b|\z)", 1)
 
 
-def bare(html: Column) -> Column:
-    """Text without tags, references decoded, white space collapsed; letter case kept."""
+def bare(html: Column, references: tuple[tuple[str, str], ...] = REFERENCES) -> Column:
+    """Text without tags, ``references`` decoded, white space collapsed; letter case kept."""
     t = F.regexp_replace(F.regexp_replace(html, RAW, " "), "<[^<>]+>", " ")
-    for name, char in REFERENCES:
+    for name, char in references:
         t = F.replace(t, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(t, r"[\s ]+", " "))
 
