@@ -24,30 +24,38 @@ def _filled(c: Column) -> Column:
 def classify(title: Column, categories: Column, isbn_: Column, author: Column, metadata: list[Column]) -> Column:
     """struct(score, is_book, primary, reasons array<struct<key, points>>) of a record."""
     names = F.transform(F.coalesce(categories, F.array().cast("array<string>")), plain_text)
-    book = F.exists(names, lambda n: n.isin(*BOOK_CATEGORIES))
-    other = F.exists(names, lambda n: n.rlike(OTHER_CATEGORIES))
+    kinds = isbn.once(names, lambda n: F.struct(F.exists(n, lambda c: c.isin(*BOOK_CATEGORIES)).alias("book"), F.exists(n, lambda c: c.rlike(OTHER_CATEGORIES)).alias("other")))
     valid, writer = isbn.is_valid(isbn_), _filled(author)
     described = F.lit(False)
     for m in metadata:
         described = described | F.coalesce(m.cast("string") != "", F.lit(False))
     toy = plain_text(title).rlike(TOY_TITLE)
+    none = F.struct(F.lit(0).alias("score"), F.lit(False).alias("is_book"), F.lit(False).alias("primary"), F.array(_reason("no_title", F.lit(0))).alias("reasons"))
+    signs = F.struct(kinds.alias("kinds"), valid.alias("valid"), writer.alias("writer"), described.alias("described"), toy.alias("toy"))
+    verdict = isbn.once(signs, lambda s: _verdict(s["kinds"]["book"], s["valid"], s["writer"], s["described"], s["toy"], s["kinds"]["other"]))
+    return F.when(_filled(title), verdict).otherwise(none)
+
+
+def _reason(key: str, points: Column) -> Column:
+    return F.struct(F.lit(key).alias("key"), points.cast("int").alias("points"))
+
+
+def _verdict(book: Column, valid: Column, writer: Column, described: Column, toy: Column, other: Column) -> Column:
+    """What the signs of a record, in the order of ``POINTS``, say."""
     fired = dict(zip(POINTS, (book, valid, writer, described, toy, other), strict=True))
     given = {k: F.when(hit, POINTS[k]).otherwise(0) for k, hit in fired.items()}
     score = sum(given.values(), F.lit(0))
-    reason = lambda key, points: F.struct(F.lit(key).alias("key"), points.cast("int").alias("points"))
-    reasons = F.array(*[reason(k, p) for k, p in given.items()])
+    reasons = F.array(*[_reason(k, p) for k, p in given.items()])
     by_category = other & ~(book | valid | writer)
     by_title = toy & ~(book | valid | described)
     primary = (book | valid | (writer & described)) & ~by_category & ~by_title
-    add = lambda key: F.concat(reasons, F.array(reason(key, F.lit(0))))
-    full = F.struct(
+    add = lambda key: F.concat(reasons, F.array(_reason(key, F.lit(0))))
+    return F.struct(
         score.alias("score"),
         ((score >= 3) & primary).alias("is_book"),
         primary.alias("primary"),
         F.when(by_category, add("blocked_non_book_category")).when(by_title, add("blocked_game_toy_title")).otherwise(reasons).alias("reasons"),
     )
-    none = F.struct(F.lit(0).alias("score"), F.lit(False).alias("is_book"), F.lit(False).alias("primary"), F.array(reason("no_title", F.lit(0))).alias("reasons"))
-    return F.when(_filled(title), full).otherwise(none)
 
 
 def rejects(verdict: Column, type_: Column) -> Column:
@@ -56,10 +64,7 @@ def rejects(verdict: Column, type_: Column) -> Column:
 
 
 def infer_type(format_: Column, categories: Column, verdict: Column) -> Column:
-    f = plain_text(F.coalesce(format_, F.lit("")))
     names = F.transform(F.coalesce(categories, F.array().cast("array<string>")), plain_text)
-    return (
-        F.when(f.isin(*AUDIO), "audio").when(f.isin(*EBOOK), "ebook").when(f.isin(*BOOK), "book")
-        .when(F.exists(names, lambda n: n.rlike("audiokny")), "audio").when(F.exists(names, lambda n: n.rlike("e-knyg|eknyg|elektronin")), "ebook")
-        .otherwise(F.when(verdict["is_book"], "book").otherwise("non_book"))
-    )
+    by_format = lambda f: F.when(f.isin(*AUDIO), "audio").when(f.isin(*EBOOK), "ebook").when(f.isin(*BOOK), "book")
+    by_name = lambda n: F.when(F.exists(n, lambda c: c.rlike("audiokny")), "audio").when(F.exists(n, lambda c: c.rlike("e-knyg|eknyg|elektronin")), "ebook")
+    return F.coalesce(isbn.once(plain_text(F.coalesce(format_, F.lit(""))), by_format), isbn.once(names, by_name), F.when(verdict["is_book"], "book").otherwise("non_book"))

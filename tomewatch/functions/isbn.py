@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,15 @@ def normalize(raw: Column) -> Column:
     return F.translate(F.coalesce(raw, F.lit("")), "- ", "")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once a row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _weighed(text: Column, weights: list[int]) -> Column:
-    """Sum of the leading digits (X is ten) times ``weights``."""
-    digits = F.split(F.substring(text, 1, len(weights)), "")
-    value = lambda c: F.when(F.upper(c) == "X", 10).otherwise(c.try_cast("int"))
-    return F.aggregate(F.zip_with(digits, F.array(*[F.lit(w) for w in weights]), lambda c, w: value(c) * w), F.lit(0), lambda a, x: a + x)
+    """Sum of the leading digits (X is ten) times ``weights``, of text that has as many."""
+    value = lambda k: F.least(F.position(F.substring(text, k, 1), F.lit("0123456789Xx")) - 1, F.lit(10))
+    return sum((value(k) * w for k, w in enumerate(weights, 1)), F.lit(0))
 
 
 def _sum13(text: Column, digits: int) -> Column:
@@ -31,10 +37,13 @@ def _misread(clean: Column) -> Column:
 
 
 def is_valid(raw: Column) -> Column:
-    c = normalize(raw)
-    long = F.when(F.substring(c, 1, 7).isin(*DOUBLED), F.lit(False)).otherwise(_sum13(c, 13) % 10 == 0)
-    short = F.when(_misread(c), F.lit(False)).otherwise(_weighed(c, list(range(10, 0, -1))) % 11 == 0)
-    return F.when(c.rlike(THIRTEEN), long).when(c.rlike(TEN), short).otherwise(F.lit(False))
+
+    def judge(c: Column) -> Column:
+        long = F.when(F.substring(c, 1, 7).isin(*DOUBLED), F.lit(False)).otherwise(_sum13(c, 13) % 10 == 0)
+        short = F.when(_misread(c), F.lit(False)).otherwise(_weighed(c, list(range(10, 0, -1))) % 11 == 0)
+        return F.when(c.rlike(THIRTEEN), long).when(c.rlike(TEN), short).otherwise(F.lit(False))
+
+    return once(normalize(raw), judge)
 
 
 def to_isbn13(raw: Column) -> Column:

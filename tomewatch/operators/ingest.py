@@ -39,21 +39,24 @@ def validate_items(df: DataFrame, allowed: list[str] | None = None, enums: dict[
     Attributes are held against the allowed keys, value lists and full-match patterns.
     """
     price, orig = F.trim("price"), F.trim("price_original")
-    bad_price = F.col("price").isNotNull() & ~text.is_decimal(F.col("price"))
-    bad_orig = F.col("price_original").isNotNull() & ~text.is_decimal(F.col("price_original"))
-    p, o = price.try_cast("double"), F.when(~bad_orig, orig.try_cast("double"))
     sold_out = F.coalesce(~F.col("in_stock"), F.lit(False))
     no_title = F.coalesce(F.col("title"), F.lit("")) == ""
-    bad_url = ~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False))
-    year = F.when(F.col("year").rlike(r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"), F.trim("year").try_cast("double").cast("int"))
-    pages = F.when(F.col("properties")["pages"].isNotNull(), F.col("properties")["pages"]).otherwise(F.col("pages")).try_cast("int")
     in_range = lambda c: F.coalesce(c.between(MIN_YEAR, MAX_YEAR), F.lit(False))
-    swap = F.col("year").isNotNull() & year.isNotNull() & ~in_range(year) & in_range(pages)
-    new_year = F.when(in_range(year), year).when(swap, pages)
-    good_isbn = isbns_.is_valid(F.col("isbn"))
     # emptied text becomes null
     tidy = lambda c: F.nullif(F.trim(c), F.lit(""))
-    size = F.length(tidy("title"))
+    # what several checks read is a column first, so that it is worked out once a row
+    parsed = df.withColumns({
+        "_bad_price": F.col("price").isNotNull() & ~text.is_decimal(F.col("price")), "_bad_orig": F.col("price_original").isNotNull() & ~text.is_decimal(F.col("price_original")),
+        "_bad_url": ~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False)), "_good_isbn": isbns_.is_valid(F.col("isbn")), "_title": tidy("title"), "_author": tidy("author"),
+        "_year": F.when(F.col("year").rlike(r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"), F.trim("year").try_cast("double").cast("int")),
+        "_pages": F.when(F.col("properties")["pages"].isNotNull(), F.col("properties")["pages"]).otherwise(F.col("pages")).try_cast("int"),
+    })
+    year, pages, bad_price, bad_orig, bad_url, good_isbn = (F.col(f"_{c}") for c in ("year", "pages", "bad_price", "bad_orig", "bad_url", "good_isbn"))
+    parsed = parsed.withColumns({"_p": price.try_cast("double"), "_o": F.when(~bad_orig, orig.try_cast("double")), "_swap": F.col("year").isNotNull() & year.isNotNull() & ~in_range(year) & in_range(pages)})
+    p, o, swap = (F.col(c) for c in ("_p", "_o", "_swap"))
+    parsed = parsed.withColumn("_new_year", F.when(in_range(year), year).when(swap, pages))
+    new_year, title, author = (F.col(c) for c in ("_new_year", "_title", "_author"))
+    size = F.length(title)
     first = F.filter(
         F.array(
             F.when(bad_price, _issue("invalid_price", "price", F.col("price"))),
@@ -75,9 +78,9 @@ def validate_items(df: DataFrame, allowed: list[str] | None = None, enums: dict[
     )
     paged, spoken = F.map_contains_key("properties", F.lit("pages")), F.map_contains_key("properties", F.lit("duration"))
     fourth = F.array(
-        F.when(tidy("title").rlike(TAG), _issue("html_in_text", "title", F.substring(tidy("title"), 1, 100))),
-        F.when(tidy("author").rlike(TAG), _issue("html_in_text", "author", F.substring(tidy("author"), 1, 100))),
-        F.when(size < 2, _issue("suspicious_title", "title", tidy("title"))),
+        F.when(title.rlike(TAG), _issue("html_in_text", "title", F.substring(title, 1, 100))),
+        F.when(author.rlike(TAG), _issue("html_in_text", "author", F.substring(author, 1, 100))),
+        F.when(size < 2, _issue("suspicious_title", "title", title)),
         F.when(size > 300, _issue("suspicious_title", "title", F.concat(F.lit("len="), size.cast("string")))),
         F.when((F.col("format") == "audiobook") & paged, _issue("format_mismatch", "format", F.lit("audiobook with pages"))),
         F.when(F.col("format").isin("book", "hardcover", "paperback") & spoken, _issue("format_mismatch", "format", F.concat(F.col("format"), F.lit(" with duration")))),
@@ -95,10 +98,10 @@ def validate_items(df: DataFrame, allowed: list[str] | None = None, enums: dict[
     reject = F.when(bad_price, F.concat(F.lit("Invalid price: "), F.col("price"))).when(no_title, "Missing title").when(bad_url, F.concat(F.lit("Invalid URL: "), F.coalesce("url", F.lit(""))))
     swapped = F.when(swap & F.col("properties")["pages"].isNotNull(), F.map_concat(F.map_filter("properties", lambda k, v: k != "pages"), F.create_map(F.lit("pages"), year.cast("string"))))
     rest = [c for c in df.columns if c not in ("price", "price_original", "title", "author", "publisher", "year", "pages", "isbn", "properties")]
-    return df.select(
+    return parsed.select(
         *rest,
         F.when(~bad_price, price).try_cast("decimal(10,2)").alias("price"), F.when(~bad_orig, orig).try_cast("decimal(10,2)").alias("price_original"),
-        tidy("title").alias("title"), tidy("author").alias("author"), tidy("publisher").alias("publisher"), new_year.alias("year"),
+        title.alias("title"), author.alias("author"), tidy("publisher").alias("publisher"), new_year.alias("year"),
         F.when(swap & F.col("properties")["pages"].isNull(), year).otherwise(F.col("pages").try_cast("int")).alias("pages"),
         F.when(good_isbn, isbns_.normalize(F.col("isbn"))).alias("isbn"), F.coalesce(swapped, F.col("properties")).alias("properties"),
         reject.alias("reject"), found.alias("findings"),
