@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import isbn
-from .text import plain_text
+from .text import once, plain_text
 
 # Category names of books, words of other goods, titles of games and toys, formats by type.
 BOOK_CATEGORIES = ("negrožinė literatūra", "grožinė literatūra", "knygos vaikams ir jaunimui", "knygos anglų kalba", "audioknygos")
@@ -24,7 +24,7 @@ def _filled(c: Column) -> Column:
 def classify(title: Column, categories: Column, isbn_: Column, author: Column, metadata: list[Column]) -> Column:
     """struct(score, is_book, primary, reasons array<struct<key, points>>) of a record."""
     names = F.transform(F.coalesce(categories, F.array().cast("array<string>")), plain_text)
-    kinds = isbn.once(names, lambda n: F.struct(F.exists(n, lambda c: c.isin(*BOOK_CATEGORIES)).alias("book"), F.exists(n, lambda c: c.rlike(OTHER_CATEGORIES)).alias("other")))
+    kinds = once(names, lambda n: F.struct(F.exists(n, lambda c: c.isin(*BOOK_CATEGORIES)).alias("book"), F.exists(n, lambda c: c.rlike(OTHER_CATEGORIES)).alias("other")))
     valid, writer = isbn.is_valid(isbn_), _filled(author)
     described = F.lit(False)
     for m in metadata:
@@ -32,7 +32,7 @@ def classify(title: Column, categories: Column, isbn_: Column, author: Column, m
     toy = plain_text(title).rlike(TOY_TITLE)
     none = F.struct(F.lit(0).alias("score"), F.lit(False).alias("is_book"), F.lit(False).alias("primary"), F.array(_reason("no_title", F.lit(0))).alias("reasons"))
     signs = F.struct(kinds.alias("kinds"), valid.alias("valid"), writer.alias("writer"), described.alias("described"), toy.alias("toy"))
-    verdict = isbn.once(signs, lambda s: _verdict(s["kinds"]["book"], s["valid"], s["writer"], s["described"], s["toy"], s["kinds"]["other"]))
+    verdict = once(signs, lambda s: _verdict(s["kinds"]["book"], s["valid"], s["writer"], s["described"], s["toy"], s["kinds"]["other"]))
     return F.when(_filled(title), verdict).otherwise(none)
 
 
@@ -67,4 +67,4 @@ def infer_type(format_: Column, categories: Column, verdict: Column) -> Column:
     names = F.transform(F.coalesce(categories, F.array().cast("array<string>")), plain_text)
     by_format = lambda f: F.when(f.isin(*AUDIO), "audio").when(f.isin(*EBOOK), "ebook").when(f.isin(*BOOK), "book")
     by_name = lambda n: F.when(F.exists(n, lambda c: c.rlike("audiokny")), "audio").when(F.exists(n, lambda c: c.rlike("e-knyg|eknyg|elektronin")), "ebook")
-    return F.coalesce(isbn.once(plain_text(F.coalesce(format_, F.lit(""))), by_format), isbn.once(names, by_name), F.when(verdict["is_book"], "book").otherwise("non_book"))
+    return F.coalesce(once(plain_text(F.coalesce(format_, F.lit(""))), by_format), once(names, by_name), F.when(verdict["is_book"], "book").otherwise("non_book"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 THIRTEEN, TEN = "^97[89][0-9]{10}$", "^[0-9]{9}[0-9Xx]$"
 # Group prefixes doubled by a faulty feed.
 DOUBLED = ("9789789", "9799789", "9789979", "9799979")
@@ -16,11 +16,6 @@ def normalize(raw: Column) -> Column:
     return F.translate(F.coalesce(raw, F.lit("")), "- ", "")
 
 
-def once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once a row, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _weighed(text: Column, weights: list[int]) -> Column:
     """Sum of the leading digits (X is ten) times ``weights``, of text that has as many."""
     value = lambda k: F.least(F.position(F.substring(text, k, 1), F.lit("0123456789Xx")) - 1, F.lit(10))

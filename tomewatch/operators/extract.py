@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_text, price_text_cents
+from ..functions.text import once, plain_text, price_text_cents
 from . import markup as m
 from .markup import bare, sanitise  # noqa: F401
 
@@ -116,11 +116,22 @@ def page_data(df: DataFrame, html: str = "html") -> DataFrame:
 
 def label_values(html: Column, markup: str) -> Column:
     """A map of label to value from one of the label markups; a repeated label keeps its first value."""
-    labels, values = m.labelled(html, markup)
-    key = F.transform(labels, lambda k: F.rtrim(plain_text(k), F.lit(": ")))
-    pairs = F.arrays_zip(key.alias("k"), values.alias("v"))
-    first = F.filter(F.transform(pairs, lambda e, i: F.struct(e["k"].alias("key"), e["v"].alias("value"), i.alias("i"))), lambda e: F.array_position(key, e["key"]) == e["i"] + 1)
-    return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"])))
+    return once(_keyed(m.labelled(html, markup)), lambda pairs: F.map_from_entries(_first_of(pairs, "k", "v")))
+
+
+def _keyed(pairs: Column) -> Column:
+    """Labels and values (k, v) with the labels as keys."""
+    return F.transform(pairs, lambda e: F.struct(F.rtrim(plain_text(e["k"]), F.lit(": ")).alias("k"), e["v"].alias("v")))
+
+
+def _first_of(pairs: Column, key: str, value: str) -> Column:
+    """Structs (key, value) of an array, of a repeated key the first."""
+
+    def first(keys: Column) -> Column:
+        placed = F.transform(pairs, lambda e, i: F.struct(e[key].alias("key"), e[value].alias("value"), i.alias("i")))
+        return F.transform(F.filter(placed, lambda e: F.array_position(keys, e["key"]) == e["i"] + 1), lambda e: F.struct(e["key"], e["value"]))
+
+    return once(F.transform(pairs, lambda e: e[key]), first)
 
 
 #: Rule tables as data: the rules of a source, by field and rank. Kinds: meta, element, label, pattern (one group) and json (a field of ``page_data``).
@@ -138,7 +149,7 @@ def extract_by_rules(df: DataFrame, rules: DataFrame, keys: list[str], source: s
     ruled = rules.where("kind <> 'json'").groupBy(F.col("source").alias(source)).agg(F.array_sort(F.collect_list(F.struct("field", "rank", "kind", "argument"))).alias("_rules"))
     col = F.col(html)
     metas = F.transform(m.tags(col, "meta"), lambda a: F.struct(F.lower(F.coalesce(m.attribute(a, "property"), m.attribute(a, "name"))).alias("k"), m.attribute(a, "content").alias("v")))
-    labels = F.flatten(F.array(*[F.transform(F.arrays_zip(k.alias("k"), v.alias("v")), lambda e: F.struct(F.rtrim(plain_text(e["k"]), F.lit(": ")).alias("k"), e["v"].alias("v"))) for k, v in (m.labelled(col, x) for x in m.LABELS)]))
+    labels = F.flatten(F.array(*[_keyed(m.labelled(col, x)) for x in m.LABELS]))
     pages = df.join(ruled, source, "left").select(*keys, source, html, F.coalesce("_rules", F.array().cast("array<struct<field: string, rank: int, kind: string, argument: string>>")).alias("_rules"), metas.alias("_metas"), labels.alias("_labels"))
     held = lambda pairs, name: F.try_element_at(F.filter(pairs, lambda e: e["k"] == name), F.lit(1))["v"]
 
@@ -162,8 +173,7 @@ def extract_by_rules(df: DataFrame, rules: DataFrame, keys: list[str], source: s
     json = json.groupBy(*keys, source).agg(F.collect_list(F.struct("field", "rank", F.col("t.v").alias("value"))).alias("_json"))
     both = found.join(json, [*keys, source], "left") if keys else found
     every = F.array_sort(F.concat("_given", F.coalesce("_json", F.array().cast("array<struct<field: string, rank: int, value: string>>"))))
-    firsts = F.filter(F.transform(every, lambda e, i: F.struct(e["field"].alias("field"), e["value"].alias("value"), i.alias("i"))), lambda e: F.array_position(F.transform(every, lambda x: x["field"]), e["field"]) == e["i"] + 1)
-    return both.select(*keys, source, F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["field"], e["value"]))).alias("fields"))
+    return both.select(*keys, source, once(every, lambda rows: F.map_from_entries(_first_of(rows, "field", "value"))).alias("fields"))
 
 
 def cards(df: DataFrame, marker: str, rules: tuple[Rule, ...], html: str = "html") -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 #: Elements whose content is no markup, with it; an unclosed one takes the rest of the page.
 RAW = r"(?is)<(?:script|style)\b.*?(?:</(?:script|style)\b[^<>]*>?|\z)"
 SCRIPT = r"(?is)<script\b([^<>]*)>(.*?)(?:</script\b[^<>]*>?|\z)"
@@ -78,14 +80,15 @@ LABELS = {
 }
 
 
-def labelled(html: Column, markup: str) -> tuple[Column, Column]:
-    """Arrays of the labels and of the values of one markup, as text."""
+def labelled(html: Column, markup: str) -> Column:
+    """An array of the labels and values of one markup, as text, in structs (k, v)."""
     marks, pattern = LABELS[markup]
     t = F.translate(html, _A + _B + _C + _D, "")
     for tag, mark in marks:
         t = F.regexp_replace(t, tag, mark)
     plain = lambda v: bare(F.translate(v, _A + _B + _C + _D, ""))
-    return tuple(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(k)), plain) for k in (1, 2))
+    found = lambda t, k: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(k)), plain)
+    return once(t, lambda t: F.arrays_zip(found(t, 1).alias("k"), found(t, 2).alias("v")))
 
 
 def json_blocks(html: Column) -> Column:
