@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Pieces of a file split of line items that one task takes at a time.
+PIECES = 32
 BASE = "region nation customer supplier part orders lineitem events documents pages".split()
 
 _DIGIT_SUM13 = " + ".join(f"cast(substr(body, {k + 1}, 1) as int) * {1 if k % 2 == 0 else 3}" for k in range(12))
@@ -108,8 +110,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, kept: dict[str, DataFrame
     sql = VIEWS[name]
     given = {d: table(spark, sf_dir, d, kept) for d in dependencies(sql)}
     if name == "observed":
-        # dealt by part once: both group-bys of a listing and its joins with its part then find their rows where they are
-        given["lineitem"] = given["lineitem"].repartition("l_partkey")
+        # dealt by part once: both group-bys of a listing and its joins with its part then find their rows where they are;
+        # a large table in more pieces than the session's, so that a task's memory does not grow with it
+        pieces = PIECES * given["lineitem"].rdd.getNumPartitions()
+        few = pieces <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        given["lineitem"] = given["lineitem"].repartition(*([] if few else [pieces]), "l_partkey")
     return spark.sql(sql, **given)
 
 
