@@ -1,6 +1,9 @@
 """What a query must not do: join for rules that it does not run, parse all pages in one task, meet null keys in one task."""
 
+import pytest
+
 from tomewatch.operators import details, quality
+from tomewatch.plans.queries_quality import found
 from tomewatch.plans.queries_text import built
 from tomewatch.plans.registry import Tables
 
@@ -20,6 +23,18 @@ def test_a_rule_joins_only_what_it_needs(spark):
     assert {r["issue"] for r in one("price_zero").collect()} == {"price_zero"}
 
 
+@pytest.mark.parametrize("issue", ["book_no_signals", "book_no_metadata", "format_is_dimensions", "active_no_price", "non_book_has_isbn", "year_out_of_range"])
+def test_rules_on_own_columns_join_nothing_more(spark, issue):
+    t = Tables(spark, SF)
+    assert plan(found(t, issue)).count("Join") <= plan(t.shop_books).count("Join") and "Window" not in plan(found(t, issue))
+
+
+@pytest.mark.parametrize("issue", ["non_product_active", "unmatched_has_isbn"])
+def test_rules_on_urls_join_stored_listings_once(spark, issue):
+    out = plan(found(Tables(spark, SF), issue))
+    assert out.count("Join") == 1 and "_drift" not in out and "_aliases" not in out
+
+
 def test_pages_are_dealt_over_cores(spark):
     assert built(Tables(spark, SF)).rdd.getNumPartitions() >= 4
 
