@@ -6,6 +6,8 @@ import time
 import pytest
 import regex
 
+from tomewatch.llm import surrogates
+from tomewatch.llm.common import checkpointed
 from tomewatch.llm.queries import op5_pii_surrogates
 from tomewatch.llm.surrogates import GIVEN, MENTION, replace_personal_data, surrogate_table
 
@@ -148,3 +150,16 @@ def test_edges(spark):
     rows = [(None, "97.51.17.173", None, None, None), (None, "97.51.17.174", None, None, None), (None, "clean", None, None, None)]
     got = [r.text for r in replace_personal_data(spark.createDataFrame(rows, SCHEMA), "k").collect()]
     assert len(set(got)) == 3 and "clean" in got and not any(t.startswith("97") for t in got)
+
+
+def test_texts_are_joined_only_to_be_rebuilt(spark, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(surrogates, "checkpointed", noted)
+    got = run(spark, ["Mr. John Smith met Smith and 97.51.17.173.", "97.51.17.173", "none", None])
+    assert got[0].n_mentions == 3 and got[0].text.split()[-1][:-1] == got[1].text and got[2].text == "none" and got[3].text is None
+    assert plans and not any("Join" in p and "_text" in p for p in plans)

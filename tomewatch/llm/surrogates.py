@@ -281,7 +281,7 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     entities as its format has values, see ``surrogate_table``). Equal entities written differently (spaces in a card
     number, case of an address, a phone number with and without country code, a title before a name) keep one surrogate.
 
-    Texts are read once to gather mentions, once more where names were found, and once to be rebuilt; a mention's
+    Texts are read once to gather mentions and once to be rebuilt, for which alone they are shuffled; a mention's
     replacement comes by a join on the distinct mention, in which mentions that many documents hold are joined
     apart. Patterns take linear time. Only built-in functions run.
 
@@ -291,18 +291,17 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(text_col).alias("_h"))
-    found = F.regexp_extract_all("_text", F.lit(f"({MENTION})"), F.lit(1))
-    seen = texts.select("_id", "_h", found.alias("raws")).where(F.size("raws") > 0).dropDuplicates(["_id", "_h"])
     is_name = lambda r: r.rlike(f"^(?:{TITLE}[. ]|(?:{_FIRST})[ -])") & ~r.contains("@")
-    seen = checkpointed(seen.withColumn("names", F.array_distinct(F.filter("raws", is_name))))
-    named = seen.where(F.size("names") > 0).select("_id", "_h", _later_mentions(F.col("names")).alias("_pattern"))
+    # later mentions are found in the same pass, so texts are joined and shuffled only to be rebuilt
+    found = texts.withColumn("_raws", F.regexp_extract_all("_text", F.lit(f"({MENTION})"), F.lit(1))).where(F.size("_raws") > 0)
+    found = found.withColumn("names", F.array_distinct(F.filter("_raws", is_name)))
+    found = found.withColumn("_pattern", F.when(F.size("names") > 0, _later_mentions(F.col("names"))))
+    raws = F.when(F.size("names") > 0, F.regexp_extract_all("_text", F.col("_pattern"), F.lit(1))).otherwise(F.col("_raws"))
+    seen = checkpointed(found.select("_id", "_h", "names", raws.alias("raws")).dropDuplicates(["_id", "_h"]))
+    named = seen.where(F.size("names") > 0).select("_id", "_h", "names")
     keys = lambda df: df.withColumnRenamed("_id", "_key").withColumnRenamed("_h", "_key_h")
     same = F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_key_h"))
-    listed = seen.where(F.size("names") == 0).select("_id", "_h", F.posexplode("raws").alias("pos", "raw"))
-    if with_names := not named.isEmpty():
-        again = texts.join(keys(named), same).dropDuplicates(["_id", "_h"])
-        listed = listed.union(again.select("_id", "_h", F.posexplode(F.regexp_extract_all("_text", F.col("_pattern"), F.lit(1))).alias("pos", "raw")))
-    listed = checkpointed(listed)
+    listed = checkpointed(seen.select("_id", "_h", F.posexplode("raws").alias("pos", "raw")))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     mentions = listed.select("raw").distinct().repartition(parts, "raw").withColumn("kind", _kind(F.col("raw")))
     split = checkpointed(mentions.select("raw", "kind", F.posexplode(_parts(F.col("raw"), F.col("kind")))).select("raw", "kind", "pos", "col.*"))
@@ -318,11 +317,8 @@ def replace_personal_data(docs: DataFrame, key: str, id_col: str = "doc_id", tex
     new = bodies.select("raw", "kind", F.xxhash64("entity").alias("e"), _formatted(F.col("raw"), F.col("kind"), F.col("bodies")).alias("new"))
     filled = join_hot(listed, checkpointed(new), "raw")
     per_doc = filled.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("pos", "new", "e", "kind"))).alias("_hits"))
-    if with_names:
-        per_doc = per_doc.join(keys(named), same, "left").drop("_key", "_key_h")
-        between = F.when(F.col("_pattern").isNotNull(), F.split("_text", F.col("_pattern"), -1)).otherwise(F.split("_text", MENTION, -1))
-    else:
-        between = F.split("_text", MENTION, -1)
+    per_doc = per_doc.join(keys(named), same, "left").drop("_key", "_key_h")
+    between = F.when(F.size("names") > 0, F.split("_text", _later_mentions(F.col("names")), -1)).otherwise(F.split("_text", MENTION, -1))
     joined = texts.join(keys(per_doc), same, "left")
     hits, n = F.col("_hits"), F.coalesce(F.size("_hits"), F.lit(0))
     has = hits.isNotNull()
