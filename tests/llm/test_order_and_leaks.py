@@ -13,7 +13,7 @@ from tomewatch.llm import language_id, line_crf
 from tomewatch.llm.decontaminate import _lcs, find_leaks
 from tomewatch.llm.exact_dedup import exact_dedup
 from tomewatch.llm.mixing import poisson_mix
-from tomewatch.llm.token_shards import END, TOKENIZER, encode, encoder, permute, read_slots, training_order, vocabulary, write_shards
+from tomewatch.llm.token_shards import END, TOKENIZER, encode, encoder, permute, read_slots, token_ids, training_order, vocabulary, write_shards
 from tomewatch.llm.warc import record_text, responses_of_pages, warc_derivatives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, slot long, n string, rate double, copy string"
@@ -40,6 +40,20 @@ def test_long_white_space():
     assert encode(encoding, None) == [] and encoding.decode(encode(encoding, " " * 3_000_000 + "x")) == " " * 3_000_000 + "x"
 
 
+def test_pieces_and_ids():
+    import tiktoken
+
+    encoding = encoder(vocabulary(TOKENIZER))
+    published = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    plain = tiktoken.Encoding("published", pat_str=published, mergeable_ranks=encoding._mergeable_ranks, special_tokens={})
+    rng = random.Random(3)
+    parts = ["a", "é", " ", "  ", "\n", "\r\n", "\u3000", "1", "٣", "!", "'s", "'re", "'S", "'", "<|endoftext|>", "\u0301", "😀", "\x1c", "\x85", "中"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        got = token_ids(encoding, t)
+        assert isinstance(got, np.ndarray) and got.tolist() == plain.encode_ordinary(t) and len(got) <= len(t.encode())
+
+
 def test_training_order_round_trip(spark, tmp_path):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["alpha", "béta", "γ", "12,5", "x\ny"]) for _ in range(rng.choice([0, 1, 30, 400]))) for _ in range(60)]

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,9 @@ from .kernels import U, mix
 #: Byte-level BPE ranks with 50,256 entries; id 50256 ends a document and fills its last sequence.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50_256
-# Fixed value: how this vocabulary splits text before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: how this vocabulary splits text before merging ('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+), in
+# a form that gives the same pieces without going back.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Tokens of a sequence, and sequences of a shard.
 SEQUENCE, SHARD = 512, 4096
 ROUNDS = 4
@@ -42,25 +44,35 @@ def encoder(ranks: bytes):
     """The encoding of a file of ranks, made once in a worker."""
     import tiktoken
 
-    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    if max(ids.values()) > 0xFFFF:
+        raise OverflowError("the vocabulary has ids above 65,535")
+    # the end token's name is never allowed in a text, so a text that holds it is encoded like any other
+    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={"<|endoftext|>": END})
 
 
-def encode(encoding, text: str | None) -> list[int]:
+def token_ids(encoding, text: str | None) -> np.ndarray:
     """Token ids of a whole text; null is empty.
 
     A run of white space before other characters gives all but its last one as a piece of its own, and one at the end
     is a piece, so very long runs are encoded apart with the same result.
     """
+    plain = lambda t: encoding.encode_to_numpy(t, disallowed_special=())
     if not text:
-        return []
+        return np.empty(0, np.uint32)
     if len(text) < 10_000 or not (long := _LONG_SPACE.search(text)):
-        return encoding.encode_ordinary(text)
+        return plain(text)
     out, at = [], 0
     while long:
         last = long.end() if long.end() == len(text) else long.end() - 1
-        out += encoding.encode_ordinary(text[at : long.start()]) + encoding._encode_single_piece(text[long.start() : last])
+        out += [plain(text[at : long.start()]), np.array(encoding._encode_single_piece(text[long.start() : last]), np.uint32)]
         at, long = last, _LONG_SPACE.search(text, long.end())
-    return out + encoding.encode_ordinary(text[at:])
+    return np.concatenate([*out, plain(text[at:])])
+
+
+def encode(encoding, text: str | None) -> list[int]:
+    """``token_ids`` as a list."""
+    return token_ids(encoding, text).tolist()
 
 
 def permute(at: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -97,7 +109,7 @@ def training_order(
     ``with_shards`` and ``write_shards`` put the tokens into files of that layout, ``read_slots`` reads them on from any slot.
 
     A first pass counts the sequences of every block of the input, a second one numbers them from its block's
-    first number, so texts are tokenised twice and tokens are never stored but in the one shuffle by ranges of slots.
+    first number, so texts of a sequence's bytes and more are tokenised twice and tokens are never stored but in the one shuffle by ranges of slots.
     Both passes must meet the same rows in every block. If all rows come from files without a shuffle, blocks are those
     of the files (``spark.sql.files.minPartitionNum`` is set if it is not, so that they do not move with the number
     of executors); otherwise the texts are kept in a shared checkpoint and its partitions are the blocks. A task that
@@ -119,8 +131,10 @@ def training_order(
     def count(batches):
         for b in batches:
             held: dict[int, int] = {}
-            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held[k] = held.get(k, 0) + len(encode(encoder(ranks.value), t.as_py())) // sequence + 1
+            for k, t, size in zip(b.column(0).to_pylist(), b.column(1), pc.binary_length(b.column(1)).to_pylist(), strict=True):
+                # a token covers a byte at least, so a text of fewer bytes fills no sequence
+                full = len(token_ids(encoder(ranks.value), t.as_py())) // sequence if (size or 0) >= sequence else 0
+                held[k] = held.get(k, 0) + full + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["block", "n"])
 
     def counted(blocks: DataFrame):
@@ -161,7 +175,7 @@ def training_order(
                         data, owner, seq, filled = [], [], [], []
                     now, number, bound = block, int(bounds[at]), int(bounds[at + 1])
                     first = number
-                tokens = np.array(encode(encoder(ranks.value), t.as_py()), "<u2").tobytes() + end
+                tokens = token_ids(encoder(ranks.value), t.as_py()).astype("<u2").tobytes() + end
                 for s in range(0, len(tokens), stride):
                     piece = tokens[s : s + stride]
                     data.append(piece + end * ((stride - len(piece)) // 2))
