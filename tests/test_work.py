@@ -2,7 +2,7 @@
 
 import pytest
 
-from tomewatch.operators import details, quality
+from tomewatch.operators import details, matching, quality
 from tomewatch.plans.queries_quality import found
 from tomewatch.plans.queries_text import built
 from tomewatch.plans.registry import Tables
@@ -60,3 +60,40 @@ def test_findings_without_a_work_are_spread(spark):
     )
     assert "no work " in plan(out) and "no listing " in plan(out)
     assert out.count() == 40 and out.where("book_title is null and title is null and run_status = 'failed'").count() == 40
+
+
+@pytest.fixture
+def conf(spark):
+    """Settings that hold for one test."""
+    before = {}
+
+    def put(key, value):
+        before.setdefault(key, spark.conf.get(key, None))
+        spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_pieces_do_not_grow_with_file_splits(spark, conf):
+    conf("spark.sql.files.maxPartitionBytes", "64k")
+    assert Tables(spark, "/root/testdata/sf0.1").observed.rdd.getNumPartitions() <= 4
+
+
+def test_parts_are_not_broadcast_for_their_few_bytes_in_parquet(spark, conf):
+    """20,000 parts are 0.2 MB in Parquet and 2 MB as the two columns that the join reads."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "300k")
+    t = Tables(spark, "/root/testdata/sf0.1")
+    assert "BroadcastHashJoin" not in t.shop_books.select("id", "title")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_synthesis_reads_listings_once_and_drops_those_without_isbn(spark):
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    listings = rows(
+        [(1, 1, "a", "x", 2000, None, None, "111"), (2, 2, "b", None, None, "late", "2001-01-02", "1-11"), (3, 1, "c", "y", 2001, "early", "2001-01-01", "111"), (4, 1, "d", "y", 2001, "p", None, None), (5, 1, "e", "y", 2001, "p", None, " "), (6, 2, "f", None, None, "own", None, "222")],
+        "id long, shop_id long, title string, author string, year int, publisher string, first_seen_at string, isbn string",
+    )
+    out = matching.synthesise(listings, rows([(9, "222")], "book_id long, isbn string"), rows([(1, 60), (2, 70)], "id long, trust int"))
+    assert [tuple(r) for r in out.select("isbn", "title", "author", "year", "shop_id", "publisher").collect()] == [("111", "b", None, None, 2, "early")]
+    assert "Window" not in plan(out) and plan(out).count("Join") == 2

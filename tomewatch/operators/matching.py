@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.isbn import normalize
@@ -50,16 +50,19 @@ def trust(shops: DataFrame) -> DataFrame:
 
 def synthesise(listings: DataFrame, isbns: DataFrame, shops: DataFrame) -> DataFrame:
     """A work per unowned ISBN: fields of the most trusted source (smallest id on ties), the publisher of the earliest
-    listing that names one."""
-    gaps = isbn_gaps(listings, isbns)
-    rows = listings.withColumn("isbn", normalize(F.col("isbn"))).join(gaps, "isbn").join(trust(shops), "shop_id")
-    best = Window.partitionBy("isbn").orderBy(F.desc("trust"), "id")
-    top = rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("isbn", "title", "author", "year", "shop_id")
-    named = rows.where("publisher is not null").groupBy("isbn").agg(
-        F.min_by("publisher", F.struct(F.col("first_seen_at").isNull().alias("n"), "first_seen_at", "id")).alias("publisher")
+    listing that names one.
+
+    Listings are read once and reduced to a row an ISBN before that meets the owned ones; those without an ISBN go no further.
+    """
+    own = F.nullif(normalize(F.col("isbn")), F.lit(""))
+    rows = listings.select("id", "shop_id", "title", "author", "year", "publisher", "first_seen_at", own.alias("isbn")).where("isbn is not null").join(trust(shops), "shop_id")
+    earliest = F.struct(F.col("first_seen_at").isNull().alias("n"), "first_seen_at", "id")
+    best = rows.groupBy("isbn").agg(
+        F.min_by(F.struct("title", "author", "year", "shop_id"), F.struct((-F.col("trust")).alias("t"), "id")).alias("_top"),
+        F.min_by("publisher", F.when(F.col("publisher").isNotNull(), earliest)).alias("publisher"),
     )
     kind = F.when(F.length("isbn") == 10, "isbn10").otherwise("isbn13")
-    return top.join(named, "isbn", "left").withColumn("isbn_type", kind).withColumn("data_source", F.lit("shop_inferred"))
+    return best.join(isbns.select("isbn"), "isbn", "left_anti").select("isbn", "_top.*", "publisher", kind.alias("isbn_type"), F.lit("shop_inferred").alias("data_source"))
 
 
 @dataclass
