@@ -150,3 +150,19 @@ def test_upsert_keeps_what_a_batch_lacks(spark):
     new = spark.createDataFrame([(0, "https://s/1", "U", None)], "shop_id long, url string, title string, author string")
     r = g.upsert_listings(old, new, F.lit(None).cast("timestamp"), F.lit(1)).first()
     assert (r.id, r.title, r.author) == (1, "U", "A")
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """A bucket was one task's; now rows dealt for the join by key are written where they are, and tasks hold rows of one bucket."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        table = BucketedTable(str(tmp_path / "t"), ("k",), "k long, v string, w string", 4)
+        table.create(spark.range(2000).select(F.col("id").alias("k"), F.lit("a").alias("v"), F.lit("x").alias("w")))
+        table.upsert(spark.range(1000, 3000).select(F.col("id").alias("k"), F.lit("b").alias("v"), F.lit(None).cast("string").alias("w")), 1, rules)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = Counter(p.parent.name for p in Path(f"{table.path}.next").rglob("*.parquet"))
+    assert len(files) == 4 and all(n == 3 for n in files.values())
+    assert table.read(spark).groupBy("v", "w").count().orderBy("v", "w").collect() == [("a", "x", 1000), ("b", None, 1000), ("b", "x", 1000)]
+    assert table.read(spark).count() == table.read(spark).select("k").distinct().count() == 3000

@@ -207,6 +207,7 @@ query("ing25_route", "select case when p_partkey % 10 = 0 then 'canonical' when
 # the batch of ing7 into a table on disk: only the buckets that it touches are written again
 def bucketed(t):
     columns = ["shop_id", "url", "title", "publisher", "author", "sku"]
+    t = t.keep("shop_books", columns=("id", *columns))
     table = BucketedTable(work_folder(t.spark), ("shop_id", "url"), "shop_id long, url string, title string, publisher string, author string, sku string", 32).create(t.shop_books.select(columns))
     table.upsert(batch(t), 1, lambda old, new: src.merge(old, new, ["shop_id", "url"], overwrite=["title"]))
     return table.read(t.spark)

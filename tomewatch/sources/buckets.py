@@ -38,7 +38,11 @@ def write_once(df: DataFrame, folder: str, batch: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class BucketedTable:
-    """A table of one row a key below ``path``, in ``n`` buckets; choose ``n`` so that a bucket fits a task (some hundred MB)."""
+    """A table of one row a key below ``path``, in ``n`` buckets, each written by as many tasks as the session's shuffle partitions allow.
+
+    A row's bucket is the remainder of the hash that also deals rows over tasks, so tasks whose number is a multiple of ``n`` hold
+    rows of one bucket each: rows dealt for a join by the keys are written where they are, without another shuffle.
+    """
 
     path: str
     keys: tuple[str, ...]
@@ -46,11 +50,11 @@ class BucketedTable:
     n: int = 64
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int")
+        return F.pmod(F.hash(*self.keys), F.lit(self.n)).cast("int")
 
     def create(self, df: DataFrame) -> BucketedTable:
         """The table with its first rows, or none."""
-        self._dealt(df).write.partitionBy("bucket").parquet(self.path)
+        self._dealt(df).withColumn("bucket", self.bucket()).write.partitionBy("bucket").parquet(self.path)
         return self
 
     def read(self, spark: SparkSession, buckets: list[int] | None = None) -> DataFrame:
@@ -63,20 +67,24 @@ class BucketedTable:
         return sorted(r[0] for r in batch.select(self.bucket()).distinct().collect())
 
     def prepare(self, batch: DataFrame, number: int, rules: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-        """The touched buckets after ``rules(old rows, batch)``, written beside the table under the batch's number."""
+        """The touched buckets after ``rules(old rows, batch)``, written beside the table under the batch's number.
+
+        Both sides come dealt by the keys. Rules that join them by the keys leave every row in its bucket's task; others give more files.
+        """
         spark, folder = batch.sparkSession, f"{self.path}.next/batch={number}"
         schema = spark.createDataFrame([], self.schema).schema
         if not is_complete(spark, folder):
-            after = rules(self.read(spark, self.touched(batch)), batch).select(*[F.col(f.name).cast(f.dataType) for f in schema])
-            self._dealt(after).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            after = rules(self._dealt(self.read(spark, self.touched(batch))), self._dealt(batch)).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+            after.withColumn("bucket", self.bucket()).write.mode("overwrite").partitionBy("bucket").parquet(folder)
         return spark.read.schema(f"{self.schema}, bucket int").option("basePath", folder).parquet(folder)
 
     def apply(self, prepared: DataFrame) -> None:
-        """Put prepared buckets in the place of the table's."""
-        prepared.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        """Put prepared buckets in the place of the table's; a file holds rows of one bucket, so they need no dealing."""
+        prepared.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def upsert(self, batch: DataFrame, number: int, rules: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         self.apply(self.prepare(batch, number, rules))
 
     def _dealt(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", self.bucket()).repartition("bucket")
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(self.n * max(1, round(tasks / self.n)), *self.keys)
