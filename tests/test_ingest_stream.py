@@ -166,3 +166,16 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert len(files) == 4 and all(n == 3 for n in files.values())
     assert table.read(spark).groupBy("v", "w").count().orderBy("v", "w").collect() == [("a", "x", 1000), ("b", None, 1000), ("b", "x", 1000)]
     assert table.read(spark).count() == table.read(spark).select("k").distinct().count() == 3000
+
+
+def test_an_ingest_joins_its_batch_once(spark, tmp_path, monkeypatch):
+    plans, prepare = [], BucketedTable.prepare
+
+    def watched(self, batch, number, rules):
+        plans.append(rules(self.read(spark), batch)._jdf.queryExecution().optimizedPlan().toString())
+        return prepare(self, batch, number, rules)
+
+    monkeypatch.setattr(BucketedTable, "prepare", watched)
+    row = {"item_id": "1", "at": dt.datetime(2001, 8, 1), "shop_id": 1, "url": "https://a/1", "title": "T", "price": "5", "is_book": True, "canonical": False, "properties": {}}
+    Catalogue(str(tmp_path), 4).create(spark).ingest(spark.createDataFrame([row], ITEM), 0)
+    assert [p.count("Join") for p in plans] == [1]

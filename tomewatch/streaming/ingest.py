@@ -96,10 +96,7 @@ class Catalogue:
         batch = g.fold_batch(books.select("shop_id", "url", "at", "item_id", *columns).withColumn("_order", F.struct("at", "item_id")).drop("item_id"), ["shop_id", "url"], "_order")
 
         def rules(old: DataFrame, new: DataFrame) -> DataFrame:
-            merged = g.upsert_listings(old, new.drop("at"), F.lit(None).cast("timestamp"), run)
-            seen = new.select("shop_id", "url", F.col("at").alias("_at"))
-            out = merged.join(seen, ["shop_id", "url"], "left")
-            return out.withColumn("last_seen_at", F.coalesce("_at", "last_seen_at")).withColumn("first_seen_at", F.coalesce("first_seen_at", "_at"))
+            return g.upsert_listings(old, new, F.col("at"), run)
 
         prepared = self.listings.prepare(batch, number, rules)
         after("prepared")
