@@ -1,6 +1,7 @@
 """What a query must not do: join for rules that it does not run, parse all pages in one task, meet null keys in one task."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tomewatch.operators import details, matching, quality
 from tomewatch.plans.queries_quality import found
@@ -102,3 +103,17 @@ def test_synthesis_reads_listings_once_and_drops_those_without_isbn(spark):
 @pytest.mark.parametrize("name", ["mat1_counts", "mat1_run_matching"])
 def test_matching_derives_listings_once(spark, name):
     assert not [f for f in QUERIES[name](spark, SF).inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.parametrize("name", ["jn15_issue_detail"])
+def test_findings_are_not_shuffled_for_their_run(spark, conf, name):
+    """The few runs that findings name come by broadcast, so no exchange goes by run_id, however large the table of runs is."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    made = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(run_id" not in made and "BroadcastHashJoin [run_id" in made
+
+
+def test_runs_beyond_a_broadcast_are_joined(spark):
+    t = Tables(spark, SF)
+    some = t.scrape_runs.where("id % 3 = 0")
+    assert t.named(t.scrape_runs, some.select(F.col("id").alias("run_id")), "run_id", rows=1).count() == some.count()

@@ -135,16 +135,15 @@ def issue_detail(issues: DataFrame, listings: DataFrame, urls: DataFrame, runs:
     by_url = urls.groupBy("shop_id", "url").agg(F.min(F.struct("id", "shop_book_id")).alias("_u"))
     found = issues.join(by_url, ["shop_id", "url"], "left").withColumn("shop_book_id", F.coalesce("shop_book_id", "_u.shop_book_id"))
     found = found.withColumn("_listing", F.coalesce(F.col("shop_book_id").cast("string"), F.concat(F.lit("no listing "), F.col("id").cast("string"))))
-    book = listings.select(F.col("id").cast("string").alias("_listing"), "title", "isbn", "book_id")
     owned = isbns.groupBy("book_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("isbn_type", "isbn")))).alias("_isbns"))
     works = books.select(F.col("id").alias("book_id"), F.col("title").alias("_work")).join(owned, "book_id", "left").select(F.col("book_id").cast("string").alias("_key"), "_work", "_isbns")
-    # only a drifted finding shows its work; null keys would all meet in one task
-    key = F.coalesce(F.when(F.col("issue") == "match_isbn_drift", F.col("book_id").cast("string")), F.concat(F.lit("no work "), F.col("id").cast("string")))
+    # listings meet their works, not the wider findings; null keys would all meet in one task
+    key = F.coalesce(F.col("book_id").cast("string"), F.concat(F.lit("no work "), F.col("id").cast("string")))
+    book = listings.select("id", "title", "isbn", "book_id", key.alias("_key")).join(works, "_key", "left").select(F.col("id").cast("string").alias("_listing"), "title", "isbn", "book_id", "_work", "_isbns")
     out = (
         found.join(book, "_listing", "left")
         .join(shops.select(F.col("id").alias("shop_id"), F.col("name").alias("shop")), "shop_id", "left")
         .join(runs.select(F.col("id").alias("run_id"), F.col("status").alias("run_status"), "phase"), "run_id", "left")
-        .withColumn("_key", key).join(works, "_key", "left")
     )
     drift = lambda c: F.when((F.col("issue") == "match_isbn_drift") & F.col("book_id").isNotNull(), c)
     return out.select(
