@@ -105,7 +105,7 @@ def test_matching_derives_listings_once(spark, name):
     assert not [f for f in QUERIES[name](spark, SF).inputFiles() if "lineitem" in f]
 
 
-@pytest.mark.parametrize("name", ["jn15_issue_detail"])
+@pytest.mark.parametrize("name", ["jn15_issue_detail", "set1_unified"])
 def test_findings_are_not_shuffled_for_their_run(spark, conf, name):
     """The few runs that findings name come by broadcast, so no exchange goes by run_id, however large the table of runs is."""
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -117,3 +117,11 @@ def test_runs_beyond_a_broadcast_are_joined(spark):
     t = Tables(spark, SF)
     some = t.scrape_runs.where("id % 3 = 0")
     assert t.named(t.scrape_runs, some.select(F.col("id").alias("run_id")), "run_id", rows=1).count() == some.count()
+
+
+def test_inbox_spreads_findings_without_a_listing(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    made = QUERIES["set1_unified"](spark, SF)
+    dealt = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(shop_book_id" in line]
+    assert len(dealt) == 2 and all("_spread#" in line for line in dealt)
+    assert made.where("kind = 'validation' and shop_book_id is null").count() > 0
